@@ -17,7 +17,7 @@ class UnitCache:
 
     def peek(self, units: set) -> dict:
         """What is cached of ``units``."""
-        return {u: self.young.get(u) or self.old[u] for u in units if u in self.young or u in self.old}
+        return {u: (self.young if u in self.young else self.old)[u] for u in units if u in self.young or u in self.old}
 
     def get(self, units: Sequence) -> list[bytes]:
         parts = list(map(self.young.get, units))
