@@ -10,7 +10,7 @@ The files are a Parquet folder, one row a shard: part, seq, first_token (in its
 base, rules, lengths, width, sequence. Spark writes and reads them, so they can be in any store that Spark reaches.
 
 Tokens of a text are those of the library. White space always separates tokens of this vocabulary, so texts are cut
-there, distinct cuts are encoded by the library once, and a bounded cache keeps them.
+there, the distinct cuts of a batch are encoded by the library together, and a bounded cache keeps them.
 
 Edge cases: null counts as empty and gives the end id alone; null ids come first; rows with equal ids stay next to each
 other in any order; a very long text makes a shard of its own size; columns other than the id and the text are
@@ -19,86 +19,130 @@ ignored; an empty table gives files without rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from weftline.llm.common import new_path, tune
-from weftline.llm.unit_cache import UnitCache
 
 END = 1
 SHARD = 1 << 18
 #: Rounds of replacement, new symbols in a round, and uses that a new symbol needs.
-ROUNDS, NEW, LEAST = 4, 1024, 8
+ROUNDS, NEW, LEAST = 3, 2048, 8
 SCHEMA = (
     "part int, seq int, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<int>, base int, "
     "rules binary, lengths binary, width int, sequence binary"
 )
 
 
-def _plain(chunk: bytes) -> tuple[bytes, bytes]:
-    """A chunk without a full stop or comma after a letter, and that; a first capital before another ASCII sign is
-    lower-cased. The library does both itself: it lower-cases, and letters and other signs never share a token."""
-    stop = b""
-    if len(chunk) > 1 and chunk[-1] in b".," and 97 <= chunk[-2] | 32 <= 122:
-        chunk, stop = chunk[:-1], chunk[-1:]
-    if 65 <= chunk[0] <= 90 and (len(chunk) == 1 or chunk[1] < 128):
-        chunk = chunk[:1].lower() + chunk[1:]
-    return chunk, stop
+#: Words of these letters only, in lower case, are one pre-token each: the library needs no normaliser for them.
+_SIMPLE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
 
 
 class ChunkEncoder:
-    """The library's ids of texts, chunk by chunk."""
+    """The library's ids of texts, chunk by chunk. Distinct chunks of a batch are found by Arrow; a chunk is its plain
+    form (lower case, without a full stop or comma at its end) and what was cut off. Chunks and forms are cached."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.cache = UnitCache(self._many)
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.last[i] = token.endswith("</w>")
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         added = self.tokenizer.get_added_tokens_decoder()
-        self.mark, token = next(iter(added.items()), (None, None))
-        self.gap = f" {token.content} " if token else None
-        self.stops = {s: self._one(s) if s else b"" for s in (b"", b".", b",")}
-
-    def _one(self, chunk: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _many(self, chunks: list[bytes]) -> list[bytes]:
-        """A chunk is encoded as its plain form and what was cut off its end. Plain forms in the cache aren't encoded again."""
-        plain = [_plain(c) for c in chunks]
-        known = self.cache.peek({p for p, _ in plain})
-        fresh = [p for p in dict.fromkeys(p for p, _ in plain) if p not in known]
-        known.update(zip(fresh, self._library(fresh), strict=True))
-        return [known[p] + self.stops[stop] for p, stop in plain]
-
-    def _library(self, chunks: list[bytes]) -> list[bytes]:
-        """One call of the library for all chunks, with a special token between them, at which the ids are cut again."""
-        texts = [c.decode() for c in chunks]
-        if not texts:
-            return []
-        joined = self.gap.join(texts) if self.gap else ""
-        if not self.gap or joined.count(self.gap.strip()) != len(texts) - 1:  # a text has special tokens of its own
-            return [self._one(c) for c in chunks]
-        ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
+        self.mark, token = next(iter(added.items()))
+        self.gap = f" {token.content} "
+        self.cached = cached
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.stops = {x: int(np.frombuffer(self._one(x), "<u4")[0]) for x in ".,"}
+
+    def _one(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @staticmethod
+    def _cut(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        return [ids[a:z].tobytes() for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def _words(self, found: list[str]) -> list[bytes]:
+        """Simple words, joined by spaces for one call; each ends with a token that ends a word."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(found)], add_special_tokens=False)[0].ids if found else [], "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        return self._cut(ids, np.r_[0, ends[:-1]] if len(ends) else ends, ends)
+
+    def _others(self, found: list[str]) -> list[bytes]:
+        """Other chunks, with a special token between them, at which the ids of one call are cut again."""
+        joined = self.gap.join(found)
+        if joined.count(self.gap.strip()) != len(found) - 1:  # a text has special tokens of its own
+            return [self._one(c) for c in found]
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(ids == self.mark)
-        starts = np.r_[0, ends + 1]
-        return [ids[a:z].tobytes() for a, z in zip(starts.tolist(), [*ends.tolist(), len(ids)], strict=True)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cuts = [x.encode().split() for x in texts]  # bytes are split at ASCII white space only
-        parts = self.cache.get([u for c in cuts for u in c])
-        out, at, end = [], 0, np.array([END], "<u4").tobytes()
-        for c in cuts:
-            out.append(np.frombuffer(b"".join(parts[at : at + len(c)]) + end, "<u4"))
-            at += len(c)
+        return self._cut(ids, np.r_[0, ends + 1], np.r_[ends, len(ids)])
+
+    def _forms(self, forms: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
+        out = list(map(young.get, forms))
+        missing = [f for f, ids in zip(forms, out, strict=True) if ids is None]
+        fresh = []
+        for f in missing:
+            if f in old:
+                young[f] = old[f]
+            else:
+                fresh.append(f)
+        simple = [f for f in fresh if _SIMPLE.fullmatch(f)]
+        others = [f for f in fresh if f and not _SIMPLE.fullmatch(f)]
+        young[""] = b""
+        young.update(zip(simple, self._words(simple), strict=True))
+        young.update(zip(others, self._others(others) if others else [], strict=True))
+        if missing:
+            out = list(map(young.__getitem__, forms))
+        for f in others:
+            if len(f) > 64:
+                del young[f]
+        if len(young) > self.cached:
+            self.old, self.young = young, {}
         return out
 
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text, the end id included."""
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        of = cut.flatten().dictionary_encode()
+        chunks = of.dictionary
+        latin = pc.match_substring_regex(chunks, f"^{_LATIN}[.,]?$")
+        forms = pc.if_else(latin, pc.utf8_lower(pc.utf8_rtrim(chunks, ".,")), chunks).dictionary_encode()
+        last = pc.if_else(latin, pc.utf8_slice_codeunits(chunks, -1), "")
+        stop = np.select([pc.equal(last, x).to_numpy(zero_copy_only=False) for x in (".", ",")], [self.stops["."], self.stops[","]], -1)
+        parts = self._forms(forms.dictionary.to_pylist())
+        data = np.frombuffer(b"".join(parts), "<u4")
+        size = np.fromiter((len(p) >> 2 for p in parts), np.int32, len(parts))
+        start = np.cumsum(size, dtype=np.int32) - size
+        words = of.indices.to_numpy()
+        form = forms.indices.to_numpy()[words]
+        stop = stop[words]
+        stopped = stop >= 0
+        done = np.cumsum(size[form] + stopped, dtype=np.int32)
+        ids = np.empty(done[-1] if len(done) else 0, "<u4")
+        ids[_runs(done - size[form] - stopped, size[form])] = data[_runs(start[form], size[form])]
+        ids[done[stopped] - 1] = stop[stopped]
+        ends = np.r_[0, done][cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        out = np.insert(ids, ends[1:], END)
+        ends = ends + np.arange(len(ends))
+        return [out[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
@@ -150,19 +194,38 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarr
     return rules, lengths, seq
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each size, one after the other."""
+    done = np.cumsum(size, dtype=np.int32)
+    return np.repeat(start - (done - size), size) + np.arange(done[-1] if len(done) else 0, dtype=np.int32)
+
+
+def _tables(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expansions of all rules one after the other, their starts and sizes."""
+    seq, of = rules.reshape(-1), np.repeat(np.arange(len(rules), dtype=np.int32), 2)
+    while (seq >= base).any():
+        n = np.where(seq >= base, 2, 1)
+        child = np.repeat(seq, n)
+        second = np.arange(len(child)) - np.repeat(np.cumsum(n) - n, n)
+        new = child >= base
+        child[new] = rules[child[new] - base, second[new]]
+        seq, of = child, np.repeat(of, n)
+    size = np.bincount(of, minlength=len(rules)).astype(np.int32)
+    return seq.astype("<u4"), (np.cumsum(size) - size).astype(np.int32), size
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """Token ids of a sequence of symbols."""
-    seq = seq.astype(np.int64)
-    while True:
-        new = seq >= base
-        if not new.any():
-            return seq
-        start = np.cumsum(1 + new) - 1 - new
-        out = np.empty(len(seq) + int(new.sum()), np.int64)
-        out[start[~new]] = seq[~new]
-        pair = rules[seq[new] - base]
-        out[start[new]], out[start[new] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
+    seq = seq.astype(np.int32)
+    data, start, size = _tables(rules.astype(np.int64), base)
+    new = seq >= base
+    n = np.where(new, np.r_[size, np.int32(1)][np.where(new, seq - base, 0)], 1).astype(np.int32)
+    done = np.cumsum(n, dtype=np.int32)
+    out = np.empty(done[-1] if len(done) else 0, "<u4")
+    out[(done - 1)[~new]] = seq[~new]
+    rule = seq[new] - base
+    out[_runs((done - n)[new], n[new])] = data[_runs(start[rule], n[new])]
+    return out
 
 
 def pack(ids: list[np.ndarray], base: int) -> dict:
@@ -193,6 +256,18 @@ def read_range(shard: dict, start: int, stop: int) -> np.ndarray:
     return expand(seq[a:b], rules, base)[skip : skip + stop - start]
 
 
+def _joined(batches: Iterator[pa.RecordBatch], size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> None:
     """Encodes all documents in ascending order of id and writes the files to ``path``."""
     spark = docs.sparkSession
@@ -211,8 +286,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             row = {"part": part, "seq": seq, "first_token": first, "n_tokens": size, "doc_ids": names, "doc_tokens": [len(x) for x in held]} | pack(held, e.base)
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
-        for b in batches:
-            for name, ids in zip(b.column(0).to_pylist(), e.encode([x or "" for x in b.column(1).to_pylist()]), strict=True):
+        for b in _joined(batches):
+            for name, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1)), strict=True):
                 names.append(name)
                 held.append(ids)
                 size += len(ids)
@@ -242,7 +317,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 rules, _, seq = unpack(row)
-                ids = expand(seq, rules, row["base"]).astype("<u4")
+                ids = expand(seq, rules, row["base"])
                 ends = np.cumsum(row["doc_tokens"])
                 starts = ends - np.array(row["doc_tokens"])
                 blobs = [ids[a:z].tobytes() for a, z in zip(starts, ends, strict=True)]
