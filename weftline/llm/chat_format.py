@@ -92,14 +92,12 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-@F.arrow_udf(_FORMATTED)
 def _format(turns: pa.Array) -> pa.Array:
     done = [render([(t["role"], t["text"]) for t in x.as_py()]) for x in turns]
     ints = lambda k: pa.array([[s[k] for s in spans] for _, spans in done], pa.list_(pa.int32()))
     return pa.StructArray.from_arrays([pa.array([t for t, _ in done], pa.string()), ints(0), ints(1)], ["formatted", "loss_start", "loss_end"])
 
 
-@F.arrow_udf(_BACK)
 def _read(formatted: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     rows = []
     for text, a, z in zip(formatted.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True):
@@ -116,12 +114,12 @@ def format_conversations(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
     tune(rows.sparkSession)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     turns = F.sort_array(F.collect_list(F.struct(F.col("turn").isNotNull().alias("has"), "turn", text("role"), text("text"))))
-    return rows.groupBy(id_col).agg(turns.alias("turns")).select(id_col, _format("turns").alias("x")).select(id_col, "x.*")
+    return rows.groupBy(id_col).agg(turns.alias("turns")).select(id_col, F.arrow_udf(_format, _FORMATTED)("turns").alias("x")).select(id_col, "x.*")
 
 
 def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """The digests of what the parser and the loss spans give back from formatted conversations."""
-    return formatted.select(id_col, _read("formatted", "loss_start", "loss_end").alias("x")).select(id_col, "x.*")
+    return formatted.select(id_col, F.arrow_udf(_read, _BACK)("formatted", "loss_start", "loss_end").alias("x")).select(id_col, "x.*")
 
 
 def with_conflict(rows: DataFrame) -> DataFrame:

@@ -63,4 +63,5 @@ WORD_GAPS = "[ \\t\\n\\x0B\\f\\r]+"
 
 def words_of(c: Column) -> Column:
     """Words of a text as an array; an empty array if there is none."""
-    return F.filter(F.split(c, WORD_GAPS), lambda w: w != "")
+    inner = F.trim(c, F.lit(" \t\n\x0b\f\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, WORD_GAPS))

@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import piece_codec, simhash_dedup, token_store
+from weftline.llm import chat_format, decontaminate, piece_codec, rule_ledger, secret_scan, simhash_dedup, site_quality, token_store, toxicity, url_filter
 from weftline.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -22,17 +27,46 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(piece_codec.encode_documents(table(spark, sf_dir, "documents"), PIECE_BPE, decode=True))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.with_conflict(table(spark, sf_dir, "conversations"))
+    return chat_format.read_back(chat_format.format_conversations(rows))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source", "lang")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.findings(table(spark, sf_dir, "documents"))
+
+
+def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ledger.verdicts(rule_ledger.ledger(rule_ledger.measured(table(spark, sf_dir, "documents"))))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_token_store": op2_token_store,
-        "op3_piece_codec": op3_piece_codec,
-        "op10_simhash_dedup": op10_simhash_dedup,
-    }
+    own = [op1_url_filter, op2_token_store, op3_piece_codec, op4_chat_format, op5_toxicity, op6_decontaminate, op7_site_quality, op8_secret_scan, op9_rule_ledger, op10_simhash_dedup, pipeline]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": url_filter.ORACLE, "op4_chat_format": chat_format.ORACLE, "op9_rule_ledger": rule_ledger.ORACLE}
