@@ -34,7 +34,7 @@ from weftline.llm.unit_cache import UnitCache
 
 MARK = "▁"
 #: Pair tests that are remembered at once.
-PAIRS = 400_000
+PAIRS = 200_000
 #: Rows of one Arrow batch that a worker returns at once.
 ROWS = 64
 

@@ -9,7 +9,7 @@ class UnitCache:
     """Encoded units of two generations. When the young one holds ``limit`` characters it becomes the old one, and
     what is still in use moves back; memory stays bounded and frequent units stay cached."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 14_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 4_000_000):
         self.encode, self.limit = encode, limit
         self.young: dict = {}
         self.old: dict = {}
