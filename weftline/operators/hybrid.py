@@ -69,6 +69,11 @@ def fused(keyword: DataFrame, vector: DataFrame, question: Question, bonus: floa
     return both.select("id", score.alias("score"), F.col("kw_rank").isNotNull().alias("keyword_hit"), value.alias("fused"))
 
 
+def held(page: DataFrame) -> DataFrame:
+    """Rows of a page of results as a local table, so that later stages don't compute them again. Only for what arguments bound."""
+    return page.sparkSession.createDataFrame(page.collect(), page.schema).coalesce(1)
+
+
 def _times(test: Column, x: float) -> Column:
     return F.when(test, x).otherwise(1.0)
 
@@ -76,30 +81,33 @@ def _times(test: Column, x: float) -> Column:
 def rank(legs: DataFrame, nodes: DataFrame, paths: DataFrame, cited: DataFrame, question: Question, rules: lexical.Rules) -> DataFrame:
     """The ordered rows of fused legs. ``paths``: (id, path); ``cited``: ids whose citation matches the query."""
     n = question
-    base = legs.join(nodes, "id").join(cited.select("id", F.lit(True).alias("cites")), "id", "left")
+    legs = held(legs)  # twice 2 x pool rows at most
     basis = F.col("id").rlike(rules.basis_pattern)
     pre = (
         F.col("fused") * _times(basis, 0.5) * _times(F.col("reg_key").isin(list(rules.other_sector_keys)), 0.7)
         * _times(F.coalesce("cites", F.lit(False)) & F.lit(n.short), 1.5) * _times(F.col("reg_key").isin(list(rules.closed_keys)), 0.6)
     ).cast("float")
+    plain = F.trim(F.regexp_replace(F.coalesce("full_text", F.lit("")), T.TAG, " "))
+    own = nodes.join(F.broadcast(legs), "id").withColumn("plain", plain)
+    own = own.select(*[c for c in own.columns if c not in ("full_text", "plain")], F.size(F.split("plain", r"\s+")).alias("n_words"), F.length("plain").alias("text_len"))
+    ids = F.broadcast(legs.select("id"))
+    own = held(own.join(F.broadcast(paths.join(ids, "id", "left_semi")), "id", "left").join(F.broadcast(cited.select("id", F.lit(True).alias("cites")).join(ids, "id", "left_semi")), "id", "left"))
     best_first = [F.desc("pre"), F.desc_nulls_last("score"), F.col("id")]
-    local = base.withColumn("is_basis", basis).withColumn("pre", pre)
+    local = own.withColumn("is_basis", basis).withColumn("pre", pre)
     local = local.withColumn("all_rank", F.row_number().over(W.orderBy(*best_first))).withColumn("jur_rank", F.row_number().over(W.partitionBy("jurisdiction_level").orderBy(*best_first)))
     named = lambda wanted, level: F.lit(wanted) & (F.col("jurisdiction_level") == level) & (F.col("jur_rank") <= 20)
     stage = local.filter((F.col("all_rank") <= n.pool) | named(n.federal, "federal") | named(n.state, "state"))
 
-    plain = F.trim(F.regexp_replace(F.coalesce("full_text", F.lit("")), T.TAG, " "))
-    parents = nodes.filter("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().withColumn("has_children", F.lit(True))
-    content = stage.join(paths, "id", "left").join(parents, "id", "left").withColumn("plain", plain)
-    bare = (F.size(F.split("plain", r"\s+")) <= 20) & F.coalesce("has_children", F.lit(False))
-    content = content.withColumn("heading_only", bare)
+    parents = nodes.select(F.col("parent_id").alias("id")).join(ids, "id", "left_semi").distinct().withColumn("has_children", F.lit(True))
+    content = stage.join(F.broadcast(parents), "id", "left")
+    content = content.withColumn("heading_only", (F.col("n_words") <= 20) & F.coalesce("has_children", F.lit(False)))
     path, title = F.coalesce("path", F.lit("")), F.col("title")
     weight = (
         F.col("pre") * _times(path.rlike(r"(?i)\bdefinitions?\b") | title.rlike(r"(?i)^\s*§?\s*[0-9.]*[a-z]*\s*what definitions apply"), 0.8)
         * _times(title.rlike(r"(?i)\b(applicability|applies to|subject to|who must comply|am i subject)") | path.rlike(r"(?i)\b(applicability|am i subject|who must comply)"), 1.15)
-        * _times(~F.col("keyword_hit") & ~F.col("heading_only") & (F.length("plain") < 150), 0.95)
+        * _times(~F.col("keyword_hit") & ~F.col("heading_only") & (F.col("text_len") < 150), 0.95)
     ).cast("float")
-    content = content.withColumn("content_score", weight)
+    content = held(content.withColumn("content_score", weight))
 
     heads = content.filter("heading_only").select(F.col("id").alias("head"), F.col("content_score").alias("head_score"))
     order = W.partitionBy("parent_id").orderBy(F.desc("content_score"), F.desc_nulls_last("score"), "id")
@@ -148,7 +156,7 @@ def search(nodes: DataFrame, chunks: DataFrame, text: str, vector: list[float],
 def complete_lists(hits: DataFrame, nodes: DataFrame, most: int = 20) -> DataFrame:
     """(position, id): where two or more children of a node are among the hits (id, position) and it has at most ``most``,
     the node and all its children stand at the first of them, in printed order; then the rows are cut to as many as before."""
-    hits = hits.sparkSession.createDataFrame(hits.select("id", "position").collect(), "id string, position int")  # a page
+    hits = held(hits.select("id", "position"))
     own = hits.join(nodes.select("id", "parent_id"), "id", "left")
     families = own.filter("parent_id is not null").groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first")).filter("n >= 2")
     kids = nodes.select("id", "parent_id", "sort_order").join(families.select("parent_id", "first"), "parent_id")

@@ -10,15 +10,14 @@ of one or more words. Words that must not occur are apart.
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.functions import values as V
 
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
 SPLIT = r"[^\p{L}\p{N}]+"
@@ -138,17 +137,26 @@ def relaxed(table: DataFrame, query: Query, enough: int = 5) -> tuple[Query, boo
     return query.any_word(), False
 
 
-def excerpt(text: Column, wanted: list[str], n: int = 40) -> Column:
+def best_window(text: str, wanted: set[str], n: int = 40) -> str:
     """The window of ``n`` words with most of the wanted ones, those between <mark> and </mark>; ties go to the first."""
-    plain = T.strip_html_plain(text)
-    listed = F.split(plain, " ")
-    hit = lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").isin(wanted)
-    hits = F.transform(listed, lambda w: F.when(hit(w), 1).otherwise(0))
-    starts = F.sequence(F.lit(0), F.greatest(F.size(listed) - n, F.lit(0)), F.lit(max(1, n // 4)))
-    scored = F.transform(starts, lambda s: F.struct(F.aggregate(F.slice(hits, s + 1, F.lit(n)), F.lit(0), lambda a, x: a + x).alias("hits"), (-s).alias("start")))
-    start = -F.array_max(scored)["start"]
-    window = F.slice(listed, start + 1, F.lit(n))
-    return F.array_join(F.transform(window, lambda w: F.when(hit(w), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)), " ")
+    listed = text.split()
+    hit = [re.sub(r"^\W+|\W+$", "", w.lower()) in wanted for w in listed]
+    count = most = sum(hit[:n])
+    start = 0
+    for i in range(1, len(listed) - n + 1):
+        count += hit[i + n - 1] - hit[i - 1]
+        if count > most:
+            start, most = i, count
+    return " ".join(f"<mark>{w}</mark>" if h else w for w, h in zip(listed[start : start + n], hit[start : start + n], strict=True))
+
+
+def excerpt(text: Column, wanted: list[str], n: int = 40) -> Column:
+    """Highlighted excerpts: a Python function, for the few rows of a page of results."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else best_window(x, set(wanted), n) for x in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(T.strip_html_plain(text))
 
 
 @dataclass
@@ -195,7 +203,3 @@ def search(nodes: DataFrame, text: str, limit: int | None = 25, include_basis: b
     bare = T.heading_only(F.col("full_text"), F.col("title"), F.col("citation"))
     headline = F.when(~bare, excerpt(F.col("full_text"), [w for w in query.words() if w not in query.without]))
     return best.select("id", "citation", "title", "reg_key", headline.alias("headline"), "score", "path", "is_basis", "sort_order").orderBy(F.desc("score"), "sort_order", "id").drop("sort_order")
-
-
-def length_factor(n: int) -> float:
-    return 1 + math.log(n)

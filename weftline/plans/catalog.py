@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.functions import labels as L
 from weftline.functions import text as T
 from weftline.functions import values as V
-from weftline.operators import changes, documents, hybrid, lexical, links, quality, sampling, tree, vector
+from weftline.operators import changes, context, documents, hybrid, lexical, links, quality, sampling, tree, vector, writes
 from weftline.sources import tables as S
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -529,6 +530,60 @@ def search_evaluation(spark, d):
     return sampling.evaluation(top, questions)
 
 
+# --- labels, context, writes --------------------------------------------------------------------------------------
+
+
+@query(f"WITH {S.NODES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY reg_key ORDER BY sort_order, id) AS r, count(*) OVER (PARTITION BY reg_key) AS size FROM nodes) SELECT reg_key, string_agg(id, ' ' ORDER BY r) AS ids, max(greatest(size - 5, 0))::BIGINT AS n_more FROM r WHERE r <= 5 GROUP BY 1")
+def capped_groups(spark, d):
+    found = context.capped_groups(S.nodes(spark, d).select("id", "reg_key", "sort_order"), "reg_key", ["sort_order", "id"], 5)
+    return found.select("reg_key", F.array_join("ids", " ").alias("ids"), F.col("n_more").cast("long").alias("n_more"))
+
+
+@query("SELECT event_type AS reg_key, count(*) || ':' || max(event_id) AS version FROM events GROUP BY 1")
+def version_keys(spark, d):
+    return context.version_key(_t(spark, d, "events").select(F.col("event_type").alias("reg_key"), F.col("event_id").alias("updated_at")))
+
+
+@query("SELECT p_partkey, '40 CFR ' || p_size || '.' || p_partkey AS citation, CASE WHEN p_size % 2 = 0 THEN 'Regulation ' || p_size ELSE 'SRC' || p_size END AS name FROM part")
+def labels(spark, d):
+    section = F.concat(F.lit("§ "), F.col("p_size").cast("string"), F.lit("."), F.col("p_partkey").cast("string"))
+    key = F.concat(F.when(F.col("p_size") % 2 == 0, "reg").otherwise("src"), F.col("p_size").cast("string"))
+    return _t(spark, d, "part").select("p_partkey", L.federal_citation(F.lit("40"), F.lit("60"), section).alias("citation"), L.display_name(key).alias("name"))
+
+
+@query(f"WITH {_VERSIONS} SELECT change_type, count(*) AS n FROM (SELECT CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN o.full_text = n.full_text THEN NULL WHEN regexp_replace(lower(regexp_replace(o.full_text, '<[^>]+>', '', 'g')), '[^a-z0-9]', '', 'g') = regexp_replace(lower(regexp_replace(n.full_text, '<[^>]+>', '', 'g')), '[^a-z0-9]', '', 'g') THEN 'links_updated' ELSE 'text_updated' END AS change_type FROM old o FULL JOIN new n ON n.id = o.id) WHERE change_type IS NOT NULL GROUP BY 1")
+def change_capture(spark, d):
+    return writes.text_changes(*_versions(spark, d), F.current_timestamp()).groupBy("change_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {S.CHANGES_SQL} SELECT change_id, CASE WHEN reg_key IN ('u1', 'u2') AND created_at >= TIMESTAMP '2024-01-15' AND change_type IN ('text_updated', 'removed') THEN 'transcription_corrected' ELSE change_type END AS change_type FROM changes")
+def import_finalized(spark, d):
+    versions = spark.createDataFrame([("u1", "v"), ("u2", "v"), ("u3", "v")], "key string, version string")
+    now = spark.createDataFrame([("u1", "v"), ("u2", "v"), ("u3", "w")], "key string, version string")
+    return writes.finalized(S.changes(spark, d), versions, now, F.lit("2024-01-15").cast("timestamp")).select("change_id", "change_type")
+
+
+@query(f"WITH {S.NODES_SQL} SELECT p.id, p.summary_status, CASE WHEN p.summary_status = 'pending' THEN 'approved' ELSE p.summary_status END AS after FROM nodes p")
+def verdicts_applied(spark, d):
+    rows = S.nodes(spark, d).withColumn("reviewed_by", F.lit(None).cast("string")).withColumn("reviewed_at", F.lit(None).cast("timestamp"))
+    given = rows.select("id", F.lit("approve").alias("verdict"), F.lit(None).cast("string").alias("summary"))
+    after, _ = writes.verdicts(rows, given, "x", F.current_timestamp())
+    return rows.select("id", "summary_status").join(after.select("id", F.col("summary_status").alias("after")), "id")
+
+
+@query()
+def prompts(spark, d):
+    rows = S.nodes(spark, d)
+    found = context.prompts(rows, rows.filter("is_public").select("id"))
+    return found.select("id", F.length("prompt").alias("n_chars"), F.sha2(F.col("prompt").cast("binary"), 256).alias("hash"))
+
+
+@query(r"""SELECT source, count(*) AS n, count(*) FILTER (kept) AS kept FROM (SELECT source, regexp_matches(text, '[.!?:;)\]"''”’]\s*$') AS kept FROM documents) GROUP BY 1""")
+def cut_off_texts(spark, d):
+    rows = _t(spark, d, "documents").select("source", (~T.looks_cut_off(F.regexp_replace("text", r"\s+$", ""))).alias("kept"))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("kept"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The entry query: keyword search with headings and highlights."""
     return keyword_search(spark, d)
