@@ -224,3 +224,47 @@ def json_in(text: Column) -> Column:
     """The JSON of a fenced block, else from the first brace to the last."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     return F.nullif(F.when(fenced != "", fenced).otherwise(F.regexp_extract(text, r"(?s)(\{.*\})", 1)), F.lit(""))
+
+
+def lead(c: Column, most_words: int = 8) -> Column:
+    """struct<lead, rest>: a short capitalised opening up to its first full stop or dash, apart from the text after it."""
+    head = F.regexp_extract(c, r"^(\p{Lu}[^.—–\n]*)(?:\.|—|–)\s+\S", 1)
+    good = (head != "") & (word_count(head) <= most_words)
+    rest = F.ltrim(F.regexp_replace(F.substring(c, F.length(head) + 1, F.length(c)), r"^\s*[.—–]\s*", ""))
+    return F.struct(F.when(good, head).alias("lead"), F.when(good, rest).otherwise(c).alias("rest"))
+
+
+def markdown_only(before: Column, after: Column) -> Column:
+    """Two texts differ in their markdown alone."""
+    return ~before.eqNullSafe(after) & collapse(strip_markdown(before)).eqNullSafe(collapse(strip_markdown(after)))
+
+
+def expansion_removed(before: Column, after: Column) -> Column:
+    """The text is the same but for phrases before their own abbreviation in brackets, as in "a b c (ABC)"."""
+    pairs = F.regexp_extract_all(before, F.lit(r"((?:[\p{L}-]+\s+){1,8})\((\p{Lu}{2,8})\)"), F.lit(0))
+    short = lambda p: F.regexp_extract(p, r"\((.*)\)", 1)
+    words = lambda p: F.split(F.trim(F.regexp_replace(p, r"\(.*$", "")), r"\s+")
+    own = F.transform(pairs, lambda p: F.concat(F.array_join(F.slice(words(p), -F.least(F.length(short(p)), F.size(words(p))), F.length(short(p))), " "), F.lit(" ("), short(p), F.lit(")")))
+    fitting = F.filter(own, lambda p: initials(F.regexp_replace(p, r"\(.*$", "")) == short(p))
+    bare = F.aggregate(fitting, before, lambda t, p: F.replace(t, p, short(p)))
+    return ~before.eqNullSafe(after) & (F.size(fitting) > 0) & collapse(bare).eqNullSafe(collapse(after))
+
+
+def sql_text(c: Column) -> Column:
+    """A statement without comments and with white space folded, for comparison; strings keep theirs but for runs."""
+    return F.lower(collapse(F.regexp_replace(F.regexp_replace(c, r"(?m)--[^\n]*$", ""), r"(?s)/\*.*?\*/", " ")))
+
+
+def count_phrase(n: Column, one: str, many: str) -> Column:
+    """0 is "no ...", 1 "1 ...", more with thousands parted."""
+    return F.when(n == 0, f"no {many}").when(n == 1, f"1 {one}").otherwise(F.concat(F.format_number(n, 0), F.lit(f" {many}")))
+
+
+def transcript_line(counts: dict[str, Column]) -> Column:
+    """What happened on a day in words: the parts with a count, reviewed ones without those corrected."""
+    parts = [
+        ("text_updated", "text updated", "texts updated"), ("added", "row added", "rows added"), ("removed", "row removed", "rows removed"), ("links_updated", "link updated", "links updated"),
+        ("checked", "summary checked", "summaries checked"), ("corrected", "summary corrected", "summaries corrected"),
+    ]
+    own = counts | ({"checked": counts["reviewed"] - counts["corrected"]} if {"reviewed", "corrected"} <= counts.keys() else {})
+    return F.array_join(F.array_compact(F.array(*[F.when(own[k] > 0, count_phrase(own[k], a, b)) for k, a, b in parts if k in own])), ", ")

@@ -203,3 +203,19 @@ def search(nodes: DataFrame, text: str, limit: int | None = 25, include_basis: b
     bare = T.heading_only(F.col("full_text"), F.col("title"), F.col("citation"))
     headline = F.when(~bare, excerpt(F.col("full_text"), [w for w in query.words() if w not in query.without]))
     return best.select("id", "citation", "title", "reg_key", headline.alias("headline"), "score", "path", "is_basis", "sort_order").orderBy(F.desc("score"), "sort_order", "id").drop("sort_order")
+
+
+def jump(nodes: DataFrame, text: str, n: int = 8) -> DataFrame:
+    """(id, citation, title): the first ``n`` nodes in reading order whose citation begins as the text does."""
+    key = re.sub(r"[§\s]", "", text.lower())
+    found = nodes.filter(F.startswith(T.jump_key(F.col("citation")), F.lit(key))) if key else nodes.limit(0)
+    return found.orderBy(F.asc_nulls_last("sort_order"), "id").limit(n).select("id", "citation", "title")
+
+
+def merged(first: DataFrame, second: DataFrame, order: str = "position") -> DataFrame:
+    """Two lists of hits (id, position) one after the other; an id stays where it is first."""
+    from pyspark.sql import Window as W
+
+    both = first.select("id", F.col(order).alias("p"), F.lit(0).alias("l")).unionByName(second.select("id", F.col(order).alias("p"), F.lit(1).alias("l")))
+    once = both.groupBy("id").agg(F.min(F.struct("l", "p")).alias("at"))
+    return once.select(F.row_number().over(W.orderBy("at")).alias("position"), "id")  # two pages of results

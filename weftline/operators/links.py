@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,3 +97,47 @@ def known_fixes(rows: DataFrame, fixes: DataFrame) -> DataFrame:
     joined = rows.join(fixes.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("wrong", "right"))).alias("fixes")), "id", "left")
     text = F.aggregate(F.coalesce("fixes", F.array().cast("array<struct<wrong:string,right:string>>")), F.col("full_text"), lambda t, f: F.when(T.letters_digits(f["wrong"]) == T.letters_digits(f["right"]), F.replace(t, f["wrong"], f["right"])).otherwise(t))
     return joined.withColumn("full_text", text).drop("fixes")
+
+
+def link_all(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(id, full_text, n_links): texts with every resolved reference (id, label, target) as a link, longest labels first; text
+    inside of tags and links that are there already stays."""
+    targets = linked.filter("target is not null").select("id", "label", "target").distinct()
+    per = targets.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.length("label")).alias("o"), "label", "target"))).alias("targets"))  # labels of one text
+
+    def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        out = []
+        for text, found in zip(texts.to_pylist(), lists.to_pylist(), strict=True):
+            out.append(linked_text(text or "", {x["label"]: x["target"] for x in found or []}))
+        return pa.array([{"html": h, "n": n} for h, n in out], pa.struct([("html", pa.string()), ("n", pa.int32())]))
+
+    made = F.arrow_udf(run, "struct<html:string,n:int>")
+    rows = nodes.select("id", "full_text").join(per, "id", "left").select("id", made("full_text", "targets").alias("x"))
+    return rows.select("id", F.col("x.html").alias("full_text"), F.col("x.n").alias("n_links"))
+
+
+def linked_text(html: str, targets: dict[str, str]) -> tuple[str, int]:
+    """HTML with the labels as links, and how many were made."""
+    if not targets:
+        return html, 0
+    labels = "|".join(re.escape(x) for x in sorted(targets, key=len, reverse=True))
+    pattern = re.compile(rf"(<a\b.*?</a>|<[^>]*>)|(?<![\w.])({labels})(?![\w]|\.\w)", re.S)
+    made = 0
+
+    def put(m: re.Match) -> str:
+        nonlocal made
+        if m[1]:
+            return m[1]
+        made += 1
+        return f'<a href="#{targets[m[2]]}">{m[2]}</a>'
+
+    return pattern.sub(put, html), made
+
+
+def stripped(html: Column) -> Column:
+    """Text with anchors unwrapped."""
+    return F.regexp_replace(html, r"(?is)<a\b[^>]*>(.*?)</a>", "$1")
+
+
+def anchor_count(html: Column) -> Column:
+    return F.regexp_count(html, F.lit(r"(?i)<a\b"))

@@ -83,3 +83,18 @@ def anchors(html: Column) -> Column:
 def feed_url(base: str, title: Column, part: Column, subpart: Column) -> Column:
     """Address of a version feed; the subpart is optional."""
     return F.concat(F.lit(base), F.lit("/title-"), title, F.lit(".json?part="), part, F.when(subpart.isNotNull(), F.concat(F.lit("&subpart="), subpart)).otherwise(""))
+
+
+def xml_tables(spark: SparkSession, path: str) -> DataFrame:
+    """(key, caption, rows): tables of XML parts; the key is the caption's letters and digits, rows are cells of cells."""
+    cells = "array<struct<TD: array<string>, TH: array<string>>>"
+    rows = spark.read.format("xml").option("rowTag", "TABLE").schema(f"CAPTION string, TR {cells}").load(path)
+    key = F.regexp_replace(F.lower("CAPTION"), "[^a-z0-9]", "")
+    return rows.select(key.alias("key"), F.col("CAPTION").alias("caption"), F.transform("TR", lambda r: F.coalesce(r["TD"], r["TH"])).alias("rows"))
+
+
+def values_list(spark: SparkSession, path: str) -> DataFrame:
+    """(value): strings of the first VALUES list of a SQL file; quotes in them are doubled."""
+    text = spark.read.text(path, wholetext=True)
+    body = F.regexp_extract("value", r"(?is)\bvalues\b(.*?)(?:;|\bas\b|$)", 1)
+    return text.select(F.explode(F.regexp_extract_all(body, F.lit(r"\(\s*'((?:[^']|'')*)'"), F.lit(1))).alias("value")).select(F.replace("value", F.lit("''"), F.lit("'")).alias("value"))
