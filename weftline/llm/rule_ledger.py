@@ -82,7 +82,7 @@ RULES = {
     "repeated_words": "100 * n_repeat_words > 20 * n_words",
     "too_many_words": "n_words > 1000000",
     "symbols": "100 * n_symbols > 10 * word_chars",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
+    "duplicate_lines": "n_dup_lines >= 4 and 100 * n_dup_lines > 30 * n_lines",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 15 * n_words",
 }
@@ -162,6 +162,6 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines OR word_chars > 15 * n_words) AS kept
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 10 * word_chars OR (n_dup_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines) OR word_chars > 15 * n_words) AS kept
 FROM x
 """
