@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +46,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trimmed(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """For functions over the batches of a task: when the task is over, its free memory goes back to the system, so that idle
+    workers stay small."""
+
+    @wraps(run)
+    def over(*batches: Iterator) -> Iterator:
+        try:
+            yield from run(*batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if give_back:
+                give_back(0)
+
+    return over
+
+
 def bounded(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has at most ``rows`` rows; reads no more than it must to know."""
     return df.limit(rows + 1).count() <= rows

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import tune
+from weftline.llm.common import trimmed, tune
 from weftline.llm.unit_cache import UnitCache
 
 MARK = "▁"
@@ -74,6 +74,11 @@ class PieceCodec:
             return bytes([int(self.pieces[i][3:5], 16)])
         return " ⁇ ".encode() if i == 0 else b""
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.units.clear()
+        self.pairs.clear()
+
     def merge(self, text: str) -> list[str]:
         """Merges of neighbours in the order of the scores, leftmost first: the definition, for short texts."""
         parts = list(text)
@@ -170,8 +175,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     if decode:
         schema = schema.add("decoded", "string")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
+        c.forget()
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
@@ -180,6 +187,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 if decode:
                     columns.append(pa.array([c.decode(x.tolist()) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        c.forget()
 
     return rows.mapInArrow(run, schema)
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import staged, tune
+from weftline.llm.common import staged, trimmed, tune
 
 RADIUS = 3
 SHINGLE = 3
@@ -61,11 +61,12 @@ def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
     """Column of fingerprints as signed longs."""
 
-    @F.arrow_udf("bigint")
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([simhash(x.as_py(), shingle, seed) for x in texts], dtype=np.uint64).view(np.int64))
+    @trimmed
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.array([simhash(x.as_py(), shingle, seed) for x in texts], dtype=np.uint64).view(np.int64))
 
-    return of(text.cast("string"))
+    return F.arrow_udf(of, "bigint")(text.cast("string"))
 
 
 def as_hex(fp: Column) -> Column:
@@ -147,6 +148,7 @@ def link_sorted(group: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tup
     return low[other], smallest[label][other]
 
 
+@trimmed
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows (mask, value, fp) sorted by group; a group that a batch ends in waits for the next."""
     held: list[np.ndarray] = []

@@ -19,6 +19,9 @@ class UnitCache:
         """What is cached of ``units``."""
         return {u: (self.young if u in self.young else self.old)[u] for u in units if u in self.young or u in self.old}
 
+    def clear(self) -> None:
+        self.young, self.old, self.size = {}, {}, 0
+
     def get(self, units: Sequence) -> list[bytes]:
         parts = list(map(self.young.get, units))
         if None in parts:
