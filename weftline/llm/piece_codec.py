@@ -24,19 +24,20 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.common import trimmed, tune
-from weftline.llm.unit_cache import UnitCache
+from weftline.llm.unit_cache import UnitCache, joined, runs
 
 MARK = "▁"
 #: Pair tests that are remembered at once.
 PAIRS = 200_000
-#: Rows of one Arrow batch that a worker returns at once.
-ROWS = 64
+#: Bytes of text that are encoded together.
+BYTES = 4 << 20
 
 
 class PieceCodec:
@@ -64,8 +65,12 @@ class PieceCodec:
         self.automaton.make_automaton()
         self.alone = [p in self.ids and self.merge(p) == [p] for p in self.pieces]
         self.pairs: dict[int, bool] = {}
-        self.units = UnitCache(lambda units: [np.array(self.encode_unit(u), "<i4").tobytes() for u in units])
+        self.units = UnitCache(self._many)
+        self.stops = {x: self.ids[x] for x in ".,;:)" if x in self.ids and self.alone[self.ids[x]]}
         self.bytes = [self._bytes(i, s) for i, s in enumerate(special)]
+        self.raw = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.sizes = np.array([len(b) for b in self.bytes], np.int32)
+        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
 
     def _bytes(self, i: int, special: bool) -> bytes:
         if not special:
@@ -128,25 +133,53 @@ class PieceCodec:
                 end -= length[piece]
         return ids[::-1]
 
-    def cut(self, text: str) -> list[str]:
-        """Units of a text, marks put in."""
-        if not text:
-            return []
-        marked = MARK + text.replace(" ", MARK)
-        marked = re.sub(f"(?<!{MARK})(?={MARK})", " ", marked)[1:] if MARK * 2 in marked else marked.replace(MARK, " " + MARK)[1:]
-        if self.cut_lines and "\n" in marked:
-            return [u for u in marked.replace("\n", " \n ").split(" ") if u]
-        return marked.split(" ")
+    def _many(self, units: list[str]) -> list[bytes]:
+        """Units encoded. A unit that ends in a stop is what comes before it and the stop, if these are compatible."""
+        one = lambda u: np.array(self.encode_unit(u), "<i4").tobytes()
+        stops = self.stops
+        done = {u: one(u) for u in units if u[-1:] not in stops}
+        bodies = {u[:-1] for u in units if u[-1:] in stops} - done.keys()
+        known = self.units.peek(bodies)
+        done.update((b, known[b] if b in known else one(b)) for b in bodies)
+        for u in units:
+            if u not in done:
+                ids, stop = done[u[:-1]], stops[u[-1]]
+                good = ids and self.compatible(int.from_bytes(ids[-4:], "little"), stop)
+                done[u] = ids + stop.to_bytes(4, "little") if good else one(u)
+        return [done[u] for u in units]
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of the texts and ids of all, each text's end id included."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        marked = pc.binary_join_element_wise("", pc.replace_substring(texts, " ", MARK), MARK)
+        cut = pc.replace_substring_regex(marked, f"({MARK}+)", " \\1")
+        if self.cut_lines:
+            cut = pc.replace_substring(cut, "\n", " \n ")
+        units = pc.split_pattern(pc.if_else(pc.equal(texts, ""), "", cut), " ")
+        of = units.flatten().dictionary_encode()
+        parts = self.units.get(of.dictionary.to_pylist())
+        data = np.frombuffer(b"".join(parts), "<i4")
+        size = np.fromiter((len(p) >> 2 for p in parts), np.int32, len(parts))
+        start = np.cumsum(size, dtype=np.int32) - size
+        unit = of.indices.to_numpy()
+        ids = data[runs(start[unit], size[unit])]
+        ends = np.r_[0, np.cumsum(size[unit], dtype=np.int64)][units.offsets.to_numpy() - units.offsets[0].as_py()]
+        return ends + np.arange(len(ends)), np.insert(ids, ends[1:], self.end)
+
+    def decode_array(self, ends: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """Texts of what encode_array returns, from the ids alone. Each text begins with the mark, which goes."""
+        size = self.sizes[ids]
+        raw = self.raw[runs(self.starts[ids], size)]
+        at = np.r_[0, np.cumsum(size, dtype=np.int64)][ends]
+        keep = np.ones(len(raw), bool)
+        keep[at[:-1][np.diff(at) > 0]] = False
+        at = at - np.r_[0, np.cumsum(np.diff(at) > 0)]
+        return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(at.astype("<i4").tobytes()), pa.py_buffer(raw[keep].tobytes()))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text with the end id."""
-        cuts = [self.cut(x) for x in texts]
-        parts = self.units.get([u for c in cuts for u in c])
-        out, at, end = [], 0, np.array([self.end], "<i4").tobytes()
-        for c in cuts:
-            out.append(np.frombuffer(b"".join(parts[at : at + len(c)]) + end, "<i4"))
-            at += len(c)
-        return out
+        ends, ids = self.encode_array(pa.array(texts, pa.string()))
+        return [ids[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.bytes.__getitem__, ids))
@@ -162,11 +195,6 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-def _list(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype("int32")
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.array([], "int32"), pa.int32()))
-
-
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """(id_col, ids array<int>), and with ``decode`` also (decoded string), the text that the ids stand for."""
     tune(docs.sparkSession)
@@ -179,14 +207,12 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         c.forget()
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                ids = c.encode([x or "" for x in b.column(1).to_pylist()])
-                columns = [b.column(0), _list(ids)]
-                if decode:
-                    columns.append(pa.array([c.decode(x.tolist()) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for b in joined(batches, BYTES):
+            ends, ids = c.encode_array(b.column(1))
+            columns = [b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
+            if decode:
+                columns.append(c.decode_array(ends, ids))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         c.forget()
 
     return rows.mapInArrow(run, schema)

@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from weftline.llm.common import new_path, tune
+from weftline.llm.common import new_path, trimmed, tune
+from weftline.llm.unit_cache import joined, runs
 
 END = 1
 SHARD = 1 << 18
@@ -136,7 +137,7 @@ class ChunkEncoder:
         stopped = stop >= 0
         done = np.cumsum(size[form] + stopped, dtype=np.int32)
         ids = np.empty(done[-1] if len(done) else 0, "<u4")
-        ids[_runs(done - size[form] - stopped, size[form])] = data[_runs(start[form], size[form])]
+        ids[runs(done - size[form] - stopped, size[form])] = data[runs(start[form], size[form])]
         ids[done[stopped] - 1] = stop[stopped]
         ends = np.r_[0, done][cut.offsets.to_numpy() - cut.offsets[0].as_py()]
         out = np.insert(ids, ends[1:], END)
@@ -194,12 +195,6 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarr
     return rules, lengths, seq
 
 
-def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each size, one after the other."""
-    done = np.cumsum(size, dtype=np.int32)
-    return np.repeat(start - (done - size), size) + np.arange(done[-1] if len(done) else 0, dtype=np.int32)
-
-
 def _tables(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expansions of all rules one after the other, their starts and sizes."""
     seq, of = rules.reshape(-1), np.repeat(np.arange(len(rules), dtype=np.int32), 2)
@@ -224,7 +219,7 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     out = np.empty(done[-1] if len(done) else 0, "<u4")
     out[(done - 1)[~new]] = seq[~new]
     rule = seq[new] - base
-    out[_runs((done - n)[new], n[new])] = data[_runs(start[rule], n[new])]
+    out[runs((done - n)[new], n[new])] = data[runs(start[rule], n[new])]
     return out
 
 
@@ -256,18 +251,6 @@ def read_range(shard: dict, start: int, stop: int) -> np.ndarray:
     return expand(seq[a:b], rules, base)[skip : skip + stop - start]
 
 
-def _joined(batches: Iterator[pa.RecordBatch], size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``size`` bytes."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        held.append(b)
-        if sum(x.nbytes for x in held) >= size:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> None:
     """Encodes all documents in ascending order of id and writes the files to ``path``."""
     spark = docs.sparkSession
@@ -276,6 +259,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, part = encoder(tokenizer), TaskContext.get().partitionId()
         seq = first = size = 0
@@ -286,7 +270,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             row = {"part": part, "seq": seq, "first_token": first, "n_tokens": size, "doc_ids": names, "doc_tokens": [len(x) for x in held]} | pack(held, e.base)
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
-        for b in _joined(batches):
+        for b in joined(batches, 12 << 20):
             for name, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1)), strict=True):
                 names.append(name)
                 held.append(ids)
@@ -312,6 +296,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         total += n
     bases = spark.createDataFrame(before, "part int, before long")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):

@@ -2,7 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+
+
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each size, one after the other."""
+    done = np.cumsum(size, dtype=np.int32)
+    return np.repeat(start - (done - size), size) + np.arange(done[-1] if len(done) else 0, dtype=np.int32)
+
+
+def joined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``size`` bytes: larger ones repeat more units, whose encoding is then looked up once."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 class UnitCache:
