@@ -8,7 +8,7 @@ token of the prefix before it is stored, and the ids are read from the table bac
 tested once by merging the two pieces' characters in score order, then remembered.
 
 Characters that no piece contains become byte pieces and nothing merges with them. Pieces hold the space mark only at
-their start, so texts are cut before each run of marks, and encoded cuts are remembered in a bounded cache.
+their start, so texts are cut before spaces, and encoded cuts are remembered in a bounded cache.
 
 Edge cases: null counts as empty and gives the end id alone; repeated rows get equal results; very long texts or
 texts without any space take time in proportion; columns other than the id and the text are ignored; an empty table
@@ -34,8 +34,12 @@ from weftline.llm.common import trimmed, tune
 from weftline.llm.unit_cache import UnitCache, joined, runs
 
 MARK = "▁"
+#: Separates units that are encoded together; no piece holds it.
+GAP = "\0"
+#: Units that are encoded together.
+UNITS = 20_000
 #: Pair tests that are remembered at once.
-PAIRS = 200_000
+PAIRS = 400_000
 #: Bytes of text that are encoded together.
 BYTES = 4 << 20
 
@@ -58,12 +62,15 @@ class PieceCodec:
         if not known <= self.ids.keys() or any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the model isn't of a kind that this codec can encode")
         self.cut_lines = "\n" not in known
-        self.length = [len(p) for p in self.pieces]
+        if GAP in known:
+            raise ValueError("the model has a piece with the character that separates units here")
+        self.length = np.array([*map(len, self.pieces), 1])  # at its end, of a character without a piece (-1)
+        self.alone = [p in self.ids and self.merge(p) == [p] for p in self.pieces]
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            self.automaton.add_word(p, i)
+            if self.alone[i]:  # no encoding holds another piece
+                self.automaton.add_word(p, (i, len(p) - 1))
         self.automaton.make_automaton()
-        self.alone = [p in self.ids and self.merge(p) == [p] for p in self.pieces]
         self.pairs: dict[int, bool] = {}
         self.units = UnitCache(self._many)
         self.stops = {x: self.ids[x] for x in ".,;:)" if x in self.ids and self.alone[self.ids[x]]}
@@ -111,48 +118,78 @@ class PieceCodec:
             known = self.pairs[key] = self.merge(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
         return known
 
-    def encode_unit(self, unit: str) -> list[int]:
-        """Ids of text that already has marks for spaces."""
-        last = [-1] * (len(unit) + 1)  # the last token of each prefix; -1 at the start and after a character without a piece
-        length, alone, pairs = self.length, self.alone, self.pairs
-        for end, piece in self.automaton.iter(unit):
-            end += 1
-            if last[end] >= 0:
-                continue
-            before = last[end - length[piece]]
-            if alone[piece] if before < 0 else (pairs[key] if (key := before << 20 | piece) in pairs else self.compatible(before, piece)):
-                last[end] = piece
-        ids, end = [], len(unit)
-        while end:
-            piece = last[end]
-            if piece < 0:
-                ids.extend(self.byte[x] for x in reversed(unit[end - 1].encode("utf-8", "surrogatepass")))
-                end -= 1
-            else:
-                ids.append(piece)
-                end -= length[piece]
-        return ids[::-1]
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of each text, as bytes. Texts already have marks for spaces. One pass fills the table of all, and the ids of
+        all are read from it together, a token of each at a time from the ends backwards."""
+        out: list[bytes] = []
+        for at in range(0, len(units), UNITS):
+            out += self._encode(units[at : at + UNITS])
+        return out
+
+    def _encode(self, units: list[str]) -> list[bytes]:
+        whole = GAP.join(units)
+        last = [-1] * (len(whole) + 1)  # the last token of each prefix; -1 at starts and after a character without a piece
+        known, compatible = self.pairs.get, self.compatible
+        for at, (piece, more) in self.automaton.iter(whole):
+            if last[at + 1] < 0:
+                before = last[at - more]
+                if before < 0:
+                    last[at + 1] = piece
+                else:
+                    good = known(before << 20 | piece)
+                    if good or good is None and compatible(before, piece):
+                        last[at + 1] = piece
+        table = np.array(last, np.int32)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.cumsum(sizes + 1) - 1
+        starts = ends - sizes
+        read = np.zeros(len(table), bool)
+        place, stop = ends[sizes > 0], starts[sizes > 0]
+        while len(place):
+            read[place] = True
+            place = place - self.length[table[place]]
+            more = place > stop
+            place, stop = place[more], stop[more]
+        path = np.flatnonzero(read)
+        ids, n = table[path], np.ones(len(path), np.int64)
+        bare = np.flatnonzero(ids < 0)  # characters without a piece become their bytes
+        if len(bare):
+            raw = [whole[i].encode("utf-8", "surrogatepass") for i in (path[bare] - 1).tolist()]
+            n[bare] = [len(x) for x in raw]
+            ids = np.repeat(ids, n)
+            ids[ids < 0] = [self.byte[x] for b in raw for x in b]
+        done = 4 * np.r_[0, np.cumsum(n)]
+        cut = zip(done[np.searchsorted(path, starts, "right")].tolist(), done[np.searchsorted(path, ends, "right")].tolist(), strict=True)
+        data = ids.astype("<i4").tobytes()
+        return [data[a:z] for a, z in cut]
 
     def _many(self, units: list[str]) -> list[bytes]:
         """Units encoded. A unit that ends in a stop is what comes before it and the stop, if these are compatible."""
-        one = lambda u: np.array(self.encode_unit(u), "<i4").tobytes()
         stops = self.stops
-        done = {u: one(u) for u in units if u[-1:] not in stops}
-        bodies = {u[:-1] for u in units if u[-1:] in stops} - done.keys()
-        known = self.units.peek(bodies)
-        done.update((b, known[b] if b in known else one(b)) for b in bodies)
-        for u in units:
-            if u not in done:
-                ids, stop = done[u[:-1]], stops[u[-1]]
-                good = ids and self.compatible(int.from_bytes(ids[-4:], "little"), stop)
-                done[u] = ids + stop.to_bytes(4, "little") if good else one(u)
+        plain = [u for u in units if u[-1:] not in stops]
+        done = dict(zip(plain, self.encode_units(plain), strict=True))
+        stopped = [u for u in units if u[-1:] in stops]
+        done.update(self.units.peek({u[:-1] for u in stopped} - done.keys()))
+        fresh = list({u[:-1] for u in stopped} - done.keys())
+        own = dict(zip(fresh, self.encode_units(fresh), strict=True))
+        self.units.add(own)
+        done.update(own)
+        apart = []
+        for u in stopped:
+            ids, stop = done[u[:-1]], stops[u[-1]]
+            if ids and self.compatible(int.from_bytes(ids[-4:], "little"), stop):
+                done[u] = ids + stop.to_bytes(4, "little")
+            else:
+                apart.append(u)
+        done.update(zip(apart, self.encode_units(apart), strict=True))
         return [done[u] for u in units]
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of the texts and ids of all, each text's end id included."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        marked = pc.binary_join_element_wise("", pc.replace_substring(texts, " ", MARK), MARK)
-        cut = pc.replace_substring_regex(marked, f"({MARK}+)", " \\1")
+        # a mark before the text and for each space, a gap before each run of marks
+        cut = pc.binary_join_element_wise("", pc.replace_substring(texts, " ", f" {MARK}"), MARK)
+        cut = pc.replace_substring(cut, f"{MARK} ", MARK)
         if self.cut_lines:
             cut = pc.replace_substring(cut, "\n", " \n ")
         units = pc.split_pattern(pc.if_else(pc.equal(texts, ""), "", cut), " ")

@@ -43,16 +43,28 @@ class UnitCache:
     def clear(self) -> None:
         self.young, self.old, self.size = {}, {}, 0
 
+    def add(self, found: dict) -> None:
+        self.young.update(found)
+        self.size += sum(map(len, found)) + 16 * len(found)
+
     def get(self, units: Sequence) -> list[bytes]:
-        parts = list(map(self.young.get, units))
-        if None in parts:
-            missing = {u for u, p in zip(units, parts, strict=True) if p is None}
-            fresh = [u for u in missing if u not in self.old]
-            found = {u: self.old[u] for u in missing if u in self.old}
-            found.update(zip(fresh, self.encode(fresh), strict=True))
-            self.young.update(found)
-            self.size += sum(map(len, missing)) + 16 * len(missing)
-            parts = list(map(self.young.__getitem__, units))
-            if self.size > self.limit:
-                self.old, self.young, self.size = self.young, {}, 0
+        """Encoded ``units``, which are distinct."""
+        young, old = self.young, self.old
+        parts = list(map(young.get, units))
+        fresh = []
+        for i in [i for i, p in enumerate(parts) if p is None]:
+            u = units[i]
+            p = parts[i] = old.get(u)
+            if p is None:
+                fresh.append(i)
+            else:
+                young[u] = p
+                self.size += len(u) + 16
+        new = [units[i] for i in fresh]
+        done = self.encode(new)
+        for i, p in zip(fresh, done, strict=True):
+            parts[i] = p
+        self.add(dict(zip(new, done, strict=True)))
+        if self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
         return parts
