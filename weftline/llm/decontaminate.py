@@ -96,9 +96,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), ascii_lower(text).alias("text"))
     rows = rows.select("doc_id", "text_hash", words_of(F.col("text")).alias("words"))
+    rows = rows.withColumn("n_doc", F.size("words"))  # here, so that rows of shingles don't carry the words
     hits = None
     for k in widths:
-        own = rows.select("doc_id", "text_hash", F.size("words").alias("n_doc"), F.posexplode(_hashes(k)).alias("pos", "h"))
+        own = rows.select("doc_id", "text_hash", "n_doc", F.posexplode(_hashes(k)).alias("pos", "h"))
         own = own.join(wide(known.filter(F.col("width") == k).select("h")), "h", "left_semi").withColumn("width", F.lit(k))
         hits = own if hits is None else hits.unionByName(own)
     empty = docs.select(F.col(id_col), F.lit(0).cast("long").alias("text_hash")).limit(0)
