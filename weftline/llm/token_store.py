@@ -104,8 +104,12 @@ class ChunkEncoder:
                 young[f] = old[f]
             else:
                 fresh.append(f)
-        simple = [f for f in fresh if _SIMPLE.fullmatch(f)]
-        others = [f for f in fresh if f and not _SIMPLE.fullmatch(f)]
+        simple, others = [], []
+        for f in fresh:
+            if _SIMPLE.fullmatch(f):
+                simple.append(f)
+            elif f:
+                others.append(f)
         young[""] = b""
         young.update(zip(simple, self._words(simple), strict=True))
         young.update(zip(others, self._others(others) if others else [], strict=True))
