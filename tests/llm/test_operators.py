@@ -273,6 +273,25 @@ def test_contamination_equals_brute_force(spark, none):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_repeated_and_null_item_ids_equal_brute_force(spark):
+    r = random.Random(66)
+    texts = [" ".join(r.choice(WORDS) for _ in range(n)) for n in (30, 30, 30, 12, 3)]
+    items = [(1, texts[0]), (1, texts[1]), (1, texts[0]), (None, texts[2]), (None, texts[3]), (2, texts[3].upper()), (3, None), (None, texts[4])]
+    docs = [(i, f"{prose(15, 200 + i)} {t} {prose(15, 300 + i)}") for i, t in enumerate(texts)]
+    docs += [(8, prose(40, 8)), (9, f"{texts[1]} {texts[0]}"), (None, texts[2])]
+    df = clashing(spark.createDataFrame(docs, "doc_id long, text string"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.contaminated(df, bench).collect()
+    got = {(x.doc_id, x.item_id): round(x.similarity, 6) for x in rows}
+    want: dict = {}
+    for item in items:  # one by one, as an id can have several texts
+        for at, s in brute_contaminated(docs, [item]).items():
+            want[at] = max(s, want.get(at, 0))
+    assert got == want and len(rows) == len(got) and len(got) >= 9
+    kept = {x.doc_id for x in decontaminate.drop_contaminated(df, bench).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in want}
+
+
 # --- 8 -------------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")

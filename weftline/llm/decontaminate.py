@@ -15,8 +15,10 @@ of ``THRESHOLD`` or more to it: the sum of the lesser counts of each word shingl
 
 Only DataFrame functions are used. Words are runs of non-space, A-Z lower-cased; shingles are five words, or the whole
 item where it has fewer. Edge cases: null or blank texts and items never match; repeated rows give one result row for each
-distinct (id, text); rows with a null id are judged like others; very long texts work in arrays of their own words;
-ties go to the first window; other columns are ignored; empty tables give an empty result.
+distinct (id, text); rows with a null id are judged like others, and so are items with a null item id; items are told
+apart by a hash of their words, so texts that share an item id are judged one by one and the id gets its best window,
+and ids that share a text get a row each; very long texts work in arrays of their own words; ties go to the first window,
+then to the shorter text; other columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -41,14 +43,19 @@ def _hashes(width: int) -> Column:
     return F.when(F.size("words") >= width, F.transform(steps, one)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _item_shingles(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, n, width, q, h): words of the item, words of its shingles, place and hash of each."""
-    rows = items.select(F.col(id_col).alias("item_id"), words_of(ascii_lower(text_of(text_col))).alias("words"))
-    rows = rows.filter(F.size("words") > 0).withColumn("n", F.size("words")).withColumn("width", F.least(F.col("n"), F.lit(SHINGLE)))
+def _item_words(items: DataFrame, text_col: str, *keep: Column) -> DataFrame:
+    """(keep, words, item) of items with words: item is the hash of the words, which tells texts apart."""
+    rows = items.select(*keep, words_of(ascii_lower(text_of(text_col))).alias("words"))
+    return rows.filter(F.size("words") > 0).withColumn("item", F.xxhash64("words"))
+
+
+def _item_shingles(items: DataFrame, text_col: str) -> DataFrame:
+    """(item, n, width, q, h): words of the item, words of its shingles, place and hash of each."""
+    rows = _item_words(items, text_col).distinct().withColumn("n", F.size("words")).withColumn("width", F.least(F.col("n"), F.lit(SHINGLE)))
     hashes = F.lit(None).cast("array<bigint>")
     for k in range(1, SHINGLE + 1):
         hashes = F.when(F.col("width") == k, _hashes(k)).otherwise(hashes)
-    return rows.distinct().select("item_id", "n", "width", F.posexplode(hashes).alias("q", "h"))
+    return rows.select("item", "n", "width", F.posexplode(hashes).alias("q", "h"))
 
 
 def _lanes() -> list[Column]:
@@ -87,7 +94,7 @@ def _blocks(radius: int) -> Column:
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """(id_col, text_hash, item_id, start, n_words, similarity): for each contaminated document and item its best window."""
-    shingles = staged(_item_shingles(items, item_col, "text"), "item-shingles")
+    shingles = staged(_item_shingles(items, "text"), "item-shingles")
     known = shingles.select("width", "h").distinct()
     small = bounded(known, BROADCAST_SHINGLES)
     wide = lambda df: F.broadcast(df) if small else df
@@ -108,17 +115,17 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         return empty.crossJoin(item).selectExpr("*", "0 as start", "0 as n_words", "0d as similarity")
     hits = staged(hits, "shingle-hits").distinct()
 
-    of = shingles.select("item_id", "n", "width", "h").distinct()
-    found = hits.join(wide(of), ["width", "h"]).select("doc_id", "text_hash", "n_doc", "item_id", "n", "width", "pos").distinct()
+    of = shingles.select("item", "n", "width", "h").distinct()
+    found = hits.join(wide(of), ["width", "h"]).select("doc_id", "text_hash", "n_doc", "item", "n", "width", "pos").distinct()
     size = F.col("n") - F.col("width") + 1
     fits = F.least(size, F.col("n_doc") - F.col("width") + 1)
     start = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n_doc") - F.col("n")))
     # places in units of the item's shingles: a range of just under 1 is the window, whatever the item's size
-    span = F.expr("count(1) over (partition by doc_id, text_hash, item_id, n order by unit range between current row and 0.9999999D following)")
+    span = F.expr("count(1) over (partition by doc_id, text_hash, item, n order by unit range between current row and 0.9999999D following)")
     near = found.withColumn("unit", F.col("pos") / size).withColumn("hit", span).withColumn("size", fits).withColumn("start", start)
     least = F.ceil(threshold / (1 + threshold) * (F.col("size") + size) - 1e-9)
     near = near.filter((F.col("hit") >= least) | (F.col("pos") > F.col("start")))
-    windows = staged(near.select("doc_id", "text_hash", "item_id", "n", "width", "start", "size").distinct(), "windows")
+    windows = staged(near.select("doc_id", "text_hash", "item", "n", "width", "start", "size").distinct(), "windows")
 
     wanted = windows.select("doc_id", "text_hash").distinct()
     again = rows.join(F.broadcast(wanted) if bounded(wanted, 200_000) else wanted, (rows["doc_id"].eqNullSafe(wanted["doc_id"])) & (rows["text_hash"] == wanted["text_hash"]), "left_semi").distinct()
@@ -127,23 +134,27 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         own = again.select("doc_id", "text_hash", _hashes(k).alias("hashes"))
         w = windows.filter(F.col("width") == k).withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
         own = own.join(w, own["doc_id"].eqNullSafe(w["d"]) & (own["text_hash"] == w["t"])).drop("d", "t")
-        own = own.select("doc_id", "text_hash", "item_id", "n", "width", "start", F.explode(F.slice("hashes", F.col("start") + 1, F.col("size"))).alias("h"))
+        own = own.select("doc_id", "text_hash", "item", "n", "width", "start", F.explode(F.slice("hashes", F.col("start") + 1, F.col("size"))).alias("h"))
         parts = own if parts is None else parts.unionByName(own)
-    keys = ["doc_id", "text_hash", "item_id", "n", "start"]
+    keys = ["doc_id", "text_hash", "item", "n", "start"]
     counted = parts.groupBy(*keys, "width", "h").agg(F.count(F.lit(1)).alias("c"))
-    item_counts = shingles.groupBy("item_id", "n", "width", "h").agg(F.count(F.lit(1)).alias("ci"))
-    both = counted.join(wide(item_counts), ["item_id", "n", "width", "h"], "left")
+    item_counts = shingles.groupBy("item", "n", "width", "h").agg(F.count(F.lit(1)).alias("ci"))
+    both = counted.join(wide(item_counts), ["item", "n", "width", "h"], "left")
     both = both.withColumn("both", F.least("c", F.coalesce("ci", F.lit(0))))
     made = _weighed(both, keys)
-    item_fp = _weighed(item_counts.withColumnRenamed("ci", "c"), ["item_id", "n"]).withColumnsRenamed({"m": "mi"})
+    item_fp = _weighed(item_counts.withColumnRenamed("ci", "c"), ["item", "n"]).withColumnsRenamed({"m": "mi"})
     left = made.select("*", F.inline(_blocks(radius)))
-    right = item_fp.select("item_id", "n", "mi", F.col("fp").alias("fpi"), F.inline(_blocks(radius)))
-    candidates = left.join(wide(right), ["item_id", "n", "block", "value"])
+    right = item_fp.select("item", "n", "mi", F.col("fp").alias("fpi"), F.inline(_blocks(radius)))
+    candidates = left.join(wide(right), ["item", "n", "block", "value"])
     candidates = candidates.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fpi"))) <= radius)
     similarity = F.col("both") / (F.col("m") + F.col("mi") - F.col("both"))
     verified = candidates.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold)
     best = F.max_by(F.struct("start", F.col("n").alias("n_words"), "similarity"), F.struct("similarity", -F.col("start"))).alias("best")
-    return verified.groupBy("doc_id", "text_hash", "item_id").agg(best).select(F.col("doc_id").alias(id_col), "text_hash", "item_id", "best.*")
+    found = verified.groupBy("doc_id", "text_hash", "item").agg(best)
+    names = _item_words(items, "text", F.col(item_col).alias("item_id")).select("item", "item_id").distinct()
+    found = found.join(F.broadcast(names) if bounded(names, BROADCAST_SHINGLES) else names, "item")
+    first = F.max_by("best", F.struct("best.similarity", -F.col("best.start"), -F.col("best.n_words"))).alias("best")
+    return found.groupBy("doc_id", "text_hash", "item_id").agg(first).select(F.col("doc_id").alias(id_col), "text_hash", "item_id", "best.*")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
