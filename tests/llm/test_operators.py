@@ -273,6 +273,15 @@ def test_contamination_equals_brute_force(spark, none):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_items_of_any_length(spark):
+    r = random.Random(67)
+    varied = " ".join(f"{r.choice(WORDS)}{r.randrange(1000)}" for _ in range(70_000))
+    docs = [(1, varied), (2, "again " * 70_000), (3, prose(50, 3))]
+    bench = spark.createDataFrame(docs[:2], "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(x.doc_id, x.item_id, x.start, x.n_words, x.similarity) for x in got} == {(1, 1, 0, 70_000, 1.0), (2, 2, 0, 70_000, 1.0)}
+
+
 def test_repeated_and_null_item_ids_equal_brute_force(spark):
     r = random.Random(66)
     texts = [" ".join(r.choice(WORDS) for _ in range(n)) for n in (30, 30, 30, 12, 3)]

@@ -7,7 +7,7 @@ of ``THRESHOLD`` or more to it: the sum of the lesser counts of each word shingl
    when it is at most ``BROADCAST_SHINGLES`` rows. A window with any similarity holds such a hit, and moving its start
    to its first hit (or to the last place where it fits) loses none, so only windows that start there are looked at.
    Windows with too few hits for the threshold are dropped by a count over their range.
-2. Windows get 64-bit SimHash fingerprints; bit counts are packed four to a long and summed by plain aggregation.
+2. Windows get 64-bit SimHash fingerprints; bit counts are packed two to a long and summed by plain aggregation.
 3. A multi-index: fingerprints are cut into RADIUS + 1 blocks, so two within RADIUS bits share one; windows meet their
    item under equal blocks and the distance is checked. RADIUS is so wide (24 of 64; pairs at the threshold differ
    by about 10) that no similar window is lost; tests hold it against brute force.
@@ -32,8 +32,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RADIUS = 24
 BROADCAST_SHINGLES = 1_000_000
-#: A lane of 16 bits counts up to 65,535 shingles of an item; longer items are refused.
-LANES = [(4 * i, 4) for i in range(16)]
+#: Bits of a fingerprint counted in one long, in lanes of 32 bits: sums stay below the sign for 2^31 - 1 shingles, which no array exceeds.
+LANES = [(2 * i, 2) for i in range(32)]
 
 
 def _hashes(width: int) -> Column:
@@ -59,8 +59,8 @@ def _item_shingles(items: DataFrame, text_col: str) -> DataFrame:
 
 
 def _lanes() -> list[Column]:
-    """Four bits of h spread to four lanes of 16 bits, for each four bits."""
-    return [F.shiftrightunsigned("h", at).bitwiseAND(F.lit(15)) * F.lit((1 << 45) + (1 << 30) + (1 << 15) + 1) for at, _ in LANES]
+    """Two bits of h spread to two lanes of 32 bits, for each two bits."""
+    return [F.shiftrightunsigned("h", at).bitwiseAND(F.lit(3)) * F.lit((1 << 31) + 1) for at, _ in LANES]
 
 
 def _fingerprint(sums: list[str], total: str) -> Column:
@@ -68,18 +68,18 @@ def _fingerprint(sums: list[str], total: str) -> Column:
     out = F.lit(0).cast("long")
     for (at, n), name in zip(LANES, sums, strict=True):
         for b in range(n):
-            count = F.shiftrightunsigned(name, 16 * b).bitwiseAND(F.lit(0xFFFF))
+            count = F.shiftrightunsigned(name, 32 * b).bitwiseAND(F.lit(0xFFFFFFFF))
             out = out.bitwiseOR(F.when(2 * count > F.col(total), F.shiftleft(F.lit(1).cast("long"), at + b)).otherwise(F.lit(0).cast("long")))
     return out
 
 
 def _mask() -> int:
-    return (1 << 48) + (1 << 32) + (1 << 16) + 1
+    return (1 << 32) + 1
 
 
 def _weighed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Fingerprint and number of shingles of each group of rows (keys, h, c), c being how often h occurs."""
-    names = [f"s{i}" for i in range(16)]
+    names = [f"s{i}" for i in range(len(LANES))]
     sums = [F.sum(x.bitwiseAND(F.lit(_mask())) * F.col("c")).alias(n) for n, x in zip(names, _lanes(), strict=True)]
     extra = [F.sum(F.col("both")).alias("both")] if "both" in rows.columns else []
     done = rows.groupBy(*keys).agg(F.sum("c").alias("m"), *sums, *extra)
