@@ -141,6 +141,21 @@ def test_token_files(spark, odd, none, tmp_path):
     assert token_store.store_digests(none, BPE).count() == 0
 
 
+def test_grammar_is_driven_to_its_end():
+    r = np.random.default_rng(2)
+    phrase = r.integers(10, 40_000, 64)
+    for ids in (np.tile(phrase, 40), np.full(3_000, 7), r.integers(10, 60, 20_000), np.concatenate([np.r_[phrase[:9], x] for x in r.integers(0, 9, 200)])):
+        rules, lengths, seq = token_store.compress(ids, 49408)
+        assert (token_store.expand(seq, rules, 49408) == ids).all()
+        uses, last = collections.Counter(), {}
+        for i, pair in enumerate(zip(seq[:-1].tolist(), seq[1:].tolist())):
+            if last.get(pair) != i - 1:
+                uses[pair] += 1
+                last[pair] = i
+        assert max(uses.values(), default=0) < token_store.LEAST
+    assert token_store.compress(np.tile(phrase, 40), 49408)[1].max() > 8
+
+
 # --- 4 -------------------------------------------------------------------------------------------------------------
 
 

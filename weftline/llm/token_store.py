@@ -2,7 +2,7 @@
 
 Documents are sorted by id (range partitioning, so partitions are in order too), encoded, closed with an end id and
 packed into shards of about ``SHARD`` tokens; a document never crosses shards. Within a shard, frequent pairs of
-symbols are replaced by new symbols, round after round; the shard stores the rules, the length that each new symbol
+symbols are replaced by new symbols, round after round, until no pair has ``LEAST`` uses; the shard stores the rules, the length that each new symbol
 expands to, and the remaining sequence. Any token range is decoded by finding its symbols in the running sum of
 lengths and expanding only those.
 
@@ -23,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from weftline.llm.unit_cache import joined, runs
 
 END = 1
 SHARD = 1 << 18
-#: Rounds of replacement, new symbols in a round, and uses that a new symbol needs.
-ROUNDS, NEW, LEAST = 3, 2048, 8
+#: New symbols in a round, and uses that a new symbol needs.
+NEW, LEAST = 2048, 8
 SCHEMA = (
     "part int, seq int, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<int>, base int, "
     "rules binary, lengths binary, width int, sequence binary"
@@ -154,27 +155,33 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules (pairs of symbols), their expansion lengths and the sequence. Symbol base + k is rule k."""
+def compress(ids: np.ndarray, base: int, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rules (pairs of symbols), their expansion lengths and the sequence. Symbol base + k is rule k.
+
+    Without ``rounds`` it ends when no pair occurs ``LEAST`` times without overlaps: the most frequent pair of a round gets all of its
+    places, so a round that finds one makes a rule."""
     seq = ids.astype(np.int64)
     rules, lengths = np.empty((0, 2), np.int64), np.ones(0, np.int64)
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         if len(seq) < 2 * LEAST:
             break
         code = seq[:-1] << 32 | seq[1:]
-        ordered = np.sort(code)
+        # a run of one symbol holds its pair at every other place
+        place = np.arange(len(code))
+        free = (place - np.maximum.accumulate(np.where(np.r_[True, code[1:] != code[:-1]], place, 0))) % 2 == 0
+        ordered = np.sort(code[free])
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         counts = np.diff(np.r_[starts, len(ordered)])
         often = np.flatnonzero(counts >= LEAST)
         if not len(often):
             break
         top = often[np.argsort(-counts[often], kind="stable")[:NEW]]
-        pairs, count = ordered[starts[top]], counts[top]
+        pairs = ordered[starts[top]]
         by_code = np.argsort(pairs)
         slot = lambda x: (x * np.int64(-7046029254386353131)) >> np.int64(48) & 0xFFFF
         maybe = np.zeros(1 << 16, bool)
         maybe[slot(pairs)] = True
-        at = np.flatnonzero(maybe[slot(code)])
+        at = np.flatnonzero(maybe[slot(code)] & free)
         place = np.minimum(np.searchsorted(pairs[by_code], code[at]), len(pairs) - 1)
         hit = pairs[by_code][place] == code[at]
         at, rank = at[hit], by_code[place[hit]]
@@ -185,8 +192,6 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarr
         at, rank = at[chosen], rank[chosen]
         uses = np.bincount(rank, minlength=len(pairs))
         good = uses >= LEAST
-        if not good.any():
-            break
         number = np.cumsum(good) - 1 + base + len(rules)
         at, rank = at[good[rank]], rank[good[rank]]
         new = np.stack([pairs[good] >> 32, pairs[good] & 0xFFFFFFFF], axis=1)
@@ -195,7 +200,6 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarr
         seq = seq.copy()
         seq[at] = number[rank]
         seq = np.delete(seq, at + 1)
-        del count
     return rules, lengths, seq
 
 
