@@ -237,6 +237,20 @@ def test_sparse_sites_shrink_to_the_prior(spark):
     assert post["bad"] < post["tiny"] < post["good"]
 
 
+def test_models_keep_every_string_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_GRAMS", 50, raising=False)  # a cap on the counts must not change the model
+    texts = [(1 + i // 2 % 4, i % 2, f"{prose(30, 700 + i)} {'vile' if i % 2 else 'kind'}{i}") for i in range(40)]
+    model = toxicity.train(spark.createDataFrame(texts, "fold int, toxic int, text string"))
+    want = set()
+    for f, _, text in texts:
+        if f < 4:
+            for w in toxicity.words(text):
+                raw = b"\x01" + w + b"\x02"
+                want |= {raw[j : j + k] for k in range(3, 7) for j in range(len(raw) - k + 1)}
+    have = {int(x) for x in [*model.base_keys, *model.keys]}
+    assert have == {int.from_bytes(g, "big") | len(g) << 56 for g in want}
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------
 
 

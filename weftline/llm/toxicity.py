@@ -7,8 +7,9 @@ an expression that is rare in both classes has nearly the same probability in bo
 log-likelihood ratio a word, and the same of what exceeds a margin, which a few strong words in a long text still move.
 A logistic fit over rows that the models haven't seen turns both into a score.
 
-Labels are used of at most ``MAX_LABELLED`` documents, those with the least hash of their id: a documented bound, which
-bounds the models too (``MAX_GRAMS`` byte strings), so they can be broadcast. Every document is scored over its whole
+Labels are used of at most ``MAX_LABELLED`` documents, those with the least hash of their id: a documented bound. The models
+keep every byte string of that sample, so their size, and with it the broadcast, is bounded by the texts of the sample
+alone. Every document is scored over its whole
 text, in one pass without a shuffle; words are cached, their scores are computed for a batch at once.
 
 Edge cases: null or blank texts have no evidence and get the score of that; repeated rows and ties get equal scores;
@@ -34,7 +35,6 @@ DISCOUNT = 2.0
 #: Log-likelihood ratios of words are counted beyond it in the second kind of evidence.
 MARGIN = 3.0
 MAX_LABELLED = 60_000
-MAX_GRAMS = 3_000_000
 FOLDS = 5
 _START, _END = 1, 2
 _KEEP = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -231,13 +231,12 @@ def train(sample: DataFrame) -> Model | None:
     sums = lambda c: [F.sum(F.when(F.col("toxic") == t, F.col(c)).otherwise(0)).alias(f"n{t}") for t in (0, 1)]
     table = learned.groupBy("word").agg(*sums("n")).mapInArrow(cut, "key long, n0 long, n1 long")
     table = table.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    table = table.orderBy(F.desc(F.col("n0") + F.col("n1")), "key").limit(MAX_GRAMS) if MAX_GRAMS < 1 << 22 else table
     got = table.toArrow()
     counts = np.stack([got.column("n0").to_numpy(), got.column("n1").to_numpy()], 1) if got.num_rows else np.zeros((0, 2))
     if not len(counts) or (counts.sum(0) == 0).any():
         return None
     model = Model(got.column("key").to_numpy(), counts)
-    shared = spark.sparkContext.broadcast(model)  # MAX_GRAMS rows of 16 bytes at most, and their contexts
+    shared = spark.sparkContext.broadcast(model)  # 16 bytes for each distinct string of the sample, and their contexts
 
     @trimmed
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
