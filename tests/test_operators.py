@@ -218,3 +218,15 @@ def test_file_sources(spark, tmp_path):
     (tmp_path / "p.xml").write_text('<R><DIV8 N="1.1"><HEAD>H</HEAD><P>x</P><P>y</P></DIV8></R>')
     r = files.xml_rows(spark, str(tmp_path / "p.xml"), "DIV8", "_N string, HEAD string, P array<string>").first()
     assert (r._N, r.HEAD, r.P) == ("1.1", "H", ["x", "y"])
+
+
+def test_neighbours_of_exact_copies_are_the_smallest_ids(spark):
+    from weftline.operators import vector
+
+    rows = [(f"v{i:02d}", [1.0, 2.0, 3.0]) for i in range(29, -1, -1)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>").coalesce(1)
+    for blocks in (None, 1, 3):
+        got: dict = {}
+        for r in vector.neighbours(df, k=3, blocks=blocks).orderBy("id", "rank").collect():
+            got.setdefault(r.id, []).append(r.neighbor_id)
+        assert got == {i: [f"v{j:02d}" for j in range(4) if f"v{j:02d}" != i][:3] for i, _ in rows}

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from weftline.functions import values as V
 
 
+#: Rows of a block of the neighbour graph, and of the part of it that is multiplied at once.
+BLOCK_ROWS, PART_ROWS = 4096, 512
+
+
 def nearest(chunks: DataFrame, query: list[float], n: int | None = 20, where=None, over_fetch: int = 6, basis_weight: float = 0.92) -> DataFrame:
     """(id, score, is_basis): the best chunk of each of the ``n`` best nodes of chunks (id, embedding, is_basis).
 
@@ -31,9 +35,11 @@ def neighbours(vectors: DataFrame, k: int = 5, blocks: int | None = None, family
     whose equal values exclude each other (siblings).
 
     Vectors are dealt into blocks; each pair of blocks is one task's matrix product, which returns the best ``k`` for
-    each row, and the best of those are ranked. No pair of rows is ever a row; a block bounds a task's memory."""
+    each row, and the best of those are ranked. No pair of rows is ever a row. Blocks hold about
+    ``BLOCK_ROWS`` rows whatever the input's size, so they bound a task's memory. Scores are rounded to 12 digits, as equal vectors
+    can differ in the last bit of a product; equal scores go to the smaller id, in a block and over all."""
     k = V.clamp(k, 1, 20, 5)
-    blocks = blocks or 8
+    blocks = blocks or max(1, -(-vectors.count() // BLOCK_ROWS))
     family_of = F.col(family).cast("string") if family else F.lit(None).cast("string")
     rows = vectors.select("id", "embedding", family_of.alias("family"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
@@ -44,14 +50,19 @@ def neighbours(vectors: DataFrame, k: int = 5, blocks: int | None = None, family
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "neighbor_id": [], "score": []})
         unit = lambda x: (m := np.stack(x.embedding.to_numpy()).astype(float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        s = unit(a) @ unit(b).T
-        s[a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :]] = -np.inf
-        if family:
-            s[a.family.to_numpy()[:, None] == b.family.to_numpy()[None, :]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        r = np.repeat(np.arange(len(a)), top.shape[1])
-        out = pd.DataFrame({"id": a.id.to_numpy()[r], "neighbor_id": b.id.to_numpy()[top.ravel()], "score": s[r, top.ravel()]})
-        return out[np.isfinite(out.score)]
+        b = b.sort_values("id")  # a stable sort by score then leaves equal scores in order of id
+        every, names, kin, out = unit(b).T, b.id.to_numpy(), b.family.to_numpy(), []
+        for i in range(0, len(a), PART_ROWS):
+            part = a.iloc[i : i + PART_ROWS]
+            s = np.round(unit(part) @ every, 12)
+            s[part.id.to_numpy()[:, None] == names[None, :]] = -np.inf
+            if family:
+                s[part.family.to_numpy()[:, None] == kin[None, :]] = -np.inf
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            r = np.repeat(np.arange(len(part)), top.shape[1])
+            out.append(pd.DataFrame({"id": part.id.to_numpy()[r], "neighbor_id": names[top.ravel()], "score": s[r, top.ravel()]}))
+        found = pd.concat(out)
+        return found[np.isfinite(found.score)]
 
     found = left.groupBy(F.col("block").alias("x"), F.col("other").alias("y")).cogroup(right.groupBy(F.col("mine").alias("x"), F.col("other").alias("y"))).applyInPandas(best, "id string, neighbor_id string, score double")
     order = W.partitionBy("id").orderBy(F.desc("score"), "neighbor_id")
