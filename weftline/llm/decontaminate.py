@@ -40,15 +40,14 @@ BLOCKS, REACH = 4, 4
 RADIUS = BLOCKS * (REACH + 1) - 1
 #: A side is broadcast only when it was counted and has at most so many rows of a few numbers; else the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Bits of a fingerprint counted in one long, in lanes of 32 bits: sums stay below the sign for 2^31 - 1 shingles, which no array exceeds.
-LANES = [(2 * i, 2) for i in range(32)]
+#: Bits of a fingerprint are counted in lanes of 32 bits, two to a long: sums stay below the sign for 2^31 - 1 shingles, which no array exceeds.
+LANE, LANES = (1 << 32) - 1, (1 << 32) + 1
 
 
 def _hashes(width: int) -> Column:
     """Hashes of the shingles of ``width`` words of the column words."""
-    one = lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(width)])
-    steps = F.sequence(F.lit(0), F.size("words") - width)
-    return F.when(F.size("words") >= width, F.transform(steps, one)).otherwise(F.array().cast("array<bigint>"))
+    words = ", ".join(f"get(words, i + {k})" for k in range(width))
+    return F.expr(f"if(size(words) >= {width}, transform(sequence(0, size(words) - {width}), i -> xxhash64({words})), array())")
 
 
 def _item_words(items: DataFrame, text_col: str, *keep: Column) -> DataFrame:
@@ -60,36 +59,16 @@ def _item_words(items: DataFrame, text_col: str, *keep: Column) -> DataFrame:
 def _item_shingles(items: DataFrame, text_col: str) -> DataFrame:
     """(item, n, width, q, h): words of the item, words of its shingles, place and hash of each."""
     rows = _item_words(items, text_col).distinct().withColumn("n", F.size("words")).withColumn("width", F.least(F.col("n"), F.lit(SHINGLE)))
-    hashes = F.lit(None).cast("array<bigint>")
-    for k in range(1, SHINGLE + 1):
-        hashes = F.when(F.col("width") == k, _hashes(k)).otherwise(hashes)
+    hashes = F.coalesce(*[F.when(F.col("width") == k, _hashes(k)) for k in range(1, SHINGLE + 1)])
     return rows.select("item", "n", "width", F.posexplode(hashes).alias("q", "h"))
 
 
-def _lanes() -> list[Column]:
-    """Two bits of h spread to two lanes of 32 bits, for each two bits."""
-    return [F.shiftrightunsigned("h", at).bitwiseAND(F.lit(3)) * F.lit((1 << 31) + 1) for at, _ in LANES]
-
-
-def _fingerprint(sums: list[str], total: str) -> Column:
-    """The bits counted in over half of the shingles."""
-    out = F.lit(0).cast("long")
-    for (at, n), name in zip(LANES, sums, strict=True):
-        for b in range(n):
-            count = F.shiftrightunsigned(name, 32 * b).bitwiseAND(F.lit(0xFFFFFFFF))
-            out = out.bitwiseOR(F.when(2 * count > F.col(total), F.shiftleft(F.lit(1).cast("long"), at + b)).otherwise(F.lit(0).cast("long")))
-    return out
-
-
-def _mask() -> int:
-    return (1 << 32) + 1
-
-
 def _fingerprints(shingles: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, fp) of each group of rows (keys, h): one row for each shingle, repeats included."""
-    names = [f"s{i}" for i in range(len(LANES))]
-    sums = [F.sum(x.bitwiseAND(F.lit(_mask()))).alias(n) for n, x in zip(names, _lanes(), strict=True)]
-    return shingles.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), *sums).select(*keys, _fingerprint(names, "m").alias("fp"))
+    """(keys, fp) of each group of rows (keys, h): one row for each shingle, repeats included. A bit is set if it is in over half of the h."""
+    # two bits of h are spread to two lanes of 32 bits of a long, for each two bits
+    sums = [F.expr(f"sum(((shiftrightunsigned(h, {2 * i}) & 3) * {(1 << 31) + 1}) & {LANES})").alias(f"s{i}") for i in range(32)]
+    bits = [f"if(2 * (shiftrightunsigned(s{i // 2}, {32 * (i % 2)}) & {LANE}) > m, shiftleft(1L, {i}), 0L)" for i in range(64)]
+    return shingles.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), *sums).select(*keys, F.expr(" | ".join(bits)).alias("fp"))
 
 
 def _block_values() -> Column:
