@@ -52,7 +52,7 @@ def numbering(refs: DataFrame, ranges: DataFrame) -> DataFrame:
     step = 100
     cover = ranges.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / step), F.floor(F.col("high") / step))))
     rows = refs.withColumn("bin", F.floor(F.col("number") / step))
-    return rows.join(F.broadcast(cover), (rows["bin"] == cover["bin"]) & F.col("number").between(F.col("low"), F.col("high")), "left").drop("bin", "low", "high")
+    return rows.join(cover, (rows["bin"] == cover["bin"]) & F.col("number").between(F.col("low"), F.col("high")), "left").drop("bin", "low", "high")
 
 
 def unresolved(linked: DataFrame) -> DataFrame:
@@ -60,8 +60,8 @@ def unresolved(linked: DataFrame) -> DataFrame:
     return linked.filter("target is null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label")
 
 
-#: Test methods are cited as "Method 9", "Methods 1 through 4", "Methods 18 and 25A".
-METHODS = r"(?i)\bmethods?\s+(\d+[A-Z]?(?:(?:\s*,\s*(?:and\s+|or\s+)?|\s+and\s+|\s+or\s+|\s+through\s+|\s*[-–]\s*)\d+[A-Z]?)*)"
+#: Test methods are cited as "Method 9", "Methods 1 through 4", "Methods 18 and 25A"; their numbers have at most four digits.
+METHODS = r"(?i)\bmethods?\s+(\d{1,4}(?!\d)[A-Z]?(?:(?:\s*,\s*(?:and\s+|or\s+)?|\s+and\s+|\s+or\s+|\s+through\s+|\s*[-–]\s*)\d{1,4}(?!\d)[A-Z]?)*)"
 
 
 def methods(text: Column) -> Column:
@@ -71,7 +71,7 @@ def methods(text: Column) -> Column:
 
     def filled(x: Column) -> Column:
         low, high = F.regexp_extract(x, r"^(\d+)", 1).cast("int"), F.nullif(F.regexp_extract(x, r"(?:through|[-–])\s*(\d+)$", 1), F.lit("")).cast("int")
-        run = F.transform(F.sequence(low, F.greatest(low, F.least(high, low + 99))), lambda k: k.cast("string"))
+        run = F.transform(F.sequence(low, F.greatest(low, high)), lambda k: k.cast("string"))
         return F.when(high.isNotNull() & (high >= low), run).otherwise(F.array(F.upper(x)))
 
     return F.array_distinct(F.flatten(F.transform(item, filled)))

@@ -1,7 +1,9 @@
 """Hierarchies as tables: ancestors, breadcrumbs, descendants, depths, groups, and what is broken in them.
 
-Walks are joins on the parent, a step a level, at most ``max_depth`` of them; a step's empty input costs nothing under
-adaptive execution. Cycles end at the limit or where an id comes back.
+Walks go on until there is nothing above, however deep a tree is. From all nodes they double their reach in each step: what is
+known up to distance d gives what is up to 2 d, so a tree of depth 1,000 takes ten joins. From a few nodes they go a level at a
+time. Each step is written to the shared folder. A walk ends where an ancestor comes back (a cycle); ``max_depth`` ends it on
+purpose.
 """
 
 from __future__ import annotations
@@ -10,24 +12,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 12
+from weftline.sources.shared import staged
+
+
+def _doubled(nodes: DataFrame, max_depth: int | None) -> DataFrame:
+    """(id, ancestor_id, distance) of all nodes."""
+    ids = nodes.select(F.col("id").alias("ancestor_id"))
+    pairs = nodes.select("id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance")).filter("ancestor_id <> id")
+    pairs = staged(pairs.join(ids, "ancestor_id", "left_semi").select("id", "ancestor_id", "distance"), "ancestors")
+    reach = 1
+    while max_depth is None or reach < max_depth:
+        far = pairs.filter(F.col("distance") == reach)
+        if far.isEmpty():
+            break
+        above = pairs.select(F.col("id").alias("ancestor_id"), F.col("ancestor_id").alias("next_id"), F.col("distance").alias("more"))
+        more = far.join(above, "ancestor_id").select("id", F.col("next_id").alias("ancestor_id"), (F.col("distance") + F.col("more")).alias("distance"))
+        every = pairs.unionByName(more.filter("id <> ancestor_id"))
+        pairs = staged(every.groupBy("id", "ancestor_id").agg(F.min("distance").alias("distance")), "ancestors")
+        reach *= 2
+    return pairs if max_depth is None else pairs.filter(F.col("distance") <= max_depth)
+
+
+def _climbed(nodes: DataFrame, start: DataFrame, max_depth: int | None) -> DataFrame:
+    """(id, ancestor_id, distance) of the nodes of ``start``."""
+    up = nodes.select(F.col("id").alias("ancestor_id"), F.col("parent_id").alias("next_id"))
+    step = start.select("id", F.col("parent_id").alias("next_id"), F.array("id").alias("seen"))
+    found, distance = None, 0
+    while max_depth is None or distance < max_depth:
+        distance += 1
+        here = step.filter("next_id is not null and not array_contains(seen, next_id)").select("id", F.col("next_id").alias("ancestor_id"), "seen").join(up, "ancestor_id")
+        here = here.select("id", "ancestor_id", F.lit(distance).alias("distance"), "next_id", F.array_append("seen", F.col("ancestor_id")).alias("seen"))
+        step = staged(here, "ancestors")
+        rows = step.select("id", "ancestor_id", "distance")
+        found = rows if found is None else found.unionByName(rows)
+        if step.isEmpty():
+            break
+    return found
 
 
-def ancestors(nodes: DataFrame, start: DataFrame | None = None, max_depth: int = MAX_DEPTH, carry: tuple[str, ...] = ()) -> DataFrame:
+def ancestors(nodes: DataFrame, start: DataFrame | None = None, max_depth: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, ancestor_id, distance, carry...): every ancestor of every node of ``start`` (all by default), from distance 1."""
-    up = nodes.select(F.col("id").alias("ancestor_id"), F.col("parent_id").alias("next_id"), *carry)
-    step = (start if start is not None else nodes).select("id", F.col("parent_id").alias("next_id")).filter("next_id is not null")
-    found = None
-    for distance in range(1, max_depth + 1):
-        here = step.select("id", F.col("next_id").alias("ancestor_id")).join(up, "ancestor_id")
-        here = here.withColumn("distance", F.lit(distance))
-        rows = here.select("id", "ancestor_id", "distance", *carry)
-        found = rows if found is None else found.unionByName(rows)
-        step = here.select("id", "next_id").filter("next_id is not null and next_id <> id")
-    return found
+    found = _doubled(nodes, max_depth) if start is None else _climbed(nodes, start, max_depth)
+    return found.join(nodes.select(F.col("id").alias("ancestor_id"), *carry), "ancestor_id").select("id", "ancestor_id", "distance", *carry) if carry else found
 
 
-def breadcrumbs(nodes: DataFrame, start: DataFrame | None = None, separator: str = " › ", max_depth: int = MAX_DEPTH) -> DataFrame:
+def breadcrumbs(nodes: DataFrame, start: DataFrame | None = None, separator: str = " › ", max_depth: int | None = None) -> DataFrame:
     """(id, path): headings above each node from the top, without the root and without bare numbering; null if none.
 
     ``nodes``: id, parent_id, title, citation."""
@@ -39,13 +68,13 @@ def breadcrumbs(nodes: DataFrame, start: DataFrame | None = None, separator: str
     return (start if start is not None else nodes).select("id").join(joined, "id", "left")
 
 
-def depths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def depths(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, depth): 0 for roots and orphans."""
     over = ancestors(nodes, max_depth=max_depth).groupBy("id").agg(F.max("distance").alias("depth"))
     return nodes.select("id").join(over, "id", "left").select("id", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
 
 
-def top_groups(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def top_groups(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, group_id): the ancestor right below the root; of such a node itself; null for a root."""
     roots = nodes.filter("parent_id is null").select("id")
     tops = nodes.join(roots.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select(F.col("id").alias("ancestor_id"))
@@ -54,19 +83,29 @@ def top_groups(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     return nodes.select("id").join(below.unionByName(own), "id", "left")
 
 
-def descendants(nodes: DataFrame, focus: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with position: 1, 2, ... within each group by ``order``. Rows are sorted over all tasks and each task's rows are counted, so a
+    group that holds most rows isn't one task's."""
+    index = F.monotonically_increasing_id()
+    cut = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    cut = staged(cut.select("*", F.spark_partition_id().alias("__part"), index.alias("__index")), "numbered")
+    sizes = cut.groupBy("__part", group).agg(F.min("__index").alias("__first"), F.count(F.lit(1)).alias("__n"))  # tasks and their groups
+    before = F.sum("__n").over(W.partitionBy(group).orderBy("__part")) - F.col("__n")
+    sizes = sizes.select("__part", group, "__first", before.alias("__before"))
+    position = (F.col("__index") - F.col("__first") + F.col("__before") + 1).alias("position")
+    return cut.join(sizes, ["__part", group]).select(*rows.columns, position)
+
+
+def descendants(nodes: DataFrame, focus: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(focus_id, id, depth, position): nodes below each focus in reading order (depth-first, by sort_order and id)."""
-    down = nodes.select(F.col("parent_id").alias("up"), "id", "sort_order")
-    step = focus.select(F.col("id").alias("focus_id"), F.col("id").alias("at"), F.array().cast("array<struct<sort_order:bigint,id:string>>").alias("way"))
-    found = None
-    for depth in range(1, max_depth + 1):
-        here = step.join(down, F.col("at") == F.col("up")).filter("id <> focus_id")
-        here = here.select("focus_id", F.col("id").alias("at"), F.array_append("way", F.struct("sort_order", "id")).alias("way"))
-        rows = here.select("focus_id", F.col("at").alias("id"), F.lit(depth).alias("depth"), "way")
-        found = rows if found is None else found.unionByName(rows)
-        step = here
-    order = W.partitionBy("focus_id").orderBy("way")
-    return found.select("focus_id", "id", "depth", F.row_number().over(order).alias("position"))
+    over = ancestors(nodes, max_depth=max_depth)
+    below = over.join(focus.select(F.col("id").alias("ancestor_id")).distinct(), "ancestor_id", "left_semi").select(F.col("ancestor_id").alias("focus_id"), "id", F.col("distance").alias("depth"))
+    steps = over.select("id", F.col("ancestor_id").alias("via"), "distance").unionByName(nodes.select("id", F.col("id").alias("via"), F.lit(0).alias("distance")))
+    steps = below.join(steps, "id").filter("distance < depth").join(nodes.select(F.col("id").alias("via"), "sort_order"), "via")
+    step = F.struct((-F.col("distance")).alias("d"), F.col("sort_order").cast("bigint").alias("sort_order"), F.col("via").alias("id"))
+    way = F.transform(F.sort_array(F.collect_list(step)), lambda x: F.struct(x["sort_order"].alias("sort_order"), x["id"].alias("id")))  # as long as the tree is deep
+    rows = steps.groupBy("focus_id", "id", "depth").agg(way.alias("way"))
+    return numbered(rows, "focus_id", ["way"]).select("focus_id", "id", "depth", "position")
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -106,5 +145,5 @@ def visible_subtree(nodes: DataFrame, focus: str, is_focus_below: Column | None
     from weftline.functions.values import in_subtree
 
     rows = nodes.filter(in_subtree(F.col("id"), focus) if is_focus_below is None else is_focus_below)
-    gate = F.max((F.col("id") == focus) & F.col("is_public")).over(W.partitionBy())
-    return rows.withColumn("gate", gate).filter("gate and is_public").drop("gate")  # a subtree's rows
+    gate = nodes.filter((F.col("id") == focus) & F.col("is_public")).select(F.lit(True).alias("is_public")).limit(1)
+    return rows.filter("is_public").join(gate, "is_public", "left_semi")

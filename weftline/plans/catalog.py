@@ -290,17 +290,17 @@ def multiset_difference(spark, d):
   UNION ALL SELECT up.id, p.id, p.parent_id, p.title, k + 1 FROM up JOIN star p ON p.id = up.parent_id WHERE k < 12)
 SELECT s.id, string_agg(up.title, ' › ' ORDER BY k DESC) FILTER (up.parent_id IS NOT NULL) AS path FROM star s LEFT JOIN up ON up.id = s.id GROUP BY s.id""")
 def breadcrumbs(spark, d):
-    return tree.breadcrumbs(S.star_tree(spark, d).withColumn("citation", F.col("id")), max_depth=4)
+    return tree.breadcrumbs(S.star_tree(spark, d).withColumn("citation", F.col("id")))
 
 
 @query(f"""WITH RECURSIVE {S.STAR_SQL}, t AS (SELECT id, 0::BIGINT AS depth FROM star WHERE parent_id IS NULL UNION ALL SELECT s.id, depth + 1 FROM star s JOIN t ON s.parent_id = t.id) SELECT id, depth FROM t""")
 def tree_depths(spark, d):
-    return tree.depths(S.star_tree(spark, d), max_depth=4)
+    return tree.depths(S.star_tree(spark, d))
 
 
 @query(f"""WITH RECURSIVE {S.STAR_SQL}, t AS (SELECT id, NULL::VARCHAR AS group_id FROM star WHERE parent_id IS NULL UNION ALL SELECT s.id, coalesce(t.group_id, s.id) FROM star s JOIN t ON s.parent_id = t.id) SELECT id, group_id FROM t""")
 def tree_groups(spark, d):
-    return tree.top_groups(S.star_tree(spark, d), max_depth=4)
+    return tree.top_groups(S.star_tree(spark, d))
 
 
 @query(f"""WITH RECURSIVE {S.STAR_SQL}, t AS (
@@ -309,7 +309,7 @@ def tree_groups(spark, d):
 SELECT focus_id, id, depth, row_number() OVER (PARTITION BY focus_id ORDER BY way) AS position FROM t""")
 def tree_descendants(spark, d):
     rows = S.star_tree(spark, d)
-    return tree.descendants(rows, rows.filter("id like 'N%'"), max_depth=3).withColumn("position", F.col("position").cast("long"))
+    return tree.descendants(rows, rows.filter("id like 'N%'")).withColumn("position", F.col("position").cast("long"))
 
 
 @query(f"WITH {S.NODES_SQL} SELECT parent_id, count(*) AS n_children FROM nodes WHERE parent_id IS NOT NULL GROUP BY 1")
@@ -349,7 +349,7 @@ def match_count(spark, d):
 @query()
 def keyword_search(spark, d):
     rows = S.nodes(spark, d)
-    return lexical.search(rows, "the of -clown", 25, paths=tree.breadcrumbs(rows, max_depth=6))
+    return lexical.search(rows, "the of -clown", 25, paths=tree.breadcrumbs(rows))
 
 
 @query()
@@ -380,7 +380,7 @@ def _hybrid(spark: SparkSession, d: str, text: str, n: int = 20) -> DataFrame:
     rows = S.nodes(spark, d)
     vectors = _t(spark, d, "embeddings").join(rows.select("id", "doc_id"), F.col("vec_id") == F.col("doc_id")).select("id", "vec_id", "embedding")
     q = vectors.filter("vec_id = 7").select("embedding").first()["embedding"]
-    return hybrid.search(rows, vectors, text, list(q), n, paths=tree.breadcrumbs(rows, max_depth=6))
+    return hybrid.search(rows, vectors, text, list(q), n, paths=tree.breadcrumbs(rows))
 
 
 @query()
