@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -12,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources.shared import new_path, shared_dir, staged
+
+__all__ = ["BATCH_ROWS", "WORD_GAPS", "ascii_lower", "bounded", "new_path", "shared_dir", "staged", "table", "text_of", "trimmed", "tune", "words_of"]
+
 #: Rows in one Arrow batch. Texts can be long, so a batch of the default 10,000 rows could be gigabytes.
 BATCH_ROWS = 256
 
@@ -25,27 +27,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage is cut, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def trimmed(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """For functions over the batches of a task: when the task is over, its free memory goes back to the system, so that idle
     workers stay small."""
