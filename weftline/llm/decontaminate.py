@@ -93,7 +93,7 @@ def within_radius(windows: DataFrame, items: DataFrame) -> DataFrame:
     """(n, fp, item) of all pairs of a fingerprint of ``windows`` (n, fp) and an item of ``items`` (item, n, fp) of as many
     words that differ in RADIUS or fewer bits."""
     keyed = windows.select("n", "fp").distinct().select("n", "fp", F.inline(_block_values()))
-    met = keyed.join(_index(items), ["n", "block", "value"])
+    met = keyed.join(staged(_index(items), "item-index"), ["n", "block", "value"])  # written, so that its size is known before the join
     return met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fpi"))) <= RADIUS).select("n", "fp", "item").distinct()
 
 
