@@ -1,16 +1,20 @@
 """Toxicity scores from class-conditional Kneser-Ney models.
 
 Two models of the letters (UTF-8 bytes) of words, one of labelled toxic documents and one of ordinary ones, give each
-word its log-likelihood ratio. Orders ``HIGH`` down to ``SHARED`` + 1 are counted for each class (raw counts at the top,
-continuation counts below, absolute discounts), and both back off to one order-``SHARED`` model of pooled counts, so
-an expression that is rare in both classes has nearly the same probability in both. A document's evidence is its
-log-likelihood ratio a word, and the same of what exceeds a margin, which a few strong words in a long text still move.
-A logistic fit over rows that the models haven't seen turns both into a score.
-
-Labels are used of at most ``MAX_LABELLED`` documents, those with the least hash of their id: a documented bound. The models
-keep every byte string of that sample, so their size, and with it the broadcast, is bounded by the texts of the sample
-alone. Every document is scored over its whole
-text, in one pass without a shuffle; words are cached, their scores are computed for a batch at once.
+word its log-likelihood ratio. Orders ``HIGH`` down to ``SHARED`` + 1 are counted for each class. Both classes back off to
+the same orders ``SHARED`` to 1, which are counted over the words of all documents, labelled or not, so an expression that is
+rare in both classes has nearly the same probability in both. All orders are interpolated modified Kneser-Ney: the top order
+of a class has raw counts, as have strings that begin a word; all others have continuation counts (how many different bytes
+come before); a count of 1, 2 or more has its own discount, estimated from the counts of that order and never greater than
+the count; what is discounted in a context is what the next lower order gets, so each context sums to 1. Below order 1
+all 256 bytes are alike. A document's evidence is its log-likelihood ratio a word, and the same of what exceeds a margin,
+which a few strong words in a long text still move. A logistic fit over rows that the models haven't seen turns both into
+a score.
+
+Labels are used of at most ``MAX_LABELLED`` documents, those with the least hash of their id: a documented bound, and the
+only one. The class models keep every byte string of that sample, so their size, and with it the broadcast, is bounded
+by the texts of the sample. The shared orders have at most 2**24 strings, whatever the corpus. Every document is scored
+over its whole text, in one pass without a shuffle; words are cached, their scores are computed for a batch at once.
 
 Edge cases: null or blank texts have no evidence and get the score of that; repeated rows and ties get equal scores;
 very long texts take time in proportion; null ids are never held out; without any toxic or ordinary label the score is
@@ -20,6 +24,7 @@ very long texts take time in proportion; null ids are never held out; without an
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +36,8 @@ from pyspark.sql import functions as F
 from weftline.llm.common import staged, trimmed, tune
 
 HIGH, SHARED = 6, 3
-DISCOUNT = 2.0
+#: Discounts of counts of 1, 2 and more where an order has too few kinds of counts to estimate them.
+DISCOUNTS = (0.5, 1.0, 1.5)
 #: Log-likelihood ratios of words are counted beyond it in the second kind of evidence.
 MARGIN = 3.0
 MAX_LABELLED = 60_000
@@ -60,7 +66,7 @@ def grams(items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out, key = np.zeros((HIGH + 1, len(raw)), np.int64), np.zeros(len(raw), np.int64)
     for k in range(1, HIGH + 1):
         before = np.zeros(len(raw), np.int64)
-        before[k - 1 :] = raw[: len(raw) - k + 1]
+        before[k - 1 :] = raw[: max(0, len(raw) - k + 1)]
         key = key | before << 8 * (k - 1)
         out[k] = np.where(place >= k - 1, key | k << 56, 0)
     return of, place, out
@@ -85,75 +91,93 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (unique, *[np.bincount(at, v, len(unique)) for v in values])
 
 
+def discounts(n: np.ndarray) -> np.ndarray:
+    """What is taken from counts of 0, 1, 2 and more, from how many counts are 1, 2, 3 and 4 (modified Kneser-Ney)."""
+    one, two, three, four = (float((n == i).sum()) for i in (1, 2, 3, 4))
+    if not (one and two and three and four):
+        return np.array((0.0, *DISCOUNTS))
+    y = one / (one + 2 * two)
+    found = 1 - 2 * y * two / one, 2 - 3 * y * three / two, 3 - 4 * y * four / three
+    return np.array([0.0, *np.clip(found, 0.05, (1, 2, 3))])
+
+
+def level(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For strings of one order with their counts in one class: what each gets in its context, the contexts, and what each of these leaves to the
+    order below."""
+    taken = discounts(n)[np.minimum(n, 3).astype(int)]
+    ctx, total, left = _sums(_context(keys), n, taken)
+    at = np.searchsorted(ctx, _context(keys))
+    none = total == 0
+    total = np.maximum(total, 1)
+    return (n - taken) / total[at], ctx, np.where(none, 1.0, left / total)
+
+
+def continuations(keys: np.ndarray, n: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Counts of strings of an order below the top: for those that begin a word ``n``, for others how many of ``above`` end in them."""
+    suffix, kinds = _sums(_suffix(above), np.ones(len(above)))
+    at = np.minimum(np.searchsorted(suffix, keys), max(len(suffix) - 1, 0))
+    inner = _first(keys) != _START
+    found = np.where(suffix[at] == keys, kinds[at], 0) if len(suffix) else np.zeros(len(keys))
+    return np.where(inner, found, n)
+
+
 class Model:
     """Both classes' models over tables of byte strings."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, discount: float = DISCOUNT):
-        """keys: byte strings of orders SHARED to HIGH; counts: two columns, ordinary and toxic."""
+    def __init__(self, shared: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray]):
+        """shared: byte strings of orders 1 to SHARED and their counts (continuation counts but for those that begin a word);
+        own: those of orders SHARED + 1 to HIGH and two columns of raw counts, ordinary and toxic."""
         self.name = uuid.uuid4().hex
-        order = keys >> 56
-        pooled = order == SHARED
-        ctx, total, kinds = _sums(_context(keys[pooled]), counts[pooled].sum(1), np.ones(pooled.sum()))
-        at = np.searchsorted(ctx, _context(keys[pooled]))
-        sort = np.argsort(keys[pooled])
-        self.base_keys = keys[pooled][sort]
-        self.base = (np.maximum(counts[pooled].sum(1) - discount, 0) / total[at])[sort]
-        self.base_ctx, self.base_rest = ctx, discount * kinds / total / 256
-        gram_keys, gram_values, ctx_keys, ctx_values = [], [], [], []
-        for k in range(HIGH, SHARED, -1):
-            own = keys[order == k]
-            n = counts[order == k].astype(float)
-            if k < HIGH:  # continuation counts, but for strings that begin a word
-                above = order == k + 1
-                suffix, c0, c1 = _sums(_suffix(keys[above]), *(counts[above] > 0).T.astype(float))
-                found = np.minimum(np.searchsorted(suffix, own), max(len(suffix) - 1, 0))
-                inner = _first(own) != _START
-                if len(suffix):
-                    has = inner & (suffix[found] == own)
-                    n[has, 0], n[has, 1] = c0[found[has]], c1[found[has]]
-            ctx, t0, t1, m0, m1 = _sums(_context(own), n[:, 0], n[:, 1], (n[:, 0] > 0).astype(float), (n[:, 1] > 0).astype(float))
-            at = np.searchsorted(ctx, _context(own))
-            total = np.stack([t0, t1], 1)
-            gram_keys.append(own)
-            gram_values.append(np.maximum(n - discount, 0) / np.maximum(total[at], 1e-9))
-            ctx_keys.append(ctx)
-            ctx_values.append(np.where(total > 0, np.minimum(discount * np.stack([m0, m1], 1) / np.maximum(total, 1e-9), 1), 1))
-        self.keys, self.values = self._sorted(gram_keys, gram_values)
-        self.ctx, self.rest = self._sorted(ctx_keys, ctx_values)
+        made = []
+        for k in range(1, HIGH + 1):
+            keys, n = shared if k <= SHARED else own
+            at = keys >> 56 == k
+            here, n = keys[at], n[at].reshape(at.sum(), -1).astype(float)
+            if SHARED < k < HIGH:
+                n = np.stack([continuations(here, n[:, c], keys[(keys >> 56 == k + 1) & (own[1][:, c] > 0)]) for c in (0, 1)], 1)
+            parts = [level(here, c) for c in n.T]
+            got, rest = (np.stack([x[i] for x in parts], 1) for i in (0, 2))
+            made.append((here, got, parts[0][1], rest))
+        low, high = made[:SHARED], made[SHARED:]
+        self.base, self.base_rest = self._sorted(low, 0), self._sorted(low, 2)
+        self.own, self.own_rest = self._sorted(high, 0), self._sorted(high, 2)
         self.weights = np.zeros(3)
         self.cache: dict[bytes, float] = {}
 
     @staticmethod
-    def _sorted(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        k, v = np.concatenate(keys), np.concatenate(values).astype(np.float32)
+    def _sorted(levels: list[tuple[np.ndarray, ...]], i: int) -> tuple[np.ndarray, np.ndarray]:
+        k, v = np.concatenate([x[i] for x in levels]), np.concatenate([x[i + 1] for x in levels])
         sort = np.argsort(k)
-        return k[sort], v[sort]
+        return k[sort], v[sort].astype(np.float32)
 
     @staticmethod
-    def _look(table: np.ndarray, values: np.ndarray, keys: np.ndarray, default: float) -> np.ndarray:
-        out = np.full((len(keys), *values.shape[1:]), float(default))
-        if len(table):
-            at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-            hit = table[at] == keys
+    def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, default: float) -> np.ndarray:
+        known, values = table
+        out = np.full((len(keys), values.shape[1]), float(default))
+        if len(known):
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = known[at] == keys
             out[hit] = values[at[hit]]
         return out
 
+    def chances(self, place: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Probabilities, ordinary and toxic, of bytes at places of words, from the strings that end in them (rows of ``key`` by order)."""
+        p = np.full((len(place), 2), 1 / 256)
+        for k in range(1, HIGH + 1):
+            has = np.flatnonzero(place >= k - 1)
+            own = key[k][has]
+            table, rest = (self.base, self.base_rest) if k <= SHARED else (self.own, self.own_rest)
+            p[has] = self._look(table, own, 0) + self._look(rest, _context(own), 1) * p[has]
+        return p
+
     def ratios(self, items: list[bytes]) -> np.ndarray:
         """Log-likelihood ratio of each word, toxic against ordinary."""
         if not items:
             return np.zeros(0)
         of, place, key = grams(items)
         said = place > 0
-        of, place, key = of[said], place[said], key[:, said]
-        third = np.where(place >= SHARED - 1, key[SHARED], 0)
-        p = self._look(self.base_keys, self.base, third, 0) + self._look(self.base_ctx, self.base_rest, _context(third), 1 / 256)
-        p = np.stack([p, p], 1)
-        for k in range(SHARED + 1, HIGH + 1):
-            has = np.flatnonzero(place >= k - 1)
-            own = key[k][has]
-            p[has] = self._look(self.keys, self.values, own, 0) + self._look(self.ctx, self.rest, _context(own), 1) * p[has]
-        p = np.log(p)
-        return np.bincount(of, p[:, 1] - p[:, 0], len(items))
+        p = np.log(self.chances(place[said], key[:, said]))
+        return np.bincount(of[said], p[:, 1] - p[:, 0], len(items))
 
     def evidence(self, texts: list[str | None], cached: int = 150_000) -> np.ndarray:
         """For each text: ratio a word, ratio beyond the margin a word."""
@@ -203,39 +227,74 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return joined.select(fold(F.col("__id")).alias("fold"), F.col("__toxic").cast("int").alias("toxic"), "text")
 
 
-def train(sample: DataFrame) -> Model | None:
-    """The models of folds 1 to 3 and weights fitted on fold 4 of (fold, toxic, text); None if a class is missing."""
-    spark = sample.sparkSession
-    sample = staged(sample, "labelled")
+#: Distinct words that a task holds before it hands over their counts.
+HELD_WORDS = 200_000
 
-    @trimmed
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found: dict[tuple[bytes, int], int] = {}
-            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in words(text):
-                    found[w, toxic] = found.get((w, toxic), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([t for _, t in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "toxic", "n"])
+
+@trimmed
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, word, n) from (toxic, text)."""
+    found: dict[int | None, Counter] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for toxic, words_of in found.items():
+            kinds = pa.array([toxic] * len(words_of), pa.int32())
+            yield pa.RecordBatch.from_arrays([kinds, pa.array(list(words_of), pa.binary()), pa.array(list(words_of.values()), pa.int64())], names=["toxic", "word", "n"])
+        found.clear()
+
+    for b in batches:
+        for toxic, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            found.setdefault(toxic, Counter()).update(words(text.as_py()))
+        if sum(map(len, found.values())) > HELD_WORDS:
+            yield from out()
+    yield from out()
+
+
+def _cut(low: int, high: int):
+    """For rows (word, n0, n1): (key, n0, n1) of the byte strings of orders ``low`` to ``high`` in them."""
 
     @trimmed
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             of, place, key = grams(b.column(0).to_pylist())
             n = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()]).astype(float)
-            for k in range(SHARED, HIGH + 1):
+            for k in range(low, high + 1):
                 said = (place > 0) & (key[k] > 0)
                 keys, c0, c1 = _sums(key[k][said], n[0][of[said]], n[1][of[said]])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c0.astype("int64")), pa.array(c1.astype("int64"))], names=["key", "n0", "n1"])
 
-    learned = sample.filter("fold in (1, 2, 3)").select("toxic", "text").mapInArrow(count, "word binary, toxic int, n long")
-    sums = lambda c: [F.sum(F.when(F.col("toxic") == t, F.col(c)).otherwise(0)).alias(f"n{t}") for t in (0, 1)]
-    table = learned.groupBy("word").agg(*sums("n")).mapInArrow(cut, "key long, n0 long, n1 long")
-    table = table.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    got = table.toArrow()
+    return run
+
+
+def _strings(texts: DataFrame, low: int, high: int) -> DataFrame:
+    """(key, n0, n1) of the byte strings of the words of ``texts`` (toxic, text): how often in ordinary and in toxic ones."""
+    counted = texts.mapInArrow(_count_words, "toxic int, word binary, n long")
+    sums = [F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias(f"n{t}") for t in (0, 1)]
+    found = counted.groupBy("word").agg(*sums).mapInArrow(_cut(low, high), "key long, n0 long, n1 long")
+    return found.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def shared_counts(texts: DataFrame) -> DataFrame:
+    """(key, n) of the orders 1 to SHARED over all ``texts`` (text): raw counts of strings that begin a word, continuation counts of the others."""
+    found = staged(_strings(texts.select(F.lit(0).alias("toxic"), "text"), 1, SHARED + 1).select("key", F.col("n0").alias("n")), "shared-strings")
+    order = F.shiftright("key", 56)
+    begins = F.expr("shiftright(key, cast(8 * (shiftright(key, 56) - 1) as int)) & 255") == _START
+    suffix = F.expr("(key & (shiftleft(1L, cast(8 * (shiftright(key, 56) - 1) as int)) - 1)) | shiftleft(shiftright(key, 56) - 1, 56)")
+    raw = found.filter(begins & (order <= SHARED)).select("key", "n")
+    return raw.unionByName(found.filter(order > 1).groupBy(suffix.alias("key")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def train(sample: DataFrame, texts: DataFrame) -> Model | None:
+    """The models of folds 1 to 3 and weights fitted on fold 4 of (fold, toxic, text), over the shared orders of all ``texts`` (text);
+    None if a class is missing."""
+    spark = sample.sparkSession
+    sample = staged(sample, "labelled")
+    got = _strings(sample.filter("fold in (1, 2, 3)").select("toxic", "text"), SHARED + 1, HIGH).toArrow()
     counts = np.stack([got.column("n0").to_numpy(), got.column("n1").to_numpy()], 1) if got.num_rows else np.zeros((0, 2))
     if not len(counts) or (counts.sum(0) == 0).any():
         return None
-    model = Model(got.column("key").to_numpy(), counts)
+    base = shared_counts(texts).toArrow()  # 2**24 rows at most
+    model = Model((base.column("key").to_numpy(), base.column("n").to_numpy()), (got.column("key").to_numpy(), counts))
     shared = spark.sparkContext.broadcast(model)  # 16 bytes for each distinct string of the sample, and their contexts
 
     @trimmed
@@ -253,6 +312,11 @@ def train(sample: DataFrame) -> Model | None:
     return model
 
 
+def _trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Model | None:
+    tune(docs.sparkSession)
+    return train(labelled_sample(docs, labels, id_col, text_col), docs.select(F.col(text_col).cast("string").alias("text")))
+
+
 def score_column(docs: DataFrame, model: Model | None, text_col: str = "text") -> Column:
     """Column of scores, from 0 to 1."""
     if model is None:
@@ -271,14 +335,12 @@ def score_column(docs: DataFrame, model: Model | None, text_col: str = "text") -
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, score, predicted) for every row of ``docs``."""
-    tune(docs.sparkSession)
-    model = train(labelled_sample(docs, labels, id_col, text_col))
+    model = _trained(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col), F.coalesce(fold(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), score_column(docs, model, text_col).alias("score"))
     return rows.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic."""
-    tune(docs.sparkSession)
-    model = train(labelled_sample(docs, labels, id_col, text_col))
+    model = _trained(docs, labels, id_col, text_col)
     return docs.filter(score_column(docs, model, text_col) < 0.5)
