@@ -1,7 +1,8 @@
 """Secret scans: base patterns and a randomness test battery with false-discovery control.
 
 Base kinds are found by patterns. A pattern's places come from the text split at its matches: the lengths of the pieces
-and of the matches between them add up to the starts.
+and of the matches between them add up to the starts. They are added up in two levels, within chunks and over chunks, so that
+a text with very many matches doesn't copy its array again for each of them.
 
 The battery looks at every run of 20 or more characters of [A-Za-z0-9+/=_-]. Its encoding is inferred (digits, hex, base32,
 letters-and-digits, base64), then
@@ -9,12 +10,13 @@ letters-and-digits, base64), then
   the uneven use of ordinary identifiers and prose (a noncentral mean that grows with the length);
 - runs: the number of runs of character classes, against both expectations;
 - serial correlation of neighbouring character codes.
-A token must pass as random in all three at the 1 % level, and gets a p-value for looking so random if it were ordinary
+A token must pass as random in all three at the 0.1 % level, and gets a p-value for looking so random if it were ordinary
 text: the normal tail of the combined first two. Tokens are tested together by the Benjamini-Hochberg rule at
 ``FDR``, within strata of token length, from a histogram of p-values over all documents. A discovered token is a span
-of kind ``random`` unless it touches a base span.
+of kind ``random`` unless it overlaps a base span.
 
-Only DataFrame functions are used; the thresholds are one number for each power of two of a length.
+Only DataFrame functions are used. Texts are scanned once: base spans and tokens with their tests are written to the shared
+folder, the thresholds (one number for each power of two of a length) and all else come from there.
 Edge cases: null and blank texts have no spans; repeated rows are scanned alike and count each time; ties of start sort
 by kind as listed; very long texts and tokens work in arrays of their own matches; other columns are kept or ignored as
 the function says; empty tables give empty results.
@@ -22,10 +24,13 @@ the function says; empty tables give empty results.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import text_of
+from weftline.llm.common import staged, text_of
 
 #: The base patterns, their groups that count for length, and the least lengths.
 KINDS = ["assign", "access", "hex", "random"]
@@ -36,27 +41,54 @@ BASE = {
 }
 TOKEN = "[A-Za-z0-9+/=_-]{20,}"
 FDR = 0.001
+#: Matches whose places are added up together.
+CHUNK = 256
 #: Bins of a tenth of a power of ten each.
 BINS = 400
 
 
 def matches(text: Column, pattern: str, group: int) -> Column:
-    """array<struct<start, end, size>>: places of the leftmost non-overlapping matches, and the length of a group of each."""
+    """array<struct<start, end, size, match>>: places of the leftmost non-overlapping matches, the length of a group of each, and its text."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sizes = F.transform(whole, F.length)
     groups = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length) if group else sizes
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    row = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), groups.alias("part"))
-    row = F.filter(row, lambda r: r["size"].isNotNull())
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,size:int>>").alias("found"))
+    rows = F.filter(F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), groups.alias("part"), whole.alias("match")), lambda r: r["size"].isNotNull())
+    none = F.array().cast("array<struct<start:int,end:int,size:int,match:string>>")
+    return F.when(text.rlike(pattern), let(rows, _places)).otherwise(none)
+
+
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that is computed once, however often ``of`` uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def running(rows: Column, first: int, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """array<kind>: for each of ``rows`` the second of ``step(at, row)``, whose first is the next row's ``at``. In two levels, chunks and
+    rows of a chunk, since an array that grows by one is copied."""
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int"))), lambda i: F.slice(rows, i * CHUNK + 1, F.lit(CHUNK)))
+
+    def one(a: Column, row: Column) -> Column:
+        at, out = step(a["at"], row)
+        return F.struct(at.alias("at"), F.array_append(a["found"], out).alias("found"))
+
+    def chunk(a: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(a["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("found")), one)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.array_append(a["found"], d["found"]).alias("found")))
 
-    def step(a: Column, r: Column) -> Column:
-        start = a["at"] + r["gap"]
+    zero = F.struct(F.lit(first).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("found"))
+    return F.flatten(F.aggregate(chunks, zero, chunk, lambda a: a["found"]))
+
+
+def _places(rows: Column) -> Column:
+    """Starts and ends of matches from (gap before, size, part, match) of each."""
+
+    def step(at: Column, r: Column) -> tuple[Column, Column]:
+        start = at + r["gap"]
         end = start + r["size"]
-        return F.struct(end.alias("at"), F.array_append(a["found"], F.struct(start.alias("start"), end.alias("end"), r["part"].alias("size"))).alias("found"))
+        return end, F.struct(start.alias("start"), end.alias("end"), r["part"].alias("size"), r["match"].alias("match"))
 
-    found = F.aggregate(row, zero, step, lambda a: a["found"])
-    return F.when(text.rlike(pattern), found).otherwise(zero["found"])
+    return running(rows, 0, step, "struct<start:int,end:int,size:int,match:string>")
 
 
 def _kept(found: Column, kind: int, least: int) -> Column:
@@ -72,10 +104,12 @@ def base_spans(text: Column) -> Column:
 #: Chance that neighbours are of different classes where an encoding's alphabet is used evenly.
 CHANGE = {"digits": 0.0, "letters": 0.0, "hex": 0.469, "base32": 0.305, "alnum": 0.401, "base64": 0.645}
 SIZES = {"digits": 10.0, "letters": 26.0, "hex": 16.0, "base32": 32.0, "alnum": 36.0, "base64": 64.0}
-#: The same chance in ordinary text, and the sum of squared character shares of ordinary text.
-ORDINARY_CHANGE, ORDINARY_SQUARES = 0.2, 0.065
-#: Two-sided 1 % of the normal distribution.
-LIMIT = 2.576
+#: The same chance in ordinary text: words of both cases and marks change more often than words of one case with numbers.
+ORDINARY_CHANGE = {"digits": 0.08, "letters": 0.08, "hex": 0.08, "base32": 0.08, "alnum": 0.08, "base64": 0.2}
+#: The sum of squared character shares of ordinary text.
+ORDINARY_SQUARES = 0.065
+#: Two-sided 0.1 % of the normal distribution.
+LIMIT = 3.29
 
 
 def _lower_tail(z: Column) -> Column:
@@ -99,7 +133,7 @@ def _by(encoding: Column, values: dict[str, float]) -> Column:
 def battery(tokens: Column) -> Column:
     """array<struct<token, even, p>> of an array of tokens: even if no test rejects randomness, p the chance of looking
     so random for ordinary text of that length. Each transform adds what the next one uses."""
-    more = lambda r, **new: F.struct(*[r[x].alias(x) for x in ("token", "n", "size", "change")], *[c.alias(k) for k, c in new.items()])
+    more = lambda r, **new: F.struct(*[r[x].alias(x) for x in ("token", "n", "size", "change", "plain")], *[c.alias(k) for k, c in new.items()])
     total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
     def first(t: Column) -> Column:
@@ -108,7 +142,7 @@ def battery(tokens: Column) -> Column:
             runs = F.regexp_replace(runs, classes, one)
         chars = F.filter(F.split(t, ""), lambda c: c != "")
         e = _encoding(t)
-        return F.struct(t.alias("token"), F.length(t).cast("double").alias("n"), _by(e, SIZES).alias("size"), _by(e, CHANGE).alias("change"), chars.alias("chars"), F.length(runs).cast("double").alias("runs"))
+        return F.struct(t.alias("token"), F.length(t).cast("double").alias("n"), _by(e, SIZES).alias("size"), _by(e, CHANGE).alias("change"), _by(e, ORDINARY_CHANGE).alias("plain"), chars.alias("chars"), F.length(runs).cast("double").alias("runs"))
 
     def second(r: Column) -> Column:
         count = lambda c: r["n"] - F.length(F.replace(r["token"], c, F.lit("")))
@@ -129,7 +163,7 @@ def battery(tokens: Column) -> Column:
         z_plain = (chi - free - shift) / F.sqrt(2 * (free + 2 * shift))
         q = F.greatest(r["change"], F.lit(0.01))
         r_even = F.when(r["change"] > 0, (r["runs"] - 1 - gaps * q) / F.sqrt(gaps * q * (1 - q))).otherwise(0.0)
-        r_plain = F.when(r["change"] > 0, (gaps * ORDINARY_CHANGE - r["runs"] + 1) / F.sqrt(gaps * ORDINARY_CHANGE * (1 - ORDINARY_CHANGE))).otherwise(0.0)
+        r_plain = F.when(r["change"] > 0, (gaps * r["plain"] - r["runs"] + 1) / F.sqrt(gaps * r["plain"] * (1 - r["plain"]))).otherwise(0.0)
         even = (z_even < LIMIT) & (F.abs(r_even) < LIMIT) & (F.abs(r["serial"]) < LIMIT)
         return F.struct(r["token"].alias("token"), even.alias("even"), _lower_tail((z_plain + r_plain) / F.sqrt(F.lit(2.0))).alias("p"))
 
@@ -145,37 +179,48 @@ def p_bin(p: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(BINS), F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-40)))).cast("int")))
 
 
-def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dict[int, int]:
-    """For each stratum with discoveries the least bin of them: Benjamini-Hochberg over all tokens of all documents."""
-    tokens = docs.select(F.explode(battery(F.regexp_extract_all(text_of(text_col), F.lit(TOKEN), F.lit(0)))).alias("t"))
-    bins = tokens.select(stratum(F.col("t.token")).alias("stratum"), F.when(F.col("t.even"), p_bin(F.col("t.p"))).otherwise(0).alias("bin"))
-    counts = bins.groupBy("stratum", "bin").count()  # 31 strata of BINS rows at most
+def tested(text: Column) -> Column:
+    """array<struct<start, end, stratum, bin>> of the tokens of a text; bin is 0 where a test rejects randomness."""
+
+    def results(found: Column) -> Column:
+        row = lambda m, t: F.struct(m["start"].alias("start"), m["end"].alias("end"), stratum(t["token"]).alias("stratum"), F.when(t["even"], p_bin(t["p"])).otherwise(0).alias("bin"))
+        return F.zip_with(found, battery(F.transform(found, lambda m: m["match"])), row)
+
+    none = F.array().cast("array<struct<start:int,end:int,stratum:int,bin:int>>")
+    return F.when(text.rlike(TOKEN), let(matches(text, TOKEN, 0), results)).otherwise(none)
+
+
+def thresholds(tokens: DataFrame, fdr: float = FDR) -> dict[int, int]:
+    """For each stratum with discoveries the least bin of them: Benjamini-Hochberg over all ``tokens`` (stratum, bin)."""
+    counts = tokens.groupBy("stratum", "bin").count()  # 31 strata of BINS rows at most
     above, total = F.expr("sum(count) over (partition by stratum order by bin desc)"), F.expr("sum(count) over (partition by stratum)")
     found = counts.withColumn("above", above).withColumn("total", total)
     good = found.filter((F.col("bin") > 0) & (F.pow(F.lit(10.0), -F.col("bin") / 10) * F.col("total") <= fdr * F.col("above")))
     return {r[0]: r[1] for r in good.groupBy("stratum").agg(F.min("bin")).collect()}
 
 
-def spans_column(limits: dict[int, int], text_col: str = "text") -> tuple[Column, Column]:
-    """(base spans, all spans), each array<struct<start, kind, end>> sorted by start and kind."""
-    text = text_of(text_col)
-    base = base_spans(text)
+def _all_spans(base: str, tokens: str, limits: dict[int, int]) -> Column:
+    """Base spans and discovered tokens that overlap none, sorted by start and kind."""
     if not limits:
-        return base, base
-    found = matches(text, TOKEN, 0)
-    token = lambda m: F.substring(text, m["start"] + 1, m["end"] - m["start"])
+        return F.col(base)
     least = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
-    tested = F.zip_with(found, battery(F.transform(found, token)), lambda m, t: F.struct(m["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), m["end"].alias("end"), (t["even"] & (p_bin(t["p"]) >= least[stratum(t["token"])])).alias("good")))
-    good = F.transform(F.filter(tested, lambda r: F.coalesce(r["good"], F.lit(False))), lambda r: F.struct(r["start"], r["kind"], r["end"]))
-    return base, F.when(text.rlike(TOKEN), good).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    good = F.filter(tokens, lambda t: (t["bin"] > 0) & F.coalesce(t["bin"] >= least[t["stratum"]], F.lit(False)))
+    free = F.filter(good, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    spans = F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), t["end"].alias("end")))
+    return F.when(F.size(tokens) > 0, F.array_sort(F.concat(F.col(base), spans))).otherwise(F.col(base))
+
 
+def scan(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> tuple[DataFrame, str, str]:
+    """The rows of ``docs`` and two more columns, whose names are returned: base spans and all spans, each
+    array<struct<start, kind, end>> sorted by start and kind."""
+    base, tokens, spans = (f"{name}_{uuid.uuid4().hex}" for name in ("base", "tokens", "spans"))
+    return _spans(docs.withColumn(base, base_spans(text_of(text_col))).withColumn(tokens, tested(text_of(text_col))), base, tokens, spans, fdr)
 
-def scan(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> DataFrame:
-    """The rows of ``docs`` with base_spans and spans, each array<struct<start, kind, end>> sorted by start and kind."""
-    base, random = spans_column(thresholds(docs, text_col, fdr), text_col)
-    rows = docs.withColumn("base_spans", base).withColumn("__random", random)
-    free = F.filter("__random", lambda r: ~F.exists("base_spans", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return rows.withColumn("spans", F.array_sort(F.array_distinct(F.concat("base_spans", free)))).drop("__random")
+
+def _spans(rows: DataFrame, base: str, tokens: str, spans: str, fdr: float) -> tuple[DataFrame, str, str]:
+    rows = staged(rows, "secret-tokens")
+    limits = thresholds(rows.select(F.explode(tokens).alias("t")).select("t.stratum", "t.bin"), fdr)
+    return rows.withColumn(spans, _all_spans(base, tokens, limits)).drop(tokens), base, spans
 
 
 def joined(spans: str) -> Column:
@@ -184,22 +229,39 @@ def joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
     """(id_col, n_assign, n_access, n_hex, base_sha256, spans) for every row of ``docs``."""
-    rows = scan(docs.select(id_col, text_col), text_col)
-    count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
-    return rows.select(id_col, *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(joined("base_spans").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col), base_spans(text).alias("base"), tested(text).alias("tokens"))
+    rows, base, spans = _spans(rows, "base", "tokens", "spans", fdr)
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+    return rows.select(id_col, *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of every text replaced by ``mark``; spans that touch are replaced together."""
-    rows = scan(docs, text_col)
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    text = text_of(text_col)
+#: Code points in the pieces that a text is cut into before parts of it are taken, so that a part costs no more than its own pieces.
+PIECE = 1024
+
 
-    def step(a: Column, s: Column) -> Column:
-        new = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
-        return F.struct(F.when(s["start"] >= a["at"], new).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+def _redacted(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with ``mark`` for each stretch of ``spans`` that overlap or touch."""
 
-    clean = F.aggregate("spans", zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(F.col(text_col))).drop("base_spans", "spans")
+    def step(at: Column, s: Column) -> tuple[Column, Column]:  # at: the end of the last stretch, -1 before the first
+        return F.greatest(at, s["end"]), F.struct(at.alias("from"), s["start"].alias("to"))
+
+    def part(pieces: Column, a: Column, z: Column) -> Column:
+        own = F.array_join(F.slice(pieces, F.floor(a / PIECE).cast("int") + 1, (F.floor(z / PIECE) - F.floor(a / PIECE)).cast("int") + 1), "")
+        return F.substring(own, a % PIECE + 1, z - a)
+
+    def build(pieces: Column) -> Column:
+        gaps = F.filter(running(spans, -1, step, "struct<from:int,to:int>"), lambda g: g["to"] > g["from"])
+        kept = F.transform(gaps, lambda g: F.concat(part(pieces, F.greatest(g["from"], F.lit(0)), g["to"]), F.lit(mark)))
+        return F.concat(F.array_join(kept, ""), part(pieces, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), build)
+
+
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span of every text replaced by ``mark``; spans that overlap or touch are replaced together."""
+    rows, base, spans = scan(docs, text_col)
+    clean = _redacted(text_of(text_col), F.col(spans), mark)
+    return rows.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(F.col(text_col))).drop(base, spans)
