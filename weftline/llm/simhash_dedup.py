@@ -20,6 +20,7 @@ ignored, whatever they are called; empty tables give empty results.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -242,14 +243,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one of each component kept: the one with the least id (of equal ids, one row)."""
+    """The rows of ``docs`` with one of each component kept: the one with the least id (of equal ids, one row).
+
+    Rows are written once with their fingerprint and a number; which rows go is settled on these alone."""
     tune(docs.sparkSession)
-    fp = fingerprint(F.col(text_col))
-    rows = staged(docs.select(F.col(id_col).alias("doc_id"), fp.alias("fp")), "documents-fp")
-    of = component_table(rows)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best")
-    keep = rows.join(of.select("fp", "root"), "fp").groupBy("root").agg(best)
-    keep = staged(keep.select(F.col("best.doc_id").alias("__id"), F.col("best.fp").alias("__fp")), "kept")
-    marked = docs.withColumn("__fp", fp)
-    kept = marked.join(keep, (marked["__fp"] == keep["__fp"]) & marked[id_col].eqNullSafe(keep["__id"]), "left_semi")
-    return kept.dropDuplicates(["__fp", id_col]).drop("__fp")
+    fp, number = f"fp_{uuid.uuid4().hex}", f"row_{uuid.uuid4().hex}"
+    marked = staged(docs.withColumns({fp: fingerprint(F.col(text_col)), number: F.monotonically_increasing_id()}), "documents-fp")
+    rows = marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"), F.col(number).alias("row"))
+    of = component_table(rows).select("fp", "root")
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    best = of.join(first, "fp").groupBy("root").agg(F.min("first").alias("best"))
+    best = staged(of.join(best, "root").select("fp", F.col("best.row").alias("best")), "kept")
+    gone = rows.join(best, "fp").filter("row <> best").select(F.col("row").alias(number))
+    return marked.join(gone, number, "left_anti").drop(fp, number)
