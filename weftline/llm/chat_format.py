@@ -1,30 +1,40 @@
 """Chat formatting with a grammar round trip.
 
-A conversation is rendered as ``<|im_start|>role``, line feed, text, ``<|im_end|>``, line feed for each turn. The
-rendered text is parsed again by a deterministic parser and the turns are compared with the source; where they
-differ, what conflicts is escaped and the conversation is rendered again, until both are identical.
+A conversation is rendered as ``<|im_start|>role``, line feed, text, ``<|im_end|>``, line feed for each turn. Each rendered
+turn is parsed again by a deterministic parser and compared with the source; where they differ, what conflicts is
+escaped and the turn is rendered again, until both are identical. As the parser is at the start of a turn again after each
+turn, turns that come back alone come back together.
 
 Escaping is reversible and touches nothing else: in a text, one backslash goes after ``<`` of each control string (or of
 one that has backslashes there already); in a role, backslashes and line feeds are also written as two characters.
 The parser always takes one level away, so turns that need no escaping stay as they are.
 
-Loss spans are the code points of assistant texts in the rendered text, without the control strings around them.
+Loss spans are the code points of assistant texts in the rendered conversation, without the control strings around them.
+
+The output has a row for each turn, with its place and its loss span in the conversation. Rows are shuffled once, by
+conversation, and sorted; what follows goes through them in order and holds one batch of turns and a few sums, so a
+conversation of any number of turns (or the one that all null ids form) is never held whole.
 
 Edge cases: null roles and texts count as empty; turns are ordered by (turn, role, text), null turns first, so ties and
-repeated rows have one order; rows with a null id form one conversation; a conversation is one row of output, so its
-own length bounds a task's memory, and no more than one is held; other columns are ignored; an empty table gives none.
+repeated rows have one order; rows with a null id form one conversation; a turn is held whole, so its length bounds a task's
+memory; text that the parser refuses is an error that names the conversation; other columns are ignored; an empty table
+gives none.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from weftline.llm.common import tune
+from weftline.llm.common import BATCH_ROWS, trimmed, tune
 
 START, END = "<|im_start|>", "<|im_end|>"
 _CONTROL = re.compile(r"<(\\*)\|(im_start|im_end)\|>")
@@ -62,64 +72,122 @@ def parse(rendered: str) -> list[Turn] | None:
     return turns
 
 
+def render_turn(role: str, text: str) -> tuple[str, int, int]:
+    """A rendered turn, from which ``parse`` gives it back, and where its text is in it."""
+    for as_role, as_text in ((role, text), (escape_role(role), escape(text))):
+        piece = f"{START}{as_role}\n{as_text}{END}\n"
+        if parse(piece) == [(role, text)]:
+            at = len(START) + len(as_role) + 1
+            return piece, at, at + len(as_text)
+    raise ValueError("a turn doesn't come back from its rendered text")
+
+
 def render(turns: list[Turn]) -> tuple[str, list[tuple[int, int]]]:
-    """The rendered text, from which ``parse`` gives back ``turns``, and the loss spans in it."""
-    written = list(turns)
-    for attempt in range(3):
-        text = "".join(f"{START}{role}\n{body}{END}\n" for role, body in written)
-        if parse(text) == turns:
-            break
-        if attempt == 0:  # what doesn't come back alone is escaped
-            written = [w if parse(f"{START}{w[0]}\n{w[1]}{END}\n") == [t] else (escape_role(t[0]), escape(t[1])) for w, t in zip(written, turns, strict=True)]
-        else:
-            written = [(escape_role(role), escape(body)) for role, body in turns]
-    else:
-        raise ValueError("a conversation doesn't come back from its rendered text")
-    spans, at = [], 0
-    for (role, _), (as_role, body) in zip(turns, written, strict=True):
-        at += len(START) + len(as_role) + 1
+    """The rendered text of a short conversation, from which ``parse`` gives back ``turns``, and the loss spans in it."""
+    text, spans = "", []
+    for role, body in turns:
+        piece, a, z = render_turn(role, body)
         if role == "assistant":
-            spans.append((at, at + len(body)))
-        at += len(body) + len(END) + 1
+            spans.append((len(text) + a, len(text) + z))
+        text += piece
     return text, spans
 
 
-_FORMATTED = "struct<formatted: string, loss_start: array<int>, loss_end: array<int>>"
-_BACK = "struct<n_turns: bigint, turns_sha256: string, loss_chars: bigint, loss_sha256: string, formatted_chars: bigint>"
-
-
-def _sha(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-
-
-def _format(turns: pa.Array) -> pa.Array:
-    done = [render([(t["role"], t["text"]) for t in x.as_py()]) for x in turns]
-    ints = lambda k: pa.array([[s[k] for s in spans] for _, spans in done], pa.list_(pa.int32()))
-    return pa.StructArray.from_arrays([pa.array([t for t, _ in done], pa.string()), ints(0), ints(1)], ["formatted", "loss_start", "loss_end"])
-
-
-def _read(formatted: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-    rows = []
-    for text, a, z in zip(formatted.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True):
-        turns = parse(text)
-        loss = "".join(unescape(text[i:j]) for i, j in zip(a, z, strict=True))
-        rows.append((len(turns), _sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), _sha(loss), len(text)))
-    names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list]]:
+    """The rows of batches of a partition in order; true where a row has another id (its first column) than the one before."""
+    last: object = _in_order
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            yield row[0] != last if last is not _in_order else True, list(row)
+            last = row[0]
 
 
 def format_conversations(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(id_col, formatted, loss_start, loss_end), a row for each conversation of rows (id_col, turn, role, text)."""
+    """(id_col, place, formatted, loss_start, loss_end), a row for each turn of rows (id_col, turn, role, text): the rendered turn
+    and its loss span (null if it has none) in code points of the whole conversation. The rows of a conversation
+    follow each other in order of place, in one partition."""
     tune(rows.sparkSession)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    turns = F.sort_array(F.collect_list(F.struct(F.col("turn").isNotNull().alias("has"), "turn", text("role"), text("text"))))
-    return rows.groupBy(id_col).agg(turns.alias("turns")).select(id_col, F.arrow_udf(_format, _FORMATTED)("turns").alias("x")).select(id_col, "x.*")
-
-
-def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """The digests of what the parser and the loss spans give back from formatted conversations."""
-    return formatted.select(id_col, F.arrow_udf(_read, _BACK)("formatted", "loss_start", "loss_end").alias("x")).select(id_col, "x.*")
+    turns = rows.select(F.col(id_col), F.col("turn").alias("turn"), text("role"), text("text"))
+    turns = turns.repartition(F.col(id_col)).sortWithinPartitions(id_col, F.asc_nulls_first("turn"), "role", "text").drop("turn")
+    places = "place long, formatted string, loss_start long, loss_end long"
+    schema = T.StructType([turns.schema[0], *T.StructType.fromDDL(places).fields])
+    arrow = to_arrow_schema(schema)
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            place = at = 0
+            for new, (name, role, body) in _in_order(batches):
+                place, at = (0, 0) if new else (place, at)
+                piece, a, z = render_turn(role, body)
+                own = role == "assistant"
+                yield name, place, piece, at + a if own else None, at + z if own else None
+                place, at = place + 1, at + len(piece)
+
+        yield from _batches(each(), arrow)
+
+    return turns.mapInArrow(run, schema)
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Record batches of at most BATCH_ROWS of ``rows``."""
+    while part := list(islice(rows, BATCH_ROWS)):
+        columns = zip(*part, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+class _Digest:
+    """Sums of the turns of one conversation, as they are read."""
+
+    def __init__(self) -> None:
+        self.turns = self.loss = self.chars = 0
+        self.said, self.learned = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, name: object, piece: str, start: int | None, end: int | None) -> None:
+        turns = parse(piece)
+        if turns is None:
+            raise ValueError(f"conversation {name}: what begins at {self.chars} isn't a rendered turn")
+        self.turns += len(turns)
+        for role, text in turns:
+            self.said.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+        if start is not None:
+            text = unescape(piece[start - self.chars : end - self.chars])
+            self.loss += len(text)
+            self.learned.update(text.encode("utf-8", "surrogatepass"))
+        self.chars += len(piece)
+
+    def row(self, name: object) -> tuple:
+        return name, self.turns, self.said.hexdigest(), self.loss, self.learned.hexdigest(), self.chars
+
+
+def read_back(formatted: DataFrame, id_col: str = "conv_id", ordered: bool = False) -> DataFrame:
+    """(id_col, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars): the digests of what the parser and the loss spans
+    give back from formatted conversations. Without ``ordered`` (rows are as format_conversations left them) they are put in
+    order first."""
+    rows = formatted.select(id_col, "place", "formatted", "loss_start", "loss_end")
+    if not ordered:
+        rows = rows.repartition(F.col(id_col)).sortWithinPartitions(id_col, "place")
+    back = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    schema = T.StructType([rows.schema[0], *T.StructType.fromDDL(back).fields])
+    arrow = to_arrow_schema(schema)
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            held, name = None, None
+            for new, (own, _, piece, start, end) in _in_order(batches):
+                if new:
+                    if held:
+                        yield held.row(name)
+                    held, name = _Digest(), own
+                held.add(name, piece, start, end)
+            if held:
+                yield held.row(name)
+
+        yield from _batches(each(), arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def with_conflict(rows: DataFrame) -> DataFrame:
