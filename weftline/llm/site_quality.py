@@ -3,15 +3,20 @@
 A logistic classifier of text measurements gives each document a probability of good quality. Hosts and paths of hosts
 get posterior means of it: a path is shrunk toward its host and a host toward the global mean, by strengths
 that are estimated from the data (method of moments), so sites with few documents stay near the prior above them. A
-document's score adds to its own log-odds what its path's posterior differs from the global mean.
+document's score adds to its own log-odds what the posterior of its path, from the other documents there alone, differs from the
+global mean, so no document's evidence counts twice.
+
+A site is a key such as ``example.org/blog/1``: what is before the first ``/`` is the host, the first part after it the path (with
+``://`` and what is before it left out). A key without a ``/`` is a host with one path.
 
 The sums for sites come from one grouped aggregation with partial sums, so a host with a third of all rows costs no
 more than others. Labels are used of at most ``MAX_LABELLED`` documents (least hash of the id; none that is held
-out), a documented bound of the fit; posteriors and scores cover all rows.
+out), a documented bound of the fit; of more rows, which repeated ids give, those first in the order of hash, id and
+measurements are used. Posteriors and scores cover all rows.
 
-Edge cases: null texts count as empty; null hosts or paths are one site each; repeated rows count each time; without
-labels of both kinds the classifier gives 0.5 to all; very long texts are measured by string functions only; other
-columns are ignored, whatever they are called; empty tables give empty results.
+Edge cases: null texts count as empty; null keys are one site; repeated rows count each time; without labels of both
+kinds the classifier gives 0.5 to all; very long texts are measured by string functions only; other columns are
+ignored, whatever they are called; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -57,7 +62,8 @@ def fit(rows: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[
     """Center, scale and weights of the classifier, from rows (doc_id, FEATURES) with a label."""
     own = labels.filter("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("__good"))
     own = own.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), *FEATURES).join(F.broadcast(own), "doc_id").drop("doc_id").limit(2 * limit).toArrow()
+    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), *FEATURES).join(F.broadcast(own), "doc_id")  # ``limit`` ids
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(limit).drop("doc_id").toArrow()
     x = np.stack([got.column(f).to_numpy() for f in FEATURES], 1) if got.num_rows else np.zeros((0, len(FEATURES)))
     y = got.column("__good").to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
@@ -101,24 +107,40 @@ def strength(groups: DataFrame, mean: str, n: str, around: str) -> float:
     return float(min(max(within / between, 1.0), 1e4))
 
 
-def score(docs: DataFrame, labels: DataFrame, host_col: str, path_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def host_of(site: Column) -> Column:
+    return F.regexp_extract(F.coalesce(site.cast("string"), F.lit("")), "^(?:[^/]*://)?([^/]*)", 1)
+
+
+def path_of(site: Column) -> Column:
+    return F.regexp_extract(F.coalesce(site.cast("string"), F.lit("")), "^(?:[^/]*://)?[^/]*/([^/?#]*)", 1)
+
+
+def posteriors(rows: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """Of rows (host, path, own): (host, path, sum, n, host_sum, host_n, host_posterior, path_posterior) of each path, the global mean, and the
+    strengths of it and of a host's posterior."""
+    paths = staged(rows.groupBy("host", "path").agg(F.sum("own").alias("sum"), F.count(F.lit(1)).alias("n")), "paths")
+    hosts = paths.groupBy("host").agg(F.sum("sum").alias("host_sum"), F.sum("n").alias("host_n"))
+    whole = paths.agg(F.sum("sum"), F.sum("n")).first()
+    mean = float(whole[0] / whole[1]) if whole[1] else 0.5
+    k_host = strength(hosts.select((F.col("host_sum") / F.col("host_n")).alias("mean"), F.col("host_n").alias("n"), F.lit(mean).alias("around")), "mean", "n", "around")
+    hosts = hosts.withColumn("host_posterior", (F.col("host_sum") + k_host * mean) / (F.col("host_n") + k_host))
+    sites = paths.join(hosts, "host")
+    k_path = strength(sites.select((F.col("sum") / F.col("n")).alias("mean"), "n", F.col("host_posterior").alias("around")), "mean", "n", "around")
+    sites = sites.withColumn("path_posterior", (F.col("sum") + k_path * F.col("host_posterior")) / (F.col("n") + k_path))
+    return staged(sites, "sites"), mean, k_host, k_path
+
+
+def score(docs: DataFrame, labels: DataFrame, site_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, host_posterior, path_posterior, score, predicted, kept) for every row of ``docs``."""
-    text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), text.alias("text"))
+    site = F.col(site_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), host_of(site).alias("host"), path_of(site).alias("path"), text_of(text_col).alias("text"))
     rows = staged(rows.select("doc_id", "host", "path", *[c.alias(n) for n, c in zip(FEATURES, features(F.col("text")), strict=True)]), "measured")
     p = probability(*fit(rows, labels.select("doc_id", "quality")))
     rows = rows.select("doc_id", "host", "path", p.alias("own"))
-    paths = staged(rows.groupBy("host", "path").agg(F.sum("own").alias("sum"), F.count(F.lit(1)).alias("n")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("sum").alias("host_sum"), F.sum("n").alias("host_n"))
-    whole = paths.agg(F.sum("sum"), F.sum("n")).first()
-    mean = whole[0] / whole[1] if whole[1] else 0.5
-    hosts = hosts.withColumn("all", F.lit(float(mean))).withColumn("host_mean", F.col("host_sum") / F.col("host_n"))
-    k = strength(hosts, "host_mean", "host_n", "all")
-    hosts = hosts.select("host", ((F.col("host_sum") + k * mean) / (F.col("host_n") + k)).alias("host_posterior"))
-    sites = paths.join(hosts, "host").withColumn("path_mean", F.col("sum") / F.col("n"))
-    k = strength(sites, "path_mean", "n", "host_posterior")
-    sites = staged(sites.select("host", "path", "host_posterior", ((F.col("sum") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior")), "sites")
-    both = logit(F.col("own")) + logit(F.col("path_posterior")) - logit(F.lit(float(mean)))
+    sites, mean, k_host, k_path = posteriors(rows)
+    host = (F.col("host_sum") - F.col("own") + k_host * mean) / (F.col("host_n") - 1 + k_host)
+    path = (F.col("sum") - F.col("own") + k_path * host) / (F.col("n") - 1 + k_path)
+    both = logit(F.col("own")) + logit(path) - logit(F.lit(mean))
     out = rows.join(sites, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-both)))
     return out.select(
         F.col("doc_id").alias(id_col), F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "host_posterior", "path_posterior",
