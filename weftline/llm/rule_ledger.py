@@ -15,14 +15,15 @@ empty table gives an empty ledger.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import tune
+from weftline.llm.common import staged, tune
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -113,9 +114,9 @@ def passes(policy: str) -> Column:
 
 
 def verdicts(entries: DataFrame, policy: str = "v1", id_col: str = "doc_id") -> DataFrame:
-    """(id_col, the measurements of the contract, base_failed, kept) from ledger rows."""
+    """(id_col, the measurements of the contract, base_failed, kept, failed, policy) from ledger rows."""
     base = passes("base")
-    return entries.select(id_col, *MEASURES[:5], (~base).alias("base_failed"), (base & passes(policy)).alias("kept"))
+    return entries.select(id_col, *MEASURES[:5], (~base).alias("base_failed"), (base & passes(policy)).alias("kept"), "failed", F.lit(policy).alias("policy"))
 
 
 def ablations(entries: DataFrame, policy: str = "v1") -> DataFrame:
@@ -132,12 +133,19 @@ def ablations(entries: DataFrame, policy: str = "v1") -> DataFrame:
     return each.groupBy("rule").agg(total(has)("failing"), total(F.col("own") == F.col("bit"))("only_this"), total(F.bit_count(F.col("own").bitwiseAND(F.bitwise_not("bit"))) <= tolerated)("kept_without"))
 
 
-def policy_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, m, t) for k, (m, t) in POLICIES.items()], "version string, mask long, tolerated int")
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger of ``docs``, written to the shared folder: texts are read once, whatever is asked of it later."""
+    return staged(ledger(measured(docs, id_col, text_col)), "rule-ledger")
+
+
+def all_ablations(entries: DataFrame) -> DataFrame:
+    """(policy, rule, failing, only_this, kept_without) for the rules of each policy."""
+    each = [ablations(entries, p).select(F.lit(p).alias("policy"), "*") for p in POLICIES]
+    return reduce(DataFrame.unionByName, each)
 
 
 #: Word measures in DuckDB, by lists. Windows are compared as joined words.
-ORACLE = r"""
+_MEASURED = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
@@ -160,8 +168,23 @@ WITH d AS (
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
   FROM m LEFT JOIN p USING (doc_id)
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 10 * word_chars OR (n_dup_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines) OR word_chars > 15 * n_words) AS kept
-FROM x
+, y AS (
+  SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (n_words > 1000000)::BIGINT
+    + 8 * (100 * n_symbols > 10 * word_chars)::BIGINT + 16 * (n_dup_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT
+    + 32 * (word_chars < 2 * n_words)::BIGINT + 64 * (word_chars > 15 * n_words)::BIGINT)::BIGINT AS failed
+  FROM x
+)
+"""
+
+ORACLE = _MEASURED + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed & 91 = 0 AS kept, failed, 'v1' AS policy
+FROM y
+"""
+
+ABLATIONS = _MEASURED + """
+, p(policy, mask) AS (VALUES ('base', 3), ('v1', 91))
+, r(rule, bit) AS (VALUES ('too_few_words', 1), ('repeated_words', 2), ('symbols', 8), ('duplicate_lines', 16), ('long_words', 64))
+SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS failing, count(*) FILTER (failed & mask = bit) AS only_this,
+  count(*) FILTER (failed & mask & ~bit = 0) AS kept_without
+FROM y, p, r WHERE mask & bit <> 0 GROUP BY policy, rule
 """
