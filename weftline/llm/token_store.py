@@ -39,7 +39,7 @@ from weftline.llm.unit_cache import joined, runs
 END = 1
 SHARD = 1 << 18
 #: New symbols in a round, and uses that a new symbol needs.
-NEW, LEAST = 2048, 8
+NEW, LEAST = 2048, 4
 SCHEMA = (
     "part int, seq int, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<int>, base int, "
     "rules binary, lengths binary, width int, sequence binary"
@@ -245,18 +245,35 @@ def unpack(shard: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rules, np.frombuffer(shard["lengths"], "<u4").astype(np.int64), np.frombuffer(shard["sequence"], f"<u{shard['width']}").astype(np.int64)
 
 
+class Shard:
+    """Random access to the tokens of a shard row: only the symbols that cover a range are expanded."""
+
+    def __init__(self, row: dict):
+        self.base = row["base"]
+        self.rules, lengths, self.seq = unpack(row)
+        self.size = np.where(self.seq < self.base, 1, np.r_[lengths, 1][np.clip(self.seq - self.base, 0, len(lengths))])
+        self.ends = np.cumsum(self.size)
+
+    def read(self, start: int, stop: int) -> np.ndarray:
+        """Tokens start to stop (exclusive)."""
+        start, stop = max(0, start), min(stop, int(self.ends[-1]) if len(self.ends) else 0)
+        if start >= stop:
+            return np.empty(0, np.int64)
+        a, b = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, stop, "left") + 1
+        skip, seq = start - int(self.ends[a] - self.size[a]), self.seq[a:b]
+        while (new := seq >= self.base).any():  # a level of rules at a time
+            n = np.where(new, 2, 1)
+            first = np.cumsum(n) - n
+            out = np.empty(int(n.sum()), np.int64)
+            out[first] = np.where(new, self.rules[np.where(new, seq - self.base, 0), 0], seq)
+            out[first[new] + 1] = self.rules[seq[new] - self.base, 1]
+            seq = out
+        return seq[skip : skip + stop - start]
+
+
 def read_range(shard: dict, start: int, stop: int) -> np.ndarray:
-    """Tokens start to stop (exclusive) of a shard; only the symbols that cover them are expanded."""
-    rules, lengths, seq = unpack(shard)
-    base = shard["base"]
-    size = np.where(seq < base, 1, np.r_[lengths, 1][np.clip(seq - base, 0, len(lengths))])
-    ends = np.cumsum(size)
-    start, stop = max(0, start), min(stop, int(ends[-1]) if len(ends) else 0)
-    if start >= stop:
-        return np.empty(0, np.int64)
-    a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
-    skip = start - int(ends[a] - size[a])
-    return expand(seq[a:b], rules, base)[skip : skip + stop - start]
+    """Tokens start to stop (exclusive) of a shard row."""
+    return Shard(shard).read(start, stop)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> None:
@@ -321,6 +338,27 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(F.broadcast(bases), "part").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "ids")
 
 
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, ids) of the documents in the files whose ids are in ``wanted``, by random access: only shards that hold one are read
+    whole, and of these only the symbols that cover the documents are expanded. A shard's own documents bound a row."""
+    shards = spark.read.schema(SCHEMA).parquet(path)
+    places = shards.select("part", "seq", F.posexplode("doc_ids").alias("place", "doc_id"))
+    hits = places.join(wanted.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id").groupBy("part", "seq").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    rows = shards.join(hits, ["part", "seq"]).select("base", "rules", "lengths", "width", "sequence", "doc_ids", "doc_tokens", "places")
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                shard, ends = Shard(row), np.cumsum(row["doc_tokens"]).tolist()
+                blobs = [shard.read(ends[k] - row["doc_tokens"][k], ends[k]).astype("<u4").tobytes() for k in row["places"]]
+                names = [row["doc_ids"][k] for k in row["places"]]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "ids"])
+
+    return rows.mapInArrow(run, "doc_id long, ids binary")
+
+
 def store_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes the files to the shared folder, reads them back: (doc_id, start, n_tokens, ids_crc32)."""
     spark = docs.sparkSession
