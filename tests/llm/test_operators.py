@@ -137,6 +137,9 @@ def test_token_files(spark, odd, none, tmp_path):
         ids = np.array([*lib.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
         assert back[r.doc_id].start == start and bytes(back[r.doc_id].ids) == ids.tobytes()
         start += len(ids)
+    some = odd.filter("doc_id in (2, 5, 9)").select("doc_id")
+    assert {r.doc_id: bytes(r.ids) for r in token_store.read_documents(spark, path, some).collect()} == {i: bytes(back[i].ids) for i in (2, 5, 9)}
+    assert token_store.read_documents(spark, path, some.limit(0)).count() == 0
     assert token_store.store_digests(odd, BPE).filter("n_tokens = 1").first().ids_crc32 == zlib.crc32(b"\1\0\0\0")
     assert token_store.store_digests(none, BPE).count() == 0
 
@@ -154,6 +157,9 @@ def test_grammar_is_driven_to_its_end():
                 last[pair] = i
         assert max(uses.values(), default=0) < token_store.LEAST
     assert token_store.compress(np.tile(phrase, 40), 49408)[1].max() > 8
+    for ids in (np.full(100_000, 7), np.tile([1, 2], 5_000)):  # equal ids and a repeated pair shrink to almost nothing
+        rules, _, seq = token_store.compress(ids, 49408)
+        assert len(rules) < 20 and len(seq) < 20 and (token_store.expand(seq, rules, 49408) == ids).all()
 
 
 # --- 4 -------------------------------------------------------------------------------------------------------------
@@ -182,6 +188,24 @@ def test_chat_table(spark):
     assert got[-1].loss_chars == len(said) and got[-1].loss_sha256 == sha(said) and got[-1].turns_sha256 == sha(f"user\n{said}\nassistant\n{said}\n")
     assert got[3].loss_chars == 50_000 and got[None].n_turns == 1 and got[2].turns_sha256 == sha("\nx\n")
     assert chat_format.format_conversations(df.limit(0)).count() == 0
+    out = chat_format.format_conversations(df)
+    again = chat_format.read_back(out.repartition(7)).collect()  # in any order
+    assert {r.conv_id: r for r in again} == {k: v for k, v in got.items() if k != -1}
+    whole = "".join(r.formatted for r in out.filter("conv_id = 1").orderBy("place").collect())
+    spans = [(r.loss_start, r.loss_end) for r in out.filter("conv_id = 1 and loss_start is not null").orderBy("place").collect()]
+    assert [whole[a:z] for a, z in spans] == ["b", "b"] and chat_format.parse(whole) == [("user", ""), ("assistant", "b"), ("assistant", "b")]
+    with pytest.raises(Exception, match="conversation 1: what begins at 0"):
+        chat_format.read_back(out.filter("conv_id = 1").withColumn("formatted", F.lit("odd"))).collect()
+
+
+def test_chat_of_very_many_turns(spark):
+    rows = spark.range(60_000).selectExpr("if(id % 3 = 0, null, 7) conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('turn ', id) text")
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(rows), ordered=True).collect()}
+    for name, ids in ((7, [i for i in range(60_000) if i % 3]), (None, range(0, 60_000, 3))):
+        said = "".join(f"{'assistant' if i % 2 else 'user'}\nturn {i}\n" for i in ids)
+        learned = "".join(f"turn {i}" for i in ids if i % 2)
+        assert got[name].n_turns == len(ids) and got[name].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert got[name].loss_sha256 == hashlib.sha256(learned.encode()).hexdigest() and got[name].loss_chars == len(learned)
 
 
 # --- 5 and 7 -------------------------------------------------------------------------------------------------------
@@ -223,32 +247,134 @@ def test_toxicity_never_learns_from_held_out_rows(spark):
 
 def test_site_quality(spark, odd, none):
     docs, labels = labelled(spark, lambda r: "# $ % | | #")
-    got = site_quality.score(docs, labels, "source", "lang").join(labels, "doc_id").filter("held_out").collect()
+    got = site_quality.score(docs, labels, "source").join(labels, "doc_id").filter("held_out").collect()
     assert sum(r.predicted == r.quality for r in got) >= 0.97 * len(got)
-    assert site_quality.score(odd, labels, "source", "lang").count() == 10
-    assert site_quality.score(none, labels, "source", "lang").count() == 0
-    assert site_quality.score(docs, labels.limit(0), "source", "lang").count() == 600
+    assert site_quality.score(odd, labels, "source").count() == 10
+    assert site_quality.score(none, labels, "source").count() == 0
+    assert site_quality.score(docs, labels.limit(0), "source").count() == 600
 
 
 def test_sparse_sites_shrink_to_the_prior(spark):
     docs, labels = labelled(spark, lambda r: "# $ % | | #")
     docs = docs.withColumn("source", F.when(F.col("doc_id") % 5 == 3, F.when(F.col("doc_id") == 3, "tiny").otherwise("bad")).otherwise("good"))
-    post = {r.source: r.p for r in site_quality.score(docs, labels, "source", "lang").join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.first("host_posterior").alias("p")).collect()}
+    post = {r.source: r.p for r in site_quality.score(docs, labels, "source").join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.first("host_posterior").alias("p")).collect()}
     assert post["bad"] < post["tiny"] < post["good"]
 
 
-def test_models_keep_every_string_of_the_sample(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "MAX_GRAMS", 50, raising=False)  # a cap on the counts must not change the model
-    texts = [(1 + i // 2 % 4, i % 2, f"{prose(30, 700 + i)} {'vile' if i % 2 else 'kind'}{i}") for i in range(40)]
-    model = toxicity.train(spark.createDataFrame(texts, "fold int, toxic int, text string"))
-    want = set()
-    for f, _, text in texts:
-        if f < 4:
-            for w in toxicity.words(text):
-                raw = b"\x01" + w + b"\x02"
-                want |= {raw[j : j + k] for k in range(3, 7) for j in range(len(raw) - k + 1)}
-    have = {int(x) for x in [*model.base_keys, *model.keys]}
-    assert have == {int.from_bytes(g, "big") | len(g) << 56 for g in want}
+def brute_strength(groups):
+    """From (mean, n, around) of each group."""
+    n = sum(g[1] for g in groups)
+    v = [a * (1 - a) for _, _, a in groups]
+    within = sum(x * g[1] for x, g in zip(v, groups)) / n
+    between = max((sum((m - a) ** 2 * k for m, k, a in groups) - sum(v)) / n, 1e-4 * within)
+    return min(max(within / between, 1), 1e4)
+
+
+def test_posteriors_equal_brute_force(spark):
+    r = random.Random(77)
+    rows = [(f"h{r.randrange(6)}", f"p{r.randrange(4)}", r.random() * r.choice([0.2, 0.6, 1])) for _ in range(400)]
+    got, mean, k_host, k_path = site_quality.posteriors(spark.createDataFrame(rows, "host string, path string, own double"))
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for h, p, x in rows:
+        hosts[h].append(x)
+        paths[h, p].append(x)
+    whole = sum(x for *_, x in rows) / len(rows)
+    kh = brute_strength([(np.mean(x), len(x), whole) for x in hosts.values()])
+    host = {h: (sum(x) + kh * whole) / (len(x) + kh) for h, x in hosts.items()}
+    kp = brute_strength([(np.mean(x), len(x), host[h]) for (h, _), x in paths.items()])
+    assert np.allclose([mean, k_host, k_path], [whole, kh, kp])
+    for x in got.collect():
+        own = paths[x.host, x["path"]]
+        assert np.isclose(x.host_posterior, host[x.host]) and np.isclose(x.path_posterior, (sum(own) + kp * host[x.host]) / (len(own) + kp))
+
+
+def test_no_document_is_in_its_own_prior(spark):
+    docs, labels = labelled(spark, lambda r: "# $ % | | #")
+    docs = docs.withColumn("source", F.when(F.col("doc_id") < 300, F.concat(F.lit("http://a.org/x"), F.col("doc_id") % 3, F.lit("/y?z"))).otherwise("b"))
+    rows = {r.doc_id: r for r in site_quality.score(docs, labels, "source").collect()}
+    lone = site_quality.score(docs.withColumn("source", F.when(F.col("doc_id") == 3, "lone").otherwise(F.lit("b"))), labels, "source").filter("doc_id = 3").first()
+    # a site of one document has no other: its posterior is the prior above, so its score is its own evidence
+    assert lone.score < 0.05 and lone.path_posterior < lone.host_posterior < 0.9
+    assert len({rows[i].path_posterior for i in range(300)}) == 3 and len({rows[i].host_posterior for i in range(600)}) == 2
+    sites = spark.createDataFrame([("http://a.org/x/y",), ("a.org",), (None,), ("a.org/x?q",)], "s string")
+    assert [tuple(r) for r in sites.select(site_quality.host_of(F.col("s")), site_quality.path_of(F.col("s"))).collect()] == [("a.org", "x"), ("a.org", ""), ("", ""), ("a.org", "x")]
+
+
+def small_model(spark, n=40):
+    """A model of folds 1 to 3 of labelled texts over all texts, and both."""
+    texts = [(1 + i // 2 % 4, i % 2, f"{prose(30, 700 + i)} {'vile' if i % 2 else 'kind'}{i}") for i in range(n)]
+    rows = spark.createDataFrame(texts, "fold int, toxic int, text string")
+    more = [f"{prose(20, 900 + i)} unlabelled{i}" for i in range(n)]
+    return toxicity.train(rows, rows.select("text").unionByName(spark.createDataFrame([(x,) for x in more], "text string"))), texts, more
+
+
+def strings(words, k):
+    for w in words:
+        raw = b"\x01" + w + b"\x02"
+        yield from (raw[j : j + k] for j in range(len(raw) - k + 1) if j + k > 1)
+
+
+def as_key(g):
+    return int.from_bytes(g, "big") | len(g) << 56
+
+
+class BruteModel:
+    """Modified Kneser-Ney by dictionaries: orders 6 to 4 of one class over orders 3 to 1 of all texts."""
+
+    def __init__(self, own, everything):
+        self.n = {}
+        for k in range(1, 7):
+            words = everything if k <= 3 else own
+            raw = collections.Counter(strings(words, k))
+            before = collections.Counter(g[1:] for g in set(strings(words, k + 1)))
+            self.n[k] = {g: c if k == 6 or g[0] == 1 else before[g] for g, c in raw.items()}
+        self.d = {}
+        for k, n in self.n.items():
+            c = [sum(x == i for x in n.values()) for i in (1, 2, 3, 4)]
+            y = c[0] / max(1, c[0] + 2 * c[1])
+            some = all(c)
+            self.d[k] = [0, *([min(max(i - (i + 1) * y * c[i] / c[i - 1], 0.05), i) for i in (1, 2, 3)] if some else toxicity.DISCOUNTS)]
+
+    def chance(self, ctx, byte):
+        """Of a byte after all bytes of the word so far, the start sign included."""
+        p = 1 / 256
+        for k in range(1, min(6, len(ctx) + 1) + 1):
+            c = ctx[len(ctx) - k + 1 :]
+            seen = {g: n for g, n in self.n[k].items() if g[:-1] == c and n}
+            total = sum(seen.values())
+            if total:
+                n = seen.get(c + bytes([byte]), 0)
+                left = sum(self.d[k][min(x, 3)] for x in seen.values())
+                p = (n - self.d[k][min(n, 3)]) / total + left / total * p
+        return p
+
+
+def test_models_equal_brute_force(spark):
+    model, texts, more = small_model(spark)
+    everything = [w for t in [x[2] for x in texts] + more for w in toxicity.words(t)]
+    brute = [BruteModel([w for f, c, t in texts if f < 4 and c == k for w in toxicity.words(t)], everything) for k in (0, 1)]
+    for w in (b"vile1", b"kind", b"river", b"unlabelled3", b"zq", b"a", "\u00e9t\u00e9".encode()):
+        raw = b"\x01" + w + b"\x02"
+        want = sum(np.log(brute[1].chance(raw[:i], raw[i])) - np.log(brute[0].chance(raw[:i], raw[i])) for i in range(1, len(raw)))
+        assert abs(model.ratios([w])[0] - want) < 1e-4
+
+
+def test_every_context_sums_to_one(spark):
+    model, texts, _ = small_model(spark)
+    contexts = {b"\x01" + w[:j] for _, _, t in texts[:12] for w in toxicity.words(t) for j in range(len(w) + 1)} | {b"\x01", b"\x01qqqqqq", b"\x01zz"}
+    for c in contexts:
+        whole = [c + bytes([b]) for b in range(256)]
+        key = np.array([[as_key(g[len(g) - k :]) if 0 < k <= len(g) else 0 for g in whole] for k in range(7)])
+        assert np.abs(model.chances(np.full(256, len(c)), key).sum(0) - 1).max() < 1e-5
+
+
+def test_models_keep_every_string(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD_WORDS", 50)  # handing over more often must not change the model
+    model, texts, more = small_model(spark)
+    own = [w for f, _, t in texts if f < 4 for w in toxicity.words(t)]
+    everything = [w for t in [x[2] for x in texts] + more for w in toxicity.words(t)]
+    assert {int(x) for x in model.own[0]} == {as_key(g) for k in (4, 5, 6) for g in strings(own, k)}
+    assert {int(x) for x in model.base[0]} == {as_key(g) for k in (1, 2, 3) for g in strings(everything, k)}
 
 
 # --- 6 -------------------------------------------------------------------------------------------------------------
@@ -357,21 +483,96 @@ def test_base_spans_equal_brute_force(spark, odd, none):
     assert secret_scan.findings(none).count() == 0
 
 
-def test_random_tokens_are_found_and_words_are_not(spark):
+def brute_battery(t):
+    """(even, p) of one token, test by test."""
+    kinds = [("digits", r"[0-9]+"), ("hex", r"[0-9a-f]+|[0-9A-F]+"), ("base32", r"[A-Z2-7=]+"), ("letters", r"[a-z]+|[A-Z]+"), ("alnum", r"[a-z0-9]+|[A-Z0-9]+")]
+    kind = next((k for k, pattern in kinds if re.fullmatch(pattern, t)), "base64")
+    n, size, change, plain = len(t), secret_scan.SIZES[kind], secret_scan.CHANGE[kind], secret_scan.ORDINARY_CHANGE[kind]
+    chi = sum(c * c for c in collections.Counter(t).values()) * size / n - n
+    free, gaps, shift = size - 1, n - 1, n * max(size * secret_scan.ORDINARY_SQUARES - 1, 0.5)
+    cls = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-" for c in t]
+    changes = sum(x != y for x, y in zip(cls, cls[1:]))
+    q = max(change, 0.01)
+    runs = (changes - gaps * q) / (gaps * q * (1 - q)) ** 0.5 if change else 0
+    codes = [ord(c) for c in t]
+    mean = sum(codes) / n
+    var = sum((x - mean) ** 2 for x in codes)
+    serial = (sum((x - mean) * (y - mean) for x, y in zip(codes, codes[1:])) / var if var else 1) * n**0.5
+    even = all(abs(z) < secret_scan.LIMIT for z in (runs, serial)) and (chi - free) / (2 * free * gaps / n) ** 0.5 < secret_scan.LIMIT
+    z = ((chi - free - shift) / (2 * (free + 2 * shift)) ** 0.5 + ((gaps * plain - changes) / (gaps * plain * (1 - plain)) ** 0.5 if change else 0)) / 2**0.5
+    z = min(12, max(-12, z))
+    return even, 1 / (1 + np.exp(-(1.5976 * z + 0.07056 * z**3)))
+
+
+ALPHABETS = {
+    "hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "alnum": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+PLAIN = ["".join, "-".join, lambda w: "_".join(w).upper(), lambda w: "".join(x.title() for x in w), lambda w: "/".join(w) + "/2024"]
+
+
+def token(r, alphabet, n):
+    return "".join(r.choice(alphabet) for _ in range(n))
+
+
+def test_battery_and_discoveries_equal_brute_force(spark):
+    r = random.Random(18)
+    tokens = [token(r, a, r.choice([20, 24, 32, 40, 64, 100])) for a in ALPHABETS.values() for _ in range(40)]
+    tokens += [r.choice(PLAIN)(r.choices(WORDS, k=6)) for _ in range(150)] + ["a" * 40, "0" * 30, "Ab" * 20, "1234567890" * 3, "=" * 25]
+    tokens = [t for t in tokens if len(t) >= 20]
+    df = table(spark, [f"see {t} there" for t in tokens])
+    got = {x.doc_id: x.t[0] for x in df.select("doc_id", secret_scan.battery(F.array(F.substring_index(F.substring_index("text", " ", 2), " ", -1))).alias("t")).collect()}
+    want = [brute_battery(t) for t in tokens]
+    for i, t in enumerate(tokens):
+        assert got[i].token == t and got[i].even == want[i][0] and np.isclose(got[i].p, want[i][1], rtol=1e-6)
+    # the step-up rule, stratum by stratum
+    found = {i: x.spans for i, x in ((x.doc_id, x) for x in secret_scan.findings(df).collect())}
+    bins = [min(secret_scan.BINS, max(0, int(np.floor(-10 * np.log10(max(p, 1e-40)))))) if even else 0 for even, p in want]
+    level = [int(np.log2(len(t))) for t in tokens]
+    for k in set(level):
+        own = [bins[i] for i in range(len(tokens)) if level[i] == k]
+        good = [b for b in set(own) if b > 0 and 10 ** (-b / 10) * len(own) <= secret_scan.FDR * sum(x >= b for x in own)]
+        for i in range(len(tokens)):
+            if level[i] == k:
+                free = not any(a < 4 + len(tokens[i]) and 4 < z for a, _, z in brute_spans(f"see {tokens[i]} there"))
+                assert ("random" in found[i]) == (bool(good) and bins[i] >= min(good) and free)
+
+
+@pytest.mark.parametrize("kind", ALPHABETS)
+def test_random_tokens_are_found_and_words_are_not(spark, kind):
     r = random.Random(8)
-    import string
-
-    random_token = lambda n: "".join(r.choice(string.ascii_letters + string.digits + "+/") for _ in range(n))
-    texts = [f"see {random_token(40)} there" for _ in range(40)]
-    plain = [f"see {''.join(r.choice(WORDS) for _ in range(6))} and {'-'.join(r.choice(WORDS) for _ in range(5))} and {'abcdefghij' * 4} and {'Ab' * 20}" for _ in range(200)]
+    sizes = [24, 32, 40, 64] if kind in ("hex", "base32") else [20, 24, 32, 40, 64]
+    texts = [f"see {token(r, ALPHABETS[kind], n)} there" for n in sizes for _ in range(40)]
+    plain = [f"see {r.choice(PLAIN)(r.choices(WORDS, k=6))} and {'-'.join(r.choice(WORDS) for _ in range(5))} and {'abcdefghij' * 4} and {'Ab' * 20}" for _ in range(200)]
     got = {x.doc_id: x.spans for x in secret_scan.findings(table(spark, texts + plain)).collect()}
-    assert sum("random:4:44" in got[i] for i in range(40)) >= 32
-    assert sum("random" in got[i] for i in range(40, 240)) == 0
+    for j, n in enumerate(sizes):
+        assert sum(got[40 * j + i] == f"random:4:{4 + n}" for i in range(40)) >= 36
+    assert sum("random" in got[len(texts) + i] for i in range(200)) <= 2
+
+
+def test_many_matches_and_redaction_equal_brute_force(spark):
+    r = random.Random(28)
+    bits = ["token=abcdefghijklmnop", " ", "0123456789abcdef", "é", "😀\n", "x", "AKIA" + "B" * 16, "password: 0123456789abcdef", "plain words "]
+    texts = ["".join(r.choice(bits) for _ in range(n)) for n in (1, 5, 30, 400, 6000) for _ in range(4)] + ["0123456789abcdef " * 20_000]
+    got = {x.doc_id: x.text for x in secret_scan.redact(table(spark, texts)).collect()}
+    spans = {x.doc_id: x.spans for x in secret_scan.findings(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        own = [tuple(map(int, x.split(":")[1:])) for x in spans[i].split(",") if x]
+        assert len(own) >= len(brute_spans(t))
+        out, at = "", -1
+        for a, z in own:
+            if a > at:
+                out += t[max(at, 0) : a] + "[SECRET]"
+            at = max(at, z)
+        assert got[i] == out + t[max(at, 0) :]
 
 
 def test_redaction(spark):
     df = table(spark, ["é token = abcdefghijklmnop and 0123456789abcdef.", "nothing", None])
-    assert [r.text for r in secret_scan.redact(df).orderBy("doc_id").collect()] == ["é [SECRET] and [SECRET].", "nothing", None]
+    df = df.withColumns({c: F.lit(c) for c in ("spans", "base_spans", "__random", "tokens", "base")})
+    rows = secret_scan.redact(df)
+    assert rows.columns == df.columns and rows.select("spans", "__random").distinct().collect() == [("spans", "__random")]
+    assert [r.text for r in rows.orderBy("doc_id").collect()] == ["é [SECRET] and [SECRET].", "nothing", None]
 
 
 # --- 9 -------------------------------------------------------------------------------------------------------------

@@ -29,7 +29,7 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.with_conflict(table(spark, sf_dir, "conversations"))
-    return chat_format.read_back(chat_format.format_conversations(rows))
+    return chat_format.read_back(chat_format.format_conversations(rows), ordered=True)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source", "lang")
+    return site_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_ledger.verdicts(rule_ledger.ledger(rule_ledger.measured(table(spark, sf_dir, "documents"))))
+    return rule_ledger.verdicts(rule_ledger.stored(table(spark, sf_dir, "documents")))
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy changes, from the ledger of op9."""
+    return rule_ledger.all_ablations(rule_ledger.stored(table(spark, sf_dir, "documents")))
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +69,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_url_filter, op2_token_store, op3_piece_codec, op4_chat_format, op5_toxicity, op6_decontaminate, op7_site_quality, op8_secret_scan, op9_rule_ledger, op10_simhash_dedup, pipeline]
+    own = [op1_url_filter, op2_token_store, op3_piece_codec, op4_chat_format, op5_toxicity, op6_decontaminate, op7_site_quality, op8_secret_scan, op9_rule_ledger, rule_ablations, op10_simhash_dedup, pipeline]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.ORACLE, "op4_chat_format": chat_format.ORACLE, "op9_rule_ledger": rule_ledger.ORACLE}
+    return {"op1_url_filter": url_filter.ORACLE, "op4_chat_format": chat_format.ORACLE, "op9_rule_ledger": rule_ledger.ORACLE, "rule_ablations": rule_ledger.ABLATIONS}
