@@ -99,7 +99,8 @@ def matches(table: DataFrame, query: Query) -> DataFrame:
     places = [F.collect_set(F.when(F.col("word") == w, F.col("pos"))).alias(f"p{i}") for i, w in enumerate(wanted)]
     cited = [F.max((F.col("word") == w) & (F.col("weight") == WEIGHTS["A"])).alias(f"c{i}") for i, w in enumerate(wanted)]
     positive = [w for w in wanted if w not in query.without]
-    weight = F.sum(F.when(F.col("word").isin(positive), F.col("weight")).otherwise(0.0))
+    # whole counts of each weight, so that the sum doesn't depend on the order of rows
+    weight = sum((F.count_if(F.col("word").isin(positive) & (F.col("weight") == w)) * F.lit(w) for w in WEIGHTS.values()), F.lit(0.0))
     found = rows.groupBy("id").agg(*places, *cited, weight.alias("weight"), F.max("n_words").alias("n_words"))
     at = {w: i for i, w in enumerate(wanted)}
 

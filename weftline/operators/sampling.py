@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,14 +30,14 @@ def stratified(rows: DataFrame, stratum: str, n: int, seed: int, key: str = "id"
     take = allocation(sizes, n).select(F.col("stratum").alias(stratum), "take")
     order = W.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
     ranked = rows.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= n)
-    return ranked.join(F.broadcast(take), stratum).filter(F.col("__r") <= F.col("take")).drop("__r", "take")
+    return ranked.join(take, stratum).filter(F.col("__r") <= F.col("take")).drop("__r", "take")
 
 
 def by_ids(rows: DataFrame, ids: list[str]) -> DataFrame:
     """The rows of a list of ids in its order; an empty list selects nothing."""
     spark = rows.sparkSession
     listed = spark.createDataFrame([(i, x) for i, x in enumerate(dict.fromkeys(ids))], "pos long, id string")
-    return rows.join(F.broadcast(listed), "id").orderBy("pos")
+    return rows.join(listed, "id").orderBy("pos")
 
 
 def selection(rows: DataFrame, asked: DataFrame) -> DataFrame:
@@ -95,3 +99,21 @@ def spend(calls: DataFrame, caps: DataFrame) -> DataFrame:
     own = calls.groupBy("reg", "stage").agg(F.sum("cost").alias("spent"))
     total = F.sum("spent").over(W.partitionBy("reg"))
     return own.withColumn("total", total).join(caps, "reg", "left").withColumn("exceeded", F.coalesce(F.col("total") > F.col("cap") + 1e-9, F.lit(False)))
+
+
+def sorted_digests(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, checksum): the MD5 of each group's keys, sorted and joined by commas. Rows stream through in sorted order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, sums = [], []
+        for b in batches:
+            for name, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not names or names[-1] != name:
+                    names.append(name)
+                    sums.append(hashlib.md5(k.encode()))
+                else:
+                    sums[-1].update(b"," + k.encode())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([s.hexdigest() for s in sums], pa.string())], names=[group, "checksum"])
+
+    ordered = rows.select(F.col(group).cast("string"), F.col(key).cast("string")).filter(F.col(key).isNotNull()).repartition(group).sortWithinPartitions(group, key)
+    return ordered.mapInArrow(run, f"{group} string, checksum string")

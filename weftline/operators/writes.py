@@ -82,7 +82,7 @@ def finalized(log: DataFrame, held: DataFrame, imported: DataFrame, since: Colum
     """The log of an import: where the source's version (key, version) didn't change, its text changes since the start of the run
     were corrections of transcription, not of the rule."""
     same = held.join(imported.select("key", F.col("version").alias("now")), "key").filter(F.col("version").eqNullSafe(F.col("now"))).select(F.col("key").alias("reg_key")).withColumn("same", F.lit(True))
-    joined = log.join(F.broadcast(same), "reg_key", "left")  # a row for each document
+    joined = log.join(same, "reg_key", "left")
     fix = F.col("same") & (F.col("created_at") >= since) & F.col("change_type").isin("text_updated", "added", "removed")
     return joined.withColumn("change_type", F.when(fix, "transcription_corrected").otherwise(F.col("change_type"))).select(*log.columns)
 

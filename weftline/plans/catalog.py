@@ -12,6 +12,7 @@ from weftline.functions import labels as L
 from weftline.functions import text as T
 from weftline.functions import values as V
 from weftline.operators import changes, context, documents, hybrid, lexical, links, quality, sampling, tree, vector, writes
+from weftline.plans import search_sql
 from weftline.sources import tables as S
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,10 @@ def _r(c, n: int = 6):
     return F.round(c, n)
 
 
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: _r(F.col(c).cast("double"), 4) for c in columns})
+
+
 # --- scans, projections, predicates -------------------------------------------------------------------------------
 
 
@@ -136,9 +141,9 @@ def event_props(spark, d):
 
 @query("SELECT event_type, md5(string_agg(k, ',' ORDER BY k)) AS checksum FROM (SELECT event_type, event_id::VARCHAR AS k FROM events) GROUP BY event_type")
 def checksums(spark, d):
-    """Order-independent: sorted before hashing. One row of ids a type; a corpus-sized table takes bit_xor of hashes instead."""
-    rows = _t(spark, d, "events").select("event_type", F.col("event_id").cast("string").alias("k"))
-    return rows.groupBy("event_type").agg(F.md5(F.array_join(F.sort_array(F.collect_list("k")), ",").cast("binary")).alias("checksum"))
+    """Order-independent: ids are sorted before hashing. A digest of sorted ids can't be made of parts, so each type's ids go through one
+    digest, but a batch at a time, after a sort that spills: none is held whole."""
+    return sampling.sorted_digests(_t(spark, d, "events").select("event_type", F.col("event_id").cast("string").alias("k")), "event_type", "k")
 
 
 # --- joins --------------------------------------------------------------------------------------------------------
@@ -214,7 +219,10 @@ def pivot_events(spark, d):
 
 @query("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_texts(spark, d):
-    return _t(spark, d, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """Digests are grouped, not texts; only one text of each repeated digest is read again."""
+    rows = _t(spark, d, "documents").select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    twice = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).filter("n > 1 and digest is not null")
+    return rows.join(twice.drop("digest"), "doc_id").select("text", "n")
 
 
 @query("SELECT user_id, sum(CASE WHEN ts >= TIMESTAMP '2024-01-29' THEN 1 ELSE 0 END)::BIGINT AS last_day, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 3")
@@ -346,16 +354,16 @@ def match_count(spark, d):
     return lexical.matches(table, lexical.user_query('idiot or "of the"')).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(search_sql.keyword([["the"], ["of"]], ["clown"], 25))
 def keyword_search(spark, d):
     rows = S.nodes(spark, d)
-    return lexical.search(rows, "the of -clown", 25, paths=tree.breadcrumbs(rows))
+    return _rounded(lexical.search(rows, "the of -clown", 25, paths=tree.breadcrumbs(rows)), "score")
 
 
-@query()
+@query(search_sql.keyword([["the"], ["and"], ["of"]], [], 10, where="reg_key = 'src1'", paths=False))
 def document_search(spark, d):
     rows = S.nodes(spark, d).filter("reg_key = 'src1'")
-    return lexical.search(rows, "the and of", 10)
+    return _rounded(lexical.search(rows, "the and of", 10), "score")
 
 
 @query("""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0)
@@ -383,17 +391,17 @@ def _hybrid(spark: SparkSession, d: str, text: str, n: int = 20) -> DataFrame:
     return hybrid.search(rows, vectors, text, list(q), n, paths=tree.breadcrumbs(rows))
 
 
-@query()
+@query(search_sql.hybrid([["idiot"], ["clown"]], short=True, long=False, federal=False, state=False))
 def hybrid_short(spark, d):
-    return _hybrid(spark, d, "idiot clown")
+    return _rounded(_hybrid(spark, d, "idiot clown"), "score", "fused")
 
 
-@query()
+@query(search_sql.hybrid([["which"], ["federal"], ["rule"], ["is"], ["that"], ["of"], ["the"], ["and", "in"], ["colorado"], ["state"]], short=False, long=True, federal=True, state=True))
 def hybrid_sentence(spark, d):
-    return _hybrid(spark, d, "which federal rule is that of the and or in colorado state")
+    return _rounded(_hybrid(spark, d, "which federal rule is that of the and or in colorado state"), "score", "fused")
 
 
-@query()
+@query(search_sql.completed([["the"], ["idiot"]], short=True, long=False))
 def completed_list(spark, d):
     hits = _hybrid(spark, d, "the idiot").select("id", "position")
     return hybrid.complete_lists(hits, S.nodes(spark, d))
@@ -520,10 +528,10 @@ def stratified_sample(spark, d):
 @query()
 def search_evaluation(spark, d):
     rows = _t(spark, d, "benchmark").select(F.col("item_id").alias("q"), "text")
-    words = F.slice(F.array_distinct(lexical.words(F.col("text"))), 1, 8)
+    words = F.array_distinct(lexical.words(F.col("text")))
     asked = rows.select("q", F.explode(words).alias("word"))
     table = lexical.index(S.nodes(spark, d))
-    hits = table.select("id", "word").distinct().join(F.broadcast(asked), "word").groupBy("q", "id").agg(F.count(F.lit(1)).alias("n"))
+    hits = table.select("id", "word").distinct().join(asked, "word").groupBy("q", "id").agg(F.count(F.lit(1)).alias("n"))
     over = W.partitionBy("q").orderBy(F.desc("n"), "id")
     top = hits.withColumn("position", F.row_number().over(over)).filter("position <= 10")
     questions = rows.select("q", F.array(F.lit("sec-src1")).alias("expect"), F.array(F.lit("sec-src9-")).alias("forbid"), F.lit(10).alias("top_n"))
