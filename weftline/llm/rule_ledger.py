@@ -182,9 +182,9 @@ FROM y
 """
 
 ABLATIONS = _MEASURED + """
-, p(policy, mask) AS (VALUES ('base', 3), ('v1', 91))
-, r(rule, bit) AS (VALUES ('too_few_words', 1), ('repeated_words', 2), ('symbols', 8), ('duplicate_lines', 16), ('long_words', 64))
+, versions(policy, mask) AS (VALUES ('base', 3), ('v1', 91))
+, rules(rule, bit) AS (VALUES ('too_few_words', 1), ('repeated_words', 2), ('symbols', 8), ('duplicate_lines', 16), ('long_words', 64))
 SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS failing, count(*) FILTER (failed & mask = bit) AS only_this,
   count(*) FILTER (failed & mask & ~bit = 0) AS kept_without
-FROM y, p, r WHERE mask & bit <> 0 GROUP BY policy, rule
+FROM y, versions, rules WHERE mask & bit <> 0 GROUP BY policy, rule
 """

@@ -165,26 +165,31 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = None) -> tuple[np.
     for _ in count() if rounds is None else range(rounds):
         if len(seq) < 2 * LEAST:
             break
-        code = seq[:-1] << 32 | seq[1:]
+        bits, places = max(base + len(rules), int(seq.max()) + 1).bit_length(), len(seq).bit_length()
+        code, place = seq[:-1] << bits | seq[1:], np.arange(len(seq) - 1)
         # a run of one symbol holds its pair at every other place
-        place = np.arange(len(code))
-        free = (place - np.maximum.accumulate(np.where(np.r_[True, code[1:] != code[:-1]], place, 0))) % 2 == 0
-        ordered = np.sort(code[free])
-        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        counts = np.diff(np.r_[starts, len(ordered)])
+        same = np.flatnonzero(code[1:] == code[:-1]) + 1
+        if len(same):
+            new = np.r_[True, same[1:] != same[:-1] + 1]
+            odd = same[(same - same[new][np.cumsum(new) - 1]) % 2 == 0]
+            code, place = np.delete(code, odd), np.delete(place, odd)
+        # pairs and their places in one number, so that one sort brings the places of each pair together
+        if 2 * bits + places < 64:
+            ordered = np.sort(code << places | place)
+            code, place = ordered >> places, ordered & ((1 << places) - 1)
+        else:
+            order = np.argsort(code, kind="stable")
+            code, place = code[order], place[order]
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        counts = np.diff(np.r_[starts, len(code)])
         often = np.flatnonzero(counts >= LEAST)
         if not len(often):
             break
         top = often[np.argsort(-counts[often], kind="stable")[:NEW]]
-        pairs = ordered[starts[top]]
-        by_code = np.argsort(pairs)
-        slot = lambda x: (x * np.int64(-7046029254386353131)) >> np.int64(48) & 0xFFFF
-        maybe = np.zeros(1 << 16, bool)
-        maybe[slot(pairs)] = True
-        at = np.flatnonzero(maybe[slot(code)] & free)
-        place = np.minimum(np.searchsorted(pairs[by_code], code[at]), len(pairs) - 1)
-        hit = pairs[by_code][place] == code[at]
-        at, rank = at[hit], by_code[place[hit]]
+        pairs = code[starts[top]]
+        at, rank = place[runs(starts[top], counts[top])], np.repeat(np.arange(len(top)), counts[top])
+        order = np.argsort(at)
+        at, rank = at[order], rank[order]
         # of overlapping occurrences the most frequent pair wins, then the leftmost; the others wait for the next round
         left = np.r_[False, (at[1:] == at[:-1] + 1) & (rank[:-1] <= rank[1:])]
         right = np.r_[(at[1:] == at[:-1] + 1) & (rank[1:] < rank[:-1]), False]
@@ -194,7 +199,7 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = None) -> tuple[np.
         good = uses >= LEAST
         number = np.cumsum(good) - 1 + base + len(rules)
         at, rank = at[good[rank]], rank[good[rank]]
-        new = np.stack([pairs[good] >> 32, pairs[good] & 0xFFFFFFFF], axis=1)
+        new = np.stack([pairs[good] >> bits, pairs[good] & ((1 << bits) - 1)], axis=1)
         size = np.where(new < base, 1, np.r_[lengths, 0][np.minimum(np.maximum(new - base, 0), len(lengths))]).sum(1)
         rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, size])
         seq = seq.copy()
