@@ -143,6 +143,7 @@ class Model:
         self.own, self.own_rest = self._sorted(high, 0), self._sorted(high, 2)
         self.weights = np.zeros(3)
         self.cache: dict[bytes, float] = {}
+        self.old: dict[bytes, float] = {}
 
     @staticmethod
     def _sorted(levels: list[tuple[np.ndarray, ...]], i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,14 +161,15 @@ class Model:
             out[hit] = values[at[hit]]
         return out
 
-    def chances(self, place: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Probabilities, ordinary and toxic, of bytes at places of words, from the strings that end in them (rows of ``key`` by order)."""
-        p = np.full((len(place), 2), 1 / 256)
+    def chances(self, strings: np.ndarray) -> np.ndarray:
+        """Probabilities, ordinary and toxic, of the last bytes of ``strings`` after those before them: all of the word so far or the last
+        HIGH bytes of it. Each order looks up its distinct strings in their order."""
+        p = np.full((len(strings), 2), 1 / 256)
         for k in range(1, HIGH + 1):
-            has = np.flatnonzero(place >= k - 1)
-            own = key[k][has]
+            has = np.flatnonzero(strings >> 56 >= k)
+            own, at = np.unique(strings[has] & ((np.int64(1) << 8 * k) - 1) | k << 56, return_inverse=True)
             table, rest = (self.base, self.base_rest) if k <= SHARED else (self.own, self.own_rest)
-            p[has] = self._look(table, own, 0) + self._look(rest, _context(own), 1) * p[has]
+            p[has] = self._look(table, own, 0)[at] + self._look(rest, _context(own), 1)[at] * p[has]
         return p
 
     def ratios(self, items: list[bytes]) -> np.ndarray:
@@ -175,28 +177,40 @@ class Model:
         if not items:
             return np.zeros(0)
         of, place, key = grams(items)
-        said = place > 0
-        p = np.log(self.chances(place[said], key[:, said]))
-        return np.bincount(of[said], p[:, 1] - p[:, 0], len(items))
+        said = np.flatnonzero(place > 0)
+        strings, at = np.unique(key[np.minimum(place[said] + 1, HIGH), said], return_inverse=True)
+        p = np.log(self.chances(strings))
+        return np.bincount(of[said], (p[:, 1] - p[:, 0])[at], len(items))
 
     def evidence(self, texts: list[str | None], cached: int = 150_000) -> np.ndarray:
-        """For each text: ratio a word, ratio beyond the margin a word."""
+        """For each text: ratio a word, ratio beyond the margin a word. Words are cached in two generations of ``cached``: what is still in use
+        moves to the young one, so frequent words stay."""
         cut = [words(t) for t in texts]
         flat = [w for c in cut for w in c]
-        fresh = list(set(flat) - self.cache.keys())
-        if len(self.cache) + len(fresh) > cached:
-            self.cache.clear()
-            fresh = list(set(flat))
+        young, old = self.cache, self.old
+        fresh = []
+        for w in set(flat) - young.keys():
+            r = old.get(w)
+            if r is None:
+                fresh.append(w)
+            else:
+                young[w] = r
         for i in range(0, len(fresh), 10_000):
             part = fresh[i : i + 10_000]
-            self.cache.update(zip(part, self.ratios(part).tolist(), strict=True))
-        r = np.fromiter(map(self.cache.__getitem__, flat), float, len(flat))
+            young.update(zip(part, self.ratios(part).tolist(), strict=True))
+        r = np.fromiter(map(young.__getitem__, flat), float, len(flat))
+        if len(young) > cached:
+            self.cache, self.old = {}, young
         of = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
         n = np.maximum(np.array([len(c) for c in cut]), 1)
         plain = np.bincount(of, np.clip(r, -5, 5), len(cut)) / n
         strong = np.bincount(of, np.maximum(r - MARGIN, 0), len(cut)) / n
         return np.stack([plain, np.log1p(100 * strong)], 1)
 
+    def forget(self) -> None:
+        """Empties the caches, so that idle workers stay small."""
+        self.cache, self.old = {}, {}
+
     def fit(self, evidence: np.ndarray, toxic: np.ndarray) -> None:
         """Logistic weights by Newton steps, slightly shrunk."""
         self.center, self.scale = evidence.mean(0), evidence.std(0) + 1e-9
@@ -302,7 +316,7 @@ def train(sample: DataFrame, texts: DataFrame) -> Model | None:
         for b in batches:
             e = _evidence_of(shared, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(e[:, 0]), pa.array(e[:, 1])], names=["toxic", "plain", "strong"])
-        shared.value.cache.clear()
+        shared.value.forget()
 
     held = sample.filter("fold = 4").select("toxic", "text").mapInArrow(weigh, "toxic int, plain double, strong double").toArrow()
     toxic = held.column("toxic").to_numpy()
@@ -328,7 +342,7 @@ def score_column(docs: DataFrame, model: Model | None, text_col: str = "text") -
         m = shared.value
         for texts in batches:
             yield pa.array(m.score(m.evidence(texts.to_pylist())))
-        m.cache.clear()
+        m.forget()
 
     return F.arrow_udf(of, "double")(F.col(text_col).cast("string"))
 
