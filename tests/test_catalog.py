@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from weftline.plans import catalog
+from weftline.plans import catalog, more  # noqa: F401 - its queries are in the catalog's tables
 
 DIR = "/root/testdata/sf0.001"
 

@@ -67,7 +67,7 @@ METHODS = r"(?i)\bmethods?\s+(\d{1,4}(?!\d)[A-Z]?(?:(?:\s*,\s*(?:and\s+|or\s+)?|
 def methods(text: Column) -> Column:
     """array<string>: cited methods, in order, once each; number ranges are filled in."""
     lists = F.regexp_extract_all(text, F.lit(METHODS), F.lit(1))
-    item = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r"(\d+[A-Z]?(?:\s+through\s+|\s*[-–]\s*)\d+|\d+[A-Z]?)"), F.lit(1))))
+    item = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r"(?i)(\d+[A-Z]?(?:\s+through\s+|\s*[-–]\s*)\d+|\d+[A-Z]?)"), F.lit(1))))
 
     def filled(x: Column) -> Column:
         low, high = F.regexp_extract(x, r"^(\d+)", 1).cast("int"), F.nullif(F.regexp_extract(x, r"(?:through|[-–])\s*(\d+)$", 1), F.lit("")).cast("int")
