@@ -140,8 +140,11 @@ def search(nodes: DataFrame, chunks: DataFrame, text: str, vector: list[float],
     own = nodes
     own = own.filter(F.col("reg_key").isin(regs)) if regs is not None else own
     own = own.filter(F.col("jurisdiction_level") == level) if level is not None else own
-    table = lexical.index(own) if table is None else table.join(own.select("id"), "id", "left_semi") if regs is not None or level is not None else table
     asked = query or lexical.user_query(text)
+    if table is None:
+        table = lexical.index(own, asked.words())
+    elif regs is not None or level is not None:
+        table = table.join(own.select("id"), "id", "left_semi")
     asked, enough = lexical.relaxed(table, asked)
     hits = lexical.matches(table, asked)
     q = F.array(*[F.lit(float(x)) for x in vector])

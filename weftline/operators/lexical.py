@@ -76,12 +76,15 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), SPLIT), lambda w: w != "")
 
 
-def index(nodes: DataFrame) -> DataFrame:
-    """(id, word, weight, pos, n_words): the word table of nodes (id, citation, title, full_text). Store it by word to reuse it."""
+def index(nodes: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(id, word, weight, pos, n_words): the word table of nodes (id, citation, title, full_text). Store it by word to reuse it; for a single
+    query give its words as ``only``: others then never become rows."""
     weighed = lambda c, w: F.transform(words(c), lambda x: F.struct(x.alias("word"), F.lit(WEIGHTS[w]).alias("weight")))
     text = F.regexp_replace(F.coalesce("full_text", F.lit("")), T.TAG, " ")
-    every = F.concat(weighed(F.col("citation"), "A"), weighed(F.col("title"), "B"), weighed(text, "C"))
-    return nodes.select("id", every.alias("all")).select("id", F.size("all").alias("n_words"), F.posexplode("all").alias("pos", "x")).select("id", "n_words", "pos", "x.word", "x.weight")
+    rows = nodes.select("id", F.concat(weighed(F.col("citation"), "A"), weighed(F.col("title"), "B"), weighed(text, "C")).alias("all"))
+    placed = F.transform("all", lambda x, i: F.struct(i.alias("pos"), x["word"].alias("word"), x["weight"].alias("weight")))
+    kept = placed if only is None else F.filter(placed, lambda x: x["word"].isin(only))
+    return rows.select("id", F.size("all").alias("n_words"), F.explode(kept).alias("x")).select("id", "n_words", "x.pos", "x.word", "x.weight")
 
 
 def store(table: DataFrame, path: str, parts: int | None = None) -> None:
@@ -185,7 +188,7 @@ def search(nodes: DataFrame, text: str, limit: int | None = 25, include_basis: b
     limit = max(limit if limit is not None else 25, 1)
     query = user_query(text)
     named = text.strip().lower()
-    hits = matches(table if table is not None else index(nodes), query)
+    hits = matches(table if table is not None else index(nodes, query.words()), query)
     rows = hits.join(nodes.select("id", "citation", "title", "reg_key", "full_text", "sort_order"), "id").withColumn("is_basis", F.col("id").rlike(rules.basis_pattern))
     if not include_basis:
         rows = rows.filter(~F.col("is_basis"))

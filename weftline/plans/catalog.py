@@ -344,14 +344,16 @@ _INDEX_SQL = S.NODES_SQL + r""", words AS (
 
 @query(f"WITH {_INDEX_SQL} SELECT id, round(sum(na * 1.0 + nb * 0.4 + nc * 0.2) / (1 + ln(max(n))), 6) AS score FROM tf GROUP BY id HAVING min(na + nb + nc) > 0")
 def keyword_matches(spark, d):
-    found = lexical.matches(lexical.index(S.nodes(spark, d)), lexical.Query([[("the",)], [("idiot",)]]))
+    asked = lexical.Query([[("the",)], [("idiot",)]])
+    found = lexical.matches(lexical.index(S.nodes(spark, d), asked.words()), asked)
     return found.select("id", _r("score").alias("score"))
 
 
 @query(r"SELECT count(*) AS n FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])idiot([^\p{L}\p{N}]|$)') OR regexp_matches(lower(text), '(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+the([^\p{L}\p{N}]|$)')")
 def match_count(spark, d):
-    table = lexical.index(S.nodes(spark, d).withColumn("citation", F.lit("")).withColumn("title", F.lit("")))
-    return lexical.matches(table, lexical.user_query('idiot or "of the"')).agg(F.count(F.lit(1)).alias("n"))
+    asked = lexical.user_query('idiot or "of the"')
+    table = lexical.index(S.nodes(spark, d).withColumn("citation", F.lit("")).withColumn("title", F.lit("")), asked.words())
+    return lexical.matches(table, asked).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(search_sql.keyword([["the"], ["of"]], ["clown"], 25))
