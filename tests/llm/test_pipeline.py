@@ -3,18 +3,24 @@ import random
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import BITS, labelled, prose, table
 from weftline.llm import simhash_dedup
 
 
+#: Names that stages use inside.
+CLASHING = "__fp __id __hash __random spans base_spans tokens base fp row words hashes h item start score toxic fold text_hash width n root best".split()
+
+
 def test_stages_take_effect(spark, tmp_path):
     docs, labels = labelled(spark, lambda r: "zork" + r.choice(["el", "ina", "ot"]))
     item = " ".join(random.Random(1).choices("ash birch cedar elm fir oak pine yew".split(), k=40))
     long = prose(300, 999)
     more = [f"{prose(40, 5000)} {item} {prose(30, 5001)}", long, long, f"{prose(50, 5002)} token = abcdefghijklmnop1", None, None, ""]
     docs = docs.unionByName(table(spark, more, 1000)).withColumn("extra", docs.doc_id)
+    docs = docs.withColumns({c: F.lit(c) for c in CLASHING})
     d = str(tmp_path / "sf")
     docs.write.parquet(f"{d}/documents.parquet")
     labels.write.parquet(f"{d}/labels.parquet")
@@ -27,6 +33,7 @@ def test_stages_take_effect(spark, tmp_path):
         assert out.columns == own.columns
         out.write.parquet(f"{d}/{name}")
         own = spark.read.parquet(f"{d}/{name}")
+        assert own.select(*CLASHING).distinct().collect() == [tuple(CLASHING)]
         ids[name] = {r.doc_id for r in own.collect()}
     toxic = {i for i in range(600) if i % 5 == 3}
     assert len(ids["toxicity"] & toxic) <= 5 and len(ids["toxicity"] - toxic) >= 480
