@@ -51,3 +51,24 @@ def test_versions_of_a_table(spark, tmp_path):
     write(rows((2, "c")), 1)
     write(rows((2, "c")), 1)
     assert sorted(spark.read.parquet(str(tmp_path / "t/v1")).collect()) == [(1, "a"), (2, "c")]
+
+
+def test_hours_add_up_to_days(spark, tmp_path):
+    rows = [(i, i % 2, dt.datetime(2024, 3, 9, 20) + dt.timedelta(minutes=13 * i)) for i in range(500)]  # over a change of the clock
+    batch = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
+    batch.repartition(1).sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+    hours = run(spark, tmp_path, "days", jobs.daily(stream, "ts", ["user_id"], "1 hour"))
+    got = {(r.day, r.user_id): r.n for r in hours.groupBy("day", "user_id").agg(F.sum("n").alias("n")).collect()}
+    want = {(r.day, r.user_id): r.n for r in batch.groupBy(jobs.V.civil_day(F.col("ts")).alias("day"), "user_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    last = max(d for d, _ in want)
+    assert {k: n for k, n in got.items() if k[0] < last} == {k: n for k, n in want.items() if k[0] < last} and len({d for d, _ in want}) == 6
+
+
+def test_each_event_once(spark, tmp_path):
+    batch, _ = events(spark, tmp_path)
+    twice = batch.unionByName(batch.filter("event_id % 3 = 0"))
+    twice.repartition(1).sortWithinPartitions("ts").write.parquet(str(tmp_path / "twice"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "twice"))
+    got = run(spark, tmp_path, "once", jobs.distinct_events(stream, "event_id", "ts"))
+    assert sorted(r.event_id for r in got.collect()) == list(range(400))

@@ -20,7 +20,8 @@ def rate(events: DataFrame, who: str, when: str, length: str = "60 seconds", sli
 
 
 def daily(events: DataFrame, when: str, keys: list[str], delay: str = "2 days", zone: str = V.ZONE) -> DataFrame:
-    """(day, keys..., n, latest): counts by day of the zone, exact over changes of the clock."""
+    """(day, keys..., n, latest): a row for each closed hour with events, marked with the day of the zone. Days of a zone aren't windows of one
+    length (clocks change), hours are parts of exactly one: the sums of ``n`` by day and keys are the counts of the day."""
     marked = events.withWatermark(when, delay)
     return marked.groupBy(F.window(when, "1 hour").alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.max(when).alias("latest")).select(V.civil_day(F.col("w.start"), zone).alias("day"), *keys, "n", "latest")
 
