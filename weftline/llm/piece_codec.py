@@ -41,7 +41,9 @@ UNITS = 20_000
 #: Pair tests that are remembered at once.
 PAIRS = 400_000
 #: Bytes of text that are encoded together.
-BYTES = 4 << 20
+BYTES = 3 << 20
+#: Characters of cached units in one generation.
+CACHED = 2_000_000
 
 
 class PieceCodec:
@@ -72,7 +74,7 @@ class PieceCodec:
                 self.automaton.add_word(p, (i, len(p) - 1))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.units = UnitCache(self._many)
+        self.units = UnitCache(self._many, CACHED)
         self.stops = {x: self.ids[x] for x in ".,;:)" if x in self.ids and self.alone[self.ids[x]]}
         self.bytes = [self._bytes(i, s) for i, s in enumerate(special)]
         self.raw = np.frombuffer(b"".join(self.bytes), np.uint8)
