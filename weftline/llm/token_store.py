@@ -160,24 +160,29 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = None) -> tuple[np.
     """Rules (pairs of symbols), their expansion lengths and the sequence. Symbol base + k is rule k.
 
     Without ``rounds`` it ends when no pair occurs ``LEAST`` times without overlaps: the most frequent pair of a round gets all of its
-    places, so a round that finds one makes a rule."""
+    places, so a round that finds one makes a rule. A pair that is rare stays rare, as replacing only takes from it; so after the
+    first round only the places of frequent pairs and those next to new symbols are counted again."""
     seq = ids.astype(np.int64)
     rules, lengths = np.empty((0, 2), np.int64), np.ones(0, np.int64)
+    bits = max(base + len(seq) // LEAST + 1, int(seq.max()) + 1 if len(seq) else 0).bit_length()
+    live = np.ones(len(seq), bool)  # where a pair begins that may be frequent
     for _ in count() if rounds is None else range(rounds):
         if len(seq) < 2 * LEAST:
             break
-        bits, places = max(base + len(rules), int(seq.max()) + 1).bit_length(), len(seq).bit_length()
-        code, place = seq[:-1] << bits | seq[1:], np.arange(len(seq) - 1)
+        place = np.flatnonzero(live[:-1])
+        code = seq[place] << bits | seq[place + 1]
         # a run of one symbol holds its pair at every other place
-        same = np.flatnonzero(code[1:] == code[:-1]) + 1
+        same = np.flatnonzero((code[1:] == code[:-1]) & (place[1:] == place[:-1] + 1)) + 1
+        odd = same[:0]
         if len(same):
             new = np.r_[True, same[1:] != same[:-1] + 1]
             odd = same[(same - same[new][np.cumsum(new) - 1]) % 2 == 0]
-            code, place = np.delete(code, odd), np.delete(place, odd)
+            odd, code, place = place[odd], np.delete(code, odd), np.delete(place, odd)
         # pairs and their places in one number, so that one sort brings the places of each pair together
-        if 2 * bits + places < 64:
-            ordered = np.sort(code << places | place)
-            code, place = ordered >> places, ordered & ((1 << places) - 1)
+        shift = len(seq).bit_length()
+        if 2 * bits + shift < 64:
+            ordered = np.sort(code << shift | place)
+            code, place = ordered >> shift, ordered & ((1 << shift) - 1)
         else:
             order = np.argsort(code, kind="stable")
             code, place = code[order], place[order]
@@ -189,23 +194,27 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = None) -> tuple[np.
         top = often[np.argsort(-counts[often], kind="stable")[:NEW]]
         pairs = code[starts[top]]
         at, rank = place[runs(starts[top], counts[top])], np.repeat(np.arange(len(top)), counts[top])
-        order = np.argsort(at)
-        at, rank = at[order], rank[order]
+        both = np.sort(at * NEW + rank)
+        at, rank = both // NEW, both % NEW
         # of overlapping occurrences the most frequent pair wins, then the leftmost; the others wait for the next round
-        left = np.r_[False, (at[1:] == at[:-1] + 1) & (rank[:-1] <= rank[1:])]
-        right = np.r_[(at[1:] == at[:-1] + 1) & (rank[1:] < rank[:-1]), False]
-        chosen = ~left & ~right
+        touch = at[1:] == at[:-1] + 1
+        first = rank[:-1] <= rank[1:]
+        chosen = ~(np.r_[False, touch & first] | np.r_[touch & ~first, False])
         at, rank = at[chosen], rank[chosen]
-        uses = np.bincount(rank, minlength=len(pairs))
-        good = uses >= LEAST
+        good = np.bincount(rank, minlength=len(pairs)) >= LEAST
         number = np.cumsum(good) - 1 + base + len(rules)
         at, rank = at[good[rank]], rank[good[rank]]
         new = np.stack([pairs[good] >> bits, pairs[good] & ((1 << bits) - 1)], axis=1)
         size = np.where(new < base, 1, np.r_[lengths, 0][np.minimum(np.maximum(new - base, 0), len(lengths))]).sum(1)
         rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, size])
-        seq = seq.copy()
+        live = np.zeros(len(seq), bool)
+        live[place[runs(starts[often], counts[often])]] = True
+        live[odd] = live[at] = True
+        live[np.maximum(at - 1, 0)] = True
+        kept = np.ones(len(seq), bool)
+        kept[at + 1] = False
         seq[at] = number[rank]
-        seq = np.delete(seq, at + 1)
+        seq, live = seq[kept], live[kept]
     return rules, lengths, seq
 
 
