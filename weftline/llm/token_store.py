@@ -137,15 +137,18 @@ class ChunkEncoder:
         data = np.frombuffer(b"".join(parts), "<u4")
         size = np.fromiter((len(p) >> 2 for p in parts), np.int32, len(parts))
         start = np.cumsum(size, dtype=np.int32) - size
+        # ids of each distinct chunk, its full stop or comma included; then of all chunks in their order
+        form, stopped = forms.indices.to_numpy(), stop >= 0
+        plain = size[form]
+        whole = plain + stopped
+        first = np.cumsum(whole, dtype=np.int32) - whole
+        own = np.empty(int(whole.sum()), "<u4")
+        own[runs(first, plain)] = data[runs(start[form], plain)]
+        own[(first + plain)[stopped]] = stop[stopped]
         words = of.indices.to_numpy()
-        form = forms.indices.to_numpy()[words]
-        stop = stop[words]
-        stopped = stop >= 0
-        done = np.cumsum(size[form] + stopped, dtype=np.int32)
-        ids = np.empty(done[-1] if len(done) else 0, "<u4")
-        ids[runs(done - size[form] - stopped, size[form])] = data[runs(start[form], size[form])]
-        ids[done[stopped] - 1] = stop[stopped]
-        ends = np.r_[0, done][cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        size = whole[words]
+        ids = own[runs(first[words], size)]
+        ends = np.r_[0, np.cumsum(size, dtype=np.int32)][cut.offsets.to_numpy() - cut.offsets[0].as_py()]
         out = np.insert(ids, ends[1:], END)
         ends = ends + np.arange(len(ends))
         return [out[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
