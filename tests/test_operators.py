@@ -58,11 +58,16 @@ def test_breadcrumbs_skip_root_and_bare_numbering(spark):
     assert got == {"r": None, "a": None, "b": "Part A", "c": "Part A", "x": None}
 
 
-def test_cycles_end_and_long_chains_are_cut(spark):
+def test_cycles_end_and_long_chains_are_walked_to_their_ends(spark):
     ring = spark.createDataFrame([("p", "q", "P", "1", 1), ("q", "p", "Q", "2", 2)], "id string, parent_id string, title string, citation string, sort_order long")
     assert tree.ancestors(ring).agg(F.max("distance")).first()[0] == 1  # where the id comes back
     chain = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None, f"T{i}", f"c{i}", i) for i in range(15)], "id string, parent_id string, title string, citation string, sort_order long")
-    assert {r.id: r.depth for r in tree.depths(chain).collect()}["n14"] == 12
+    assert {r.id: r.depth for r in tree.depths(chain).collect()} == {f"n{i}": i for i in range(15)}
+    some = tree.ancestors(chain, chain.filter("id in ('n3', 'n14')"), carry=("title",))
+    assert sorted(tuple(r) for r in some.collect()) == sorted((f"n{i}", f"n{i - k}", k, f"T{i - k}") for i in (3, 14) for k in range(1, i + 1))
+    assert tree.ancestors(chain, max_depth=4).agg(F.max("distance")).first()[0] == 4
+    below = {r.id: (r.depth, r.position) for r in tree.descendants(chain, chain.filter("id = 'n2'")).collect()}
+    assert below == {f"n{i}": (i - 2, i - 2) for i in range(3, 15)}
 
 
 def test_orphans(spark):
