@@ -159,8 +159,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     window = ["doc_id", "text_hash", "n", "start"]
     marked = staged(_fingerprints(spread(windows, "width", "size"), [*window, "width", "size"]), "window-fingerprints")
-    item_fp = staged(_fingerprints(shingles, ["item", "n"]), "item-fingerprints")
-    pairs = staged(within_radius(marked, item_fp), "near-fingerprints")
+    pairs = within_radius(marked, _fingerprints(shingles, ["item", "n"]))
     candidates = marked.join(pairs, ["n", "fp"]).drop("fp")
 
     counted = spread(candidates, "item", "size").groupBy(*window, "item", "size", "h").agg(F.count(F.lit(1)).alias("c"))
