@@ -497,7 +497,7 @@ def repeated_blocks(spark, d):
     return S.nodes(spark, d).filter(quality.repeated_block(F.col("full_text"))).select("id")
 
 
-@query()
+@query(search_sql.quality())
 def quality_suite(spark, d):
     return quality.suite(S.nodes(spark, d))
 
@@ -530,7 +530,7 @@ def stratified_sample(spark, d):
     return sampling.stratified(rows, "reg_key", 100, seed=7)
 
 
-@query()
+@query(search_sql.EVALUATION)
 def search_evaluation(spark, d):
     rows = _t(spark, d, "benchmark").select(F.col("item_id").alias("q"), "text")
     words = F.array_distinct(lexical.words(F.col("text")))

@@ -153,3 +153,38 @@ def completed(clauses: Clauses, short: bool, long: bool, n: int = 20, vector: in
   UNION ALL SELECT id, position, 2, 0 FROM ranked
 ), once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place, step, sort_order) AS r FROM every) WHERE r = 1)
 SELECT position, id FROM (SELECT row_number() OVER (ORDER BY place, step, sort_order, id)::INT AS position, id FROM once) WHERE position <= (SELECT count(*) FROM ranked)"""
+
+
+def _split(c: str) -> str:
+    return rf"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+EVALUATION = rf"""WITH {S.NODES_SQL}, w AS (
+  SELECT DISTINCT id, unnest(list_concat({_split("citation")}, {_split("title")}, {_split("regexp_replace(coalesce(full_text, ''), '<[^>]+>', ' ', 'g')")})) AS word FROM nodes
+), asked AS (SELECT DISTINCT item_id AS q, unnest({_split("text")}) AS word FROM benchmark
+), hits AS (SELECT q, id, count(*) AS n FROM w JOIN asked USING (word) GROUP BY ALL
+), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, id) AS position FROM hits) WHERE position <= 10
+), e AS (SELECT b.item_id AS q, min(position) FILTER (starts_with(id, 'sec-src1')) AS expected_at, coalesce(bool_or(starts_with(id, 'sec-src9-')), false) AS forbidden FROM benchmark b LEFT JOIN top ON top.q = b.item_id GROUP BY 1)
+SELECT q, expected_at, forbidden, expected_at IS NOT NULL AND NOT forbidden AS passed FROM e"""
+
+
+def quality() -> str:
+    """The quality checks, each as a count of offenders."""
+    at = lambda condition: f"SELECT count(*) FROM n WHERE {condition}"
+    target = lambda pattern: f"SELECT unnest(regexp_extract_all(full_text, '{pattern}', 1)) AS t FROM n"
+    targets = " UNION ALL ".join(map(target, ['data-xref="([^"]+)"', 'href="#([^"]+)"', 'href="/regulation/[^"#]*#([^"]+)"', 'href="/provision/([^"?#]+)"']))
+    marks = r"(\*\*[^*\n]+\*\*|(^|[^\w*])\*[^*\s][^*\n]*\*([^\w*]|$)|`[^`\n]+`|^#{1,6}\s|^\s*[-*+]\s|^\s*\d+\.\s)"
+    checks = [
+        ("empty_text", "ERROR", at("plain = ''")), ("orphan_parent", "ERROR", at("parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM n)")),
+        ("missing_link_target", "ERROR", f"SELECT count(DISTINCT t) FROM ({targets}) WHERE t NOT IN (SELECT id FROM n)"), ("self_parent", "ERROR", at("id = parent_id")),
+        ("duplicate_citation", "GUARD", "SELECT count(*) FROM (SELECT 1 FROM n GROUP BY reg_key, citation HAVING count(*) > 1)"),
+        ("repeated_block", "GUARD", at("length(full_text) >= 50 AND (length(full_text) - length(replace(full_text, substr(full_text, 1, 50), ''))) / 50 >= 3")),
+        ("summary_cut_off", "REVIEW", at(r"NOT regexp_matches(rtrim(ai_summary), '[.!?:;)\]\"''”’](\r\n|[\n\r\x{85}\x{2028}\x{2029}])?$')")),
+        ("summary_longer_than_text", "REVIEW", at("length(plain) > 500 AND length(ai_summary) > length(plain)")), ("math_glyphs", "GUARD", at(r"regexp_matches(full_text, '[\x{1D400}-\x{1D7FF}]')")),
+        ("split_letters", "REVIEW", at(r"regexp_matches(full_text, '(^|\W)(\p{L} ){4,}\p{L}(\W|$)')")), ("markdown", "REVIEW", at(f"regexp_matches(ai_summary, '(?m){marks}')")),
+        ("page_furniture", "GUARD", at(r"regexp_matches(full_text, '(?m)^\s*Page \d+ of \d+\s*$')")), ("pending", "INFO", at("summary_status = 'pending'")),
+        ("rejected_visible", "INFO", at("summary_status = 'rejected' AND is_public")),
+    ]
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS name, '{severity}' AS severity, ({count}) AS n" for name, severity, count in checks)
+    return f"""WITH {S.NODES_SQL}, n AS (SELECT *, {_plain("full_text")} AS plain FROM nodes), c AS ({rows})
+SELECT name, severity, n, CASE WHEN n = 0 THEN 'ok' WHEN severity IN ('ERROR', 'GUARD') THEN 'fail' ELSE 'look' END AS verdict FROM c"""
