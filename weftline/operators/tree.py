@@ -8,27 +8,32 @@ purpose.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.sources.shared import staged
 
 
+def _measured(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """The staged pairs and their greatest distance, which is taken while they are written."""
+    seen = Observation()
+    kept = staged(pairs.observe(seen, F.max("distance").alias("far")), "ancestors")
+    return kept, seen.get["far"] or 0
+
+
 def _doubled(nodes: DataFrame, max_depth: int | None) -> DataFrame:
     """(id, ancestor_id, distance) of all nodes."""
     ids = nodes.select(F.col("id").alias("ancestor_id"))
     pairs = nodes.select("id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance")).filter("ancestor_id <> id")
-    pairs = staged(pairs.join(ids, "ancestor_id", "left_semi").select("id", "ancestor_id", "distance"), "ancestors")
+    pairs, far = _measured(pairs.join(ids, "ancestor_id", "left_semi").select("id", "ancestor_id", "distance"))
     reach = 1
-    while max_depth is None or reach < max_depth:
-        far = pairs.filter(F.col("distance") == reach)
-        if far.isEmpty():
-            break
+    while far == reach and (max_depth is None or reach < max_depth):
         above = pairs.select(F.col("id").alias("ancestor_id"), F.col("ancestor_id").alias("next_id"), F.col("distance").alias("more"))
-        more = far.join(above, "ancestor_id").select("id", F.col("next_id").alias("ancestor_id"), (F.col("distance") + F.col("more")).alias("distance"))
+        more = pairs.filter(F.col("distance") == reach).join(above, "ancestor_id")
+        more = more.select("id", F.col("next_id").alias("ancestor_id"), (F.col("distance") + F.col("more")).alias("distance"))
         every = pairs.unionByName(more.filter("id <> ancestor_id"))
-        pairs = staged(every.groupBy("id", "ancestor_id").agg(F.min("distance").alias("distance")), "ancestors")
+        pairs, far = _measured(every.groupBy("id", "ancestor_id").agg(F.min("distance").alias("distance")))
         reach *= 2
     return pairs if max_depth is None else pairs.filter(F.col("distance") <= max_depth)
 
