@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, decontaminate, piece_codec, rule_ledger, secret_scan, simhash_dedup, site_quality, token_store, toxicity, url_filter
+from weftline.llm import chat_format, decontaminate, importance_resample, piece_codec, rule_ledger, secret_scan, simhash_dedup, site_quality, suffix_dedup, token_store, toxicity, url_filter, whiten
 from weftline.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,18 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_url_filter, op2_token_store, op3_piece_codec, op4_chat_format, op5_toxicity, op6_decontaminate, op7_site_quality, op8_secret_scan, op9_rule_ledger, rule_ablations, op10_simhash_dedup, pipeline]
+    own = [op1_url_filter, op2_token_store, op3_piece_codec, op4_chat_format, op5_toxicity, op6_decontaminate, op7_site_quality, op8_secret_scan, op9_rule_ledger, rule_ablations, op10_simhash_dedup, op11_importance_resample, op12_suffix_dedup, op13_whiten, pipeline]
     return {f.__name__: f for f in own}
 
 
