@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
@@ -13,12 +14,36 @@ TEXT_EVENTS = ["text_updated", "links_updated", "added", "removed", "transcripti
 BY_EVENT = ["removed", "duplicate_removed", "transcription_corrected"]
 
 
+#: Time bins of an interval.
+BINS = 24
+
+
 def first_after(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, hours: int, name: str) -> DataFrame:
-    """Adds to ``left`` the earliest time of ``right`` for the same key within [t, t + hours). A join on the key alone; the
-    interval is part of its condition, so adaptive execution can split a hot key."""
-    other = right.select(F.col(key).alias("__key"), F.col(right_time).alias("__time")).distinct()
-    inside = (F.col(key) == F.col("__key")) & (F.col("__time") >= F.col(left_time)) & (F.col("__time") < F.col(left_time) + F.expr(f"interval {hours} hours"))
-    return left.join(other, inside, "left").groupBy(*left.columns).agg(F.min("__time").alias(name))
+    """Adds to each row of ``left`` the earliest time of ``right`` for the same key within [t, t + hours); null if there is none, or for
+    a row without key or time.
+
+    Both sides become one stream, sorted by time within a key and a bin of a ``BINS``-th of the interval: the next time in the bin comes
+    from one pass backwards, the first time of a later bin from a table of bins. No pair of rows is made, and a key that holds
+    most rows is spread over its bins."""
+    width = max(1, hours * 3_600_000_000 // BINS)
+    bin_of = F.floor(F.unix_micros("__time") / width)
+    whole = F.struct(*[F.col(c) for c in left.columns])
+    asked = left.select(F.col(key).alias("__key"), F.col(left_time).cast("timestamp").alias("__time"), whole.alias("__row"), F.lit(1).alias("__side"))
+    times = right.select(F.col(key).alias("__key"), F.col(right_time).cast("timestamp").alias("__time")).filter("__key is not null and __time is not null")
+    times = times.select("*", F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"), F.lit(0).alias("__side"))
+    both = asked.filter("__key is not null and __time is not null").unionByName(times).withColumn("__bin", bin_of)
+
+    backwards = W.partitionBy("__key", "__bin").orderBy(F.desc("__time"), "__side")  # of equal times those of ``right`` first
+    near = F.last(F.when(F.col("__side") == 0, F.col("__time")), ignorenulls=True).over(backwards.rowsBetween(W.unboundedPreceding, 0))
+    first = both.groupBy("__key", "__bin").agg(F.min(F.when(F.col("__side") == 0, F.col("__time"))).alias("__first"))
+    later = F.last("__first", ignorenulls=True).over(W.partitionBy("__key").orderBy(F.desc("__bin")).rowsBetween(W.unboundedPreceding, -1))
+    bins = first.select("__key", "__bin", later.alias("__later"))
+    found = both.withColumn("__near", near).filter("__side = 1").join(bins, ["__key", "__bin"])
+    time = F.coalesce("__near", "__later")
+    inside = F.when(time < F.col("__time") + F.expr(f"interval {hours} hours"), time)
+    out = found.select("__row.*", inside.cast(right.schema[right_time].dataType).alias(name))
+    without = left.filter(F.col(key).isNull() | F.col(left_time).isNull()).withColumn(name, F.lit(None).cast(right.schema[right_time].dataType))
+    return out.unionByName(without)
 
 
 def classified(log: DataFrame, status: DataFrame | None = None, hours: int = 24) -> DataFrame:

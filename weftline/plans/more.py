@@ -180,10 +180,10 @@ def visible_rows_below(spark, d):
     return tree.visible_subtree(rows, "R-1").select("id")
 
 
-@query("WITH n AS (SELECT user_id AS doc, event_id AS pos, (event_id * 13 % 7 % 5)::INT AS level FROM events) SELECT a.doc, a.pos, max(b.pos) AS parent_pos FROM n a LEFT JOIN n b ON b.doc = a.doc AND b.pos < a.pos AND b.level < a.level GROUP BY 1, 2")
+@query("WITH n AS (SELECT user_id AS doc, event_id AS pos, (event_id * 131 % 997 % 61)::INT AS level FROM events) SELECT a.doc, a.pos, max(b.pos) AS parent_pos FROM n a LEFT JOIN n b ON b.doc = a.doc AND b.pos < a.pos AND b.level < a.level GROUP BY 1, 2")
 def outline_parents(spark, d):
     """Nearest row before with a smaller level."""
-    rows = _t(spark, d, "events").selectExpr("user_id doc", "event_id pos", "cast(event_id * 13 % 7 % 5 as int) level")
+    rows = _t(spark, d, "events").selectExpr("user_id doc", "event_id pos", "cast(event_id * 131 % 997 % 61 as int) level")
     return tree.nearest_lower(rows).select("doc", "pos", "parent_pos")
 
 
@@ -201,10 +201,17 @@ def public_orphans(spark, d):
     return tree.orphans(S.nodes(spark, d).filter("is_public")).select("id")
 
 
-@query("WITH RECURSIVE c AS (SELECT 1 AS id UNION ALL SELECT id + 1 FROM c WHERE id < 300) SELECT 'n' || id AS id, (id - 1)::BIGINT AS depth FROM c")
-def deep_chain(spark, d):
-    """Depths of a chain of 300 nodes: walks have no limit."""
-    return tree.depths(spark.range(1, 301).selectExpr("concat('n', id) id", "if(id > 1, concat('n', id - 1), null) parent_id"))
+_READER = "reader AS (SELECT CASE left(id, 1) WHEN 'R' THEN 'sec-x-top-REG-' WHEN 'N' THEN 'sec-x-PART-' ELSE 'sec-x-' END || id AS id, CASE left(parent_id, 1) WHEN 'R' THEN 'sec-x-top-REG-' WHEN 'N' THEN 'sec-x-PART-' ELSE 'sec-x-' END || parent_id AS parent_id FROM star WHERE id <> 'R2')"
+
+
+@query(f"""WITH RECURSIVE {S.STAR_SQL}, {_READER}, t AS (
+  SELECT id, CASE WHEN parent_id IS NULL THEN 0 ELSE 1 END::BIGINT AS depth FROM reader r WHERE parent_id IS NULL OR parent_id LIKE '%-top-REG-%' OR parent_id LIKE '%-PART-%'
+  UNION ALL SELECT r.id, depth + 1 FROM reader r JOIN t ON r.parent_id = t.id WHERE r.parent_id NOT LIKE '%-top-REG-%' AND r.parent_id NOT LIKE '%-PART-%')
+SELECT id, depth FROM t""")
+def reader_depths(spark, d):
+    """Indentation that starts again below roots and parts; one root isn't there."""
+    mark = lambda c: F.concat(F.when(F.col(c).startswith("R"), "sec-x-top-REG-").when(F.col(c).startswith("N"), "sec-x-PART-").otherwise("sec-x-"), F.col(c)).alias(c)
+    return tree.depths(S.star_tree(spark, d).filter("id <> 'R2'").select(mark("id"), mark("parent_id")))
 
 
 # --- budgets, samples, writes -------------------------------------------------------------------------------------
