@@ -9,6 +9,7 @@ before it is the count of at most five that decides between all words and any wo
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -78,58 +79,63 @@ def _times(test: Column, x: float) -> Column:
     return F.when(test, x).otherwise(1.0)
 
 
-def rank(legs: DataFrame, nodes: DataFrame, paths: DataFrame, cited: DataFrame, question: Question, rules: lexical.Rules) -> DataFrame:
-    """The ordered rows of fused legs. ``paths``: (id, path); ``cited``: ids whose citation matches the query."""
-    n = question
-    legs = held(legs)  # twice 2 x pool rows at most
+def _asked(legs: DataFrame, question: Question) -> DataFrame:
+    """The legs of one question with what ``rank`` needs to know of it."""
+    return legs.select(F.lit(0).alias("q"), "*", *[F.lit(getattr(question, c)).alias(c) for c in ("n", "pool", "short", "federal", "state")])
+
+
+def rank(legs: DataFrame, nodes: DataFrame, paths: DataFrame, cited: DataFrame, rules: lexical.Rules, hold: Callable[[DataFrame], DataFrame], small: Callable[[DataFrame], DataFrame] = F.broadcast) -> DataFrame:
+    """The ordered rows of fused legs, for any number of questions: every window, cut and join has the question (q) as a key.
+
+    ``legs``: (q, id, score, keyword_hit, fused, n, pool, short, federal, state); ``paths``: (id, path); ``cited``: (q, id) whose citation
+    matches the query. ``hold`` keeps intermediate rows, which are a few hundred for a question: ``held`` for one page of results,
+    a written table for many. ``small`` marks these rows in joins."""
+    legs = hold(legs)
     basis = F.col("id").rlike(rules.basis_pattern)
     pre = (
         F.col("fused") * _times(basis, 0.5) * _times(F.col("reg_key").isin(list(rules.other_sector_keys)), 0.7)
-        * _times(F.coalesce("cites", F.lit(False)) & F.lit(n.short), 1.5) * _times(F.col("reg_key").isin(list(rules.closed_keys)), 0.6)
+        * _times(F.coalesce("cites", F.lit(False)) & F.col("short"), 1.5) * _times(F.col("reg_key").isin(list(rules.closed_keys)), 0.6)
     ).cast("float")
     plain = F.trim(F.regexp_replace(F.coalesce("full_text", F.lit("")), T.TAG, " "))
-    own = nodes.join(F.broadcast(legs), "id").withColumn("plain", plain)
-    own = own.select(*[c for c in own.columns if c not in ("full_text", "plain")], F.size(F.split("plain", r"\s+")).alias("n_words"), F.length("plain").alias("text_len"))
-    ids = F.broadcast(legs.select("id"))
-    own = held(own.join(F.broadcast(paths.join(ids, "id", "left_semi")), "id", "left").join(F.broadcast(cited.select("id", F.lit(True).alias("cites")).join(ids, "id", "left_semi")), "id", "left"))
+    ids = small(legs.select("id").distinct())
+    rows = nodes.join(ids, "id", "left_semi").withColumn("plain", plain)
+    rows = rows.select(*[c for c in rows.columns if c not in ("full_text", "plain")], F.size(F.split("plain", r"\s+")).alias("n_words"), F.length("plain").alias("text_len"))
+    own = rows.join(small(legs), "id").join(small(paths.join(ids, "id", "left_semi")), "id", "left")
+    own = hold(own.join(small(cited.select("q", "id", F.lit(True).alias("cites")).join(ids, "id", "left_semi")), ["q", "id"], "left"))
     best_first = [F.desc("pre"), F.desc_nulls_last("score"), F.col("id")]
     local = own.withColumn("is_basis", basis).withColumn("pre", pre)
-    local = local.withColumn("all_rank", F.row_number().over(W.orderBy(*best_first))).withColumn("jur_rank", F.row_number().over(W.partitionBy("jurisdiction_level").orderBy(*best_first)))
-    named = lambda wanted, level: F.lit(wanted) & (F.col("jurisdiction_level") == level) & (F.col("jur_rank") <= 20)
-    stage = local.filter((F.col("all_rank") <= n.pool) | named(n.federal, "federal") | named(n.state, "state"))
+    local = local.withColumn("all_rank", F.row_number().over(W.partitionBy("q").orderBy(*best_first))).withColumn("jur_rank", F.row_number().over(W.partitionBy("q", "jurisdiction_level").orderBy(*best_first)))
+    named = lambda level: F.col(level) & (F.col("jurisdiction_level") == level) & (F.col("jur_rank") <= 20)
+    stage = local.filter((F.col("all_rank") <= F.col("pool")) | named("federal") | named("state"))
 
     parents = nodes.select(F.col("parent_id").alias("id")).join(ids, "id", "left_semi").distinct().withColumn("has_children", F.lit(True))
-    content = stage.join(F.broadcast(parents), "id", "left")
+    content = stage.join(small(parents), "id", "left")
     content = content.withColumn("heading_only", (F.col("n_words") <= 20) & F.coalesce("has_children", F.lit(False)))
     path, title = F.coalesce("path", F.lit("")), F.col("title")
     weight = (
-        F.col("pre") * _times(path.rlike(r"(?i)\bdefinitions?\b") | title.rlike(r"(?i)^\s*§?\s*[0-9.]*[a-z]*\s*what definitions apply"), 0.8)
-        * _times(title.rlike(r"(?i)\b(applicability|applies to|subject to|who must comply|am i subject)") | path.rlike(r"(?i)\b(applicability|am i subject|who must comply)"), 1.15)
+        F.col("pre") * _times(path.rlike(rules.DEFINITIONS_PATH) | title.rlike(rules.DEFINITIONS_TITLE), 0.8)
+        * _times(title.rlike(rules.APPLIES_TITLE) | path.rlike(rules.APPLIES_PATH), 1.15)
         * _times(~F.col("keyword_hit") & ~F.col("heading_only") & (F.col("text_len") < 150), 0.95)
     ).cast("float")
-    content = held(content.withColumn("content_score", weight))
+    content = hold(content.withColumn("content_score", weight))
 
-    heads = content.filter("heading_only").select(F.col("id").alias("head"), F.col("content_score").alias("head_score"))
-    order = W.partitionBy("parent_id").orderBy(F.desc("content_score"), F.desc_nulls_last("score"), "id")
-    child = content.join(heads, content["parent_id"] == heads["head"]).withColumn("r", F.row_number().over(order)).filter("r = 1").select("id", "head_score")
+    heads = content.filter("heading_only").select("q", F.col("id").alias("parent_id"), F.col("content_score").alias("head_score"))
+    order = W.partitionBy("q", "parent_id").orderBy(F.desc("content_score"), F.desc_nulls_last("score"), "id")
+    child = content.join(heads, ["q", "parent_id"]).withColumn("r", F.row_number().over(order)).filter("r = 1").select("q", "id", "head_score")
     final = F.when(F.col("heading_only"), F.col("content_score") * 0.6).otherwise(F.greatest("content_score", F.coalesce("head_score", "content_score"))).cast("float")
-    scored = content.join(child, "id", "left").withColumn("final", final)
+    scored = content.join(child, ["q", "id"], "left").withColumn("final", final)
 
-    one = n.federal != n.state
-    level = "federal" if n.federal else "state"
-    juris = F.row_number().over(W.partitionBy("jurisdiction_level").orderBy(F.desc("final"), F.desc_nulls_last("score"), "id"))
-    weight = F.when(F.lit(one) & (F.col("jurisdiction_level") == level), 1.3).otherwise(1.0)
+    one, both = F.col("federal") != F.col("state"), F.col("federal") & F.col("state")
+    level = F.when(F.col("federal"), "federal").otherwise("state")
+    juris = F.row_number().over(W.partitionBy("q", "jurisdiction_level").orderBy(F.desc("final"), F.desc_nulls_last("score"), "id"))
+    weight = F.when(one & (F.col("jurisdiction_level") == level), 1.3).otherwise(1.0)
     out = scored.withColumn("jrank", juris).withColumn("jur_weight", weight).withColumn("value", (F.col("final") * weight).cast("float"))
-    keys: list[Column] = []
-    if n.federal and n.state:
-        keys += [F.col("jrank"), F.when(F.col("jurisdiction_level") == "state", 0).otherwise(1)]
-    elif one:
-        keys.append(F.when((F.col("jur_weight") > 1) & (F.col("jrank") <= 3), 0).otherwise(1))
-    keys += [F.desc("value"), F.desc_nulls_last("score"), F.col("sort_order"), F.col("id")]
-    top = out.orderBy(*keys).limit(n.n)
+    lead = F.when(both, F.col("jrank")).when(one & ~((F.col("jur_weight") > 1) & (F.col("jrank") <= 3)), 1).otherwise(0)
+    pair = F.when(both & (F.col("jurisdiction_level") != "state"), 1).otherwise(0)
+    place = F.row_number().over(W.partitionBy("q").orderBy(lead, pair, F.desc("value"), F.desc_nulls_last("score"), "sort_order", "id"))
     summary = F.when(~F.col("summary_status").eqNullSafe("rejected"), F.col("ai_summary"))
-    place = F.row_number().over(W.orderBy(*keys))
-    return top.select(place.alias("position"), "id", "citation", "title", "reg_key", "jurisdiction_level", summary.alias("summary"), "score", "is_basis", "keyword_hit", F.col("value").alias("fused"), "path")
+    top = out.withColumn("position", place).filter(F.col("position") <= F.col("n"))
+    return top.select("q", "position", "id", "citation", "title", "reg_key", "jurisdiction_level", summary.alias("summary"), "score", "is_basis", "keyword_hit", F.col("value").alias("fused"), "path")
 
 
 def search(nodes: DataFrame, chunks: DataFrame, text: str, vector: list[float], n: int = 20, paths: DataFrame | None = None, regs: list[str] | None = None, level: str | None = None, query: lexical.Query | None = None, rules: lexical.Rules | None = None, table: DataFrame | None = None) -> DataFrame:
@@ -153,7 +159,8 @@ def search(nodes: DataFrame, chunks: DataFrame, text: str, vector: list[float],
     keyword = keyword_leg(hits, own, similarity, question.pool)
     legs = fused(keyword, vector_leg(similarity, candidates), question, 0.04 if enough else 0.02)
     paths = paths if paths is not None else own.select("id", F.lit(None).cast("string").alias("path"))
-    return rank(legs, own, paths, hits.filter("citation_hit"), question, rules)
+    cited = hits.filter("citation_hit").select(F.lit(0).alias("q"), "id")
+    return rank(_asked(legs, question), own, paths, cited, rules, held).drop("q")
 
 
 def complete_lists(hits: DataFrame, nodes: DataFrame, most: int = 20) -> DataFrame:

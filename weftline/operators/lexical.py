@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -178,6 +179,14 @@ class Rules:
     other_sector_keys: tuple[str, ...] = ()
     closed_keys: tuple[str, ...] = ()
 
+    #: Headings and titles that are weighed up or down.
+    DEFINITIONS_PATH: ClassVar[str] = r"(?i)\bdefinitions?\b"
+    DEFINITIONS_TITLE: ClassVar[str] = r"(?i)^\s*§?\s*[0-9.]*[a-z]*\s*what definitions apply"
+    APPLIES_TITLE: ClassVar[str] = r"(?i)\b(applicability|applies to|subject to|who must comply|am i subject)"
+    APPLIES_PATH: ClassVar[str] = r"(?i)\b(applicability|am i subject|who must comply)"
+    SEARCH_PATH: ClassVar[str] = r"(?i)\b(applicability|who must comply)\b"
+    SEARCH_TITLE: ClassVar[str] = r"(?i)^\s*(applicability|who must comply|applies to)\b"
+
 
 def search(nodes: DataFrame, text: str, limit: int | None = 25, include_basis: bool = False, paths: DataFrame | None = None, rules: Rules | None = None, table: DataFrame | None = None) -> DataFrame:
     """(id, citation, title, reg_key, headline, score, path, is_basis): the best matches in order.
@@ -198,9 +207,9 @@ def search(nodes: DataFrame, text: str, limit: int | None = 25, include_basis: b
     names_closed = [k for k in rules.closed_keys if re.search(rf"\b{re.escape(k)}\b", named)]
     factor = lambda test, x: F.when(test, x).otherwise(1.0)
     score = (
-        F.col("pre") * factor(F.col("path").rlike(r"(?i)\bdefinitions?\b"), rules.definitions) * factor(F.col("reg_key").isin(list(rules.other_sector_keys)), rules.other_sector)
+        F.col("pre") * factor(F.col("path").rlike(rules.DEFINITIONS_PATH), rules.definitions) * factor(F.col("reg_key").isin(list(rules.other_sector_keys)), rules.other_sector)
         * factor(F.col("reg_key").isin([k for k in rules.closed_keys if k not in names_closed]), rules.closed)
-        * factor(F.col("path").rlike(r"(?i)\b(applicability|who must comply)\b") | F.col("title").rlike(r"(?i)^\s*(applicability|who must comply|applies to)\b"), rules.applicability)
+        * factor(F.col("path").rlike(rules.SEARCH_PATH) | F.col("title").rlike(rules.SEARCH_TITLE), rules.applicability)
         * factor(F.col("id") == f"sec-{named}-top-REG-{named}", rules.exact_document)
     ).cast("float")
     best = pool.withColumn("score", score).orderBy(F.desc("score"), "sort_order", "id").limit(limit)

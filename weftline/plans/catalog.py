@@ -386,6 +386,14 @@ def neighbour_graph(spark, d):
     return found.select("id", "neighbor_id", _r(F.col("score").cast("double"), 4).alias("score"), "rank")
 
 
+@query()
+def neighbour_index(spark, d):
+    """The same over inverted lists; approximate, so held against ``neighbour_graph`` by a test."""
+    rows = S.vectors(spark, d)
+    index = vector.VectorIndex.fit(rows, 5, family="label")
+    return index.neighbours(spark).select("id", "neighbor_id", _r(F.col("score").cast("double"), 4).alias("score"), "rank")
+
+
 def _hybrid(spark: SparkSession, d: str, text: str, n: int = 20) -> DataFrame:
     rows = S.nodes(spark, d)
     vectors = _t(spark, d, "embeddings").join(rows.select("id", "doc_id"), F.col("vec_id") == F.col("doc_id")).select("id", "vec_id", "embedding")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from weftline.operators.lexical import Rules
 from weftline.sources import tables as S
 
 #: Clauses of a query: all have to match, each by any of its words.
@@ -69,8 +70,8 @@ def keyword(clauses: Clauses, without: list[str], limit: int, where: str = "true
   FROM hits h JOIN own ON own.id = h.id WHERE NOT {BASIS.replace("id", "h.id", 1)} ORDER BY pre DESC, sort_order, h.id LIMIT {3 * limit}
 ), best AS (
   SELECT pool.*, {"p.path" if paths else "NULL::VARCHAR"} AS path,
-    CAST(pre * CASE WHEN {"regexp_matches(p.path, '(?i)\bdefinitions?\b')" if paths else "false"} THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END
-      * CASE WHEN {"coalesce(regexp_matches(p.path, '(?i)\b(applicability|who must comply)\b'), false)" if paths else "false"} OR regexp_matches(title, '(?i)^\s*(applicability|who must comply|applies to)\b') THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END AS FLOAT) AS score
+    CAST(pre * CASE WHEN {f"regexp_matches(p.path, '{Rules.DEFINITIONS_PATH}')" if paths else "false"} THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END
+      * CASE WHEN {f"coalesce(regexp_matches(p.path, '{Rules.SEARCH_PATH}'), false)" if paths else "false"} OR regexp_matches(title, '{Rules.SEARCH_TITLE}') THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END AS FLOAT) AS score
   FROM pool {"LEFT JOIN paths p ON p.id = pool.id" if paths else ""} ORDER BY score DESC, sort_order, pool.id LIMIT {limit}
 ), cut AS (
   SELECT *, list_filter(regexp_split_to_array({_plain("full_text")}, '[\s\p{{Z}}\x0B\x1c-\x1f\x85]+'), lambda x: x <> '') AS l,
@@ -120,8 +121,8 @@ def _ranked(clauses: Clauses, short: bool, long: bool, federal: bool, state: boo
   WHERE all_rank <= {pool}{named}
 ), heading AS (SELECT *, n_words <= 20 AND id IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL) AS heading_only FROM stage
 ), content AS (
-  SELECT *, CAST(pre::DOUBLE * CASE WHEN coalesce(regexp_matches(path, '(?i)\bdefinitions?\b'), false) OR regexp_matches(title, '(?i)^\s*§?\s*[0-9.]*[a-z]*\s*what definitions apply') THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END
-    * CASE WHEN regexp_matches(title, '(?i)\b(applicability|applies to|subject to|who must comply|am i subject)') OR coalesce(regexp_matches(path, '(?i)\b(applicability|am i subject|who must comply)'), false) THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END
+  SELECT *, CAST(pre::DOUBLE * CASE WHEN coalesce(regexp_matches(path, '{Rules.DEFINITIONS_PATH}'), false) OR regexp_matches(title, '{Rules.DEFINITIONS_TITLE}') THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END
+    * CASE WHEN regexp_matches(title, '{Rules.APPLIES_TITLE}') OR coalesce(regexp_matches(path, '{Rules.APPLIES_PATH}'), false) THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END
     * CASE WHEN NOT keyword_hit AND NOT heading_only AND text_len < 150 THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END AS FLOAT) AS content_score FROM heading
 ), child AS (
   SELECT id, head_score FROM (SELECT c.id, h.content_score AS head_score, row_number() OVER (PARTITION BY c.parent_id ORDER BY c.content_score DESC, c.score DESC NULLS LAST, c.id) AS r
