@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from weftline.functions import labels as L
 from weftline.functions import text as T
 from weftline.functions import values as V
-from weftline.operators import changes, context, documents, hybrid, lexical, links, quality, sampling, tree, vector, writes
+from weftline.operators import batch, changes, context, documents, hybrid, lexical, links, quality, sampling, tree, vector, writes
 from weftline.plans import search_sql
 from weftline.sources import tables as S
+from weftline.sources.shared import staged
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -538,17 +539,53 @@ def stratified_sample(spark, d):
     return sampling.stratified(rows, "reg_key", 100, seed=7)
 
 
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """(q, text, vector): every text of ``benchmark`` as a question; its vector is a node's, moved a little, so that node should be found."""
+    vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("q"), F.col("embedding").cast("array<double>").alias("v"))
+    moved = F.transform("v", lambda x, i: x + F.lit(0.001) * (((i + 1) * 7 + F.col("q")) % 11 - 5))
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("q"), "text").join(vectors, "q").select("q", "text", moved.alias("vector"))
+
+
+def _batch(spark: SparkSession, d: str, questions: DataFrame) -> DataFrame:
+    rows = S.nodes(spark, d)
+    vectors = _t(spark, d, "embeddings").join(rows.select("id", "doc_id"), F.col("vec_id") == F.col("doc_id")).select("id", "embedding")
+    return batch.search(rows, vectors, questions, paths=tree.breadcrumbs(rows))
+
+
+def _expected(spark: SparkSession, d: str, questions: DataFrame) -> DataFrame:
+    own = S.nodes(spark, d).select(F.col("doc_id").alias("q"), F.array("id").alias("expect"))
+    return questions.select("q", "text").join(own, "q").select("q", "text", "expect", F.array(F.lit("sec-src9-")).alias("forbid"), F.lit(10).alias("top_n"))
+
+
+@query(search_sql.BATCH)
+def search_batch(spark, d):
+    """All questions through all stages of the hybrid search in one plan."""
+    found = _batch(spark, d, _questions(spark, d))
+    return _rounded(found, "score", "fused").select("q", "position", "id", "keyword_hit", "is_basis", "score", "fused", "path")
+
+
 @query(search_sql.EVALUATION)
 def search_evaluation(spark, d):
-    rows = _t(spark, d, "benchmark").select(F.col("item_id").alias("q"), "text")
-    words = F.array_distinct(lexical.words(F.col("text")))
-    asked = rows.select("q", F.explode(words).alias("word"))
-    table = lexical.index(S.nodes(spark, d))
-    hits = table.select("id", "word").distinct().join(asked, "word").groupBy("q", "id").agg(F.count(F.lit(1)).alias("n"))
-    over = W.partitionBy("q").orderBy(F.desc("n"), "id")
-    top = hits.withColumn("position", F.row_number().over(over)).filter("position <= 10")
-    questions = rows.select("q", F.array(F.lit("sec-src1")).alias("expect"), F.array(F.lit("sec-src9-")).alias("forbid"), F.lit(10).alias("top_n"))
-    return sampling.evaluation(top, questions)
+    asked = _questions(spark, d)
+    return batch.evaluated(_batch(spark, d, asked), _expected(spark, d, asked)).select("q", "expected_at", "forbidden", "passed")
+
+
+@query()
+def search_margins(spark, d):
+    """How near each question is to another outcome; held against trying shifts one by one in a test."""
+    asked = _questions(spark, d)
+    return batch.evaluated(_batch(spark, d, asked), _expected(spark, d, asked)).select("q", _r("margin").alias("margin"), "at_least", "thin")
+
+
+@query()
+def search_stability(spark, d):
+    """Each question with its vector and four moved ones."""
+    asked = _questions(spark, d)
+    runs = batch.perturbed(asked, 5, 0.02).select("q", "question", "run", "text", "vector")
+    found = staged(_batch(spark, d, runs.select("q", "text", "vector")), "stability")
+    expected = _expected(spark, d, asked).select(F.col("q").alias("question"), "expect", "forbid", "top_n")
+    verdicts = batch.evaluated(found, runs.select("q", "question", "text").join(expected, "question"))
+    return batch.stability(found, verdicts, runs).withColumns({c: _r(c) for c in ("least_margin", "greatest_margin")})
 
 
 # --- labels, context, writes --------------------------------------------------------------------------------------

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from weftline.operators.lexical import Rules
+from weftline.operators.hybrid import Question
+from weftline.operators.lexical import STOP_WORDS, Rules
 from weftline.sources import tables as S
 
 #: Clauses of a query: all have to match, each by any of its words.
@@ -160,12 +161,75 @@ def _split(c: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
-EVALUATION = rf"""WITH {S.NODES_SQL}, w AS (
-  SELECT DISTINCT id, unnest(list_concat({_split("citation")}, {_split("title")}, {_split("regexp_replace(coalesce(full_text, ''), '<[^>]+>', ' ', 'g')")})) AS word FROM nodes
-), asked AS (SELECT DISTINCT item_id AS q, unnest({_split("text")}) AS word FROM benchmark
-), hits AS (SELECT q, id, count(*) AS n FROM w JOIN asked USING (word) GROUP BY ALL
-), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, id) AS position FROM hits) WHERE position <= 10
-), e AS (SELECT b.item_id AS q, min(position) FILTER (starts_with(id, 'sec-src1')) AS expected_at, coalesce(bool_or(starts_with(id, 'sec-src9-')), false) AS forbidden FROM benchmark b LEFT JOIN top ON top.q = b.item_id GROUP BY 1)
+def _batched(n: int = 20) -> str:
+    """CTEs up to ranked for all questions of asked (q, text, vector): the stages of ``_ranked`` by question."""
+    pool = max(3 * n, 60)
+    text = "regexp_replace(coalesce(full_text, ''), '<[^>]+>', ' ', 'g')"
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    basis = BASIS.replace("id", "l.id", 1)
+    plain = "trim(regexp_replace(coalesce(full_text, ''), '<[^>]+>', ' ', 'g'))"
+    times = lambda test, x: f"CASE WHEN {test} THEN {x}::DOUBLE ELSE 1.0::DOUBLE END"
+    return rf"""{S.NODES_SQL}, {PATHS}, asked AS (
+  SELECT item_id AS q, text, list_transform(embedding, lambda x, i: x::DOUBLE + 0.001::DOUBLE * ((i * 7 + item_id) % 11 - 5)) AS v FROM benchmark JOIN embeddings ON vec_id = item_id
+), modes AS (
+  SELECT q, v, len(regexp_split_to_array(trim(text), '\s+')) AS wc, regexp_matches(lower(text), '{Question.FEDERAL}') AS federal, regexp_matches(lower(text), '{Question.STATE}') AS state FROM asked
+), aw AS (SELECT DISTINCT q, word FROM (SELECT q, unnest({_split("text")}) AS word FROM asked) WHERE word NOT IN ({stop})
+), nw AS (SELECT q, count(*) AS n_asked FROM aw GROUP BY 1
+), lists AS (SELECT id, {_split("citation")} AS a, {_split("title")} AS b, {_split(text)} AS c FROM nodes
+), posts AS (
+  SELECT id, word, sum(a) AS a, sum(b) AS b, sum(c) AS c, n FROM (
+    SELECT id, unnest(a) AS word, 1 AS a, 0 AS b, 0 AS c, len(a) + len(b) + len(c) AS n FROM lists UNION ALL SELECT id, unnest(b), 0, 1, 0, len(a) + len(b) + len(c) FROM lists
+    UNION ALL SELECT id, unnest(c), 0, 0, 1, len(a) + len(b) + len(c) FROM lists) GROUP BY id, word, n
+), met AS (
+  SELECT q, id, (sum(a) * 1.0::DOUBLE + sum(b) * 0.4::DOUBLE + sum(c) * 0.2::DOUBLE) / (1 + ln(max(n)::DOUBLE)) AS score, count(*) = max(n_asked) AS every, count(*) FILTER (a > 0) = max(n_asked) AS cites_all, count(*) FILTER (a > 0) > 0 AS cites_any
+  FROM posts JOIN aw USING (word) JOIN nw USING (q) GROUP BY q, id
+), enough AS (SELECT q, count(*) FILTER (every) >= 5 AS yes FROM met GROUP BY 1
+), hits AS (SELECT met.*, yes, CASE WHEN yes THEN cites_all ELSE cites_any END AS citation_hit FROM met JOIN enough USING (q) WHERE every OR NOT yes
+), vec AS (SELECT q, o.id, list_cosine_similarity(e.embedding::DOUBLE[], m.v) AS similarity FROM embeddings e JOIN nodes o ON o.doc_id = e.vec_id, modes m
+), kw1 AS (
+  SELECT * FROM (SELECT q, h.id, row_number() OVER (PARTITION BY q ORDER BY score DESC, sort_order, h.id) AS raw FROM hits h JOIN nodes USING (id)) WHERE raw <= {pool}
+), kw2 AS (SELECT q, kw1.id, raw, CAST(v.similarity AS FLOAT) AS kw_score FROM kw1 LEFT JOIN vec v USING (q, id)
+), k AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY raw) AS kw_rank, kw_score FROM kw2 WHERE kw_score IS NULL OR kw_score >= 0.5
+), sem AS (SELECT q, id, CAST(similarity AS FLOAT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, id) AS r FROM vec) WHERE r <= {6 * pool}
+), s AS (SELECT * FROM (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS sem_rank FROM sem) WHERE sem_rank <= {2 * pool}
+), two AS (SELECT coalesce(s.q, k.q) AS q, coalesce(s.id, k.id) AS id, coalesce(s.score, kw_score) AS score, kw_rank, sem_rank FROM s FULL JOIN k ON k.q = s.q AND k.id = s.id
+), legs AS (
+  SELECT b.*, wc <= 3 AS short, federal, state, kw_rank IS NOT NULL AS keyword_hit,
+    CASE WHEN wc >= 6 THEN CAST(greatest(coalesce(score, 0)::DOUBLE - 0.4::DOUBLE, 0.01::DOUBLE) + coalesce(CASE WHEN yes THEN 0.04::DOUBLE ELSE 0.02::DOUBLE END / (1 + (kw_rank - 1) / 10), 0) AS FLOAT)
+      ELSE CAST(coalesce(1 / (60 + sem_rank), 0) + coalesce(1 / (60 + kw_rank), 0) AS FLOAT) END AS fused
+  FROM two b JOIN modes USING (q) LEFT JOIN enough USING (q)
+), loc AS (
+  SELECT l.*, o.* EXCLUDE (id, full_text), p.path, {basis} AS is_basis, len(regexp_split_to_array({plain}, '{GAP}')) AS n_words, length({plain}) AS text_len,
+    CAST(fused::DOUBLE * {times(basis, 0.5)} * {times("short AND coalesce(c.citation_hit, false)", 1.5)} AS FLOAT) AS pre
+  FROM legs l JOIN nodes o ON o.id = l.id LEFT JOIN paths p ON p.id = l.id LEFT JOIN hits c ON c.q = l.q AND c.id = l.id AND c.citation_hit
+), stage AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY pre DESC, score DESC NULLS LAST, id) AS all_rank, row_number() OVER (PARTITION BY q, jurisdiction_level ORDER BY pre DESC, score DESC NULLS LAST, id) AS jur_rank FROM loc)
+  WHERE all_rank <= {pool} OR federal AND jurisdiction_level = 'federal' AND jur_rank <= 20 OR state AND jurisdiction_level = 'state' AND jur_rank <= 20
+), heading AS (SELECT *, n_words <= 20 AND id IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL) AS heading_only FROM stage
+), content AS (
+  SELECT *, CAST(pre::DOUBLE * {times(f"coalesce(regexp_matches(path, '{Rules.DEFINITIONS_PATH}'), false) OR regexp_matches(title, '{Rules.DEFINITIONS_TITLE}')", 0.8)}
+    * {times(f"regexp_matches(title, '{Rules.APPLIES_TITLE}') OR coalesce(regexp_matches(path, '{Rules.APPLIES_PATH}'), false)", 1.15)}
+    * {times("NOT keyword_hit AND NOT heading_only AND text_len < 150", 0.95)} AS FLOAT) AS content_score FROM heading
+), child AS (
+  SELECT q, id, head_score FROM (SELECT c.q, c.id, h.content_score AS head_score, row_number() OVER (PARTITION BY c.q, c.parent_id ORDER BY c.content_score DESC, c.score DESC NULLS LAST, c.id) AS r
+    FROM content c JOIN content h ON h.heading_only AND h.q = c.q AND h.id = c.parent_id) WHERE r = 1
+), scored AS (
+  SELECT c.*, CAST(CASE WHEN heading_only THEN content_score::DOUBLE * 0.6::DOUBLE ELSE greatest(content_score, coalesce(head_score, content_score))::DOUBLE END AS FLOAT) AS final FROM content c LEFT JOIN child USING (q, id)
+), weighed AS (
+  SELECT *, row_number() OVER (PARTITION BY q, jurisdiction_level ORDER BY final DESC, score DESC NULLS LAST, id) AS jrank,
+    {times("federal <> state AND jurisdiction_level = CASE WHEN federal THEN 'federal' ELSE 'state' END", 1.3)} AS jur_weight FROM scored
+), valued AS (SELECT *, CAST(final::DOUBLE * jur_weight AS FLOAT) AS value FROM weighed
+), ranked AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN federal AND state THEN jrank WHEN federal <> state AND NOT (jur_weight > 1 AND jrank <= 3) THEN 1 ELSE 0 END,
+    CASE WHEN federal AND state AND jurisdiction_level <> 'state' THEN 1 ELSE 0 END, value DESC, score DESC NULLS LAST, sort_order, id)::INT AS position FROM valued) WHERE position <= {n}
+)"""
+
+
+BATCH = f"""WITH RECURSIVE {_batched()} SELECT q, position, id, keyword_hit, is_basis, round(score::DOUBLE, 4) AS score, round(value::DOUBLE, 4) AS fused, path FROM ranked"""
+
+EVALUATION = f"""WITH RECURSIVE {_batched()}, e AS (
+  SELECT a.q, min(position) FILTER (position <= 10 AND starts_with(r.id, w.id)) AS expected_at, coalesce(bool_or(position <= 10 AND starts_with(r.id, 'sec-src9-')), false) AS forbidden
+  FROM asked a JOIN nodes w ON w.doc_id = a.q LEFT JOIN ranked r ON r.q = a.q GROUP BY 1)
 SELECT q, expected_at, forbidden, expected_at IS NOT NULL AND NOT forbidden AS passed FROM e"""
 
 
