@@ -132,6 +132,7 @@ def passages(seed=1):
 @pytest.mark.parametrize("limit", [4096, 3])
 def test_repeats_equal_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 60)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3000)
     texts = passages()
     assert got_repeats(clashing(table(spark, texts)).repartition(5, "doc_id").withColumn("t", F.lit(1)).withColumn("lo", F.lit(1)), group_limit=limit) == brute_repeats(texts)

@@ -7,7 +7,8 @@ are judged on the input; matches never cross texts.
    equal anchors at equal offsets, so two places of a string are met at their common anchor. About 1.2 of 100 bytes start one.
 2. An anchor's context is all that windows around it can cover: 168 bytes before it and 168 after. Contexts that occur twice are covered
    whole; anchors with one context alone can't have a repeat. What is left are different contexts of one anchor.
-3. Shards. Contexts are dealt by anchor, so all places of a string meet in one shard. A shard's text gets a suffix array by
+3. Shards. Contexts are dealt by anchor, so all places of a string meet in one shard. They are cut to what they share with a
+   neighbour; equal pieces are repeats as they are. What is left of a shard's text gets a suffix array by
    Larsson and Sadakane's refinement (``suffix_array``) and Kasai's common prefixes (``common_prefixes``); runs of suffixes with
    ``LENGTH`` common bytes at equal distance from their anchors are repeats.
 4. An anchor with more than ``GROUP_LIMIT`` contexts is dealt anew by longer strings: a window around a key of k bytes reaches at least half
@@ -43,6 +44,8 @@ SPAN, REACH = LENGTH - KEY + 1, LENGTH - KEY
 GROUP_LIMIT = 4096
 #: Bytes of contexts in one suffix array.
 SHARD_BYTES = 1_500_000
+#: Anchors whose contexts a task compares before any is written.
+TOGETHER = 100_000
 #: One of so many places is looked at to find frequent anchors.
 SAMPLE = 16
 #: Bytes hashed at once; a window's place fits the low bits of its hash.
@@ -109,7 +112,19 @@ def _flat(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 @trimmed
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, c, t, at): anchor, digest of its context, text, place in the text."""
+    """(a, c, t, at, rep, twice): anchor, digest of its context, text, place in the text. Of equal contexts that a task meets together one is kept
+    (rep) and says so (twice); the places of the others are all that is known of them."""
+
+    def flush() -> pa.RecordBatch:
+        a, c, t, at = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((c, a))
+        a, c, t, at = a[order], c[order], t[order], at[order]
+        rep = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])]
+        twice = np.diff(np.r_[np.flatnonzero(rep), len(a)])[np.cumsum(rep) - 1] > 1
+        columns = [pa.array(a.view(np.int64), mask=~rep), pa.array(c.view(np.int64), mask=~rep), pa.array(t), pa.array(at.astype(np.int32)), pa.array(rep), pa.array(twice)]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "c", "t", "at", "rep", "twice"])
+
+    held: list[tuple] = []
     for batch in batches:
         data, starts, ends = _flat(batch.column(1))
         at, a = anchors(data, starts, ends)
@@ -119,20 +134,24 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi = np.maximum(starts[text], at - REACH), np.minimum(ends[text], at + LENGTH)
         view, digest = memoryview(data), xxhash.xxh3_64_intdigest
         c = np.fromiter((digest(view[x:y], z) for x, y, z in zip(lo.tolist(), hi.tolist(), (at - lo).tolist())), np.uint64, len(at))
-        t = batch.column(0).to_numpy()[text]
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(t), pa.array((at - starts[text]).astype(np.int32))], names=["a", "c", "t", "at"])
+        held.append((a, c, batch.column(0).to_numpy()[text], at - starts[text]))
+        if sum(len(x[0]) for x in held) >= TOGETHER:
+            yield flush()
+            held = []
+    if held:
+        yield flush()
 
 
 @trimmed
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (a, c, t, at) sorted by a and c: places whose context occurs twice (full), and one place of each context of anchors with several (ship)."""
+    """Over rows (a, c, t, at, twice) sorted by a and c: places whose context occurs twice (full), and one place of each context of anchors with several (ship)."""
 
     def of(rows: list[np.ndarray]) -> pa.RecordBatch:
-        a, c, t, at = rows
+        a, c, t, at, twice = rows
         new_a = np.r_[True, a[1:] != a[:-1]]
         new_c = new_a | np.r_[True, c[1:] != c[:-1]]
         of_a, of_c = np.cumsum(new_a) - 1, np.cumsum(new_c) - 1
-        full = np.bincount(of_c)[of_c] > 1
+        full = np.bincount(of_c, 1.0 + twice)[of_c] > 1
         ship = new_c & (np.bincount(of_a[new_c])[of_a] > 1)
         keep = full | ship
         columns = [pa.array(x[keep]) for x in (a, t, at, full, ship)]
@@ -140,11 +159,11 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held = None
     for batch in batches:
-        rows = [batch.column(i).to_numpy() for i in range(4)]
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         rows = rows if held is None else [np.r_[x, y] for x, y in zip(held, rows)]
         if not len(rows[0]):
             continue
-        last = int(np.argmax(rows[0] == rows[0][-1])) if len(rows[0]) else 0  # rows of an anchor are in a row
+        last = int(np.argmax(rows[0] == rows[0][-1]))  # rows of an anchor are in a row
         held = [x[last:] for x in rows]
         if last:
             yield of([x[:last] for x in rows])
@@ -252,18 +271,71 @@ def _joined(row: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[n
     return row[first], start[first], start[last] + length
 
 
+def _shared(contexts: list[bytes], offsets: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right): how many bytes before and from its key each context has in common with any other of its group. Sorted from the
+    key to either side, the nearest neighbour has most in common."""
+    sizes = np.array([len(c) for c in contexts], np.int64)
+
+    def side(width: int, lengths: np.ndarray, part) -> np.ndarray:
+        m = np.zeros((len(contexts), width), np.uint8)
+        for row, c, o in zip(m, contexts, offsets.tolist()):
+            p = part(np.frombuffer(c, np.uint8), o)
+            row[: len(p)] = p
+        order = np.lexsort([*m.view(">u8").T[::-1], group])
+        m, kin, n = m[order], group[order], lengths[order]
+        differ = m[1:] != m[:-1]
+        common = np.where(differ.any(1), differ.argmax(1), width)
+        common = np.where(kin[1:] == kin[:-1], np.minimum(common, np.minimum(n[1:], n[:-1])), 0)
+        out = np.empty(len(contexts), np.int64)
+        out[order] = np.maximum(np.r_[0, common], np.r_[common, 0])
+        return out
+
+    return side(REACH, offsets, lambda c, o: c[:o][::-1]), side(LENGTH, sizes - offsets, lambda c, o: c[o:])
+
+
+def covered(contexts: list[bytes], offsets: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, from, to): stretches of contexts that windows cover which another context of the same group has at the same distance from
+    its key. Contexts are cut to what they share with their neighbours; equal pieces are covered whole, and one of them stands for all where
+    its group has other pieces, which go through a suffix array."""
+    left, right = _shared(contexts, offsets, group)
+    pieces: dict[tuple, list[int]] = {}
+    for i in np.flatnonzero(left + right >= LENGTH).tolist():
+        lo, o = int(left[i]), int(offsets[i])
+        pieces.setdefault((int(group[i]), lo, contexts[i][o - lo : o + int(right[i])]), []).append(i)
+    kin: dict[int, int] = {}
+    for g, _, _ in pieces:
+        kin[g] = kin.get(g, 0) + 1
+    rows, starts, ends = [], [], []
+    for (_, lo, piece), members in pieces.items():
+        if len(members) > 1:
+            at = offsets[members] - lo
+            rows.append(np.array(members))
+            starts.append(at)
+            ends.append(at + len(piece))
+    left_over = [(k, v[0]) for k, v in pieces.items() if kin[k[0]] > 1]
+    if left_over:
+        which, inside = repeated_windows([k[2] for k, _ in left_over], np.array([k[1] for k, _ in left_over]), np.array([k[0] for k, _ in left_over]))
+        which, lo, hi = _joined(which, inside)
+        of = np.array([i for _, i in left_over])[which]
+        base = offsets[of] - np.array([k[1] for k, _ in left_over])[which]
+        rows.append(of)
+        starts.append(base + lo)
+        ends.append(base + hi)
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate(x) if x else none for x in (rows, starts, ends))
+
+
 @trimmed
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows (key, body, off, t, at, need) sorted by key: (t, lo, hi) of repeated windows of places that need it."""
 
     def of(rows: list[tuple]) -> pa.RecordBatch:
-        key = np.array([r[0] for r in rows], np.int64)
-        context, start = repeated_windows([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), np.cumsum(np.r_[True, key[1:] != key[:-1]]))
-        need = np.array([r[5] for r in rows], bool)
-        context, lo, hi = _joined(context[need[context]], start[need[context]])
-        base = np.array([r[4] for r in rows], np.int64)[context]
-        t = np.array([r[3] for r in rows], np.int64)[context]
-        return pa.RecordBatch.from_arrays([pa.array(t), pa.array((base + lo).astype(np.int32)), pa.array((base + hi).astype(np.int32))], names=["t", "lo", "hi"])
+        key, off, t, at, need = (np.array(x) for x in zip(*((r[0], r[2], r[3], r[4], r[5]) for r in rows)))
+        context, lo, hi = covered([r[1] for r in rows], off.astype(np.int64), np.cumsum(np.r_[True, key[1:] != key[:-1]]))
+        wanted = need[context]
+        context, lo, hi = context[wanted], lo[wanted], hi[wanted]
+        base = at[context]
+        return pa.RecordBatch.from_arrays([pa.array(t[context].astype(np.int64)), pa.array((base + lo).astype(np.int32)), pa.array((base + hi).astype(np.int32))], names=["t", "lo", "hi"])
 
     rows, size, key = [], 0, None
     for batch in batches:
@@ -306,21 +378,24 @@ def _sizes(rows: DataFrame, key: str) -> DataFrame:
 
 
 def marks(places: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(a, t, at, full, ship, need, hot) from rows (a, c, t, at): places whose context occurs twice, and contexts to compare.
+    """(a, t, at, full, ship, need, hot) from rows (a, c, t, at, rep, twice): places whose context occurs twice, and contexts to compare.
 
     Anchors that a fixed sample of places finds frequent are counted by context with partial sums; the rest of the rows meet by anchor."""
+    known = [F.lit(x).alias(n) for x, n in ((True, "full"), (False, "ship"), (False, "need"), (False, "hot"))]
+    others = places.filter("not rep").select("a", "t", "at", *known)
+    places = places.filter("rep")
     picked = places.filter(F.pmod(F.xxhash64("t", "at"), F.lit(SAMPLE)) == 0)
     frequent = staged(_sizes(picked, "a").filter(F.col("d") * SAMPLE > group_limit).select("a"), "frequent-anchors")
     none = frequent.isEmpty()
-    rare = (places if none else places.join(frequent, "a", "left_anti")).select("a", "c", "t", "at")
+    rare = (places if none else places.join(frequent, "a", "left_anti")).select("a", "c", "t", "at", "twice")
     cold = rare.repartition("a").sortWithinPartitions("a", "c").mapInArrow(_marks, "a long, t long, at int, full boolean, ship boolean")
-    cold = cold.select("*", (F.col("ship") & ~F.col("full")).alias("need"), F.lit(False).alias("hot"))
+    cold = cold.select("*", (F.col("ship") & ~F.col("full")).alias("need"), F.lit(False).alias("hot")).unionByName(others)
     if none:
         return cold
     often = places.join(frequent, "a", "left_semi")
-    by_context = staged(often.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "at")).alias("first")), "frequent-contexts")
+    by_context = staged(often.groupBy("a", "c").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n"), F.min(F.struct("t", "at")).alias("first")), "frequent-contexts")
     full = often.join(by_context.filter("n > 1").select("a", "c"), ["a", "c"], "left_semi")
-    full = full.select("a", "t", "at", F.lit(True).alias("full"), F.lit(False).alias("ship"), F.lit(False).alias("need"), F.lit(False).alias("hot"))
+    full = full.select("a", "t", "at", *known)
     several = by_context.join(_sizes(by_context, "a").filter("d > 1"), "a")
     ship = several.select("a", "first.t", "first.at", F.lit(False).alias("full"), F.lit(True).alias("ship"), (F.col("n") == 1).alias("need"), (F.col("d") > group_limit).alias("hot"))
     return cold.unionByName(full).unionByName(ship)
@@ -365,7 +440,7 @@ def _dealt_anew(rows: DataFrame, group_limit: int) -> tuple[list[DataFrame], lis
 
 def spans(texts: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(t, lo, hi): stretches of bytes of texts (t, text) that repeated strings cover; they may overlap."""
-    places = staged(texts.mapInArrow(_anchor_rows, "a long, c long, t long, at int"), "anchors")
+    places = staged(texts.mapInArrow(_anchor_rows, "a long, c long, t long, at int, rep boolean, twice boolean"), "anchors")
     found = staged(marks(places, group_limit), "anchor-marks")
     whole = found.filter("full").select("t", F.greatest(F.lit(0), F.col("at") - REACH).cast("int").alias("lo"), (F.col("at") + LENGTH).cast("int").alias("hi"))
     wanted = found.filter("ship").groupBy("t").agg(F.collect_list(F.struct("at", "a", "need", "hot")).alias("wanted"))  # at most as many as the text has places
