@@ -1,4 +1,7 @@
 import datetime as dt
+import re
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -69,5 +72,57 @@ def test_safe_id(spark):
     assert a != b and a.startswith("a_b-")
 
 
-def test_methods(spark):
-    assert one(spark, "Use Methods 1 through 4, and Method 25A.", links.methods) == ["1", "2", "3", "4", "25A"]
+METHODS = ["method-1", "method-2", "method-2a", "method-2d", "method-3", "method-3a", "method-3b", "method-4", "method-5", "method-9", "method-18", "method-21", "method-22", "method-25a", "ps-8"]
+#: Text, its citations, and (where it differs) the printed texts of the anchors.
+CITED = [
+    ("Use Method 21 here.", ["21"], ["Method 21"]),
+    ("per EPA Method 21 (2017) by Reference Method 9, by Test Method 5 of", ["21", "9", "5"], ["EPA Method 21", "Reference Method 9", "Test Method 5"]),
+    ("Method 25A tests; Method 21A isn't one; Method 21AB neither", ["25a"], ["Method 25A"]),
+    ("Methods 1, 2, 3, and 4 apply", ["1", "2", "3", "4"], ["Methods 1", "2", "3", "4"]),
+    ("Method 3, 3A, or 3B of 40 CFR part 60", ["3", "3a", "3b"], ["Method 3", "3A", "3B"]),
+    ("EPA Method 18, 25, or 25A", ["18", "25a"], ["EPA Method 18", "25A"]),
+    ("Methods 1 through 4 and 5", ["1", "4"], ["Methods 1", "4"]),
+    ("Methods 9 through 4; EPA Methods 1–4 and so on", ["9", "4", "1", "4"], ["Methods 9", "4", "EPA Methods 1", "4"]),
+    ("Method 318-95 and Method 303-91", [], []),
+    ("Method 22, 40 CFR part 60; Methods 2A and 2D, 40 C.F.R. 60", ["22", "2a", "2d"], ["Method 22", "Methods 2A", "2D"]),
+    ('<a href="https://x">Method 21</a> and <span class="xref" data-x="y">B. Method 21</span>, Method 22', ["22"], ["Method 22"]),
+    ("<table><caption>Method 21</caption><tr><td>Method 22</td></tr></table>", ["22"], ["Method 22"]),
+    ('<div class="doc-table-caption">Table 2 Method 21</div>Methods 1,<b> 2</b>', ["1"], ["Methods 1"]),
+    ("the method 21 approach; Methods of compliance; NIOSH Method 7400; SubMethod 21", [], []),
+    ("under Performance Specification 8 or 9", ["ps-8"], ["Performance Specification 8"]),
+    ("&lt;Method 21&gt; &amp; Method 22", ["21", "22"], ["Method 21", "Method 22"]),
+]
+
+
+@pytest.mark.parametrize(("text", "want", "printed"), CITED)
+def test_methods(spark, text, want, printed):
+    slugs = [w if w.startswith("ps-") else f"method-{w}" for w in want]
+    assert one(spark, text, lambda c: links.methods(c, METHODS)) == slugs
+    html, made = links.link_methods(text, set(METHODS))
+    assert made == slugs and re.findall(r'<a class="xref-method" href="/test-methods/([^"]+)">(.*?)</a>', html) == list(zip(slugs, printed))
+    assert re.sub(r'<a class="xref-method"[^>]*>(.*?)</a>', r"\1", html) == text and links.link_methods(html, set(METHODS)) == (html, [])
+
+
+def test_methods_without_a_list_of_known_ones(spark):
+    assert one(spark, "Methods 18A through 18C, Method 318-95, Method 7400", links.methods) == ["method-18a", "method-18c", "method-7400"]
+    assert one(spark, None, links.methods) is None
+    assert links.link_methods("<p>Method 21. See Method 21</p>", {"method-21"}, "Method 21.")[0] == '<p>Method 21. See <a class="xref-method" href="/test-methods/method-21">Method 21</a></p>'
+
+
+@pytest.mark.parametrize(("text", "cut"), [("Whole.", False), ("Whole?*", False), ('Said "so"', False), ("(see A)", False), ("[cut]", False), ("ends in a list:", True), ("or a clause;", True), ("in the", True), ("A.**", True), ("Whole. \n", False), ("", True), (None, True)])
+def test_whole_answers(spark, text, cut):
+    assert one(spark, text, T.looks_cut_off) is cut
+
+
+def test_wrapper_tags_and_hedging(spark):
+    assert one(spark, "</ answer >A rule.< SUMMARY>\n", T.strip_wrapper) == "A rule."
+    assert one(spark, "<Answer>A rule.</summary >", T.strip_wrapper) == "A rule."
+    assert [one(spark, x, T.hedges) for x in ("It is Not Specified here", "It appears to apply", "no date", None)] == [True, False, True, False]
+
+
+@pytest.mark.parametrize(("text", "n", "want"), [
+    ("One two. Three four", 8, "One two."), ("One two. Three", 7, "One"), ('He said "no." Then', 13, 'He said "no."'), ("aaaa. bbbbbb.", 12, "aaaa."), ("One. Two three.", 14, "One."),
+    ("a list; of things", 9, "a list;"), ("abcdefgh", 4, "abcd"), ("  fits  ", 4, "fits"), (None, 4, ""), ("Sec. 3.1 is here now", 9, "Sec."), ("One.\nTwo. More", 9, "One.\nTwo."),
+])
+def test_cap_at_sentence(spark, text, n, want):
+    assert one(spark, text, lambda c: T.cap_at_sentence(c, n)) == want

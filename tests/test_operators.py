@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pandas as pd
 import pytest
@@ -137,14 +138,43 @@ def test_neighbours_exclude_the_family(spark):
     assert got == {("a", "c"), ("b", "c"), ("c", "b")}
 
 
-def test_pieces():
-    assert documents.pieces("short") == ["short"]
-    body = "word " * 400
-    parts = documents.pieces(body.strip(), 200, 20)
-    assert all(len(p) <= 200 for p in parts) and parts[0].endswith("word")
-    assert documents.pieces("x" * 450, 200, 20)[1] == "x" * 200
+def slices(body, size, overlap):
+    """What pieces have to be: windows that end at a space of their second half."""
+    out, at = [], 0
+    while at < len(body) and len(body) > size:
+        window = body[at : at + size]
+        if at + size < len(body) and " " in window[size // 2 :]:
+            window = window[: window.rindex(" ")]
+        out += [window.strip()] if window.strip() else []
+        if at + len(window) >= len(body):
+            break
+        at = max(at + len(window) - overlap, at + 1)
+    return out if len(body) > size else [body]
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(200, 20), (50, 10), (50, 40), (7, 6), (6000, 600)])
+def test_pieces(spark, size, overlap):
+    r = random.Random(size + overlap)
+    bodies = ["short", "", "x" * 450, "word " * 400, " " * 300, *["".join(r.choice("abcde    \n") for _ in range(r.randint(1, 700))) for _ in range(20)]]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string")
+    got = {r.i: r.p for r in df.select("i", documents.pieces(F.col("b"), size, overlap).alias("p")).collect()}
+    for i, b in enumerate(bodies):
+        assert got[i] == slices(b, size, overlap), i
     with pytest.raises(ValueError):
-        documents.pieces("x", 10, 10)
+        documents.pieces(F.col("b"), 10, 10)
+
+
+def test_chunk_headers_and_texts(spark):
+    rows = [("sec-ooooa-1", None, "60.1", "Scope", "state", "<p>Body one</p>", "Sum.", "approved"), ("sec-7-B", "sec-ooooa-1", None, "T", "federal", "Text", "No.", "rejected"), ("other", None, "C", None, "county", "", None, "pending")]
+    nodes = spark.createDataFrame(rows, "id string, parent_id string, citation string, title string, jurisdiction_level string, full_text string, ai_summary string, summary_status string").withColumn("reg_key", F.lit("k"))
+    got = {r.id: r.text for r in documents.chunk_texts(nodes, "m").collect()}
+    assert got == {
+        "sec-ooooa-1": "Colorado regulation OOOOA: 60.1 — Scope\nSummary: Sum.\nText: Body one",
+        "sec-7-B": "Federal regulation 7:  — T\nUnder 60.1: Body one\nText: Text", "other": "county: C —",
+    }
+    long = nodes.filter("id = 'other'").withColumn("ai_summary", F.lit("A sentence here. " * 60)).withColumn("full_text", F.lit("word " * 2000))
+    texts = [r.text for r in documents.chunk_texts(long, "m").orderBy("chunk_index").collect()]
+    assert len(texts) == 3 and len(texts[0].split("Summary: ")[1].split("\n")[0]) <= 600 and texts[2].endswith("A sentence here.") and "Text:" not in texts[2]
 
 
 def test_outline_of_ambiguous_labels():

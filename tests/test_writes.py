@@ -28,10 +28,19 @@ def test_summary_writes(spark):
 
 
 def test_gate(spark):
-    new = spark.createDataFrame([("1", "<answer>Fine.</answer>"), ("2", "It appears to be so."), ("3", "and then"), ("4", ""), ("5", "w " * 200 + ".")], "id string, summary string")
-    good, bad = writes.gate(new)
-    assert [r.summary for r in good.collect()] == ["Fine."]
-    assert {r.id: r.reason for r in bad.collect()} == {"2": "hedging", "3": "cut off", "4": "empty", "5": "too long"}
+    long, short = "w " * 200 + ".", "w " * 90 + "."
+    rows = [
+        ("1", "<answer>Fine.</answer>", None, None, None), ("2", "It is not specified.", None, None, None), ("3", "and then", None, None, None), ("4", "", None, None, "Now whole."), ("5", long, None, None, None),
+        ("6", "no date is given.", None, "A date.", None), ("7", "no date.", None, "unclear.", "x."), ("8", "Whole.", "max_tokens", None, "Shorter."), ("9", "Whole.", "max_tokens", None, "half of"),
+        ("10", long, None, None, short), ("11", long, None, None, "w w not stated."), ("12", "unclear.", "max_tokens", "Fine then.", None), ("13", None, None, None, None), ("14", "It appears to be so.", None, None, None),
+    ]
+    good, bad = writes.gate(spark.createDataFrame(rows, "id string, summary string, stop_reason string, rehedged string, shorter string"))
+    assert {r.id: (r.summary, r.still_long) for r in good.collect()} == {
+        "1": ("Fine.", False), "4": ("Now whole.", False), "5": (long, True), "6": ("A date.", False), "8": ("Shorter.", False), "10": (short, False), "11": (long, True), "12": ("Fine then.", False), "14": ("It appears to be so.", False),
+    }
+    assert {r.id: r.reason for r in bad.collect()} == {"2": "hedging", "3": "cut_off", "7": "hedging", "9": "cut_off", "13": "cut_off"}
+    only, _ = writes.gate(spark.createDataFrame([("1", "Fine.")], "id string, summary string"))
+    assert only.count() == 1
 
 
 def test_verdicts_touch_pending_rows_only(spark):
@@ -90,7 +99,12 @@ def test_context_blocks(spark):
     assert context.ancestor_block(nodes, leaf).first().block == "R Root: root text\nA Part A: part text"
     assert context.ancestor_block(nodes, leaf, budget=25, least=10).first().block == "A Part A: part text"
     full, short = (context.descendant_block(nodes, nodes.filter("id = 'r'"), n).first() for n in (100, 1))
-    assert full.block == "A part text\n  A.1 leaf text" and short.outline and short.block == "A Part A\n  A.1 Scope"
+    assert (full.block, full.outline) == ("A. Part A: part text\n  A.1. Scope: leaf text", False)
+    assert (short.block, short.outline) == ("A. Part A\n  A.1. Scope\n[2 provisions inside; bodies omitted for length]", True)
+    untitled = nodes.withColumn("title", F.when(F.col("id") != "b", F.lit("")).otherwise(F.lit("leaf"))).withColumn("full_text", F.when(F.col("id") == "a", F.lit("<p>" + "one two " * 8 + "</p>")).otherwise(F.col("full_text")))
+    pages = context.descendant_block(untitled, nodes.filter("id = 'r'"), 1, page_lines=2).orderBy("page").collect()
+    assert [p.block for p in pages] == ["A. " + "one two " * 5 + "one two…\n  A.1. leaf", "[2 provisions inside; bodies omitted for length]"]
+    assert context.descendant_block(untitled, nodes.filter("id = 'r'")).first().block.split("\n")[1] == "  A.1. leaf text"
     assert {r.id for r in context.prompts(nodes, nodes.select("id")).collect()} == {"r", "a"}
 
 

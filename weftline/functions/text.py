@@ -134,15 +134,23 @@ def overview(summary: Column, n_sentences: int, max_words: int) -> Column:
     return F.struct(F.when(long, cut_words(text, max_words)).otherwise(text).alias("overview"), F.slice(parts, F.lit(2), F.size(parts)).alias("rest"), long.alias("cut"))
 
 
+#: Where a sentence and a clause may end.
+SENTENCE_ENDS = [r"[.!?]['\")\]]", r"[.!?]"]
+CLAUSE_END = r"[;:]"
+
+
 def cap_at_sentence(c: Column, n: int) -> Column:
-    """At most ``n`` characters, cut back to a sentence end, else a clause end, else a word."""
+    """At most ``n`` characters, cut back to the last sentence end within them, else clause end, else word."""
     text = F.trim(F.coalesce(c, F.lit("")))
-    window = F.substring(text, 1, n + 1)
-    by_sentence = F.regexp_extract(window, r"(?s)^(.*[.!?]['\")\]]?)(?=\s|$)", 1)
-    by_clause = F.regexp_extract(window, r"(?s)^(.*[;:])(?=\s|$)", 1)
-    by_word = F.regexp_extract(window, r"(?s)^(.*) ", 1)
-    fits = lambda x: (x != "") & (F.length(x) <= n)
-    cut = F.when(fits(by_sentence), by_sentence).when(fits(by_clause), by_clause).when(fits(by_word), by_word).otherwise(F.substring(text, 1, n))
+    window = F.substring(text, 1, n + 1)  # one character more shows whether an end is one
+
+    def before(mark: str, size: int) -> Column:
+        return F.regexp_extract(window, rf"(?s)^(.{{0,{max(0, n - size)}}}{mark})(?=\s|$)", 1)
+
+    quoted, bare = before(SENTENCE_ENDS[0], 2), before(SENTENCE_ENDS[1], 1)
+    by_sentence = F.when(F.length(quoted) > F.length(bare), quoted).otherwise(bare)
+    by_clause, by_word = before(CLAUSE_END, 1), F.regexp_extract(window, r"(?s)^(.*) ", 1)
+    cut = F.when(by_sentence != "", by_sentence).when(by_clause != "", by_clause).when(by_word != "", by_word).otherwise(F.substring(text, 1, n))
     return F.when(F.length(text) <= n, text).otherwise(F.trim(cut))
 
 
@@ -156,13 +164,25 @@ def honest_cut(c: Column, n: int, mark: str = " [cut]") -> Column:
     return F.struct(F.when(long, F.concat(F.rtrim(cut), F.lit(mark))).otherwise(c).alias("text"), long.alias("cut"))
 
 
+#: Tags that answers leak, phrases that say a text is silent about something, and what a whole answer ends in.
+WRAPPER = r"(?i)</?\s*(?:answer|summary)\s*>"
+HEDGING = r"(?i)(the text does not|does not show|not stated|not specified|unclear|no date)"
+WHOLE = r"[.!?)\"\]]\*?\z"
+
+
 def strip_wrapper(c: Column) -> Column:
     """Without answer or summary tags around."""
-    return F.trim(F.regexp_replace(c, r"(?i)</?(answer|summary)>", ""))
+    return F.trim(F.regexp_replace(c, WRAPPER, ""), F.lit(" \t\r\n"))
+
+
+def hedges(c: Column) -> Column:
+    """Says that something is absent from the text."""
+    return F.coalesce(c, F.lit("")).rlike(HEDGING)
 
 
 def looks_cut_off(c: Column) -> Column:
-    return ~F.rtrim(c).rlike(r"[.!?:;)\]\"'”’]$")
+    """Doesn't end as a whole answer does: in a full stop or the like, which a footnote mark may follow. Null and blank texts are cut off."""
+    return ~F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+\z", "").rlike(WHOLE)
 
 
 def slug(c: Column) -> Column:

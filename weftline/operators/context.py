@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import tree
+from weftline.sources.shared import staged
 
 
 def ancestor_block(nodes: DataFrame, start: DataFrame, budget: int = 2000, least: int = 80) -> DataFrame:
@@ -23,26 +24,51 @@ def ancestor_block(nodes: DataFrame, start: DataFrame, budget: int = 2000, least
     return kept.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(-F.col("distance"), "line"))).alias("up")).select("id", F.array_join("up.line", "\n").alias("block"))
 
 
-def descendant_block(nodes: DataFrame, focus: DataFrame, most_words: int = 3000) -> DataFrame:
-    """(id, outline, block): the text of all below a node, or beyond ``most_words`` its outline of citations and titles."""
-    down = tree.descendants(nodes, focus).join(nodes.select("id", "citation", "title", "full_text"), "id").withColumn("plain", T.strip_html(F.col("full_text")))
-    indent = F.repeat(F.lit("  "), F.col("depth") - 1)
-    full, short = F.concat(indent, F.concat_ws(" ", "citation", "plain")), F.concat(indent, F.concat_ws(" ", "citation", "title"))
-    listed = F.sort_array(F.collect_list(F.struct("position", full.alias("full"), short.alias("short"))))
-    made = down.groupBy(F.col("focus_id").alias("id")).agg(F.sum(T.word_count(F.col("plain"))).alias("words"), listed.alias("rows"))
-    outline = F.col("words") > most_words
-    return made.select("id", outline.alias("outline"), F.when(outline, F.array_join("rows.short", "\n")).otherwise(F.array_join("rows.full", "\n")).alias("block"))
+#: Lines of one page of a block.
+PAGE_LINES = 2000
+#: Words of a row without a title that stand for it in an outline.
+OPENING_WORDS = 12
+
+
+def descendant_block(nodes: DataFrame, focus: DataFrame, most_words: int = 3000, page_lines: int = PAGE_LINES) -> DataFrame:
+    """(id, page, outline, block): the text of all below a node in reading order; beyond ``most_words`` its outline of citations and titles, or
+    opening words where there is no title, and a last line that says how many bodies were left out.
+
+    Words are summed before any text is gathered, so only blocks under the limit gather texts, and a page has ``page_lines`` lines at most:
+    the outline of a node with millions below it is many rows, none of which is large. A title isn't repeated before a text that
+    begins with it."""
+    below = staged(tree.descendants(nodes, focus), "below-foci")
+    rows = nodes.select("id", "citation", F.trim(F.coalesce("title", F.lit(""))).alias("title"), T.strip_html(F.col("full_text")).alias("plain"))
+    counted = below.join(rows.select("id", T.word_count(F.col("plain")).alias("words")), "id").groupBy("focus_id").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("n_below"))
+    sized = staged(below.join(counted.select("focus_id", (F.col("words") > most_words).alias("outline"), "n_below"), "focus_id"), "below-sized")
+    name = F.trim(F.coalesce("citation", "id"))
+    label = F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), F.when(name.endswith("."), name).otherwise(F.concat(name, F.lit("."))))
+    opens = F.startswith(F.lower("plain"), F.lower(F.substring("title", 1, 40)))
+    titled = F.when((F.col("title") != "") & ~opens, F.concat(label, F.lit(" "), "title", F.lit(":"))).otherwise(label)
+    listed = F.split("plain", r"\s+")
+    opening = F.concat(F.array_join(F.slice(listed, 1, OPENING_WORDS), " "), F.when(F.size(listed) > OPENING_WORDS, "…").otherwise(""))
+    full = sized.filter("not outline").join(rows, "id").withColumn("line", F.rtrim(F.concat(titled, F.lit(" "), "plain")))
+    short = sized.filter("outline").join(rows, "id").withColumn("line", F.rtrim(F.concat(label, F.lit(" "), F.when(F.col("title") != "", F.col("title")).otherwise(opening))))
+    lines = full.unionByName(short).select(F.col("focus_id").alias("id"), "position", "outline", "n_below", "line")
+    note = F.concat(F.lit("["), F.col("n_below").cast("string"), F.lit(" provisions inside; bodies omitted for length]"))
+    last = lines.filter(F.col("outline") & (F.col("position") == F.col("n_below"))).select("id", (F.col("position") + 1).alias("position"), "outline", "n_below", note.alias("line"))
+    paged = lines.unionByName(last).withColumn("page", F.floor((F.col("position") - 1) / page_lines).cast("int"))
+    made = paged.groupBy("id", "page", "outline").agg(F.sort_array(F.collect_list(F.struct("position", "line"))).alias("x"))
+    return made.select("id", "page", "outline", F.array_join("x.line", "\n").alias("block"))
 
 
 def prompts(nodes: DataFrame, start: DataFrame, least_words: int = 25) -> DataFrame:
-    """(id, prompt): the parts that a summary is asked with; rows of few words and nothing below get none."""
+    """(id, page, prompt): the parts that a summary is asked with; rows of few words and nothing below get none. Pages after the first hold what is
+    below only."""
     own = start.join(nodes.select("id", "citation", "title", "full_text"), "id", "left_semi") if set(start.columns) != {"id"} else nodes.join(start, "id", "left_semi")
     up, down = ancestor_block(nodes, own), descendant_block(nodes, own.select("id"))
-    rows = own.join(up.withColumnRenamed("block", "above"), "id", "left").join(down.withColumnRenamed("block", "below"), "id", "left")
+    rows = own.join(up.withColumnRenamed("block", "above"), "id", "left").join(down.select("id", "page", F.col("block").alias("below")), "id", "left").withColumn("page", F.coalesce("page", F.lit(0)))
     text = T.strip_for_prompt(F.col("full_text"))
     rows = rows.filter((T.word_count(text) >= least_words) | F.col("below").isNotNull())
     part = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"{name}:\n"), c))
-    return rows.select("id", F.concat_ws("\n\n", part("Context", F.col("above")), part("Provision", F.concat_ws(" ", "citation", "title")), part("Text", text), part("Below", F.col("below"))).alias("prompt"))
+    first = lambda c: F.when(F.col("page") == 0, c)
+    parts = [first(part("Context", F.col("above"))), first(part("Provision", F.concat_ws(" ", "citation", "title"))), first(part("Text", text)), part("Below", F.col("below"))]
+    return rows.select("id", "page", F.concat_ws("\n\n", *parts).alias("prompt"))
 
 
 def capped_groups(rows: DataFrame, group: str, order: list, cap: int) -> DataFrame:

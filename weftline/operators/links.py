@@ -60,21 +60,76 @@ def unresolved(linked: DataFrame) -> DataFrame:
     return linked.filter("target is null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label")
 
 
-#: Test methods are cited as "Method 9", "Methods 1 through 4", "Methods 18 and 25A"; their numbers have at most four digits.
-METHODS = r"(?i)\bmethods?\s+(\d{1,4}(?!\d)[A-Z]?(?:(?:\s*,\s*(?:and\s+|or\s+)?|\s+and\s+|\s+or\s+|\s+through\s+|\s*[-–]\s*)\d{1,4}(?!\d)[A-Z]?)*)"
-
-
-def methods(text: Column) -> Column:
-    """array<string>: cited methods, in order, once each; number ranges are filled in."""
-    lists = F.regexp_extract_all(text, F.lit(METHODS), F.lit(1))
-    item = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r"(?i)(\d+[A-Z]?(?:\s+through\s+|\s*[-–]\s*)\d+|\d+[A-Z]?)"), F.lit(1))))
-
-    def filled(x: Column) -> Column:
-        low, high = F.regexp_extract(x, r"^(\d+)", 1).cast("int"), F.nullif(F.regexp_extract(x, r"(?:through|[-–])\s*(\d+)$", 1), F.lit("")).cast("int")
-        run = F.transform(F.sequence(low, F.greatest(low, high)), lambda k: k.cast("string"))
-        return F.when(high.isNotNull() & (high >= low), run).otherwise(F.array(F.upper(x)))
-
-    return F.array_distinct(F.flatten(F.transform(item, filled)))
+#: How test methods and performance specifications are cited. A number is digits with at most one capital letter.
+NUMBER = r"\d+[A-Z]?(?![A-Za-z0-9])"
+_LIST = rf"(?:(?:\s*,\s*(?:(?:and|or)\s+)?|\s+(?:and|or)\s+){NUMBER}(?!\s*C\.?\s*F\.?\s*R))*"
+_THROUGH, _DASH = rf"\s+through\s+{NUMBER}(?!\s*C\.?\s*F\.?\s*R)", rf"\s*[–—-]\s*{NUMBER}(?!\s*C\.?\s*F\.?\s*R)"
+#: A citation as printed: singular or plural lead-in, list, at most one range at its end; a dash makes a range after the plural only.
+CITATION = rf"(?<![A-Za-z])(?:(?:EPA |Reference |Test )?(?:Methods\s+{NUMBER}{_LIST}(?:{_THROUGH}|{_DASH})?|Method\s+{NUMBER}{_LIST}(?:{_THROUGH})?)|Performance Specification\s+{NUMBER})"
+#: Text that is never linked: anchors, resolved references, table captions.
+BLOCKED = r"(?is)<a(?:\s[^>]*)?>.*?</a\s*>|<span\b[^>]*class=\"xref\"[^>]*>.*?</span\s*>|<div\b[^>]*class=\"doc-table-caption\"[^>]*>.*?</div\s*>|<caption\b[^>]*>.*?</caption\s*>"
+DATED = r"^(?:EPA |Reference |Test )?Method\s+\d+[A-Z]?$"
+
+
+def methods(html: Column, known: list[str] | None = None) -> Column:
+    """array<string>: slugs (method-25a, ps-8) that a text cites, in order, each time anew. Of a range the first and the last number are
+    cited, what lies between isn't. ``known``: the slugs that there are; others are left out. Without it every number counts but that of a
+    dated designation (Method 318-95). Tags end a list; a null text has none."""
+    text = F.regexp_replace(F.regexp_replace(html, BLOCKED, "\u0001"), r"<[^>]+>", "\u0001")
+    marked = F.regexp_replace(text, rf"((?<![A-Za-z])Method\s+\d+[A-Z]?)(?=\s*[–—-]\s*\d)", "$1\u0002") if known is None else text
+    found = F.regexp_extract_all(marked, F.lit(CITATION + "\u0002?"), F.lit(0))
+    dated = lambda x: F.when(x.endswith("\u0002"), F.array().cast("array<string>"))
+    kind = lambda x: F.when(x.startswith("Performance"), "ps-").otherwise("method-")
+    slugs = F.flatten(F.transform(found, lambda x: dated(x).otherwise(F.transform(F.regexp_extract_all(x, F.lit(NUMBER), F.lit(0)), lambda n: F.concat(kind(x), F.lower(n))))))
+    return slugs if known is None else F.filter(slugs, lambda x: x.isin(known))
+
+
+_NUMBER, _PARTS = re.compile(NUMBER), re.compile(rf"(?P<blocked>{BLOCKED[5:]})|(?P<tag><[^>]+>)|(?P<cited>(?-i:{CITATION}))", re.I | re.S)
+
+
+def link_methods(html: str, known: set[str], label: str | None = None) -> tuple[str, list[str]]:
+    """HTML with its citations of known methods as anchors, and their slugs. The lead-in is part of the first anchor; nothing inside the row's
+    own ``label`` at the start is linked. Text that is linked already comes back as it is."""
+    made: list[str] = []
+    plain = re.sub(r"<[^>]+>", "", html)
+    start = len(plain) - len(plain.lstrip())
+    bound, seen, at = (start + len(label) if label and plain[start:].startswith(label) else 0), 0, 0
+    out: list[str] = []
+
+    def anchor(slug: str, text: str) -> str:
+        if slug not in known:
+            return text
+        made.append(slug)
+        return f'<a class="xref-method" href="/test-methods/{slug}">{text}</a>'
+
+    for m in _PARTS.finditer(html):
+        out.append(html[at : m.start()])
+        seen += m.start() - at
+        at, whole = m.end(), m[0]
+        if m["cited"] and seen >= bound:
+            kind, put = "ps" if whole.startswith("Performance") else "method", 0
+            for i, n in enumerate(_NUMBER.finditer(whole)):
+                lead = 0 if i == 0 else n.start()
+                out.append(whole[put:lead] + anchor(f"{kind}-{n[0].lower()}", whole[lead : n.end()]))
+                put = n.end()
+            out.append(whole[put:])
+        else:
+            out.append(whole)
+        seen += len(whole) if m["cited"] else len(re.sub(r"<[^>]+>", "", whole))
+    return "".join([*out, html[at:]]), made
+
+
+def methods_linked(rows: DataFrame, known: list[str]) -> DataFrame:
+    """Adds linked (the HTML of full_text with citations as anchors) and slugs, for rows (id, full_text[, citation])."""
+    held = set(known)
+
+    def run(texts: pa.Array, labels: pa.Array) -> pa.Array:
+        found = [link_methods(t or "", held, x) for t, x in zip(texts.to_pylist(), labels.to_pylist(), strict=True)]
+        return pa.array([{"linked": h, "slugs": m} for h, m in found], pa.struct([("linked", pa.string()), ("slugs", pa.list_(pa.string()))]))
+
+    made = F.arrow_udf(run, "struct<linked:string,slugs:array<string>>")
+    label = F.col("citation") if "citation" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumn("__x", made(F.col("full_text"), label)).select(*rows.columns, "__x.linked", "__x.slugs")
 
 
 def method_summary(citations: DataFrame) -> DataFrame:

@@ -20,10 +20,12 @@ class Check:
     severity: str
     offenders: Callable[[DataFrame], DataFrame]
     baseline: int = 0
+    condition: Column | None = None
 
 
-def where(condition: Column) -> Callable[[DataFrame], DataFrame]:
-    return lambda nodes: nodes.filter(condition).select("id")
+def row_check(name: str, severity: str, condition: Column, baseline: int = 0) -> Check:
+    """A check that each row decides by itself."""
+    return Check(name, severity, lambda nodes: nodes.filter(condition).select("id"), baseline, condition)
 
 
 def repeated_block(text: Column, n: int = 50, times: int = 3) -> Column:
@@ -46,31 +48,40 @@ def registry() -> list[Check]:
     text, summary = F.col("full_text"), F.col("ai_summary")
     plain = T.strip_html_plain(text)
     return [
-        Check("empty_text", "ERROR", where(plain == "")),
+        row_check("empty_text", "ERROR", plain == ""),
         Check("orphan_parent", "ERROR", lambda n: tree.orphans(n).select("id")),
         Check("missing_link_target", "ERROR", missing_targets),
-        Check("self_parent", "ERROR", where(F.col("id") == F.col("parent_id"))),
+        row_check("self_parent", "ERROR", F.col("id") == F.col("parent_id")),
         Check("duplicate_citation", "GUARD", duplicate_citations),
-        Check("repeated_block", "GUARD", where(repeated_block(text))),
-        Check("summary_cut_off", "REVIEW", where(T.looks_cut_off(summary))),
-        Check("summary_longer_than_text", "REVIEW", where((F.length(plain) > 500) & (F.length(summary) > F.length(plain)))),
-        Check("math_glyphs", "GUARD", where(text.rlike(r"[\x{1D400}-\x{1D7FF}]"))),
-        Check("split_letters", "REVIEW", where(text.rlike(r"(?<!\w)(\p{L} ){4,}\p{L}(?!\w)"))),
-        Check("markdown", "REVIEW", where(T.has_markdown(summary))),
-        Check("page_furniture", "GUARD", where(text.rlike(r"(?m)^\s*Page \d+ of \d+\s*$"))),
-        Check("pending", "INFO", where(F.col("summary_status") == "pending")),
-        Check("rejected_visible", "INFO", where((F.col("summary_status") == "rejected") & F.col("is_public"))),
+        row_check("repeated_block", "GUARD", repeated_block(text)),
+        row_check("summary_cut_off", "ERROR", (F.trim(summary) != "") & ~F.rtrim(summary).rlike(T.WHOLE)),
+        row_check("summary_longer_than_text", "REVIEW", (F.length(plain) > 500) & (F.length(summary) > F.length(plain))),
+        row_check("math_glyphs", "GUARD", text.rlike(r"[\x{1D400}-\x{1D7FF}]")),
+        row_check("split_letters", "REVIEW", text.rlike(r"(?<!\w)(\p{L} ){4,}\p{L}(?!\w)")),
+        row_check("markdown", "REVIEW", T.has_markdown(summary)),
+        row_check("page_furniture", "GUARD", text.rlike(r"(?m)^\s*Page \d+ of \d+\s*$")),
+        row_check("pending", "INFO", F.col("summary_status") == "pending"),
+        row_check("rejected_visible", "INFO", (F.col("summary_status") == "rejected") & F.col("is_public")),
     ]
 
 
 def suite(nodes: DataFrame, checks: list[Check] | None = None) -> DataFrame:
-    """(name, severity, n, verdict) of every check."""
+    """(name, severity, n, verdict) of every check. What rows decide by themselves is counted in one pass; other checks have plans of their own."""
+    checks = checks or registry()
+    local = [c for c in checks if c.condition is not None]
     out = None
-    for c in checks or registry():
-        verdict = F.when(F.col("n") <= c.baseline, "ok").otherwise("fail" if c.severity in ("ERROR", "GUARD") else "look")
-        row = c.offenders(nodes).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c.name).alias("name"), F.lit(c.severity).alias("severity"), "n", verdict.alias("verdict"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    if local:
+        counts = nodes.agg(*[F.count_if(c.condition).alias(f"c{i}") for i, c in enumerate(local)])
+        pairs = F.array(*[F.struct(F.lit(c.name).alias("name"), F.col(f"c{i}").alias("n")) for i, c in enumerate(local)])
+        out = counts.select(F.inline(pairs))
+    for c in checks:
+        if c.condition is None:
+            row = c.offenders(nodes).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c.name).alias("name"), "n")
+            out = row if out is None else out.unionByName(row)
+    known = lambda value: F.coalesce(*[F.when(F.col("name") == c.name, F.lit(value(c))) for c in checks])
+    severity, baseline = known(lambda c: c.severity), known(lambda c: c.baseline)
+    verdict = F.when(F.col("n") <= baseline, "ok").when(severity.isin("ERROR", "GUARD"), "fail").otherwise("look")
+    return out.select("name", severity.alias("severity"), "n", verdict.alias("verdict"))
 
 
 def stale_pending(rows: DataFrame, now: Column, hours: int = 24, allowed: list[str] = ()) -> DataFrame:

@@ -27,15 +27,27 @@ def summaries(rows: DataFrame, new: DataFrame, now: Column) -> tuple[DataFrame,
     return after.select(*rows.columns), log
 
 
-def gate(new: DataFrame, most_words: int = 120) -> tuple[DataFrame, DataFrame]:
-    """Summaries that may be written and those that may not, with a reason: hedging, cut off, too long or empty."""
-    clean = new.withColumn("summary", T.strip_wrapper(F.col("summary")))
-    reason = (
-        F.when(F.coalesce("summary", F.lit("")) == "", "empty").when(F.col("summary").rlike(r"(?i)\b(appears to|seems to|it is unclear|cannot determine|as an ai)\b"), "hedging")
-        .when(T.looks_cut_off(F.col("summary")), "cut off").when(T.word_count(F.col("summary")) > most_words, "too long")
-    )
-    judged = clean.withColumn("reason", reason)
-    return judged.filter("reason is null").drop("reason"), judged.filter("reason is not null")
+def gate(new: DataFrame, most_words: int = 150) -> tuple[DataFrame, DataFrame]:
+    """(id, summary, still_long) that may be written, and (id, reason) that may not: hedging or cut_off.
+
+    ``new``: id, summary, and where there are any: stop_reason of the answer, rehedged (the answer when asked not to say what is absent),
+    shorter (the answer when asked for fewer words). A hedging answer is replaced by rehedged, or refused. A cut-off one (also one
+    whose stop_reason is max_tokens) is replaced by shorter if that is whole and doesn't hedge, or refused. One of more than
+    ``most_words`` words takes shorter if it is whole, doesn't hedge and is shorter, and is written in any case. Tags are stripped before
+    every test; a null or empty answer is cut off."""
+    column = lambda name: F.col(name) if name in new.columns else F.lit(None).cast("string")
+    clean = lambda c: F.coalesce(T.strip_wrapper(c), F.lit(""))
+    rows = new.select("id", clean(F.col("summary")).alias("first"), column("stop_reason").alias("stop"), clean(column("rehedged")).alias("second"), clean(column("shorter")).alias("shorter"))
+    rows = rows.withColumn("hedged", T.hedges(F.col("first"))).withColumn("text", F.when(F.col("hedged"), F.col("second")).otherwise(F.col("first")))
+    refused = F.col("hedged") & ((F.col("second") == "") | T.hedges(F.col("second")))
+    cut = T.looks_cut_off(F.col("text")) | (~F.col("hedged") & F.col("stop").eqNullSafe("max_tokens"))
+    good = (F.col("shorter") != "") & ~T.looks_cut_off(F.col("shorter")) & ~T.hedges(F.col("shorter"))
+    long = T.word_count(F.col("text")) > most_words
+    better = good & (T.word_count(F.col("shorter")) < T.word_count(F.col("text")))
+    reason = F.when(refused, "hedging").when(cut & ~good, "cut_off")
+    text = F.when(cut | (long & better), F.col("shorter")).otherwise(F.col("text"))
+    judged = rows.select("id", reason.alias("reason"), text.alias("summary"), (~cut & long & (T.word_count(text) > most_words)).alias("still_long"))
+    return judged.filter("reason is null").drop("reason"), judged.filter("reason is not null").select("id", "reason")
 
 
 def verdicts(rows: DataFrame, given: DataFrame, reviewer: str, now: Column) -> tuple[DataFrame, DataFrame]:

@@ -633,12 +633,12 @@ def verdicts_applied(spark, d):
 def prompts(spark, d):
     rows = S.nodes(spark, d)
     found = context.prompts(rows, rows.filter("is_public").select("id"))
-    return found.select("id", F.length("prompt").alias("n_chars"), F.sha2(F.col("prompt").cast("binary"), 256).alias("hash"))
+    return found.select("id", "page", F.length("prompt").alias("n_chars"), F.sha2(F.col("prompt").cast("binary"), 256).alias("hash"))
 
 
-@query(r"""SELECT source, count(*) AS n, count(*) FILTER (kept) AS kept FROM (SELECT source, regexp_matches(text, '[.!?:;)\]"''”’]\s*$') AS kept FROM documents) GROUP BY 1""")
+@query(r"""SELECT source, count(*) AS n, count(*) FILTER (kept) AS kept FROM (SELECT source, regexp_matches(text, '[.!?)\]"]\*?\s*\z') AS kept FROM documents) GROUP BY 1""")
 def cut_off_texts(spark, d):
-    rows = _t(spark, d, "documents").select("source", (~T.looks_cut_off(F.regexp_replace("text", r"\s+$", ""))).alias("kept"))
+    rows = _t(spark, d, "documents").select("source", (~T.looks_cut_off(F.col("text"))).alias("kept"))
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("kept"))
 
 

@@ -21,11 +21,24 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 # --- references and links -----------------------------------------------------------------------------------------
 
 
-@query("SELECT method, count(DISTINCT p_partkey) AS n_rows FROM (SELECT p_partkey, unnest(list_concat(['18', '25A'], list_transform(range(p_size, p_size + 120), lambda x: x::VARCHAR))) AS method FROM part) GROUP BY 1")
+_CITING = "' per <b>EPA</b> Methods 2A through 7, Method 318-95, Method 25A, 40 CFR and '"
+
+
+@query(f"""WITH d AS (SELECT doc_id, (length(text) - length(replace(text, ' and ', ''))) / 5 AS k FROM documents), m AS (SELECT unnest(['method-2a', 'method-7', 'method-25a']) AS method)
+SELECT method, count(*) FILTER (k > 0) AS n_rows, sum(k)::BIGINT AS n FROM d, m GROUP BY 1""")
 def cited_methods(spark, d):
-    """Lists and ranges of cited methods, ranges filled in whole, counted by method."""
-    text = F.expr("concat('Use Methods 18, 25a and ', p_size, ' through ', p_size + 119, ' here.')")
-    return links.method_summary(_t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(links.methods(text)).alias("method")))
+    """Documents whose every "and" became citations: the ends of a range, a dated designation that isn't one, a list that a CFR citation ends."""
+    rows = _t(spark, d, "documents").select("doc_id", F.explode(links.methods(F.expr(f"replace(text, ' and ', {_CITING})"))).alias("method"))
+    return rows.groupBy("method").agg(F.countDistinct("doc_id").alias("n_rows"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT doc_id, md5(replace(text, ' and ', ' by <a class="xref-method" href="/test-methods/method-1">Methods 1</a> and <a class="xref-method" href="/test-methods/method-3b">3B</a>, 4 and ')) AS hash,
+  2 * (length(text) - length(replace(text, ' and ', ''))) / 5 AS n FROM documents""")
+def linked_methods(spark, d):
+    """Citations of known methods as anchors; others stay as they are."""
+    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr("replace(text, ' and ', ' by Methods 1 and 3B, 4 and ')").alias("full_text"))
+    found = links.methods_linked(rows, ["method-1", "method-3b"])
+    return found.select(F.col("id").alias("doc_id"), F.md5(F.col("linked").cast("binary")).alias("hash"), F.size("slugs").cast("double").alias("n"))
 
 
 _REFS = """refs AS (
@@ -269,12 +282,32 @@ def manifest_entries(spark, d):
     return writes.manifest_put(rows.filter("key % 5 <> 0"), rows.filter("key % 2 = 0").selectExpr("key", "concat('n', key) name", "cast(null as double) balance"))
 
 
-@query("SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'empty' WHEN 1 THEN 'hedging' WHEN 2 THEN 'cut off' WHEN 3 THEN 'too long' END AS reason FROM part")
+_GATE = r"""WITH c AS (SELECT doc_id AS id, trim(regexp_replace(substr(text, 1, 1200), '(?i)</?\s*(?:answer|summary)\s*>', '', 'g'), ' ' || chr(9) || chr(13) || chr(10)) AS a,
+  trim(split_part(text, chr(10), 2), ' ' || chr(9) || chr(13) || chr(10)) AS b, trim(substr(text, 1, 100), ' ' || chr(9) || chr(13) || chr(10)) AS s, doc_id % 7 = 0 AS stopped FROM documents
+), h AS (SELECT *, regexp_matches(a, 'HEDGE') AS hedged FROM c), t AS (SELECT *, CASE WHEN hedged THEN b ELSE a END AS x FROM h
+), j AS (SELECT *, hedged AND (b = '' OR regexp_matches(b, 'HEDGE')) AS refused, NOT regexp_matches(x, 'WHOLE') OR NOT hedged AND stopped AS cut, s <> '' AND regexp_matches(s, 'WHOLE') AND NOT regexp_matches(s, 'HEDGE') AS good,
+  WORDS(x) AS nx, WORDS(s) AS ns FROM t
+), r AS (SELECT id, CASE WHEN refused THEN 'hedging' WHEN cut AND NOT good THEN 'cut_off' END AS reason, CASE WHEN cut OR nx > 150 AND good AND ns < nx THEN s ELSE x END AS y, NOT cut AND nx > 150 AS long FROM j)
+SELECT id, reason, CASE WHEN reason IS NULL THEN md5(y) END AS hash, CASE WHEN reason IS NULL THEN long AND WORDS(y) > 150 END AS still_long FROM r"""
+
+
+def _gate_sql() -> str:
+    out = _GATE.replace("HEDGE", r"(?i)(the text does not|does not show|not stated|not specified|unclear|no date)").replace("WHOLE", r'[.!?)\"\]]\*?\s*\z')
+    for c in "xsy":
+        out = out.replace(f"WORDS({c})", rf"CASE WHEN trim(regexp_replace({c}, '\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace({c}, '\s+', ' ', 'g')), ' ')) END")
+    return out
+
+
+@query(_gate_sql())
 def summary_gate(spark, d):
-    """Which summaries may be written, and why the others may not."""
-    text = F.expr("case p_size % 5 when 0 then '<summary></summary>' when 1 then 'It appears to apply.' when 2 then 'This ends in the' when 3 then concat(repeat('word ', 130), 'end.') else '<answer>Fine as it is.</answer>' end")
-    good, bad = writes.gate(_t(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("summary")))
-    return good.select("id", F.lit(None).cast("string").alias("reason")).union(bad.select("id", "reason"))
+    """Openings of all documents as answers: which may be written, and why the others may not."""
+    rows = _t(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.substring("text", 1, 1200).alias("summary"), F.when(F.col("doc_id") % 7 == 0, "max_tokens").alias("stop_reason"),
+        F.split_part("text", F.lit("\n"), F.lit(2)).alias("rehedged"), F.substring("text", 1, 100).alias("shorter"),
+    )
+    good, bad = writes.gate(rows)
+    none = F.lit(None)
+    return good.select("id", none.cast("string").alias("reason"), F.md5(F.col("summary").cast("binary")).alias("hash"), "still_long").unionByName(bad.select("id", "reason", none.cast("string").alias("hash"), none.cast("boolean").alias("still_long")))
 
 
 @query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000) GROUP BY 1")

@@ -244,7 +244,7 @@ def quality() -> str:
         ("missing_link_target", "ERROR", f"SELECT count(DISTINCT t) FROM ({targets}) WHERE t NOT IN (SELECT id FROM n)"), ("self_parent", "ERROR", at("id = parent_id")),
         ("duplicate_citation", "GUARD", "SELECT count(*) FROM (SELECT 1 FROM n GROUP BY reg_key, citation HAVING count(*) > 1)"),
         ("repeated_block", "GUARD", at("length(full_text) >= 50 AND (length(full_text) - length(replace(full_text, substr(full_text, 1, 50), ''))) / 50 >= 3")),
-        ("summary_cut_off", "REVIEW", at(r"NOT regexp_matches(rtrim(ai_summary), '[.!?:;)\]\"''”’](\r\n|[\n\r\x{85}\x{2028}\x{2029}])?$')")),
+        ("summary_cut_off", "ERROR", at(r"trim(ai_summary) <> '' AND NOT regexp_matches(rtrim(ai_summary, ' '), '[.!?)\"\]]\*?\z')")),
         ("summary_longer_than_text", "REVIEW", at("length(plain) > 500 AND length(ai_summary) > length(plain)")), ("math_glyphs", "GUARD", at(r"regexp_matches(full_text, '[\x{1D400}-\x{1D7FF}]')")),
         ("split_letters", "REVIEW", at(r"regexp_matches(full_text, '(^|\W)(\p{L} ){4,}\p{L}(\W|$)')")), ("markdown", "REVIEW", at(f"regexp_matches(ai_summary, '(?m){marks}')")),
         ("page_furniture", "GUARD", at(r"regexp_matches(full_text, '(?m)^\s*Page \d+ of \d+\s*$')")), ("pending", "INFO", at("summary_status = 'pending'")),
