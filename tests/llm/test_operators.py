@@ -3,6 +3,7 @@ the odd rows: nulls, blanks, long texts, ties, repeats, empty tables, clashing c
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -488,8 +489,7 @@ def brute_battery(t):
     n, size, change, plain = len(t), secret_scan.SIZES[kind], secret_scan.CHANGE[kind], secret_scan.ORDINARY_CHANGE[kind]
     chi = sum(c * c for c in collections.Counter(t).values()) * size / n - n
     free, gaps, shift = size - 1, n - 1, n * max(size * secret_scan.ORDINARY_SQUARES - 1, 0.5)
-    cls = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-" for c in t]
-    changes = sum(x != y for x, y in zip(cls, cls[1:]))
+    changes = len(re.findall(r"[A-Z]?[a-z]+|(?:[A-Z](?![a-z]))+|[0-9]+|[^A-Za-z0-9]+", t)) - 1
     q = max(change, 0.01)
     runs = (changes - gaps * q) / (gaps * q * (1 - q)) ** 0.5 if change else 0
     codes = [ord(c) for c in t]
@@ -498,8 +498,7 @@ def brute_battery(t):
     serial = (sum((x - mean) * (y - mean) for x, y in zip(codes, codes[1:])) / var if var else 1) * n**0.5
     even = all(abs(z) < secret_scan.LIMIT for z in (runs, serial)) and (chi - free) / (2 * free * gaps / n) ** 0.5 < secret_scan.LIMIT
     z = ((chi - free - shift) / (2 * (free + 2 * shift)) ** 0.5 + ((gaps * plain - changes) / (gaps * plain * (1 - plain)) ** 0.5 if change else 0)) / 2**0.5
-    z = min(12, max(-12, z))
-    return even, 1 / (1 + np.exp(-(1.5976 * z + 0.07056 * z**3)))
+    return even, math.erfc(-z / 2**0.5) / 2
 
 
 ALPHABETS = {
@@ -513,6 +512,22 @@ def token(r, alphabet, n):
     return "".join(r.choice(alphabet) for _ in range(n))
 
 
+def test_tail_is_right_relatively(spark):
+    z = [-25.0, -12.0, -8.0, -7.0, -6.0, -5.0, -4.0, -3.0, -1.0, -1e-9, 0.0, 0.5, 2.0, 6.0, 30.0]
+    df = spark.createDataFrame([(x,) for x in z], "z double")
+    got = {r.z: r.p for r in df.select("z", secret_scan._lower_tail(F.col("z")).alias("p")).collect()}
+    assert all(np.isclose(got[x], math.erfc(-x / 2**0.5) / 2, rtol=3e-7, atol=0) for x in z)
+
+
+def test_ordinary_tokens_pass_as_random_as_rarely_as_stated(spark):
+    """The p-value of an ordinary token is below 0.001 for at most 0.1 % of them."""
+    r = random.Random(4)
+    tokens = [r.choice(PLAIN)(r.choices(WORDS, k=r.randint(4, 8))) for _ in range(4000)]
+    df = table(spark, [t for t in tokens if len(t) >= 20])
+    got = [x.t[0] for x in df.select(secret_scan.battery(F.array("text")).alias("t")).collect()]
+    assert sum(t.even and t.p < 0.001 for t in got) <= 4
+
+
 def test_battery_and_discoveries_equal_brute_force(spark):
     r = random.Random(18)
     tokens = [token(r, a, r.choice([20, 24, 32, 40, 64, 100])) for a in ALPHABETS.values() for _ in range(40)]
