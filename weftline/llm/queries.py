@@ -42,7 +42,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source")
+    """Documents have no URL: their source stands in for the host, and the language, as in many sites' first path part, for the path."""
+    docs = table(spark, sf_dir, "documents")
+    site = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return site_quality.score(docs.select("doc_id", "text", site.alias("site")), table(spark, sf_dir, "labels"), "site")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

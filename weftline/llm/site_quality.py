@@ -1,10 +1,10 @@
 """Quality scores by hierarchical empirical Bayes.
 
 A logistic classifier of text measurements gives each document a probability of good quality. Hosts and paths of hosts
-get posterior means of it: a path is shrunk toward its host and a host toward the global mean, by strengths
-that are estimated from the data (method of moments), so sites with few documents stay near the prior above them. A
-document's score adds to its own log-odds what the posterior of its path, from the other documents there alone, differs from the
-global mean, so no document's evidence counts twice.
+get posterior means of it: a host is shrunk toward the global mean, and a path toward what the other paths of its host say (toward the
+global mean where there are none), by strengths that are estimated from the data (method of moments), so sites with few documents
+stay near the prior above them. A document's score adds to its own log-odds what the posterior of its path, without the document, differs
+from the global mean. Path and prior have no document in common, so no document's evidence counts twice.
 
 A site is a key such as ``example.org/blog/1``: what is before the first ``/`` is the host, the first part after it the path (with
 ``://`` and what is before it left out). A key without a ``/`` is a host with one path.
@@ -116,7 +116,7 @@ def path_of(site: Column) -> Column:
 
 
 def posteriors(rows: DataFrame) -> tuple[DataFrame, float, float, float]:
-    """Of rows (host, path, own): (host, path, sum, n, host_sum, host_n, host_posterior, path_posterior) of each path, the global mean, and the
+    """Of rows (host, path, own): (host, path, sum, n, host_sum, host_n, host_posterior, prior, path_posterior) of each path, the global mean, and the
     strengths of it and of a host's posterior."""
     paths = staged(rows.groupBy("host", "path").agg(F.sum("own").alias("sum"), F.count(F.lit(1)).alias("n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("sum").alias("host_sum"), F.sum("n").alias("host_n"))
@@ -124,9 +124,10 @@ def posteriors(rows: DataFrame) -> tuple[DataFrame, float, float, float]:
     mean = float(whole[0] / whole[1]) if whole[1] else 0.5
     k_host = strength(hosts.select((F.col("host_sum") / F.col("host_n")).alias("mean"), F.col("host_n").alias("n"), F.lit(mean).alias("around")), "mean", "n", "around")
     hosts = hosts.withColumn("host_posterior", (F.col("host_sum") + k_host * mean) / (F.col("host_n") + k_host))
-    sites = paths.join(hosts, "host")
-    k_path = strength(sites.select((F.col("sum") / F.col("n")).alias("mean"), "n", F.col("host_posterior").alias("around")), "mean", "n", "around")
-    sites = sites.withColumn("path_posterior", (F.col("sum") + k_path * F.col("host_posterior")) / (F.col("n") + k_path))
+    rest = (F.col("host_sum") - F.col("sum") + k_host * mean) / (F.col("host_n") - F.col("n") + k_host)  # the host's other paths
+    sites = paths.join(hosts, "host").withColumn("prior", rest)
+    k_path = strength(sites.select((F.col("sum") / F.col("n")).alias("mean"), "n", F.col("prior").alias("around")), "mean", "n", "around")
+    sites = sites.withColumn("path_posterior", (F.col("sum") + k_path * F.col("prior")) / (F.col("n") + k_path))
     return staged(sites, "sites"), mean, k_host, k_path
 
 
@@ -138,8 +139,7 @@ def score(docs: DataFrame, labels: DataFrame, site_col: str, id_col: str = "doc_
     p = probability(*fit(rows, labels.select("doc_id", "quality")))
     rows = rows.select("doc_id", "host", "path", p.alias("own"))
     sites, mean, k_host, k_path = posteriors(rows)
-    host = (F.col("host_sum") - F.col("own") + k_host * mean) / (F.col("host_n") - 1 + k_host)
-    path = (F.col("sum") - F.col("own") + k_path * host) / (F.col("n") - 1 + k_path)
+    path = (F.col("sum") - F.col("own") + k_path * F.col("prior")) / (F.col("n") - 1 + k_path)
     both = logit(F.col("own")) + logit(path) - logit(F.lit(mean))
     out = rows.join(sites, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-both)))
     return out.select(
