@@ -2,15 +2,16 @@
 
 Weights are A (citation) 1.0, B (title) 0.4, C (body) 0.2. A node's score is the sum over the query's words of weight
 times occurrences, divided by 1 + ln(words of the node): short operative rows beat long ones. Words are lower-case
-runs of letters and digits, without stemming, so that any engine can state the same.
+runs of letters and digits; ``stemmed`` turns a word table, and ``Query.stemmed`` a query, into one of stems.
 
 A query is a list of clauses, all of which must match; a clause is a list of alternatives; an alternative is a phrase
-of one or more words. Words that must not occur are apart.
+of one or more words. Words that must not occur are apart. A structured query (``parse``) is a tree of words with & | ! <-> <n> and brackets.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import ClassVar
 
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.functions.stems import stem, stems
 
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
 SPLIT = r"[^\p{L}\p{N}]+"
@@ -38,6 +40,9 @@ class Query:
         """All clauses as alternatives of one: what a query falls back to when hardly anything matches all."""
         return Query([[alt for c in self.clauses for alt in c]] if self.clauses else [], self.without)
 
+    def stemmed(self) -> Query:
+        return Query([[tuple(map(stem, alt)) for alt in c] for c in self.clauses], sorted({stem(w) for w in self.without}))
+
 
 def parts(text: str) -> tuple[str, ...]:
     return tuple(w for w in re.split(r"[\W_]+", text.lower()) if w)
@@ -94,18 +99,30 @@ def store(table: DataFrame, path: str, parts: int | None = None) -> None:
     table.repartition(parts, "word").sortWithinPartitions("word", "id").write.mode("overwrite").parquet(path)
 
 
-def matches(table: DataFrame, query: Query) -> DataFrame:
-    """(id, score, citation_hit) of the nodes that a query matches. Only the query's words are shuffled."""
-    if not query.clauses:
-        return table.select("id", F.lit(0.0).alias("score"), F.lit(False).alias("citation_hit")).limit(0)
-    wanted = query.words()
+def stemmed(table: DataFrame) -> DataFrame:
+    """A word table with stems for words. Each distinct word is stemmed once; the stems are joined back."""
+    vocabulary = table.select("word").distinct().withColumn("stem", stems(F.col("word")))
+    return table.join(vocabulary, "word").select("id", "n_words", "pos", F.col("stem").alias("word"), "weight")
+
+
+def _places(table: DataFrame, wanted: list[str], positive: list[str]) -> DataFrame:
+    """(id, p0, p1, ..., c0, c1, ..., score): places of each wanted word in each node that has one, and whether its citation has it. Only
+    these words are shuffled."""
     rows = table.filter(F.col("word").isin(wanted))
     places = [F.collect_set(F.when(F.col("word") == w, F.col("pos"))).alias(f"p{i}") for i, w in enumerate(wanted)]
     cited = [F.max((F.col("word") == w) & (F.col("weight") == WEIGHTS["A"])).alias(f"c{i}") for i, w in enumerate(wanted)]
-    positive = [w for w in wanted if w not in query.without]
     # whole counts of each weight, so that the sum doesn't depend on the order of rows
     weight = sum((F.count_if(F.col("word").isin(positive) & (F.col("weight") == w)) * F.lit(w) for w in WEIGHTS.values()), F.lit(0.0))
     found = rows.groupBy("id").agg(*places, *cited, weight.alias("weight"), F.max("n_words").alias("n_words"))
+    return found.withColumn("score", F.col("weight") / (1 + F.log(F.col("n_words").cast("double"))))
+
+
+def matches(table: DataFrame, query: Query) -> DataFrame:
+    """(id, score, citation_hit) of the nodes that a query matches. Only the query's words are shuffled."""
+    if not query.clauses:
+        return table.select("id", F.lit(0.0).alias("score"), F.lit(False).alias("citation_hit")).limit(0)
+    wanted = query.words()
+    found = _places(table, wanted, [w for w in wanted if w not in query.without])
     at = {w: i for i, w in enumerate(wanted)}
 
     def phrase(alt: tuple[str, ...]) -> Column:
@@ -132,7 +149,168 @@ def matches(table: DataFrame, query: Query) -> DataFrame:
     good = all_of(phrase)
     for w in query.without:
         good = good & (F.size(f"p{at[w]}") == 0)
-    return found.filter(good).select("id", (F.col("weight") / (1 + F.log(F.col("n_words").cast("double")))).alias("score"), all_of(cites).alias("citation_hit"))
+    return found.filter(good).select("id", "score", all_of(cites).alias("citation_hit"))
+
+
+# --- structured queries --------------------------------------------------------------------------------------------
+
+
+class QuerySyntax(ValueError):
+    """What is wrong with a structured query, and where."""
+
+
+@dataclass(frozen=True)
+class Tree:
+    """kind: word, and, or, not, near. A word has a text; near has a distance: right is so many words after left."""
+
+    kind: str
+    text: str = ""
+    parts: tuple[Tree, ...] = ()
+    distance: int = 1
+
+    def words(self, negated: bool = False) -> set[tuple[str, bool]]:
+        """(word, whether it stands under a not)."""
+        if self.kind == "word":
+            return {(self.text, negated)}
+        return {x for p in self.parts for x in p.words(negated != (self.kind == "not"))}
+
+    def stemmed(self) -> Tree:
+        return Tree(self.kind, stem(self.text) if self.text else "", tuple(p.stemmed() for p in self.parts), self.distance)
+
+
+_TOKEN = re.compile(r"\s*(?:(<->|<(\d+)>|[&|!()])|'((?:[^']|'')*)'|([^\s&|!()<>']+))")
+
+
+def parse(text: str) -> Tree:
+    """A structured query as a tree; binding from loose to tight: | & <-> !. Neighbouring words without an operator, open brackets and the like
+    are errors. A quoted or compound word of several parts is a row of neighbours."""
+    tokens, at = [], 0
+    while text[at:].strip():
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise QuerySyntax(f"unexpected {text[at:].strip()[0]!r} at {at}")
+        operator, far, quoted, word = m.groups()
+        tokens.append((f"<{far or 1}>" if operator and operator[0] == "<" else operator, None if operator else (quoted if quoted is not None else word), m.start()))
+        at = m.end()
+    place = 0
+
+    def next_is(*operators: str) -> bool:
+        return place < len(tokens) and tokens[place][0] in operators
+
+    def chain(operator: str, kind: str, deeper: Callable[[], Tree]) -> Tree:
+        nonlocal place
+        parts = [deeper()]
+        while next_is(operator):
+            place += 1
+            parts.append(deeper())
+        return parts[0] if len(parts) == 1 else Tree(kind, parts=tuple(parts))
+
+    def near() -> Tree:
+        nonlocal place
+        left = unary()
+        while place < len(tokens) and (tokens[place][0] or "").startswith("<"):
+            distance = int(tokens[place][0][1:-1])
+            place += 1
+            left = Tree("near", parts=(left, unary()), distance=distance)
+        return left
+
+    def unary() -> Tree:
+        nonlocal place
+        if place >= len(tokens):
+            raise QuerySyntax("the query ends where a word is expected")
+        operator, word, at = tokens[place]
+        place += 1
+        if operator == "!":
+            return Tree("not", parts=(unary(),))
+        if operator == "(":
+            inner = either()
+            if not next_is(")"):
+                raise QuerySyntax(f"the bracket at {at} isn't closed")
+            place += 1
+            return inner
+        found = parts(word or "")
+        if operator or not found:
+            raise QuerySyntax(f"a word is expected at {at}")
+        out = Tree("word", found[0])
+        for w in found[1:]:
+            out = Tree("near", parts=(out, Tree("word", w)))
+        return out
+
+    def either() -> Tree:
+        return chain("|", "or", lambda: chain("&", "and", near))
+
+    tree = either()
+    if place < len(tokens):
+        raise QuerySyntax(f"an operator is expected at {tokens[place][2]}")
+    return tree
+
+
+def read_query(text: str) -> Tree | Query:
+    """A structured query, or where its syntax is wrong what a user means by it."""
+    try:
+        return parse(text)
+    except QuerySyntax:
+        return user_query(text)
+
+
+def tree_matches(table: DataFrame, tree: Tree) -> DataFrame:
+    """(id, score, citation_hit) of the nodes that a tree matches. Nodes without any of its words aren't looked at, so a tree that a node
+    without words would match (a bare not) finds only nodes with its words."""
+    named = tree.words()
+    wanted = sorted({w for w, _ in named})
+    at = {w: i for i, w in enumerate(wanted)}
+    found = _places(table, wanted, sorted({w for w, negated in named if not negated}))
+    moved = lambda c, n: F.transform(c, lambda x: x + n)
+
+    def ends(t: Tree) -> tuple[Column, bool]:
+        """Places where a part ends; negated: all places but those."""
+        if t.kind == "word":
+            return F.col(f"p{at[t.text]}"), False
+        if t.kind == "not":
+            c, negated = ends(t.parts[0])
+            return c, not negated
+        if t.kind == "near":
+            (left, no_left), (right, no_right) = ends(t.parts[0]), ends(t.parts[1])
+            left = moved(left, t.distance)
+        else:
+            (left, no_left), (right, no_right) = ends(t.parts[0]), ends(Tree(t.kind, parts=t.parts[1:]) if len(t.parts) > 2 else t.parts[1])
+        if t.kind == "or":
+            if not (no_left or no_right):
+                return F.array_union(left, right), False
+            kept = F.array_intersect(left, right) if no_left and no_right else F.array_except(left, right) if no_left else F.array_except(right, left)
+            return kept, True
+        if no_left and no_right:
+            return F.array_union(left, right), True
+        return (F.array_except(right, left) if no_left else F.array_except(left, right) if no_right else F.array_intersect(left, right)), False
+
+    def good(t: Tree) -> Column:
+        if t.kind in ("word", "near"):
+            places, negated = ends(t)
+            return F.lit(True) if negated else F.size(places) > 0
+        if t.kind == "not":
+            return ~good(t.parts[0])
+        out = good(t.parts[0])
+        for p in t.parts[1:]:
+            out = out & good(p) if t.kind == "and" else out | good(p)
+        return out
+
+    def cites(t: Tree) -> Column:
+        if t.kind == "word":
+            return F.col(f"c{at[t.text]}")
+        if t.kind == "not":
+            return F.lit(True)
+        out = cites(t.parts[0])
+        for p in t.parts[1:]:
+            out = out | cites(p) if t.kind == "or" else out & cites(p)
+        return out
+
+    return found.filter(good(tree)).select("id", "score", cites(tree).alias("citation_hit"))
+
+
+def found_by(table: DataFrame, text: str) -> DataFrame:
+    """(id, score, citation_hit) for a structured query, or for a user's where it isn't one."""
+    query = read_query(text)
+    return tree_matches(table, query) if isinstance(query, Tree) else matches(table, query)
 
 
 def relaxed(table: DataFrame, query: Query, enough: int = 5) -> tuple[Query, bool]:
@@ -142,10 +320,12 @@ def relaxed(table: DataFrame, query: Query, enough: int = 5) -> tuple[Query, boo
     return query.any_word(), False
 
 
-def best_window(text: str, wanted: set[str], n: int = 40) -> str:
-    """The window of ``n`` words with most of the wanted ones, those between <mark> and </mark>; ties go to the first."""
+def best_window(text: str, wanted: set[str], n: int = 40, by_stem: bool = False) -> str:
+    """The window of ``n`` words with most of the wanted ones, those between <mark> and </mark>; ties go to the first. ``by_stem``: ``wanted``
+    are stems."""
     listed = text.split()
-    hit = [re.sub(r"^\W+|\W+$", "", w.lower()) in wanted for w in listed]
+    bare = [re.sub(r"^\W+|\W+$", "", w.lower()) for w in listed]
+    hit = [(stem(w) if by_stem else w) in wanted for w in bare]
     count = most = sum(hit[:n])
     start = 0
     for i in range(1, len(listed) - n + 1):
@@ -155,11 +335,11 @@ def best_window(text: str, wanted: set[str], n: int = 40) -> str:
     return " ".join(f"<mark>{w}</mark>" if h else w for w, h in zip(listed[start : start + n], hit[start : start + n], strict=True))
 
 
-def excerpt(text: Column, wanted: list[str], n: int = 40) -> Column:
+def excerpt(text: Column, wanted: list[str], n: int = 40, by_stem: bool = False) -> Column:
     """Highlighted excerpts: a Python function, for the few rows of a page of results."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else best_window(x, set(wanted), n) for x in texts.to_pylist()], pa.string())
+        return pa.array([None if x is None else best_window(x, set(wanted), n, by_stem) for x in texts.to_pylist()], pa.string())
 
     return F.arrow_udf(run, "string")(T.strip_html_plain(text))
 
@@ -188,8 +368,9 @@ class Rules:
     SEARCH_TITLE: ClassVar[str] = r"(?i)^\s*(applicability|who must comply|applies to)\b"
 
 
-def search(nodes: DataFrame, text: str, limit: int | None = 25, include_basis: bool = False, paths: DataFrame | None = None, rules: Rules | None = None, table: DataFrame | None = None) -> DataFrame:
-    """(id, citation, title, reg_key, headline, score, path, is_basis): the best matches in order.
+def search(nodes: DataFrame, text: str, limit: int | None = 25, include_basis: bool = False, paths: DataFrame | None = None, rules: Rules | None = None, table: DataFrame | None = None, by_stem: bool = False) -> DataFrame:
+    """(id, citation, title, reg_key, headline, score, path, is_basis): the best matches in order. ``by_stem``: words match by their stems
+    (a given ``table`` is one of stems then).
 
     Two stages: the best 3 x limit by score, citation and basis; then headings, sector, status and applicability decide
     among them. ``paths``: (id, path) of the nodes."""
@@ -197,6 +378,9 @@ def search(nodes: DataFrame, text: str, limit: int | None = 25, include_basis: b
     limit = max(limit if limit is not None else 25, 1)
     query = user_query(text)
     named = text.strip().lower()
+    if by_stem:
+        query = query.stemmed()
+        table = table if table is not None else stemmed(index(nodes))
     hits = matches(table if table is not None else index(nodes, query.words()), query)
     rows = hits.join(nodes.select("id", "citation", "title", "reg_key", "full_text", "sort_order"), "id").withColumn("is_basis", F.col("id").rlike(rules.basis_pattern))
     if not include_basis:
@@ -214,7 +398,7 @@ def search(nodes: DataFrame, text: str, limit: int | None = 25, include_basis: b
     ).cast("float")
     best = pool.withColumn("score", score).orderBy(F.desc("score"), "sort_order", "id").limit(limit)
     bare = T.heading_only(F.col("full_text"), F.col("title"), F.col("citation"))
-    headline = F.when(~bare, excerpt(F.col("full_text"), [w for w in query.words() if w not in query.without]))
+    headline = F.when(~bare, excerpt(F.col("full_text"), [w for w in query.words() if w not in query.without], by_stem=by_stem))
     return best.select("id", "citation", "title", "reg_key", headline.alias("headline"), "score", "path", "is_basis", "sort_order").orderBy(F.desc("score"), "sort_order", "id").drop("sort_order")
 
 

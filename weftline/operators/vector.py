@@ -88,14 +88,20 @@ def _best_of(mine: pd.DataFrame, other: pd.DataFrame, k: int, families: bool) ->
     every, names, kin = _unit(other.embedding.to_numpy()).T, other.id.to_numpy(), other.family.to_numpy()
     for i in range(0, len(mine), PART_ROWS):
         part = mine.iloc[i : i + PART_ROWS]
-        s = np.round(_unit(part.embedding.to_numpy()) @ every, 12)
+        s = _unit(part.embedding.to_numpy()) @ every
         s[part.id.to_numpy()[:, None] == names[None, :]] = -np.inf
         if families:
             own = part.family.to_numpy()
             s[(own[:, None] == kin[None, :]) & pd.notna(own)[:, None]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        r = np.repeat(np.arange(len(part)), top.shape[1])
-        found = pd.DataFrame({"id": part.id.to_numpy()[r], "neighbor_id": names[top.ravel()], "score": s[r, top.ravel()]})
+        least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+        row, column = np.nonzero(s >= least[:, None] - 1e-11)  # what can be among the k best once scores are rounded
+        score = np.round(s[row, column], 12)
+        order = np.lexsort((column, -score, row))
+        row, column, score = row[order], column[order], score[order]
+        first = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
+        place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+        row, column, score = row[place < k], column[place < k], score[place < k]
+        found = pd.DataFrame({"id": part.id.to_numpy()[row], "neighbor_id": names[column], "score": score})
         yield found[np.isfinite(found.score)]
 
 

@@ -357,6 +357,27 @@ def match_count(spark, d):
     return lexical.matches(table, asked).agg(F.count(F.lit(1)).alias("n"))
 
 
+_STRUCTURED = "(idiot | clown | license) & !(redistribution <-> and) & (of <-> the | in <2> of)"
+
+
+@query(f"""WITH {S.NODES_SQL}, l AS (
+  SELECT id, list_concat(list_concat({search_sql._split("citation")}, {search_sql._split("title")}), {search_sql._split("regexp_replace(coalesce(full_text, ''), '<[^>]+>', ' ', 'g')")}) AS w,
+    {search_sql._split("citation")} AS a, {search_sql._split("title")} AS b FROM nodes
+), p AS (SELECT *, list_filter(range(1, len(w)), lambda i: w[i] = 'redistribution' AND w[i + 1] = 'and') AS x, list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the') AS y, list_filter(range(1, len(w) - 1), lambda i: w[i] = 'in' AND w[i + 2] = 'of') AS z,
+  list_filter(range(1, len(w) + 1), lambda i: w[i] IN ('idiot', 'clown', 'license', 'of', 'the', 'in')) AS hits FROM l
+) SELECT id, round(list_sum(list_transform(hits, lambda i: CASE WHEN i <= len(a) THEN 1.0::DOUBLE WHEN i <= len(a) + len(b) THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END)) / (1 + ln(len(w)::DOUBLE)), 6) AS score
+FROM p WHERE (list_contains(w, 'idiot') OR list_contains(w, 'clown') OR list_contains(w, 'license')) AND len(x) = 0 AND (len(y) > 0 OR len(z) > 0)""")
+def structured_matches(spark, d):
+    """A structured query: brackets, not, neighbours and distances."""
+    return lexical.found_by(lexical.index(S.nodes(spark, d)), _STRUCTURED).select("id", _r("score").alias("score"))
+
+
+@query()
+def stemmed_search(spark, d):
+    """Words by their stems, held against brute force by a test."""
+    return _rounded(lexical.search(S.nodes(spark, d), "licenses softwares", 25, by_stem=True), "score").select("id", "score", "headline")
+
+
 @query(search_sql.keyword([["the"], ["of"]], ["clown"], 25))
 def keyword_search(spark, d):
     rows = S.nodes(spark, d)
