@@ -191,12 +191,6 @@ def test_layout_table():
     assert documents.layout_table(lines) == [["Pollutant", "Limit", "Unit"], ["NOx", "0.20", "lb per million Btu"], ["CO", "1.0", "ppm"]]
 
 
-def test_word_difference(spark):
-    df = spark.createDataFrame([("the re port is due", "the report is late")], "a string, b string")
-    got = df.select(documents.word_difference(F.col("a"), F.col("b")).alias("d")).first().d
-    assert [(x.kind, x.was, x.now) for x in got] == [("spacing", "re port", "report"), ("replace", "due", "late")]
-
-
 def test_repeated_runs(spark):
     lines = spark.createDataFrame([("d", i, t) for i, t in enumerate(["a", "b", "c", "x", "a", "b", "c", "y"])], "doc string, line long, text string")
     assert sorted(r.line for r in documents.repeated_runs(lines).collect()) == [4, 5, 6]

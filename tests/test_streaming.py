@@ -1,8 +1,9 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
-from weftline.operators import changes
+from weftline.operators import changes, sampling
 from weftline.streaming import jobs
 
 
@@ -72,3 +73,39 @@ def test_each_event_once(spark, tmp_path):
     stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "twice"))
     got = run(spark, tmp_path, "once", jobs.distinct_events(stream, "event_id", "ts"))
     assert sorted(r.event_id for r in got.collect()) == list(range(400))
+
+
+def brute_caps(rows, cap, hours):
+    """Decisions on (id, user, time), each against all accepted ones before."""
+    accepted, out = {}, {}
+    for i, user, at in sorted({r[0]: r for r in reversed(rows)}.values(), key=lambda r: (r[2], r[0])):
+        held = [t for t in accepted.get(user, []) if t >= at - dt.timedelta(hours=hours)]
+        out[i] = len(held) < cap
+        if out[i]:
+            accepted.setdefault(user, []).append(at)
+    return out
+
+
+def test_caps_equal_the_batch_over_a_restart(spark, tmp_path):
+    r = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, f"u{i % 4}", start + dt.timedelta(minutes=r.choice([0, 30, 60]) + 40 * i)) for i in range(300)]
+    rows += [(1000 + i, "edge", start + dt.timedelta(hours=24 * i)) for i in range(6)] + [(2000 + i, "over", start + dt.timedelta(hours=24 * i, seconds=i)) for i in range(6)]
+    rows.sort(key=lambda x: x[2] + dt.timedelta(minutes=r.randrange(50)))  # late, but within the delay
+    rows = [x for row in rows for x in ([row, row] if r.random() < 0.2 else [row])]
+    schema = "id long, who string, at timestamp"
+    want = brute_caps(rows, 3, 24)
+    batch = sampling.capped(spark.createDataFrame(rows, schema), "who", "id", "at", 3)
+    assert {x.id: x.accepted for x in batch.collect()} == want
+    assert want[1001] and want[1005] and sum(not x for x in want.values()) > 50
+
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    job = jobs.capped(stream, "who", "id", "at", 3, 24, "2 hours")
+    cut = [0, 60, 150, 151, 250, len(rows)]
+    for k, (a, z) in enumerate(zip(cut, cut[1:])):
+        spark.createDataFrame(rows[a:z], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if k in (1, 4):  # the second run goes on from the checkpoint of the first
+            run(spark, tmp_path, "caps", job)
+    got = [(x.id, x.accepted) for x in spark.read.parquet(str(tmp_path / "caps")).collect()]
+    assert len(got) == len(dict(got)) > 200 and dict(got).items() <= want.items()

@@ -117,3 +117,28 @@ def sorted_digests(rows: DataFrame, group: str, key: str) -> DataFrame:
 
     ordered = rows.select(F.col(group).cast("string"), F.col(key).cast("string")).filter(F.col(key).isNotNull()).repartition(group).sortWithinPartitions(group, key)
     return ordered.mapInArrow(run, f"{group} string, checksum string")
+
+
+def capped(requests: DataFrame, who: str, number: str, when: str, cap: int = 5, hours: int = 24) -> DataFrame:
+    """(who, number, when, accepted): a user's requests in the order of time, accepted if fewer than ``cap`` accepted ones were in the ``hours`` before
+    (one exactly so old counts); of a repeated number the first counts. Decisions of a user depend on those before, so they are one task's rows,
+    read a batch at a time."""
+    span = hours * 3_600_000_000
+    rows = requests.filter(F.col(when).isNotNull()).groupBy(who, number).agg(F.min(when).alias(when))
+    rows = rows.select(who, number, when, F.unix_micros(F.col(when).cast("timestamp")).alias("__at"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, taken = object(), []
+        for batch in batches:
+            good = []
+            for user, at in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                if user != here:
+                    here, taken = user, []
+                taken = [t for t in taken if t >= at - span]
+                good.append(len(taken) < cap)
+                if good[-1]:
+                    taken.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(good)], names=[who, number, when, "accepted"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (who, number, when))
+    return rows.repartition(who).sortWithinPartitions(who, "__at", number).mapInArrow(decide, f"{kinds}, accepted boolean")

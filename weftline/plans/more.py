@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions import values as V
-from weftline.operators import changes, links, quality, sampling, tree, writes
+from weftline.operators import changes, links, quality, reconcile, sampling, tree, writes
 from weftline.plans import catalog
 from weftline.plans.catalog import query
 from weftline.sources import files
@@ -329,3 +329,20 @@ def texts_without_citation(spark, d):
     """Texts without the citation that they open with, unless a digit or letter follows it at once."""
     row = F.expr("if(p_size % 3 = 0, concat(p_type, '. ', p_size, ' CFR'), concat(p_size, ' CFR ', p_partkey))")
     return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), T.without_citation(row, F.col("p_type")).alias("text"))
+
+
+# --- reconciliation, caps ------------------------------------------------------------------------------------------
+
+
+@query()
+def text_edits(spark, d):
+    """Word edits from each document to a later version of it, counted by kind; held against the plain diff by tests."""
+    now = F.expr("replace(replace(text, ' the ', ' thee '), ' and ', ' an d ')")
+    rows = _t(spark, d, "documents").select("doc_id", F.explode(reconcile.word_edits(F.col("text"), now)).alias("e"))
+    return rows.groupBy("doc_id", F.col("e.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def capped_requests(spark, d):
+    """Events as requests, of which a user has three in a day; held against brute force by a test, as each decision depends on those before."""
+    return sampling.capped(_t(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", "event_id", "ts", 3)
