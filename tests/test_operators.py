@@ -259,3 +259,24 @@ def test_neighbours_of_exact_copies_are_the_smallest_ids(spark):
         for r in vector.neighbours(df, k=3, blocks=blocks).orderBy("id", "rank").collect():
             got.setdefault(r.id, []).append(r.neighbor_id)
         assert got == {i: [f"v{j:02d}" for j in range(4) if f"v{j:02d}" != i][:3] for i, _ in rows}
+
+
+def test_anchored_table_with_wrapped_and_reprinted_lines():
+    head = ["For each               You must              By", "unit                   meet                  (date)"]
+    foot = ["Note: limits are", "   for new units", "   only as listed"]
+    body = [
+        "1. Boiler of more      a limit of            May 3", "than 10 MMBtu/hr       5 ppm and             2024", "                       no smoke",
+        *foot, *head, "2. Turbine             keep records;         June 1", "                       report", *foot, "§ 60.5 Tank            a cover               now",
+    ]
+    got = documents.anchored_table([*head, *body])
+    assert got[0] == ["For each unit", "You must meet", "By (date)"]
+    assert got[1][:1] == ["1. Boiler of more than 10 MMBtu/hr Note: limits are for new units only as listed"] and got[1][1:] == ["a limit of 5 ppm and no smoke", "May 3 2024"]
+    assert got[2:] == [["2. Turbine", "keep records; report", "June 1"], ["§ 60.5 Tank", "a cover", "now"]]
+    plain = ["Pollutant    Limit", "NOx          5", "CO           7"]
+    assert documents.anchored_table(plain) == documents.layout_table(plain) and documents.anchored_table([]) == [] == documents.anchored_table([" "])
+
+
+def test_joined_rows():
+    rows = [["Unit", "Limit"], ["Boiler of", "5 ppm"], ["more than 10", ""], ["", ""], ["Tank", "a cover,"], ["", "Sealed"], ["(a) first", ""], ["Dash-", "x"], ["ed", ""], ["New", ""]]
+    assert documents.joined_rows(rows) == [["Unit", "Limit"], ["Boiler of more than 10", "5 ppm"], ["Tank", "a cover, Sealed"], ["(a) first", ""], ["Dash- ed", "x"], ["New", ""]]
+    assert documents.joined_rows([["Head of", "x"], ["a", ""], ["b", "c"]]) == [["Head of", "x"], ["a", ""], ["b", "c"]]
