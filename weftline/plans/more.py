@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import labels as L
 from weftline.functions import text as T
 from weftline.functions import values as V
-from weftline.operators import changes, links, quality, reconcile, sampling, tree, writes
+from weftline.operators import changes, hybrid, links, quality, reconcile, sampling, tree, writes
 from weftline.plans import catalog
 from weftline.plans.catalog import query
 from weftline.sources import files
@@ -346,3 +347,31 @@ def text_edits(spark, d):
 def capped_requests(spark, d):
     """Events as requests, of which a user has three in a day; held against brute force by a test, as each decision depends on those before."""
     return sampling.capped(_t(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", "event_id", "ts", 3)
+
+
+# --- what readers see ----------------------------------------------------------------------------------------------
+
+
+@query(rf"""WITH {S.NODES_SQL} SELECT id, replace(regexp_extract(id, '^sec-[^-]+-(.+)$', 1), '-', '.') AS label, CASE summary_status WHEN 'rejected' THEN NULL WHEN 'approved' THEN 'reviewed' ELSE 'pending' END AS badge,
+  CASE WHEN reg_key = 'src1' THEN 'reader' WHEN is_public THEN 'preview' ELSE 'signup' END AS destination, lower(regexp_replace(citation, '[§\s]', '', 'g')) AS jump_key,
+  regexp_matches(full_text, '\b(January|February|March|April|May|June|July|August|September|October|November|December)\b|\b(19|20)\d\d\b|\b\d[\d,.]*\s?(%|percent|tons?|tpy|ppm|days?|hours?|feet|gallons?|barrels?)(\W|$)') AS needs_citation,
+  CASE length(full_text) WHEN 0 THEN 'no characters' WHEN 1 THEN '1 character' ELSE format('{{:,}}', length(full_text)) || ' characters' END AS size, coalesce(starts_with(parent_id, id || '-') OR id = parent_id OR starts_with(id, parent_id || '-'), false) AS related FROM nodes""")
+def node_labels(spark, d):
+    """Labels, badges, destinations and the like of every node."""
+    rows = S.nodes(spark, d)
+    return rows.select(
+        "id", L.label_of(F.col("id")).alias("label"), L.badge(F.col("summary_status"), F.lit(None).cast("timestamp"))["class"].alias("badge"),
+        L.destination("visitor", F.col("is_public"), F.col("reg_key") == "src1").alias("destination"), T.jump_key(F.col("citation")).alias("jump_key"),
+        T.needs_citation(F.col("full_text")).alias("needs_citation"), T.count_phrase(F.length("full_text"), "character", "characters").alias("size"),
+        F.coalesce(V.related(F.col("id"), F.col("parent_id")), F.lit(False)).alias("related"),
+    )
+
+
+@query(f"""WITH {S.NODES_SQL}, h AS (SELECT id, CASE WHEN reg_key IN ('src1', 'src2') THEN reg_key ELSE 'other' END AS g, row_number() OVER (ORDER BY sort_order, id) AS position FROM nodes WHERE is_public),
+  r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY position) AS r, count(*) OVER (PARTITION BY g) AS n FROM h)
+SELECT g AS "group", id, r <= CASE WHEN g = 'other' THEN 2 ELSE 5 END AS shown, greatest(n - CASE WHEN g = 'other' THEN 2 ELSE 5 END, 0)::BIGINT AS n_hidden FROM r""")
+def grouped_hits(spark, d):
+    """Hits in groups, each with at most so many shown."""
+    hits = S.nodes(spark, d).filter("is_public").select("id", "reg_key", (F.col("sort_order") * 1000000 + F.col("doc_id")).alias("position"))
+    found = hybrid.grouped(hits, F.when(F.col("reg_key").isin("src1", "src2"), F.col("reg_key")).otherwise("other"), 5, 2)
+    return found.select("group", "id", "shown", F.col("n_hidden").cast("long").alias("n_hidden"))
