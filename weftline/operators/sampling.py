@@ -28,7 +28,7 @@ def stratified(rows: DataFrame, stratum: str, n: int, seed: int, key: str = "id"
     a stratum after each partition has dropped what can't be among the least (row_number with a limit is pushed down)."""
     sizes = rows.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("size"))
     take = allocation(sizes, n).select(F.col("stratum").alias(stratum), "take")
-    order = W.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    order = W.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
     ranked = rows.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= n)
     return ranked.join(take, stratum).filter(F.col("__r") <= F.col("take")).drop("__r", "take")
 

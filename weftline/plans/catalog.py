@@ -375,7 +375,7 @@ def structured_matches(spark, d):
 @query()
 def stemmed_search(spark, d):
     """Words by their stems, held against brute force by a test."""
-    return _rounded(lexical.search(S.nodes(spark, d), "licenses softwares", 25, by_stem=True), "score").select("id", "score", "headline")
+    return _rounded(lexical.search(S.nodes(spark, d), "licensing or idiots", 25, by_stem=True), "score").select("id", "score", "headline")
 
 
 @query(search_sql.keyword([["the"], ["of"]], ["clown"], 25))
@@ -505,7 +505,7 @@ def embedding_plan(spark, d):
 # --- documents, links, quality ------------------------------------------------------------------------------------
 
 
-@query()
+@query(search_sql.CHUNKS)
 def chunks(spark, d):
     return documents.chunk_texts(S.nodes(spark, d), "voyage").select("id", "chunk_index", F.length("text").alias("n_chars"), "text_hash")
 
@@ -554,7 +554,10 @@ def sample_allocation(spark, d):
     return sampling.allocation(sizes, 100).withColumn("take", F.col("take").cast("long"))
 
 
-@query()
+@query(f"""WITH {S.NODES_SQL}, s AS (SELECT reg_key, count(*) AS size FROM nodes GROUP BY 1), e AS (SELECT *, size * 100 / (sum(size) OVER ()) AS x FROM s),
+f AS (SELECT reg_key, size, floor(x) AS f, row_number() OVER (ORDER BY x - floor(x) DESC, size DESC, reg_key) AS o, 100 - sum(floor(x)) OVER () AS l FROM e),
+r AS (SELECT id, reg_key, row_number() OVER (PARTITION BY reg_key ORDER BY md5('7:' || id), id) AS r FROM nodes)
+SELECT id, reg_key FROM r JOIN f USING (reg_key) WHERE r <= least(size, f + CASE WHEN o <= l THEN 1 ELSE 0 END)""")
 def stratified_sample(spark, d):
     rows = S.nodes(spark, d).select("id", "reg_key")
     return sampling.stratified(rows, "reg_key", 100, seed=7)

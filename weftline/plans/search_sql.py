@@ -233,6 +233,29 @@ EVALUATION = f"""WITH RECURSIVE {_batched()}, e AS (
 SELECT q, expected_at, forbidden, expected_at IS NOT NULL AND NOT forbidden AS passed FROM e"""
 
 
+def _stripped(c: str) -> str:
+    """Links unwrapped, other tags as spaces."""
+    links = rf"regexp_replace(regexp_replace(coalesce({c}, ''), '(?is)<a\b[^>]*>(.*?)</a>', '\1', 'g'), '(?is)<span\b[^>]*>(.*?)</span>', '\1', 'g')"
+    return f"trim(regexp_replace(replace(replace(regexp_replace({links}, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), chr(160), ' '), '{GAP}', ' ', 'g'))"
+
+
+CHUNKS = rf"""WITH RECURSIVE {S.NODES_SQL}, b AS (
+  SELECT id, parent_id, citation, {_stripped("full_text")} AS body, CASE WHEN summary_status <> 'rejected' THEN trim(coalesce(ai_summary, '')) ELSE '' END AS summary,
+    trim(CASE jurisdiction_level WHEN 'state' THEN 'Colorado' WHEN 'federal' THEN 'Federal' ELSE jurisdiction_level END || ' regulation ' || split_part(id, '-', 2) || ': ' || citation || ' — ' || title) AS own FROM nodes
+), h AS (SELECT b.id, b.body, b.summary, b.own || CASE WHEN p.body <> '' THEN chr(10) || 'Under ' || p.citation || ': ' || substr(p.body, 1, 300) ELSE '' END AS header FROM b LEFT JOIN b p ON p.id = b.parent_id
+), cutting AS (
+  SELECT id, body, 0 AS start FROM h WHERE length(body) > 6000
+  UNION ALL SELECT id, body, CASE WHEN start + cut >= length(body) THEN length(body) ELSE greatest(start + cut - 600, start + 1) END FROM (
+    SELECT id, body, start, CASE WHEN start + 6000 < length(body) AND strpos(substr(body, start + 3001, 3000), ' ') > 0 THEN 3000 + 3000 - strpos(reverse(substr(body, start + 3001, 3000)), ' ') ELSE least(6000, length(body) - start) END AS cut FROM cutting
+  ) WHERE start + cut < length(body)
+), cuts AS (
+  SELECT id, start, trim(substr(body, start + 1, CASE WHEN start + 6000 < length(body) AND strpos(substr(body, start + 3001, 3000), ' ') > 0 THEN 3000 + 3000 - strpos(reverse(substr(body, start + 3001, 3000)), ' ') ELSE 6000 END)) AS piece FROM cutting
+  UNION ALL SELECT id, 0, body FROM h WHERE length(body) <= 6000
+), numbered AS (SELECT id, piece, row_number() OVER (PARTITION BY id ORDER BY start) - 1 AS i FROM cuts WHERE piece <> '' OR start = 0
+), t AS (SELECT h.id, i, header || CASE WHEN i = 0 AND summary <> '' THEN chr(10) || 'Summary: ' || summary ELSE '' END || CASE WHEN piece <> '' THEN chr(10) || 'Text: ' || piece ELSE '' END AS text FROM h JOIN numbered USING (id))
+SELECT id, i::INT AS chunk_index, length(text)::INT AS n_chars, sha256('voyage' || chr(0) || text) AS text_hash FROM t"""
+
+
 def quality() -> str:
     """The quality checks, each as a count of offenders."""
     at = lambda condition: f"SELECT count(*) FROM n WHERE {condition}"
