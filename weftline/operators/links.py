@@ -28,8 +28,8 @@ def link_targets(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def references(nodes: DataFrame, pattern: str = r"(?i)\b(?:section|part|§)\s*([0-9A-Z]+(?:\.[0-9A-Za-z]+)*)") -> DataFrame:
-    """(id, n, label): references in the visible text in their order."""
+def references(nodes: DataFrame, pattern: str = r"(?:\b(?i:section|part)\s+|§\s*)([0-9A-Z]+(?:\.[0-9A-Za-z]+)*)(?![A-Za-z0-9])") -> DataFrame:
+    """(id, n, label): references in the visible text in their order. A label is digits and capitals, with parts after points; "part of" has none."""
     found = F.regexp_extract_all(T.strip_html_plain(F.col("full_text")), F.lit(pattern), F.lit(1))
     return nodes.select("id", F.posexplode(found).alias("n", "label"))
 

@@ -9,7 +9,7 @@ from weftline.functions import labels as L
 from weftline.functions import text as T
 from weftline.functions import values as V
 from weftline.operators import changes, hybrid, links, quality, reconcile, sampling, tree, writes
-from weftline.plans import catalog
+from weftline.plans import catalog, search_sql
 from weftline.plans.catalog import query
 from weftline.sources import files
 from weftline.sources import tables as S
@@ -42,25 +42,29 @@ def linked_methods(spark, d):
     return found.select(F.col("id").alias("doc_id"), F.md5(F.col("linked").cast("binary")).alias("hash"), F.size("slugs").cast("double").alias("n"))
 
 
-_REFS = """refs AS (
-  SELECT 'p' || p_partkey AS id, p_size || '.' || p_partkey % 4 || '.1' AS label, CASE WHEN p_size % 3 = 0 AND p_partkey % 4 = 1 THEN 't' || p_size || '.1' WHEN p_size % 2 = 0 THEN 't' || p_size END AS target FROM part
-)"""
+_REFS = rf"""t AS (
+  SELECT doc_id AS id, trim(regexp_replace(replace(replace(regexp_replace(replace(text, ' and ', ' <b>Section</b> ' || doc_id % 50 || '.' || doc_id % 4 || '.1 of Part B and '), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), chr(160), ' '), '{search_sql.GAP}', ' ', 'g')) AS text FROM documents
+), refs AS (SELECT id, unnest(regexp_extract_all(text, '(?:\b(?i:section|part)\s+|§\s*)([0-9A-Z]+(?:\.[0-9A-Za-z]+)*)(?:[^A-Za-z0-9]|$)', 1)) AS label FROM t
+), found AS (SELECT id, label, CASE WHEN regexp_matches(label, '^[0-9]+\.1(\.|$)') AND split_part(label, '.', 1)::INT % 3 = 0 AND split_part(label, '.', 1)::INT < 50 THEN 't' || split_part(label, '.', 1) || '.1'
+  WHEN regexp_matches(label, '^[0-9]+(\.|$)') AND split_part(label, '.', 1)::INT % 2 = 0 AND split_part(label, '.', 1)::INT < 50 THEN 't' || split_part(label, '.', 1) END AS target FROM refs)"""
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "part").selectExpr("concat('p', p_partkey) id", "'r' reg_key", "concat('<p>See <b>Section</b> ', p_size, '.', p_partkey % 4, '.1 now.</p>') full_text", "p_size")
-    ids = rows.filter("p_size % 2 = 0").selectExpr("cast(p_size as string) label").union(rows.filter("p_size % 3 = 0").selectExpr("concat(p_size, '.1')")).distinct()
-    refs = links.references(rows).join(rows.select("id", "reg_key"), "id")
+    """References of all documents, whose every "and" got two: to labels of which some are there whole, some in part, some not."""
+    rows = _t(spark, d, "documents").selectExpr("doc_id id", "'r' reg_key", "replace(text, ' and ', concat(' <b>Section</b> ', doc_id % 50, '.', doc_id % 4, '.1 of Part B and ')) full_text")
+    numbers = spark.range(50).selectExpr("cast(id as string) n", "id")
+    ids = numbers.filter("id % 2 = 0").selectExpr("n label").union(numbers.filter("id % 3 = 0").selectExpr("concat(n, '.1')"))
+    refs = links.references(rows).withColumn("reg_key", F.lit("r"))
     return links.deepest_target(refs, ids.selectExpr("'r' reg_key", "label", "concat('t', label) id"))
 
 
-@query(f"WITH {_REFS} SELECT id, label, target FROM refs")
+@query(f"WITH {_REFS} SELECT id, label, target, count(*) AS n FROM found GROUP BY ALL")
 def resolved_references(spark, d):
     """References in text, each to the deepest id that exists."""
-    return _resolved(spark, d).select("id", "label", "target")
+    return _resolved(spark, d).groupBy("id", "label", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_REFS} SELECT label, count(*) AS n FROM refs WHERE target IS NULL GROUP BY 1")
+@query(f"WITH {_REFS} SELECT label, count(*) AS n FROM found WHERE target IS NULL GROUP BY 1")
 def unresolved_references(spark, d):
     return links.unresolved(_resolved(spark, d))
 
@@ -72,19 +76,19 @@ def numbered_references(spark, d):
     return links.numbering(_t(spark, d, "part").selectExpr("p_partkey id", "p_partkey number"), ranges).select("id", "number", "key")
 
 
-@query("SELECT p_partkey AS id, replace('<a href=\"#sec-x-' || p_size || '\">a</a> <A href=\"#top\">b</A>', '#sec-', '/provision/sec-') AS html, 2 AS n FROM part")
+@query("""SELECT page_id AS id, md5(replace(replace(html, 'href="/', 'href="#sec-'), 'href="#sec-', 'href="/provision/sec-')) AS hash, len(regexp_extract_all(html, '(?i)<a\\b'))::INT AS n FROM pages""")
 def visitor_anchors(spark, d):
-    """Anchors to rows that a visitor can't open become previews; none is lost."""
-    html = F.expr("concat('<a href=\"#sec-x-', p_size, '\">a</a> <A href=\"#top\">b</A>')")
-    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), links.visitor_links(html).alias("html"), links.anchor_count(links.visitor_links(html)).alias("n"))
+    """Anchors to rows that a visitor can't open become previews; none is lost. Links of pages within their site stand for such anchors."""
+    html = links.visitor_links(F.expr("replace(html, 'href=\"/', 'href=\"#sec-')"))
+    return _t(spark, d, "pages").select(F.col("page_id").alias("id"), F.md5(html.cast("binary")).alias("hash"), links.anchor_count(html).alias("n"))
 
 
-@query("SELECT p_partkey AS id, 'The ' || CASE WHEN p_size % 3 = 0 THEN 'foot-note' ELSE 'foot- note' END || ' of ' || p_size AS full_text FROM part")
+@query("SELECT doc_id AS id, md5(CASE WHEN doc_id % 3 = 0 THEN replace(text, '. ', '.  ') ELSE text END) AS hash FROM documents")
 def fixed_texts(spark, d):
     """Known misprints are mended where only spaces or marks differ; a fix that would change a letter isn't made."""
-    rows = _t(spark, d, "part").selectExpr("p_partkey id", "concat('The foot- note of ', p_size) full_text", "p_size")
-    good = rows.filter("p_size % 3 = 0").selectExpr("id", "'foot- note' wrong", "'foot-note' right")
-    return links.known_fixes(rows.drop("p_size"), good.unionByName(rows.selectExpr("id", "'The' wrong", "'Tho' right")))
+    rows = _t(spark, d, "documents").selectExpr("doc_id id", "text full_text")
+    good = rows.filter("id % 3 = 0").selectExpr("id", "'. ' wrong", "'.  ' right")
+    return links.known_fixes(rows, good.unionByName(rows.selectExpr("id", "'and' wrong", "'und' right"))).select("id", F.md5(F.col("full_text").cast("binary")).alias("hash"))
 
 
 @query("""WITH a AS (SELECT page_id AS id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages), b AS (SELECT id, CASE WHEN id % 3 = 0 THEN href || 'x' ELSE href END AS href FROM a WHERE id % 5 <> 0)
@@ -130,13 +134,15 @@ def held_versions(spark, d):
 # --- changes, freshness, ledgers ----------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id::VARCHAR AS id, 0 AS chunk_index, CASE doc_id % 3 WHEN 0 THEN 'current' WHEN 1 THEN 'legacy' ELSE 'stale' END AS state FROM documents")
+@query(rf"""WITH h AS (SELECT page_id, sha256('m' || chr(0) || {search_sql._stripped("html")}) AS c, sha256('m' || chr(0) || {search_sql._plain("html")}) AS l FROM pages)
+SELECT page_id::VARCHAR AS id, 0 AS chunk_index, CASE WHEN page_id % 3 = 2 THEN 'stale' WHEN page_id % 3 = 0 OR c = l THEN 'current' ELSE 'legacy' END AS state FROM h""")
 def rehash_states(spark, d):
-    """Which rule's hash a chunk has: today's, an older one that can be rewritten, or none."""
-    docs = _t(spark, d, "documents").selectExpr("cast(doc_id as string) id", "0 chunk_index", "text", "doc_id")
-    of = lambda model: docs.select("id", "chunk_index", V.content_hash(F.col("text"), model).alias("text_hash"))
-    held = docs.select("id", "chunk_index", F.when(F.col("doc_id") % 3 == 0, V.content_hash(F.col("text"), "new")).when(F.col("doc_id") % 3 == 1, V.content_hash(F.col("text"), "old")).otherwise("x").alias("text_hash"))
-    return changes.rehash_plan(of("new"), of("old"), held)
+    """Which rule's hash a page has: that of today's way to strip markup, of the older one (to be rewritten), or none."""
+    pages = _t(spark, d, "pages").selectExpr("cast(page_id as string) id", "0 chunk_index", "html", "page_id")
+    of = lambda strip: V.content_hash(strip(F.col("html")), "m")
+    held = F.when(F.col("page_id") % 3 == 0, of(T.strip_html)).when(F.col("page_id") % 3 == 1, of(T.strip_html_plain)).otherwise("x")
+    made = lambda c: pages.select("id", "chunk_index", c.alias("text_hash"))
+    return changes.rehash_plan(made(of(T.strip_html)), made(of(T.strip_html_plain)), made(held))
 
 
 @query("SELECT s_suppkey AS key, CASE WHEN s_suppkey % 7 = 0 THEN 'error' WHEN s_suppkey % 11 = 0 THEN 'blocked' WHEN s_suppkey % 13 = 0 THEN 'error' WHEN s_suppkey % 5 = 0 THEN 'changed' ELSE 'ok' END AS status FROM supplier")
@@ -325,11 +331,13 @@ def keys_without_large_orders(spark, d):
     return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(_t(spark, d, "orders").filter("o_totalprice > 200000").select("o_custkey"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN p_size || ' CFR' ELSE p_size || ' CFR ' || p_partkey END AS text FROM part")
+@query(rf"""WITH {S.NODES_SQL} SELECT id, md5(CASE WHEN doc_id % 3 = 0 OR regexp_matches(full_text, '^[0-9A-Za-z]') AND doc_id % 3 = 1 OR full_text = '' THEN CASE doc_id % 3 WHEN 0 THEN full_text WHEN 1 THEN citation || full_text ELSE '' END
+  ELSE ltrim(regexp_replace(full_text, '^[ \t\n\x0B\f\r.:—-]+', '')) END) AS hash FROM nodes""")
 def texts_without_citation(spark, d):
-    """Texts without the citation that they open with, unless a digit or letter follows it at once."""
-    row = F.expr("if(p_size % 3 = 0, concat(p_type, '. ', p_size, ' CFR'), concat(p_size, ' CFR ', p_partkey))")
-    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), T.without_citation(row, F.col("p_type")).alias("text"))
+    """Texts without the citation that they open with, unless a digit or letter follows it at once: of each three texts one doesn't open with its
+    citation, one has it right before its first word, and one before a point and a space."""
+    opening = F.when(F.col("doc_id") % 3 == 0, F.col("full_text")).when(F.col("doc_id") % 3 == 1, F.concat("citation", "full_text")).otherwise(F.concat("citation", F.lit(". "), "full_text"))
+    return S.nodes(spark, d).select("id", F.md5(T.without_citation(opening, F.col("citation")).cast("binary")).alias("hash"))
 
 
 # --- reconciliation, caps ------------------------------------------------------------------------------------------
