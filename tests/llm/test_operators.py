@@ -529,6 +529,16 @@ def test_ordinary_tokens_pass_as_random_as_rarely_as_stated(spark):
     assert sum(t.even and t.p < 0.001 for t in got) <= 4
 
 
+def test_the_labelled_sample_is_bounded_by_its_characters(spark):
+    rows = [(1, 0, "x" * (10 if i % 2 else 30), i // 3) for i in range(30)] + [(1, 1, None, 0)]
+    sample = spark.createDataFrame(rows, "fold int, toxic int, text string, part int")
+    size = lambda df: df.agg(F.sum(F.length("text"))).first()[0]
+    assert toxicity.within(sample, 600).count() == 31
+    cut = toxicity.within(sample, 200)
+    assert size(cut) <= 200 and size(sample.filter(F.col("part") <= cut.agg(F.max("part")).first()[0] + 1)) > 200
+    assert toxicity.within(sample, 5).count() == 0 and toxicity.within(sample.limit(0), 5).count() == 0
+
+
 def test_battery_and_discoveries_equal_brute_force(spark):
     r = random.Random(18)
     tokens = [token(r, a, r.choice([20, 24, 32, 40, 64, 100])) for a in ALPHABETS.values() for _ in range(40)]

@@ -11,9 +11,9 @@ all 256 bytes are alike. A document's evidence is its log-likelihood ratio a wor
 which a few strong words in a long text still move. A logistic fit over rows that the models haven't seen turns both into
 a score.
 
-Labels are used of at most ``MAX_LABELLED`` documents, those with the least hash of their id: a documented bound, and the
-only one. The class models keep every byte string of that sample, so their size, and with it the broadcast, is bounded
-by the texts of the sample. The shared orders have at most 2**24 strings, whatever the corpus. Every document is scored
+Labels are used of at most ``MAX_LABELLED`` documents, those with the least hash of their id, and of so many of these, in parts by another
+hash, that their texts have at most ``MAX_CHARS`` characters: documented bounds, and the only ones. The class models keep every byte
+string of that sample, so what the driver gathers and broadcasts (24 bytes a distinct string) is bounded by them. The shared orders have at most 2**24 strings, whatever the corpus. Every document is scored
 over its whole text, in one pass without a shuffle; words are cached, their scores are computed for a batch at once.
 
 Edge cases: null or blank texts have no evidence and get the score of that; repeated rows and ties get equal scores;
@@ -41,6 +41,8 @@ DISCOUNTS = (0.5, 1.0, 1.5)
 #: Log-likelihood ratios of words are counted beyond it in the second kind of evidence.
 MARGIN = 3.0
 MAX_LABELLED = 60_000
+#: Characters of the labelled documents that the models are fitted on, and the parts in which these are taken.
+MAX_CHARS, PARTS = 300_000_000, 4096
 FOLDS = 5
 _START, _END = 1, 2
 _KEEP = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -232,13 +234,25 @@ def _evidence_of(model: Broadcast, texts: pa.Array) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> DataFrame:
-    """(fold, toxic, text) of the labelled documents that may be learned from: none that is held out, ``limit`` at most."""
+    """(fold, toxic, text, part) of the labelled documents that may be learned from: none that is held out, ``limit`` ids at most. part: one of
+    ``PARTS``, by the id's hash."""
     own = labels.filter("toxic is not null").groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max("toxic").alias("__toxic"))
     own = own.filter(F.col("__id").isNotNull() & (fold(F.col("__id")) != 0))
     own = own.orderBy(F.xxhash64("__id"), "__id").limit(limit)
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
     joined = rows.join(F.broadcast(own), "__id")  # ``limit`` rows at most
-    return joined.select(fold(F.col("__id")).alias("fold"), F.col("__toxic").cast("int").alias("toxic"), "text")
+    return joined.select(fold(F.col("__id")).alias("fold"), F.col("__toxic").cast("int").alias("toxic"), "text", F.pmod(F.xxhash64("__id"), F.lit(PARTS)).alias("part"))
+
+
+def within(sample: DataFrame, most: int) -> DataFrame:
+    """The parts of a staged sample, in their order, that have ``most`` characters together: what the models hold is bounded by that."""
+    sizes = dict(sample.groupBy("part").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)))).collect())  # PARTS rows at most
+    whole = 0
+    for part in sorted(sizes):
+        whole += sizes[part]
+        if whole > most:
+            return sample.filter(F.col("part") < part)
+    return sample
 
 
 #: Distinct words that a task holds before it hands over their counts.
@@ -299,10 +313,9 @@ def shared_counts(texts: DataFrame) -> DataFrame:
 
 
 def train(sample: DataFrame, texts: DataFrame) -> Model | None:
-    """The models of folds 1 to 3 and weights fitted on fold 4 of (fold, toxic, text), over the shared orders of all ``texts`` (text);
+    """The models of folds 1 to 3 and weights fitted on fold 4 of a table (fold, toxic, text), over the shared orders of all ``texts`` (text);
     None if a class is missing."""
     spark = sample.sparkSession
-    sample = staged(sample, "labelled")
     got = _strings(sample.filter("fold in (1, 2, 3)").select("toxic", "text"), SHARED + 1, HIGH).toArrow()
     counts = np.stack([got.column("n0").to_numpy(), got.column("n1").to_numpy()], 1) if got.num_rows else np.zeros((0, 2))
     if not len(counts) or (counts.sum(0) == 0).any():
@@ -319,6 +332,7 @@ def train(sample: DataFrame, texts: DataFrame) -> Model | None:
         shared.value.forget()
 
     held = sample.filter("fold = 4").select("toxic", "text").mapInArrow(weigh, "toxic int, plain double, strong double").toArrow()
+    shared.destroy()  # the model goes out again with its weights
     toxic = held.column("toxic").to_numpy()
     if not 0 < toxic.sum() < len(toxic):
         return None
@@ -328,7 +342,8 @@ def train(sample: DataFrame, texts: DataFrame) -> Model | None:
 
 def _trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Model | None:
     tune(docs.sparkSession)
-    return train(labelled_sample(docs, labels, id_col, text_col), docs.select(F.col(text_col).cast("string").alias("text")))
+    sample = within(staged(labelled_sample(docs, labels, id_col, text_col), "labelled"), MAX_CHARS)
+    return train(sample, docs.select(F.col(text_col).cast("string").alias("text")))
 
 
 def score_column(docs: DataFrame, model: Model | None, text_col: str = "text") -> Column:
