@@ -101,23 +101,23 @@ def rank(legs: DataFrame, nodes: DataFrame, paths: DataFrame, cited: DataFrame,
     rows = nodes.join(ids, "id", "left_semi").withColumn("plain", plain)
     rows = rows.select(*[c for c in rows.columns if c not in ("full_text", "plain")], F.size(F.split("plain", r"\s+")).alias("n_words"), F.length("plain").alias("text_len"))
     own = rows.join(small(legs), "id").join(small(paths.join(ids, "id", "left_semi")), "id", "left")
-    own = hold(own.join(small(cited.select("q", "id", F.lit(True).alias("cites")).join(ids, "id", "left_semi")), ["q", "id"], "left"))
+    own = own.join(small(cited.select("q", "id", F.lit(True).alias("cites")).join(ids, "id", "left_semi")), ["q", "id"], "left")
+    parents = nodes.select(F.col("parent_id").alias("id")).join(ids, "id", "left_semi").distinct().withColumn("has_children", F.lit(True))
+    own = hold(own.join(small(parents), "id", "left"))  # all that comes after is made of these rows alone
     best_first = [F.desc("pre"), F.desc_nulls_last("score"), F.col("id")]
     local = own.withColumn("is_basis", basis).withColumn("pre", pre)
     local = local.withColumn("all_rank", F.row_number().over(W.partitionBy("q").orderBy(*best_first))).withColumn("jur_rank", F.row_number().over(W.partitionBy("q", "jurisdiction_level").orderBy(*best_first)))
     named = lambda level: F.col(level) & (F.col("jurisdiction_level") == level) & (F.col("jur_rank") <= 20)
     stage = local.filter((F.col("all_rank") <= F.col("pool")) | named("federal") | named("state"))
 
-    parents = nodes.select(F.col("parent_id").alias("id")).join(ids, "id", "left_semi").distinct().withColumn("has_children", F.lit(True))
-    content = stage.join(small(parents), "id", "left")
-    content = content.withColumn("heading_only", (F.col("n_words") <= 20) & F.coalesce("has_children", F.lit(False)))
+    content = stage.withColumn("heading_only", (F.col("n_words") <= 20) & F.coalesce("has_children", F.lit(False)))
     path, title = F.coalesce("path", F.lit("")), F.col("title")
     weight = (
         F.col("pre") * _times(path.rlike(rules.DEFINITIONS_PATH) | title.rlike(rules.DEFINITIONS_TITLE), 0.8)
         * _times(title.rlike(rules.APPLIES_TITLE) | path.rlike(rules.APPLIES_PATH), 1.15)
         * _times(~F.col("keyword_hit") & ~F.col("heading_only") & (F.col("text_len") < 150), 0.95)
     ).cast("float")
-    content = hold(content.withColumn("content_score", weight))
+    content = content.withColumn("content_score", weight)
 
     heads = content.filter("heading_only").select("q", F.col("id").alias("parent_id"), F.col("content_score").alias("head_score"))
     order = W.partitionBy("q", "parent_id").orderBy(F.desc("content_score"), F.desc_nulls_last("score"), "id")
