@@ -75,6 +75,14 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0), url_filter.rule_table(spark)).count() == 0
 
 
+def test_more_rules_than_are_broadcast(spark, monkeypatch):
+    urls = [f"http://{h}{p}" for h in ("org", "x.example.org", "a.com", "net") for p in ("/", "/es/1", "/en/12", "/fr/", "/de/")]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", 2)
+    judged = url_filter.judge(pages, url_filter.rule_table(spark))
+    assert {r.page_id: (r.host, r["path"], r.rule, r.verdict) for r in judged.collect()} == {i: brute_rule(u) for i, u in enumerate(urls)}
+
+
 # --- 2 and 3 -------------------------------------------------------------------------------------------------------
 
 BITS = [" ", "▁", "\n", "\t", "a", "e", "é", "th", "ing", " the", "\r", "\0", "漢", "😀", "\u0301", "\u200b", "\u3000", "\xa0", "<s>", "</s>", "<0x0A>", ".", ",", "  ", "ﬁ", "½", "'s", "don't", "<|endoftext|>", "Σ", "İ", "\x1c", "\x85", "A", "É"]
@@ -199,6 +207,13 @@ def test_chat_table(spark):
         chat_format.read_back(out.filter("conv_id = 1").withColumn("formatted", F.lit("odd"))).collect()
 
 
+@pytest.mark.parametrize("kind", ["int", "double", "string"])
+def test_chat_turns_of_other_types(spark, kind):
+    rows = spark.createDataFrame([(1, 2, "assistant", "b"), (1, 0, "user", "a"), (1, None, "system", "s")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(chat_format.with_conflict(rows.withColumn("turn", F.col("turn").cast(kind))))).collect()}
+    assert got[1].turns_sha256 == hashlib.sha256(b"system\ns\nuser\na\nassistant\nb\n").hexdigest() and got[-1].n_turns == 2
+
+
 def test_chat_of_very_many_turns(spark):
     rows = spark.range(60_000).selectExpr("if(id % 3 = 0, null, 7) conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('turn ', id) text")
     got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(rows), ordered=True).collect()}

@@ -51,6 +51,17 @@ def test_stages_take_effect(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(want).encode()).hexdigest()
 
 
+def test_null_ids(spark, tmp_path):
+    docs, labels = labelled(spark, lambda r: "zork" + r.choice(["el", "ina", "ot"]))
+    more = table(spark, [prose(60, 7001), prose(60, 7002), prose(60, 7002), None], 1000).withColumn("doc_id", F.lit(None).cast("long"))
+    d = str(tmp_path / "sf")
+    docs.unionByName(more).write.parquet(f"{d}/documents.parquet")
+    labels.unionByName(spark.createDataFrame([(None, 1, 1)], labels.schema)).write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(None, "no such text"), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, d).collect()
+    assert sum(r.doc_id is None for r in rows) == 3 and len({r.decoded_sha256 for r in rows if r.doc_id is None}) == 3
+
+
 def test_empty_tables(spark, tmp_path):
     d = str(tmp_path / "sf")
     table(spark, [""]).limit(0).write.parquet(f"{d}/documents.parquet")

@@ -15,7 +15,7 @@ The output has a row for each turn, with its place and its loss span in the conv
 conversation, and sorted; what follows goes through them in order and holds one batch of turns and a few sums, so a
 conversation of any number of turns (or the one that all null ids form) is never held whole.
 
-Edge cases: null roles and texts count as empty; turns are ordered by (turn, role, text), null turns first, so ties and
+Edge cases: null roles and texts count as empty; turns are ordered by (turn, role, text), as the type of turn orders and null turns first, so ties and
 repeated rows have one order; rows with a null id form one conversation; a turn is held whole, so its length bounds a task's
 memory; text that the parser refuses is an error that names the conversation; other columns are ignored; an empty table
 gives none.
