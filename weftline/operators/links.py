@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.functions import values as V
 
 #: The link syntaxes of stored HTML: attribute patterns with the target in group 1.
 SYNTAXES = {
@@ -156,8 +157,10 @@ def known_fixes(rows: DataFrame, fixes: DataFrame) -> DataFrame:
 
 def link_all(nodes: DataFrame, linked: DataFrame) -> DataFrame:
     """(id, full_text, n_links): texts with every resolved reference (id, label, target) as a link, longest labels first; text
-    inside of tags and links that are there already stays."""
-    targets = linked.filter("target is not null").select("id", "label", "target").distinct()
+    inside of tags and links that are there already stays. A target in another document (by its id) is linked on that document's page."""
+    here, there = V.document_key(F.col("id")), V.document_key(F.col("target"))
+    href = F.when(here.isNull() | there.isNull() | (here == there), F.col("target")).otherwise(F.concat(F.lit("/regulation/"), there, F.lit("#"), "target"))
+    targets = linked.filter("target is not null").select("id", "label", href.alias("target")).distinct()
     per = targets.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.length("label")).alias("o"), "label", "target"))).alias("targets"))  # labels of one text
 
     def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
@@ -172,7 +175,7 @@ def link_all(nodes: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def linked_text(html: str, targets: dict[str, str]) -> tuple[str, int]:
-    """HTML with the labels as links, and how many were made."""
+    """HTML with the labels as links, and how many were made. Targets are ids of the same page, or paths."""
     if not targets:
         return html, 0
     labels = "|".join(re.escape(x) for x in sorted(targets, key=len, reverse=True))
@@ -184,7 +187,8 @@ def linked_text(html: str, targets: dict[str, str]) -> tuple[str, int]:
         if m[1]:
             return m[1]
         made += 1
-        return f'<a href="#{targets[m[2]]}">{m[2]}</a>'
+        target = targets[m[2]]
+        return f'<a href="{target if target.startswith("/") else "#" + target}">{m[2]}</a>'
 
     return pattern.sub(put, html), made
 
