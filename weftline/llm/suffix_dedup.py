@@ -19,8 +19,7 @@ are judged on the input; matches never cross texts.
 Suffix arrays of different shards need no pairwise merging by binary search, whose cost would grow with the square of the number of
 shards; that step of the method is replaced by dealing texts so that shards don't share strings.
 
-Rows are known by their place in the reading order, so ``docs`` has to be a table that reads in one order each time (files, or
-something written first). Edge cases: a null text is empty; texts under ``LENGTH`` bytes have no strings; repeated rows repeat each other's
+Rows get a number when they are written to the shared folder, and keep it however the files are read later. Edge cases: a null text is empty; texts under ``LENGTH`` bytes have no strings; repeated rows repeat each other's
 bytes; a null doc_id stays; other columns are ignored, whatever they are called; empty tables give empty results.
 """
 
@@ -495,6 +494,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tune(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("t"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = staged(rows, "numbered-texts")  # where files are split depends on the executors that there are, so a number made anew could be another
     cuts = spans(rows.select("t", "text"), group_limit).groupBy("t").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))  # at most as many as the text has places
     out = rows.join(cuts, "t", "left").select("doc_id", "text", "lo", "hi").mapInArrow(_kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo: int, hi: int>>")
     return out.withColumnRenamed("doc_id", id_col)
