@@ -11,6 +11,7 @@ import difflib
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate, groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -143,27 +144,25 @@ def differences(a: list[str], owners: list[str], table: list[bool], b: list[str]
         owner = owners[min(i, len(owners) - 1)] if owners else None
         out.append({"kind": kind, "owner": owner, "line": lines[min(j, len(lines) - 1)] if lines else None, "corpus": " ".join(corpus), "source": " ".join(source), "context": " ".join(a[max(0, i - CONTEXT) : i])})
 
-    i = 0
-    while i < len(a):
-        if not table[i]:
-            i += 1
+    ends = list(accumulate(len(list(g)) for _, g in groupby(table)))
+    tables = [(begin, end) for begin, end in zip([0, *ends], ends) if table[begin]]
+    compared = 0
+    for begin, end in tables:
+        if begin < compared:  # part of the stretch of the table before
             continue
-        end = i
-        while end < len(a) and table[end]:
-            end += 1
-        before, after = _beside(i - 1, -1, len(a), to, table), _beside(end, 1, len(a), to, table)
-        lo, hi = (0 if before is None else before + 1), (len(a) if after is None else after)
-        j, m = (0 if before is None else to[before] + 1), (len(b) if after is None else to[after])
-        m = max(j, m)
-        mine, other = a[lo:hi], b[j:m]
-        done_a[lo:hi], done_b[j:m] = [True] * (hi - lo), [True] * (m - j)
-        if _bare(mine) != _bare(other):
-            if sorted(_bare(mine)) == sorted(_bare(other)):
-                record("table_layout", lo, j, mine, other)
-            else:
-                x, y = Counter(w.lower() for w in mine), Counter(w.lower() for w in other)
-                record("extraction", lo, j, list((x - y).elements()), list((y - x).elements()))
-        i = max(end, hi)
+        before, after = _beside(begin - 1, -1, len(a), to, table), _beside(end, 1, len(a), to, table)
+        lo, j = (0, 0) if before is None else (before + 1, to[before] + 1)
+        compared, m = (len(a), len(b)) if after is None else (after, max(j, to[after]))
+        mine, other = a[lo:compared], b[j:m]
+        done_a[lo:compared], done_b[j:m] = [True] * len(mine), [True] * len(other)
+        left, right = _bare(mine), _bare(other)
+        if left == right:
+            continue
+        if Counter(left) == Counter(right):
+            record("table_layout", lo, j, mine, other)
+        else:
+            x, y = Counter(w.lower() for w in mine), Counter(w.lower() for w in other)
+            record("extraction", lo, j, list((x - y).elements()), list((y - x).elements()))
     for i, k, j, m in edits(low_a, low_b):
         mine, other = [a[x] for x in range(i, k) if not done_a[x]], [b[y] for y in range(j, m) if not done_b[y]]
         if mine or other:
