@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from weftline.functions.stems import stem
+from weftline.functions.stems import opening, stem
 from weftline.operators import lexical
 
 #: Pairs that the algorithm's publication gives.
@@ -110,3 +110,16 @@ def test_found_by_takes_either_grammar(spark):
     table = lexical.index(nodes(spark, ["gas tank", "gas vessel", "tank vessel"]))
     ids = lambda q: {r.id for r in lexical.found_by(table, q).collect()}
     assert ids("gas & !tank") == {"n1"} and ids("gas -tank") == {"n1"} and ids("gas tank") == {"n0"} and ids("") == set()
+
+
+def test_every_word_begins_as_its_stem_says():
+    rng = random.Random(1)
+    ends = ["ational", "tional", "enci", "izer", "abli", "alli", "entli", "eli", "ousli", "ization", "ator", "iveness", "biliti", "icate", "ful", "ness", "ement", "ion", "ies", "sses", "ing", "ed", "eed", "y", "e", "ll", ""]
+    words = ["".join(rng.choice("abeilosty") for _ in range(rng.randint(1, 5))) + rng.choice(ends) + rng.choice(ends) for _ in range(50_000)]
+    assert all(w.startswith(opening(stem(w))) for w in words)
+
+
+def test_search_by_stem_makes_no_rows_of_other_words(spark):
+    df = nodes(spark, ["The rules apply to operators", "One rule for each operation", "Ruled paper", "nothing", "rumours open"])
+    kept = lexical.kept_words(df, ["rule", "oper"], by_stem=True).collect()
+    assert {r.id: sorted((x.pos, x.word) for x in r.hits) for r in kept} == {"n0": [(5, "rule"), (8, "oper")], "n1": [(5, "rule"), (8, "oper")], "n2": [(4, "rule")]}

@@ -375,7 +375,7 @@ def structured_matches(spark, d):
 @query()
 def stemmed_search(spark, d):
     """Words by their stems, held against brute force by a test."""
-    return _rounded(lexical.search(S.nodes(spark, d), "licensing or idiots", 25, by_stem=True), "score").select("id", "score", "headline")
+    return _rounded(lexical.search(S.texts(spark, d), "licensing or idiots", 25, by_stem=True), "score").select("id", "score", "headline")
 
 
 @query(search_sql.keyword([["the"], ["of"]], ["clown"], 25))
@@ -416,11 +416,16 @@ def neighbour_index(spark, d):
     return index.neighbours(spark).select("id", "neighbor_id", _r(F.col("score").cast("double"), 4).alias("score"), "rank")
 
 
+def _paths(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Headings above the rows of a page of results; no others are walked."""
+    return lambda ids: tree.breadcrumbs(rows, rows.join(F.broadcast(ids), "id", "left_semi"))
+
+
 def _hybrid(spark: SparkSession, d: str, text: str, n: int = 20) -> DataFrame:
     rows = S.nodes(spark, d)
     vectors = _t(spark, d, "embeddings").join(rows.select("id", "doc_id"), F.col("vec_id") == F.col("doc_id")).select("id", "vec_id", "embedding")
     q = vectors.filter("vec_id = 7").select("embedding").first()["embedding"]
-    return hybrid.search(rows, vectors, text, list(q), n, paths=tree.breadcrumbs(rows))
+    return hybrid.search(rows, vectors, text, list(q), n, paths=_paths(rows), texts=S.texts(spark, d))
 
 
 @query(search_sql.hybrid([["idiot"], ["clown"]], short=True, long=False, federal=False, state=False))

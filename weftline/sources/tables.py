@@ -26,6 +26,14 @@ def node_id(source: str = "source", number: str = "doc_id"):
     return F.concat(F.lit("sec-"), F.col(source), F.lit("-"), F.col(number).cast("string"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``nodes`` that a document has by itself. Nothing is joined, so what reads texts only shuffles none."""
+    return read(spark, sf_dir, "documents").select(
+        node_id().alias("id"), "doc_id", F.col("source").alias("reg_key"), F.concat(F.upper("source"), F.lit("."), F.col("doc_id").cast("string")).alias("citation"),
+        F.substring_index(F.col("text"), "\n", 1).alias("title"), F.col("text").alias("full_text"), (F.col("doc_id") * 10).alias("sort_order"),
+    )
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The node table: schema NODE and doc_id, reg_key."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
