@@ -578,7 +578,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 def _batch(spark: SparkSession, d: str, questions: DataFrame) -> DataFrame:
     rows = S.nodes(spark, d)
     vectors = _t(spark, d, "embeddings").join(rows.select("id", "doc_id"), F.col("vec_id") == F.col("doc_id")).select("id", "embedding")
-    return batch.search(rows, vectors, questions, paths=tree.breadcrumbs(rows))
+    return batch.search(rows, vectors, questions, paths=_paths(rows), texts=S.texts(spark, d))
 
 
 def _expected(spark: SparkSession, d: str, questions: DataFrame) -> DataFrame:
