@@ -103,3 +103,21 @@ def test_rebuilt_and_other_document_first(spark):
 
 def test_batched():
     assert list(vector.batched(iter(["aa", "b", "cccc", "d"]), 2, 4)) == [["aa", "b"], ["cccc"], ["d"]]
+
+
+def test_blocks_compare_numbers_not_ids():
+    import pandas as pd
+
+    seen = []
+
+    class Id(str):
+        __hash__ = str.__hash__
+
+        def __eq__(self, other):
+            seen.append(1)
+            return str.__eq__(self, other)
+
+    r = np.random.default_rng(0)
+    rows = pd.DataFrame({"id": [Id(f"{i:03}") for i in range(100)], "family": [None if i % 3 else Id(i % 2) for i in range(100)], "embedding": list(r.normal(size=(100, 4)))})
+    found = pd.concat(list(vector._best_of(rows, rows, 3, True)))
+    assert len(found) == 300 and len(seen) < 5_000 and not (found.id.astype(str) == found.neighbor_id.astype(str)).any()

@@ -85,14 +85,17 @@ def _best_of(mine: pd.DataFrame, other: pd.DataFrame, k: int, families: bool) ->
     yield pd.DataFrame({"id": pd.Series([], dtype=str), "neighbor_id": pd.Series([], dtype=str), "score": pd.Series([], dtype=float)})
     if mine.empty or other.empty:
         return
-    every, names, kin = _unit(other.embedding.to_numpy()).T, other.id.to_numpy(), other.family.to_numpy()
+    every, names = _unit(other.embedding.to_numpy()).T, other.id.to_numpy()
+    # numbers are compared in place of strings: a pair of blocks has 16 million of them
+    ids, kin = pd.factorize(np.r_[mine.id.to_numpy(), names])[0], pd.factorize(np.r_[mine.family.to_numpy(), other.family.to_numpy()])[0]
     for i in range(0, len(mine), PART_ROWS):
         part = mine.iloc[i : i + PART_ROWS]
         s = _unit(part.embedding.to_numpy()) @ every
-        s[part.id.to_numpy()[:, None] == names[None, :]] = -np.inf
+        at = slice(i, i + len(part))
+        s[ids[at][:, None] == ids[None, len(mine) :]] = -np.inf
         if families:
-            own = part.family.to_numpy()
-            s[(own[:, None] == kin[None, :]) & pd.notna(own)[:, None]] = -np.inf
+            own = kin[at]
+            s[(own[:, None] == kin[None, len(mine) :]) & (own >= 0)[:, None]] = -np.inf
         least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
         row, column = np.nonzero(s >= least[:, None] - 1e-11)  # what can be among the k best once scores are rounded
         score = np.round(s[row, column], 12)
