@@ -108,6 +108,24 @@ def test_context_blocks(spark):
     assert {r.id for r in context.prompts(nodes, nodes.select("id")).collect()} == {"r", "a"}
 
 
+def test_prompts_strip_each_text_once_and_join_no_whole_ancestors(spark, monkeypatch):
+    rows = [("r", None, "Root", "R", "<p>" + "Root text. " * 400 + "</p>", 0), ("s", None, None, "S", None, 1), ("a", "r", None, "A.", "word " * 30, 1), ("b", "r", "", None, "<b>b</b> " * 2999, 2), ("c", "a", "C \u00dc", "A.1", "c \u00fc one", 3), ("d", "b", "D", "D", "d " * 40, 1)]
+    nodes = spark.createDataFrame(rows, "id string, parent_id string, title string, citation string, full_text string, sort_order long")
+    stripped, carried = [], []
+    strip, ancestors = context.T.strip_html, context.tree.ancestors
+    monkeypatch.setattr(context.T, "strip_html", lambda c: stripped.append(1) or strip(c))
+    monkeypatch.setattr(context.tree, "ancestors", lambda n, s, *a, **k: carried.extend(k.get("carry", ())) or ancestors(n, s, *a, **k))
+    got = {(r.id, r.page): r.prompt for r in context.prompts(nodes, nodes.select("id")).collect()}
+    assert stripped == [1] and carried == []
+    assert set(got) == {("r", 0), ("a", 0), ("b", 0), ("d", 0)}
+    word = "word " * 29 + "word"
+    assert got["r", 0].endswith("Below:\nA. " + "word " * 11 + "word…\n  A.1. C \u00dc\nb. " + "b " * 11 + "b…\n  D. D\n[4 provisions inside; bodies omitted for length]")
+    assert got["a", 0].startswith("Context:\nR Root: " + "Root text. " * 150) and got["a", 0].endswith("Provision:\nA.\n\nText:\n" + word + "\n\nBelow:\nA.1. c \u00fc one")
+    assert len(got["a", 0]) < 2300 and got["d", 0].startswith("Context:\n: b b")
+    skeleton, texts = nodes.select("id", "parent_id", "sort_order"), nodes.select("id", "citation", "title", "full_text")
+    assert {(r.id, r.page): r.prompt for r in context.prompts(skeleton, nodes.select("id"), texts=texts).collect()} == got
+
+
 def test_coverage_collapses_runs(spark):
     roots = spark.createDataFrame([("state", "Rules", n) for n in ("Regulation 3", "Regulation 4", "Regulation 7", "Code")], "jurisdiction_level string, heading string, name string")
     assert context.coverage(roots).first().names == ["Code", "Regulation 3–4", "Regulation 7"]

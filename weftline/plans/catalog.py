@@ -661,7 +661,7 @@ def verdicts_applied(spark, d):
 @query()
 def prompts(spark, d):
     rows = S.nodes(spark, d)
-    found = context.prompts(rows, rows.filter("is_public").select("id"))
+    found = context.prompts(rows, rows.filter("is_public").select("id"), texts=S.texts(spark, d))
     return found.select("id", "page", F.length("prompt").alias("n_chars"), F.sha2(F.col("prompt").cast("binary"), 256).alias("hash"))
 
 
