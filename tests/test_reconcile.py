@@ -29,6 +29,31 @@ def test_short_texts_get_the_plain_diff():
         assert reconcile.edits(a, b) == plain(a, b)
 
 
+@pytest.mark.parametrize("tiny", [0, 5_000])
+def test_stretches_are_those_of_the_plain_diff(monkeypatch, tiny):
+    monkeypatch.setattr(reconcile, "TINY", tiny)
+    r = random.Random(tiny)
+    for k in range(300):
+        words = [f"w{n}" for n in range(r.choice([1, 2, 3, 20, 200]))]
+        a = [r.choice(words) for _ in range(r.randint(0, 120))]
+        b = changed(a, r, r.choice([0.02, 0.3])) if k % 3 else [r.choice(words) for _ in range(r.randint(0, 120))]
+        want = [tuple(x) for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if x[2]]
+        assert reconcile.blocks(a, b) == want
+
+
+def test_texts_of_500_words_cost_little():
+    r = random.Random(3)
+    common = [f"w{n}" for n in range(60)]
+    pairs = [(a, changed(a, r, 0.1)) for a in ([r.choice(common) for _ in range(480)] for _ in range(40))]
+    began = time.process_time()
+    want = [plain(a, b) for a, b in pairs]
+    middle = time.process_time()
+    assert [reconcile.edits(a, b) for a, b in pairs] == want
+    assert time.process_time() - middle < 0.6 * (middle - began)
+    same = ["a"] * 5000
+    assert reconcile.edits(same, list(same)) == []
+
+
 @pytest.mark.parametrize("vocabulary", [40, 3000])
 def test_long_alignments_are_right_and_nearly_as_short(monkeypatch, vocabulary):
     monkeypatch.setattr(reconcile, "PLAIN", 400)
