@@ -92,6 +92,19 @@ def test_index_on_the_table(spark):
     assert recall(got, want) >= 0.9
 
 
+@pytest.mark.parametrize("most", [65_536, 100])
+def test_a_row_is_sent_to_shelves_not_to_lists(spark, monkeypatch, most):
+    monkeypatch.setattr(vector, "SHELF_ROWS", most)
+    r = np.random.default_rng(4)
+    rows = [(f"v{i:04}", x.tolist(), None if i % 9 else str(i % 2)) for i, x in enumerate(r.normal(size=(1000, 16)))]
+    index = vector.VectorIndex.fit(spark.createDataFrame(rows, ROW), 5, lists=200, family="fam")
+    index.narrow = index.wide = 200
+    sent, best = spark.sparkContext.accumulator(0), vector._best_on_shelf
+    monkeypatch.setattr(vector, "_best_on_shelf", lambda x, k: (sent.add(int(x.asking.sum())), best(x, k))[1])
+    assert listed(index.neighbours(spark)) == brute(rows, 5)
+    assert most == 100 or 0 < sent.value <= 1000 * vector.SHELVES  # 200,000 as rows for lists
+
+
 def test_rebuilt_and_other_document_first(spark):
     old = spark.createDataFrame([("a", "b", 0.5, 1), ("c", "d", 0.4, 1)], "id string, neighbor_id string, score double, rank int")
     new = spark.createDataFrame([("a", "e", 0.9, 1)], old.schema)

@@ -23,6 +23,8 @@ from weftline.sources.shared import new_path, staged
 BLOCK_ROWS, PART_ROWS = 4096, 512
 #: An index is fitted on at most so many rows, has at most so many lists, and finds its reach with so many of those rows as questions.
 FIT_ROWS, MOST_LISTS, FIT_QUESTIONS = 20_000, 4_096, 400
+#: Shelves that lists lie on, and the rows of each side that one task compares on a shelf. A row asks once on a shelf, whatever the number of lists.
+SHELVES, SHELF_ROWS = 16, 65_536
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -88,24 +90,37 @@ def _best_of(mine: pd.DataFrame, other: pd.DataFrame, k: int, families: bool) ->
     every, names = _unit(other.embedding.to_numpy()).T, other.id.to_numpy()
     # numbers are compared in place of strings: a pair of blocks has 16 million of them
     ids, kin = pd.factorize(np.r_[mine.id.to_numpy(), names])[0], pd.factorize(np.r_[mine.family.to_numpy(), other.family.to_numpy()])[0]
-    for i in range(0, len(mine), PART_ROWS):
-        part = mine.iloc[i : i + PART_ROWS]
-        s = _unit(part.embedding.to_numpy()) @ every
-        at = slice(i, i + len(part))
-        s[ids[at][:, None] == ids[None, len(mine) :]] = -np.inf
+    n, units = len(mine), _unit(mine.embedding.to_numpy())
+    for at, row, column, score in _best_at(units, ids[:n], kin[:n], every, ids[n:], kin[n:], k, families):
+        yield pd.DataFrame({"id": mine.id.to_numpy()[at + row], "neighbor_id": names[column], "score": score})
+
+
+def _best_at(units: np.ndarray, ids: np.ndarray, kin: np.ndarray, every: np.ndarray, other_ids: np.ndarray, other_kin: np.ndarray, k: int, families: bool) -> Iterator[tuple]:
+    """(first row, rows from there, columns, scores) of the ``k`` nearest columns of ``every`` for each row of ``units``."""
+    for i in range(0, len(units), PART_ROWS):
+        at = slice(i, i + PART_ROWS)
+        s = units[at] @ every
+        s[ids[at][:, None] == other_ids[None, :]] = -np.inf
         if families:
             own = kin[at]
-            s[(own[:, None] == kin[None, len(mine) :]) & (own >= 0)[:, None]] = -np.inf
+            s[(own[:, None] == other_kin[None, :]) & (own >= 0)[:, None]] = -np.inf
         least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
         row, column = np.nonzero(s >= least[:, None] - 1e-11)  # what can be among the k best once scores are rounded
         score = np.round(s[row, column], 12)
-        order = np.lexsort((column, -score, row))
-        row, column, score = row[order], column[order], score[order]
-        first = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
-        place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
-        row, column, score = row[place < k], column[place < k], score[place < k]
-        found = pd.DataFrame({"id": part.id.to_numpy()[row], "neighbor_id": names[column], "score": score})
-        yield found[np.isfinite(found.score)]
+        row, column, score = _first(row, column, score, k)
+        real = np.isfinite(score)
+        yield i, row[real], column[real], score[real]
+
+
+def _first(row: np.ndarray, column: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each row by score and column."""
+    order = np.lexsort((column, -score, row))
+    row, column, score = row[order], column[order], score[order]
+    if not len(row):
+        return row, column, score
+    first = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
+    place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+    return row[place < k], column[place < k], score[place < k]
 
 
 # --- inverted lists ------------------------------------------------------------------------------------------------
@@ -145,6 +160,7 @@ class VectorIndex:
     wide: int
     k: int
     sample_recall: float
+    shelf: np.ndarray  # of each list
 
     @classmethod
     def fit(cls, vectors: DataFrame, k: int = 5, lists: int | None = None, copies: int = 2, recall: float = 0.95, family: str | None = None, seed: int = 1) -> VectorIndex:
@@ -163,7 +179,8 @@ class VectorIndex:
         reach, got = cls._reach(_unit(picked.embedding.to_numpy()), picked.family.to_numpy(), centres, k, copies, recall)
         path = new_path(rows.sparkSession, "vector-index")
         cls._stored(rows, centres, copies, family, int(d)).repartition("list").write.partitionBy("list").parquet(path)
-        return cls(path, centres, reach, min(lists, 4 * reach), k, got)
+        shelf = (centres @ _centres(centres, min(SHELVES, lists), seed).T).argmax(1)
+        return cls(path, centres, reach, min(lists, 4 * reach), k, got, shelf)
 
     @staticmethod
     def _reach(units: np.ndarray, kin: np.ndarray, centres: np.ndarray, k: int, copies: int, recall: float) -> tuple[int, float]:
@@ -216,48 +233,84 @@ class VectorIndex:
         return found.orderBy(F.desc("score"), "id").limit(n).select("id", F.col("score").cast("float").alias("score"))
 
     def _probed(self, spark, anchors: DataFrame, low: int, high: int, k: int) -> DataFrame:
-        """(id, neighbor_id, score) of anchors (id, family, unit) in their lists number ``low`` to ``high``."""
-        centres = self.centres
+        """(id, neighbor_id, score) of anchors (id, family, unit) in their lists number ``low`` to ``high``; a neighbour that several shelves hold
+        comes several times.
+
+        A row is sent to each shelf that has lists of its, with their numbers, and not to each list: the lists that it reads grow with the
+        table, the shelves don't."""
+        centres, shelf = self.centres, self.shelf
 
         def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                of = _nearest_lists(batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1), centres, high)[:, low:].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * of.shape[1]), pa.array(of.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "family", "unit", "lists"])
-
-        asked = anchors.select("id", "family", "unit").mapInArrow(ways, "id string, family string, unit array<double>, lists array<int>")
-        asked = asked.select("id", "family", "unit", F.explode("lists").alias("list"))
-        held = self.members(spark)
-        # long lists are cut, so that a task multiplies at most BLOCK_ROWS rows with as many
-        cuts = lambda rows, name: rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))  # noqa: E731 - a row a list
-        sizes = staged(cuts(asked, "asks").join(cuts(held, "holds"), "list"), "list-sizes")
-        part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = asked.join(F.broadcast(sizes), "list").select("id", "family", F.col("unit").alias("embedding"), "list", part("asks").alias("x"), every("holds").alias("y"), F.lit(True).alias("asking"))  # at most MOST_LISTS rows
-        right = held.join(F.broadcast(sizes), "list").select("id", "family", F.col("unit").alias("embedding"), "list", every("asks").alias("x"), part("holds").alias("y"), F.lit(False).alias("asking"))
+                of = _nearest_lists(batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1), centres, high)[:, low:]
+                both = np.sort(shelf[of] * MOST_LISTS + of, axis=1)
+                on, of = both // MOST_LISTS, both % MOST_LISTS
+                begins = np.flatnonzero(np.diff(on, axis=1, prepend=-1))
+                row = pa.array(begins // of.shape[1])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begins, of.size).astype(np.int32)), pa.array(of.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(c.take(row) for c in batch.columns), pa.array(on.ravel()[begins].astype(np.int32)), lists], names=["id", "family", "embedding", "shelf", "lists"])
+
+        kinds = "id string, family string, embedding array<double>, shelf int, lists array<int>"
+        asked = anchors.select("id", "family", "unit").mapInArrow(ways, kinds)
+        shelves = spark.createDataFrame([(i, int(x)) for i, x in enumerate(shelf)], "list int, shelf int")  # at most MOST_LISTS rows
+        held = self.members(spark).join(F.broadcast(shelves), "list")
+        # both sides are cut, so that a task compares at most SHELF_ROWS rows with as many
+        asks = max(1, -(-anchors.count() // SHELF_ROWS))
+        sizes = F.broadcast(staged(held.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / SHELF_ROWS).cast("int").alias("holds")), "shelf-sizes"))
+        part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        left = asked.join(sizes, "shelf").select("id", "family", "embedding", "shelf", "lists", part(F.lit(asks)).alias("x"), every(F.col("holds")).alias("y"), F.lit(True).alias("asking"))
+        right = held.join(sizes, "shelf").select("id", "family", F.col("unit").alias("embedding"), "shelf", F.array("list").alias("lists"), every(F.lit(asks)).alias("x"), part(F.col("holds")).alias("y"), F.lit(False).alias("asking"))
 
         def best(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("id")
-            return pd.concat(list(_best_of(rows[rows.asking], rows[~rows.asking], k, True)))
+            return _best_on_shelf(rows.sort_values("id"), k)
 
-        return left.unionByName(right).groupBy("list", "x", "y").applyInPandas(best, "id string, neighbor_id string, score double")
+        return left.unionByName(right).groupBy("shelf", "x", "y").applyInPandas(best, "id string, neighbor_id string, score double")
 
     def neighbours(self, spark, k: int | None = None) -> DataFrame:
         """(id, neighbor_id, score, rank): about the ``k`` nearest others of every indexed row. Rows that find fewer in their narrow lists
         (siblings are left out) go on to their wide ones."""
         k = V.clamp(k or self.k, 1, 20, 5)
+        order = W.partitionBy("id").orderBy(F.desc("score"), "neighbor_id")
+
+        def ranked(found: DataFrame) -> DataFrame:
+            once = found.repartition("id").groupBy("id", "neighbor_id").agg(F.max("score").alias("score"))  # one shuffle for both
+            return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
         anchors = self.members(spark).filter("home").select("id", "family", "unit")
-        found = staged(self._probed(spark, anchors, 0, self.narrow, k).distinct(), "narrow")
+        found = staged(ranked(self._probed(spark, anchors, 0, self.narrow, k)), "narrow")
         if self.wide > self.narrow:
             enough = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
             few = staged(anchors.join(enough.select("id"), "id", "left_anti"), "few")
             if not few.isEmpty():
-                found = found.unionByName(self._probed(spark, few, self.narrow, self.wide, k)).distinct()
-        order = W.partitionBy("id").orderBy(F.desc("score"), "neighbor_id")
-        ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        return ranked.select("id", "neighbor_id", F.col("score").cast("float").alias("score"), "rank")
+                found = ranked(found.drop("rank").unionByName(self._probed(spark, few, self.narrow, self.wide, k)))
+        return found.select("id", "neighbor_id", F.col("score").cast("float").alias("score"), "rank")
+
+
+def _best_on_shelf(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` nearest held rows of each asking one (rows sorted by id), over the lists that it asks in."""
+    ids, kin, asking = pd.factorize(rows.id)[0], pd.factorize(rows.family)[0], rows.asking.to_numpy(bool)
+    units = _unit(rows.embedding.to_numpy())
+    row = np.repeat(np.arange(len(rows)), rows.lists.map(len).to_numpy())
+    of = np.concatenate(rows.lists.to_numpy())
+    order = np.argsort(of, kind="stable")  # rows of a list stay in order of id
+    of, row = of[order], row[order]
+    found = [(np.array([], np.int64), np.array([], np.int64), np.array([], float))]
+    for x, y in zip(np.r_[0, np.flatnonzero(np.diff(of)) + 1], np.r_[np.flatnonzero(np.diff(of)) + 1, len(of)]):
+        mine, other = row[x:y][asking[row[x:y]]], row[x:y][~asking[row[x:y]]]
+        if len(mine) and len(other):
+            found += [(mine[i + a], other[b], score) for i, a, b, score in _best_at(units[mine], ids[mine], kin[mine], units[other].T, ids[other], kin[other], k, True)]
+    a, b, score = (np.concatenate(x) for x in zip(*found))
+    b = ids[b]  # a row is held in some lists of a shelf: once is enough
+    order = np.lexsort((-score, b, a))
+    a, b, score = a[order], b[order], score[order]
+    once = np.ones(len(a), bool)
+    once[1:] = (np.diff(a) != 0) | (np.diff(b) != 0)
+    a, b, score = _first(a[once], b[once], score[once], k)  # numbers of ids rise as ids do
+    names = rows.id.to_numpy()
+    return pd.DataFrame({"id": names[a], "neighbor_id": names[np.searchsorted(ids, b)], "score": score})
 
 
 def rebuilt(old: DataFrame, new: DataFrame, anchors: DataFrame) -> DataFrame:
