@@ -7,6 +7,7 @@ import time
 import pytest
 
 from weftline.operators import reconcile
+from weftline.plans import catalog, more  # noqa: F401 - more puts its queries into the catalog's tables
 
 
 def plain(a, b):
@@ -74,6 +75,66 @@ def test_long_alignments_are_right_and_nearly_as_short(monkeypatch, vocabulary):
         assert size(reconcile.edits(a, b)) <= 1.3 * size(plain(a, b)) + 20
 
 
+def long_pairs():
+    r = random.Random(8)
+    few, many = [f"w{n}" for n in range(3)], [f"w{n}" for n in range(400)]
+    for words in (few, many):
+        a = [r.choice(words) for _ in range(900)]
+        yield from [(a, changed(a, r, 0.2)), (a, a[500:] + a[:500]), (a, [r.choice(words) for _ in range(700)])]
+    again = many[:90] * 9
+    yield from [(changed(again, r, 0.02), changed(again + again[:200], r, 0.02)), (changed(["a"] * 700, r, 0.05), changed(["a"] * 800, r, 0.05))]
+    yield ["a", "b"] * 300, ["b", "b", "a"] * 300
+
+
+def blocks_of_difflib(a, b):
+    return [tuple(x) for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if x[2]]
+
+
+@pytest.mark.parametrize("pairs", [0, 1, 30])
+def test_long_texts_get_the_plain_diff(monkeypatch, pairs):
+    monkeypatch.setattr(reconcile, "PAIRS", pairs, raising=False)
+    for a, b in long_pairs():
+        assert len(a) * len(b) > reconcile.PLAIN
+        assert reconcile.blocks(a, b) == blocks_of_difflib(a, b)
+
+
+@pytest.mark.parametrize("pairs", [0, 0.5, 1, 30])
+def test_lengths_do_not_decide_the_edits(monkeypatch, pairs):
+    monkeypatch.setattr(reconcile, "PAIRS", pairs, raising=False)
+    r = random.Random(9)
+    for k in range(400):
+        words = [f"w{n}" for n in range(r.choice([1, 2, 5, 40]))]
+        a = [r.choice(words) for _ in range(r.randint(0, 90))]
+        b = changed(a * r.choice([1, 2]), r, r.choice([0.02, 0.3])) if k % 3 else [r.choice(words) for _ in range(r.randint(0, 90))]
+        want = blocks_of_difflib(a, b)
+        for plain_up_to in (0, 1_000, 10_000):
+            monkeypatch.setattr(reconcile, "PLAIN", plain_up_to)
+            assert reconcile.blocks(a, b) == want
+
+
+def test_one_word_again_and_again_costs_little():
+    r = random.Random(4)
+    a = ["a"] * 20_000
+    began = time.time()
+    for x, y in [(changed(a, r, 0.001), changed(a, r, 0.01)), (a, a[1:] + ["b"]), (["a", "b"] * 10_000, ["b", "a", "a"] * 7_000)]:
+        found = reconcile.blocks(x, y)
+        assert found and all(x[i : i + n] == y[j : j + n] for i, j, n in found)
+    assert time.time() - began < 60
+
+
+def test_text_edits_of_long_documents(spark, tmp_path):
+    r = random.Random(6)
+    words = ["the", "and", "or", "of"]
+    texts = [" ".join(r.choice(words) for _ in range(n)) for n in (40, 600, 1500)] + ["of the rule and or " * 160 + "end", "", None, "no change"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for k, text in enumerate(texts[:4]):
+        a, b = text.split(" "), text.replace(" the ", " thee ").replace(" and ", " an d ").split(" ")
+        kinds = ["spacing" if "".join(a[i:j]) == "".join(b[x:y]) else "delete" if x == y else "insert" if i == j else "replace" for i, j, x, y in plain(a, b)]
+        want += [(k, kind, kinds.count(kind)) for kind in set(kinds)]
+    assert sorted(tuple(row) for row in catalog.QUERIES["text_edits"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_a_million_words():
     r = random.Random(1)
     a = [f"w{r.randrange(20_000)}" for _ in range(1_000_000)]
